@@ -25,7 +25,7 @@ WITH RECURSIVE w AS (
 s AS (
   SELECT DISTINCT doc_id, sh FROM (
     SELECT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
-      ELSE list_transform(range(1, len(ws) - 2), i -> array_to_string(ws[i:i+3], ' ')) END) AS sh FROM w WHERE ws IS NOT NULL)),
+      ELSE list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i+3], ' ')) END) AS sh FROM w WHERE ws IS NOT NULL)),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 p AS (
   SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id <> b.doc_id GROUP BY ALL),

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from brinework.llm.common import table
+from brinework.llm.decontaminate import report
 from brinework.llm.near_dups import near_duplicates
 
 QUERIES: dict = {}
@@ -42,3 +45,29 @@ FROM documents d JOIN c ON c.doc_id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_i
 def op3_minhash_near_dedup(spark, sf_dir):
     """Contract of op3: shingles of four words, links at 80 percent."""
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=4, percent=80)
+
+
+_OP2 = r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+b AS (
+  SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+k AS (
+  SELECT DISTINCT item_id, least(10, len(ws)) AS k, unnest(list_transform(range(1, greatest(2, len(ws) - 8)), lambda i: array_to_string(ws[i:i+9], ' '))) AS win
+  FROM b WHERE len(ws) > 0),
+d AS (
+  SELECT doc_id, kk.k AS k, unnest(range(1, len(ws) - kk.k + 2)) AS i, ws FROM w, (SELECT DISTINCT k FROM k) kk WHERE len(ws) >= kk.k),
+m AS (SELECT d.doc_id, d.i, d.k, k.item_id FROM d JOIN k ON k.k = d.k AND k.win = array_to_string(d.ws[d.i:d.i+d.k-1], ' ')),
+h AS (SELECT doc_id, count(DISTINCT j) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) AS j FROM m) GROUP BY doc_id),
+n AS (SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS s FROM m) GROUP BY doc_id)
+SELECT w.doc_id, coalesce(len(ws), 0) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM w LEFT JOIN h ON h.doc_id = w.doc_id LEFT JOIN n ON n.doc_id = w.doc_id
+"""
+
+
+@query(_OP2)
+def op2_benchmark_decontamination(spark, sf_dir):
+    """Contract of op2: windows of ten words over whole documents and items."""
+    found = report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(F.array_sort("items"), ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))

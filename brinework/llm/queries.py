@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
+from brinework.llm import token_files
 from brinework.llm.common import table
 from brinework.llm.decontaminate import report
 from brinework.llm.near_dups import near_duplicates
+from brinework.llm.token_counts import token_counts
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -71,3 +74,19 @@ def op2_benchmark_decontamination(spark, sf_dir):
     """Contract of op2: windows of ten words over whole documents and items."""
     found = report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(F.array_sort("items"), ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+@query()
+def op4_token_id_files(spark, sf_dir):
+    """Contract of op4: word_bpe_49k ids with end id 1, written and read back."""
+    path = token_files.shared_path(spark, "token-files")
+    token_files.write(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    return token_files.read(spark, path)
+
+
+@query()
+def op5_token_counts(spark, sf_dir):
+    """Contract of op5: byte_bpe_50k tokens, limit 512."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    counted = token_counts(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from brinework.llm import token_files
+from brinework.llm import pii, token_files, toxicity
 from brinework.llm.common import table
 from brinework.llm.decontaminate import report
 from brinework.llm.near_dups import near_duplicates
@@ -90,3 +90,30 @@ def op5_token_counts(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     counted = token_counts(docs, public_tokenizers.path("byte_bpe_50k.json"))
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
+
+
+def private_digest(docs):
+    """The columns of op6 from the spans that ``pii.find`` gives."""
+    found = pii.find(docs.select("doc_id", "text"), spans_as="_all").withColumn("_base", F.filter("_all", lambda s: ~s["disguised"]))
+
+    def count(kind):
+        return F.size(F.filter("_base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select("doc_id", *map(count, pii.KINDS), F.sha2(pii.listed(F.col("_base")).cast("binary"), 256).alias("base_sha256"), pii.listed(F.col("_all")).alias("spans"))
+
+
+@query()
+def op6_pii_spans(spark, sf_dir):
+    """Contract of op6."""
+    return private_digest(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op10_toxicity(spark, sf_dir):
+    """Contract of op10: fitted on labelled rows whose crc32 mod 5 is not 0."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = toxicity.fit_rows(docs, table(spark, sf_dir, "labels"))
+    model = toxicity.fit([t for t, _ in rows], [y for _, y in rows])
+    scored = toxicity.score(docs, model)
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

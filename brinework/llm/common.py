@@ -119,7 +119,6 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(id, component) of every id in ``edges`` (a, b): the smallest id reachable, by alternating large-star and
     small-star. Each step is a min per node and a join back, so a hub's neighbours never meet in one task's memory;
     the adaptive planner may split the join at a hub. Null ids are dropped; an empty input gives an empty result."""
-    spark = edges.sparkSession
     edges = cut(edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
 
     def state(df):
@@ -132,10 +131,9 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         least = links.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
         met = links.join(least, "u")
         if large:
-            out = met.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        else:
-            out = met.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-        return out.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+            return met.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        out = met.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
+        return out.distinct()
 
     before = state(edges)
     for _ in range(most_rounds if before[0] else 0):
@@ -147,5 +145,4 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     else:
         if before[0]:
             raise RuntimeError(f"components did not settle in {most_rounds} rounds")
-    del spark
     return edges.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("id"), "component").union(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())

@@ -19,6 +19,10 @@ BANDS, ROWS = 44, 6
 SEED = 20240611
 #: Rounds in which the members of a bucket meet only its centre; what is open afterwards meets pair by pair.
 STAR_ROUNDS = 3
+#: Pairs for each open member up to which the pairs meet at once.
+FEW_PAIRS = 16
+#: Words of the bitmap that texts are sifted with before they are shuffled.
+BITMAP = 1 << 17
 
 
 def _families(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -105,6 +109,15 @@ def _verified(shingle: int, percent: int):
     return run
 
 
+def _texts_of(base: DataFrame, ids: DataFrame) -> DataFrame:
+    """The (id, text) rows of ``base`` with one of ``ids``. A bitmap of hashed ids, of fixed size however many there are,
+    is broadcast first, so that few other texts are shuffled."""
+    word, bit = F.pmod(F.xxhash64("id"), F.lit(BITMAP)), F.pmod(F.hash("id"), F.lit(64))
+    bits = ids.groupBy(word.alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, pmod(hash(id), 64))")).alias("bits"))
+    sifted = base.withColumn("word", word).withColumn("bit", bit).join(F.broadcast(bits), "word").where("shiftright(bits, bit) & 1 = 1").select("id", "text")
+    return sifted.join(ids, "id", "left_semi").dropDuplicates(["id", "text"])
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, seed: int = SEED) -> DataFrame:
     """(id_col, n_shingles, component_id, kept) for each row of ``docs``.
 
@@ -125,33 +138,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = cut(banded.join(common, "bucket").distinct())
     score = members.groupBy("id").agg(F.sum("size").alias("score"))
     open_ = cut(members.drop("size").join(score, "id").withColumn("component", F.col("id")))
+    texts = cut(_texts_of(base, members.select("id").distinct()))
 
-    fits = F.expr(f"100 * least(n, centre.n) >= {percent} * greatest(n, centre.n)")
-    texts = base.where("id is not null")
-    links, done, components = None, None, None
+    fits = F.expr(f"id <> centre.id and component <> centre.component and 100 * least(n, centre.n) >= {percent} * greatest(n, centre.n)")
+    links, components = None, None
     for turn in range(STAR_ROUNDS + 1):
-        if open_.isEmpty():
+        # pairs of members of one bucket that are in different components
+        apart = open_.groupBy("bucket", "component").count().groupBy("bucket").agg(F.sum("count").alias("m"), F.sum(F.col("count") * F.col("count")).alias("within"))
+        pairs_left = apart.agg(F.sum((F.col("m") * F.col("m") - F.col("within")) / 2)).first()[0] or 0
+        if not pairs_left:
             break
-        if turn < STAR_ROUNDS:
-            centres = open_.groupBy("bucket").agg(F.max(F.struct("score", (-F.col("id")).alias("minus"), F.col("id").alias("id"), "n", "component")).alias("centre"))
-            met = open_.join(centres, "bucket").where("id <> centre.id and component <> centre.component").where(fits)
-            pairs = met.select(F.col("id").alias("a"), F.col("centre.id").alias("b"))
+        last = turn == STAR_ROUNDS or turn > 0 and pairs_left <= FEW_PAIRS * open_.count()
+        if last:
+            centres = open_.select("bucket", F.struct("id", "n", "component").alias("centre"))
+            met = open_.join(centres, "bucket").where("id < centre.id").where(fits)
         else:
-            other = open_.select("bucket", F.struct("id", "n", "component").alias("centre"))
-            met = open_.join(other, "bucket").where("id < centre.id and component <> centre.component").where(fits)
-            pairs = met.select(F.col("id").alias("a"), F.col("centre.id").alias("b"))
-        pairs = pairs.distinct()
-        if done is not None:
-            pairs = pairs.join(done, ["a", "b"], "left_anti").join(done.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
-        pairs = cut(pairs)
-        asked = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-        own = cut(texts.join(asked, "id", "left_semi").dropDuplicates(["id", "text"]))
-        full = pairs.join(own.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(own.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
+            centres = open_.groupBy("bucket").agg(F.max(F.struct("score", (-F.col("id")).alias("minus"), F.col("id").alias("id"), "n", "component")).alias("centre"))
+            met = open_.join(centres, "bucket").where(fits)
+        pairs = met.select(F.col("id").alias("a"), F.col("centre.id").alias("b")).distinct()
+        full = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
         new = cut(full.mapInArrow(_verified(shingle, percent), "a long, b long"))
         links = new if links is None else links.union(new)
-        done = pairs if done is None else done.union(pairs)
         components = cut(connected_components(links))
-        if turn == STAR_ROUNDS:
+        if last:
             break
         moved = open_.drop("component").join(centres.select("bucket", F.col("centre.id").alias("id")), ["bucket", "id"], "left_anti").join(components, "id", "left").withColumn("component", F.coalesce("component", "id"))
         split = moved.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")

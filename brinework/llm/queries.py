@@ -5,11 +5,12 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from brinework.llm import pii, token_files, toxicity
+from brinework.llm import licences, mixing, pii, token_files, toxicity
 from brinework.llm.common import table
 from brinework.llm.decontaminate import report
 from brinework.llm.near_dups import near_duplicates
 from brinework.llm.token_counts import token_counts
+from brinework.llm.vector_dups import near_vectors
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -117,3 +118,49 @@ def op10_toxicity(spark, sf_dir):
     scored = toxicity.score(docs, model)
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+_OP7 = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE embedding IS NOT NULL AND label IS NOT NULL),
+u AS (SELECT vec_id, label, e, sqrt(list_inner_product(e, e)) AS n FROM v WHERE list_inner_product(e, e) > 0),
+l AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE list_inner_product(a.e, b.e) / (a.n * b.n) >= 0.93),
+r AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+c AS (SELECT a AS vec_id, min(b) AS component_id FROM r GROUP BY a)
+SELECT c.vec_id, (SELECT count(*) FROM l WHERE l.a = c.vec_id) AS n_links, c.component_id, c.vec_id = c.component_id AS kept FROM c
+"""
+
+
+@query(_OP7)
+def op7_embedding_near_dedup(spark, sf_dir):
+    """Contract of op7: cosine of 0.93 or more within a label."""
+    return near_vectors(table(spark, sf_dir, "embeddings"), least=0.93)
+
+
+@query(licences.oracle())
+def op1_license_scan(spark, sf_dir):
+    """Known licence sentences and the licences their sequences match, for every document."""
+    found = licences.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.array_join("licence_sentences", ",").alias("sentences"), F.array_join("licences", ",").alias("licences"))
+
+
+#: Parameters of the mix: web sources weigh most, and English is to be half of each domain's budget against two others.
+MIX = {"budget_share": 0.6, "max_epochs": 3, "seed": 17, "weights": {"domain": {"web": 3.0, "books": 2.0, "code": 1.0}, "lang": {"en": 3.0}, "source": {"src0": 2.0}}}
+
+
+def mix_domain():
+    """The domain of a source: three kinds by its number."""
+    number = F.coalesce(F.regexp_extract("source", "([0-9]+)$", 1).try_cast("int"), F.lit(0))
+    return F.element_at(F.array(F.lit("web"), F.lit("books"), F.lit("code")), F.pmod(number, F.lit(3)) + 1)
+
+
+_DOMAIN = "['web', 'books', 'code'][(coalesce(TRY_CAST(regexp_extract(source, '([0-9]+)$', 1) AS INTEGER), 0) % 3) + 1]"
+
+
+@query(mixing.oracle(_DOMAIN, **MIX))
+def op8_source_mixing(spark, sf_dir):
+    """Documents and the epochs that the mix takes them in."""
+    taken = mixing.mix(table(spark, sf_dir, "documents"), mix_domain(), **MIX)
+    return taken.select("doc_id", F.col("_domain").alias("domain"), F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"), F.col("_tokens").alias("tokens"), F.col("_epoch").alias("epoch"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from brinework.llm import licences, mixing, pii, token_files, toxicity
+from brinework.llm import licences, mixing, pii, token_files, tool_calls, toxicity
 from brinework.llm.common import table
 from brinework.llm.decontaminate import report
 from brinework.llm.near_dups import near_duplicates
@@ -164,3 +164,37 @@ def op8_source_mixing(spark, sf_dir):
     """Documents and the epochs that the mix takes them in."""
     taken = mixing.mix(table(spark, sf_dir, "documents"), mix_domain(), **MIX)
     return taken.select("doc_id", F.col("_domain").alias("domain"), F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"), F.col("_tokens").alias("tokens"), F.col("_epoch").alias("epoch"))
+
+
+#: The tool that chats without tool messages are read as calls of.
+REPLY = {"reply": {"prompt": {"type": "string", "required": True, "least": 1}, "turn": {"type": "integer", "required": True, "least": 0}, "words": {"type": "integer", "required": True, "most": 50}}}
+
+_OP9 = r"""
+WITH c AS (
+  SELECT conv_id, concat_ws(':', conv_id, turn) AS call_id, turn AS pos, coalesce(text, '') AS text,
+    coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS words, count(*) OVER (PARTITION BY conv_id, turn) - 1 AS more,
+    row_number() OVER (PARTITION BY conv_id, turn ORDER BY text) AS i
+  FROM conversations WHERE role = 'user'),
+r AS (
+  SELECT conv_id, concat_ws(':', conv_id, turn - 1) AS call_id, turn AS result_pos, text AS content,
+    count(*) OVER (PARTITION BY conv_id, turn) - 1 AS more, row_number() OVER (PARTITION BY conv_id, turn ORDER BY text) AS i
+  FROM conversations WHERE role = 'assistant'),
+j AS (
+  SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, coalesce(c.call_id, r.call_id) AS call_id, c.pos, r.result_pos, c.text, c.words, r.content,
+    coalesce(c.more, 0) + coalesce(r.more, 0) AS repeats,
+    CASE WHEN c.call_id IS NULL THEN 'orphan' WHEN r.call_id IS NULL THEN 'unanswered' ELSE 'answered' END AS status
+  FROM (SELECT * FROM c WHERE i = 1) c FULL JOIN (SELECT * FROM r WHERE i = 1) r ON c.conv_id = r.conv_id AND c.call_id = r.call_id)
+SELECT conv_id, call_id, pos, result_pos, status, coalesce(pos, result_pos) AS at, 0 AS depth, repeats,
+  CASE WHEN pos IS NULL THEN '' ELSE concat_ws(',', CASE WHEN text = '' THEN 'least of prompt' END, CASE WHEN words > 50 THEN 'most of words' END) END AS errors,
+  '{"arguments":' || CASE WHEN pos IS NULL THEN 'null' ELSE '{"prompt":' || to_json(text) || ',"turn":' || pos || ',"words":' || words || '}' END
+    || ',"content":' || coalesce(CAST(to_json(content) AS VARCHAR), 'null') || ',"id":' || to_json(call_id)
+    || ',"name":' || CASE WHEN pos IS NULL THEN 'null' ELSE '"reply"' END || ',"status":"' || status || '"}' AS message
+FROM j WHERE conv_id IS NOT NULL
+"""
+
+
+@query(_OP9)
+def op9_tool_call_linking(spark, sf_dir):
+    """Every exchange of the conversations as a linked, ordered, checked and serialised tool call."""
+    found = tool_calls.link(*tool_calls.from_exchanges(table(spark, sf_dir, "conversations")), REPLY)
+    return found.select("conv_id", "call_id", "pos", "result_pos", "status", "at", "depth", "repeats", F.array_join("errors", ",").alias("errors"), "message")

@@ -18,15 +18,21 @@ SPACES = bytes([0x20, *range(0x09, 0x0E)])
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
-def cut(df: DataFrame) -> DataFrame:
+#: Narrow rows for which a checkpoint has a part, where their number is known.
+PART_ROWS = 100_000
+
+
+def cut(df: DataFrame, most_rows: int | None = None) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and go on from the files, so that a lost executor costs no rerun
     of what came before. The folder is the session's ``spark.checkpoint.dir``; a temporary one is set only where that
-    is unset, as in local tests."""
+    is unset, as in local tests. A bound on the rows, where known, keeps small results in few files."""
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="brinework-"))
+    if most_rows is not None:
+        df = df.coalesce(4 + most_rows // PART_ROWS)
     return df.checkpoint()
 
 
@@ -135,9 +141,9 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         out = met.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
         return out.distinct()
 
-    before = state(edges)
+    before = state(edges)  # stars have no more edges than before, and at most one more for each node
     for _ in range(most_rounds if before[0] else 0):
-        edges = cut(star(star(edges, True), False))
+        edges = cut(star(star(edges, True), False), 2 * before[0])
         after = state(edges)
         if after == before:
             break

@@ -115,7 +115,8 @@ def _texts_of(base: DataFrame, ids: DataFrame) -> DataFrame:
     word, bit = F.pmod(F.xxhash64("id"), F.lit(BITMAP)), F.pmod(F.hash("id"), F.lit(64))
     bits = ids.groupBy(word.alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, pmod(hash(id), 64))")).alias("bits"))
     sifted = base.withColumn("word", word).withColumn("bit", bit).join(F.broadcast(bits), "word").where("shiftright(bits, bit) & 1 = 1").select("id", "text")
-    return sifted.join(ids, "id", "left_semi").dropDuplicates(["id", "text"])
+    # an inner join, as a semi join would be moved below the sieve
+    return sifted.join(ids, "id").dropDuplicates(["id", "text"])
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, seed: int = SEED) -> DataFrame:
@@ -136,19 +137,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     banded = found.join(heads.select(F.col("head").alias("id")).distinct(), "id", "left_semi").select("id", F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
     common = banded.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
     members = cut(banded.join(common, "bucket").distinct())
+    n_open = members.count()
     score = members.groupBy("id").agg(F.sum("size").alias("score"))
-    open_ = cut(members.drop("size").join(score, "id").withColumn("component", F.col("id")))
-    texts = cut(_texts_of(base, members.select("id").distinct()))
+    open_ = cut(members.drop("size").join(score, "id").withColumn("component", F.col("id")), n_open)
+    texts = cut(_texts_of(base, members.select("id").distinct())) if n_open else None
 
     fits = F.expr(f"id <> centre.id and component <> centre.component and 100 * least(n, centre.n) >= {percent} * greatest(n, centre.n)")
-    links, components = None, None
+    links, components, last = None, None, False
     for turn in range(STAR_ROUNDS + 1):
-        # pairs of members of one bucket that are in different components
-        apart = open_.groupBy("bucket", "component").count().groupBy("bucket").agg(F.sum("count").alias("m"), F.sum(F.col("count") * F.col("count")).alias("within"))
-        pairs_left = apart.agg(F.sum((F.col("m") * F.col("m") - F.col("within")) / 2)).first()[0] or 0
-        if not pairs_left:
+        if not n_open:
             break
-        last = turn == STAR_ROUNDS or turn > 0 and pairs_left <= FEW_PAIRS * open_.count()
         if last:
             centres = open_.select("bucket", F.struct("id", "n", "component").alias("centre"))
             met = open_.join(centres, "bucket").where("id < centre.id").where(fits)
@@ -159,12 +157,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         full = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
         new = cut(full.mapInArrow(_verified(shingle, percent), "a long, b long"))
         links = new if links is None else links.union(new)
-        components = cut(connected_components(links))
+        components = cut(connected_components(links), n_open)
         if last:
             break
         moved = open_.drop("component").join(centres.select("bucket", F.col("centre.id").alias("id")), ["bucket", "id"], "left_anti").join(components, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        split = moved.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
-        open_ = cut(moved.join(split, "bucket", "left_semi"))
+        # buckets with members of several components, and the pairs of members that are apart
+        apart = moved.groupBy("bucket", "component").count().groupBy("bucket").agg(F.sum("count").alias("m"), F.sum(F.col("count") * F.col("count")).alias("within")).where("m * m > within")
+        apart = cut(apart, n_open)
+        n_open, n_pairs = apart.agg(F.coalesce(F.sum("m"), F.lit(0)), F.coalesce(F.sum((F.col("m") * F.col("m") - F.col("within")) / 2), F.lit(0))).first()
+        if n_open:
+            open_ = cut(moved.join(apart.select("bucket"), "bucket"), n_open)
+        last = turn + 1 == STAR_ROUNDS or n_pairs <= FEW_PAIRS * n_open
 
     named = signed.drop("bands").join(heads, ["tag1", "tag2"], "left")
     if components is not None:

@@ -49,12 +49,13 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
 
 def _block(part: int, number: int, before: int, names: list, texts: list[bytes]) -> dict:
     ids = np.frombuffer(b"".join(texts), dtype="<u4")
-    tokens, place, count = np.unique(ids, return_inverse=True, return_counts=True)
-    by_count = np.lexsort((tokens, -count))
-    rank = np.empty(len(tokens), dtype=np.uint32)
-    rank[by_count] = np.arange(len(tokens), dtype=np.uint32)
-    control, data = pack(rank[place])
-    return {"part": part, "block": number, "ids_before": before, "n_ids": len(ids), "doc_ids": names, "doc_sizes": [len(t) // 4 for t in texts], "ranks": tokens[by_count].astype("<u4").tobytes(), "control": control, "data": data}
+    counts = np.bincount(ids)
+    tokens = np.flatnonzero(counts)
+    ranked = tokens[np.lexsort((tokens, -counts[tokens]))]
+    rank = np.zeros(len(counts), dtype=np.uint32)
+    rank[ranked] = np.arange(len(ranked), dtype=np.uint32)
+    control, data = pack(rank[ids])
+    return {"part": part, "block": number, "ids_before": before, "n_ids": len(ids), "doc_ids": names, "doc_sizes": [len(t) // 4 for t in texts], "ranks": ranked.astype("<u4").tobytes(), "control": control, "data": data}
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -114,12 +115,13 @@ def _reader(as_ids: bool):
 
 def read(spark: SparkSession, path: str, as_ids: bool = False) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of each document in the files at ``path``, or its ids. ``start`` counts the
-    ids of all documents before it: within its part from the block, before the part from one row a part."""
+    ids of all documents before it: within its part from the block, before the part from one row a part, which is what
+    is broadcast."""
     blocks = spark.read.schema(BLOCK).parquet(path)
     parts = blocks.groupBy("part").agg(F.sum("n_ids").alias("n"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = parts.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    return blocks.drop("block").join(base, "part").mapInArrow(_reader(as_ids), "doc_id long, start long, n_tokens long, " + ("ids array<long>" if as_ids else "ids_crc32 long"))
+    return blocks.drop("block").join(F.broadcast(base), "part").mapInArrow(_reader(as_ids), "doc_id long, start long, n_tokens long, " + ("ids array<long>" if as_ids else "ids_crc32 long"))
 
 
 def shared_path(spark: SparkSession, name: str) -> str:

@@ -33,8 +33,8 @@ class Model:
 
 def _gram_buckets(data: np.ndarray, n: int) -> np.ndarray:
     """Bucket of the ``n`` bytes from each position of ``data`` on."""
-    m = len(data) - n + 1
-    h = np.full(max(m, 0), 0x811C9DC5 + n, dtype=np.uint32)
+    m = max(len(data) - n + 1, 0)
+    h = np.full(m, 0x811C9DC5 + n, dtype=np.uint32)
     for i in range(n):
         h = (h ^ data[i : i + m].astype(np.uint32)) * np.uint32(16777619)
     h ^= h >> np.uint32(15)
@@ -43,9 +43,9 @@ def _gram_buckets(data: np.ndarray, n: int) -> np.ndarray:
 
 
 def _laid_out(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """All texts as one array with a space between and around, the starts and ends of words, and for each text the
+    """All texts as one array with a space between and spaces around, the starts and ends of words, and for each text the
     index of its first word, with the count of words appended."""
-    data = np.frombuffer((b" " + b" ".join(t.translate(_NORMAL) for t in texts) + b" "), dtype=np.uint8)
+    data = np.frombuffer((b" " + b" ".join(t.translate(_NORMAL) for t in texts) + b" " * max(GRAMS)), dtype=np.uint8)
     w = data != 32
     edge = np.flatnonzero(w[1:] != w[:-1]) + 1
     starts, ends = edge[::2], edge[1::2]

@@ -8,7 +8,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from brinework.llm.common import LOWER, SPACES, connected_components, cut, is_word_table, joined, mix, pieces, word_bounds, word_hashes
@@ -17,10 +17,11 @@ from brinework.llm.common import LOWER, SPACES, connected_components, cut, is_wo
 #: at 0.4 shares one with probability 0.17.
 BANDS, ROWS = 44, 6
 SEED = 20240611
-#: Rounds in which the members of a bucket meet only its centre; what is open afterwards meets pair by pair.
-STAR_ROUNDS = 3
+#: Centres of a bucket that its members meet, round by round; members that are in different components afterwards
+#: meet pair by pair.
+CENTRES = (1, 8, 64)
 #: Pairs for each open member up to which the pairs meet at once.
-FEW_PAIRS = 16
+FEW_PAIRS = 1
 #: Words of the bitmap that texts are sifted with before they are shuffled.
 BITMAP = 1 << 17
 
@@ -124,9 +125,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Words are runs of other bytes than white space, A-Z lower-cased. Two documents are linked when
     100 * shared shingles >= ``percent`` * all their shingles. Exact copies of a word sequence form a class first,
-    so only class representatives (least id) are banded. Within a bucket the members meet a centre, the member that
-    shares buckets with most others, and not each other; after a few such rounds, members still in different components
-    meet pair by pair, so no candidate pair stays unchecked.
+    so only class representatives (least id) are banded. Within a bucket the members meet its centres, those that share
+    buckets with most others, and not each other; after a few such rounds, members still in different components meet
+    pair by pair, so no candidate pair stays unchecked.
 
     Null or wordless texts: n_shingles 0, linked with nothing, kept. Rows with one id are one node. Null ids are
     linked with nothing (component_id null, kept true). Other columns of ``docs`` are ignored. Empty input: empty."""
@@ -144,16 +145,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     fits = F.expr(f"id <> centre.id and component <> centre.component and 100 * least(n, centre.n) >= {percent} * greatest(n, centre.n)")
     links, components, last = None, None, False
-    for turn in range(STAR_ROUNDS + 1):
+    for turn in range(len(CENTRES) + 1):
         if not n_open:
             break
         if last:
             centres = open_.select("bucket", F.struct("id", "n", "component").alias("centre"))
             met = open_.join(centres, "bucket").where("id < centre.id").where(fits)
         else:
-            centres = open_.groupBy("bucket").agg(F.max(F.struct("score", (-F.col("id")).alias("minus"), F.col("id").alias("id"), "n", "component")).alias("centre"))
+            best = Window.partitionBy("bucket").orderBy(F.desc("score"), "id")
+            centres = open_.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= CENTRES[turn])
+            centres = centres.select("bucket", F.struct("id", "n", "component").alias("centre"))
             met = open_.join(centres, "bucket").where(fits)
-        pairs = met.select(F.col("id").alias("a"), F.col("centre.id").alias("b")).distinct()
+        pairs = met.select(F.greatest("id", "centre.id").alias("a"), F.least("id", "centre.id").alias("b")).distinct()
         full = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
         new = cut(full.mapInArrow(_verified(shingle, percent), "a long, b long"))
         links = new if links is None else links.union(new)
@@ -167,7 +170,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         n_open, n_pairs = apart.agg(F.coalesce(F.sum("m"), F.lit(0)), F.coalesce(F.sum((F.col("m") * F.col("m") - F.col("within")) / 2), F.lit(0))).first()
         if n_open:
             open_ = cut(moved.join(apart.select("bucket"), "bucket"), n_open)
-        last = turn + 1 == STAR_ROUNDS or n_pairs <= FEW_PAIRS * n_open
+        last = turn + 1 == len(CENTRES) or n_pairs <= FEW_PAIRS * n_open
 
     named = signed.drop("bands").join(heads, ["tag1", "tag2"], "left")
     if components is not None:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 
@@ -10,9 +11,11 @@ import numpy as np
 #: White space ends every pre-token, so what lies between bytes of ASCII white space can be encoded by itself.
 #: Chunks of these letters, whose lower-casing and composition are plain, are split here; others go to the library.
 _PLAIN = re.compile(r"[\x21-\x7EÀ-ÖØ-öø-ÿ]+")
+#: Most chunks: letters, and then maybe a run of punctuation other than the apostrophe of a contraction.
+_WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 _PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
 #: Entries of a cache before it becomes the old one and a new one begins; it bounds memory only.
-CACHE = 350_000
+CACHE = 500_000
 
 
 def byte_letters() -> list[str]:
@@ -48,24 +51,35 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        self.model = self.library.model
+        self.codes = [i.to_bytes(4, "little") for i in range(self.library.get_vocab_size())]
         self.letters = dict(enumerate(byte_letters()))
         self.chunks, self.parts = Cache(CACHE), Cache(CACHE)
         specials = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, specials))) if specials else re.compile(r"(?!)")
 
     def _part(self, part: str) -> bytes:
-        ids = [t.id for t in self.library.model.tokenize(part.encode().decode("latin-1").translate(self.letters))]
-        return np.array(ids, dtype="<u4").tobytes()
+        letters = part if part.isascii() else part.encode().decode("latin-1").translate(self.letters)
+        return b"".join([self.codes[t.id] for t in self.model.tokenize(letters)])
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """For each UTF-8 text the ids the library gives for it, as little-endian 32-bit integers."""
+        gc.disable()  # millions of small objects, and no cycles among them
+        try:
+            return self._encode(texts)
+        finally:
+            gc.enable()
+
+    def _encode(self, texts: list[bytes]) -> list[bytes]:
         split = [t.split() for t in texts]
         known: set[bytes] = set()
         known.update(*split)
-        plain = {}
+        plain, word = {}, _WORD.fullmatch
         for chunk in self.chunks.missing(known):
             text = chunk.decode()
-            if _PLAIN.fullmatch(text) and not self.special.search(text):
+            if m := word(text):
+                plain[chunk] = (m[1].lower(), m[2]) if m[2] else (m[1].lower(),)
+            elif _PLAIN.fullmatch(text) and not self.special.search(text):
                 plain[chunk] = _PARTS.findall(text.lower())
             else:
                 self.chunks[chunk] = np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()

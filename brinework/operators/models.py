@@ -38,8 +38,12 @@ def vif(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
         return df.sparkSession.createDataFrame([], schema)
     x = cross[np.ix_(live, live)]
     scale = np.sqrt(np.diag(x))
-    inverse = np.linalg.pinv(x / np.outer(scale, scale))
-    rows = [(columns[c], float(inverse[i, i])) for i, c in enumerate(live)]
+    x = x / np.outer(scale, scale)
+    rows = []
+    for i, c in enumerate(live):
+        rest = [j for j in range(len(live)) if j != i]
+        left = 1 - float(x[i, rest] @ np.linalg.pinv(x[np.ix_(rest, rest)], hermitian=True) @ x[rest, i])
+        rows.append((columns[c], 1 / left if left > 1e-12 else float("inf")))
     return df.sparkSession.createDataFrame([(c, v, "high" if v > 10 else "moderate" if v > 5 else "low") for c, v in sorted(rows, key=lambda r: -r[1])], schema)
 
 

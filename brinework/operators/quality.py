@@ -17,7 +17,7 @@ def catalog_score(df: DataFrame) -> DataFrame:
     """100 (1 - 0.7 missing ratio - 0.3 duplicate ratio), within 0 and 100; 0 for no rows."""
     o = overview(df)
     lost, dup = F.try_divide("missing_cells", F.col("cells").cast("double")), F.try_divide("duplicate_rows", F.col("rows").cast("double"))
-    return o.select(F.coalesce(_clamp(100 * (1 - 0.7 * lost - 0.3 * dup)), F.lit(0.0)).alias("score"), "rows", "missing_cells", "duplicate_rows")
+    return o.select(F.when(F.col("rows") > 0, _clamp(100 * (1 - 0.7 * lost - 0.3 * dup))).otherwise(0.0).alias("score"), "rows", "missing_cells", "duplicate_rows")
 
 
 def eda_score(df: DataFrame, exact: bool = True) -> DataFrame:

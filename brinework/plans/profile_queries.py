@@ -138,7 +138,7 @@ def column_profile(spark, d):
 
 @query("""
 WITH d AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders), g AS (SELECT day, day - lag(day) OVER (ORDER BY day) AS gap FROM d)
-SELECT min(day) AS first, max(day) AS last, max(day) - min(day) AS days, count(*) AS distinct_days, max(day) - min(day) + 1 - count(*) AS missing_days, round(quantile_cont(gap, 0.5), 6) AS median_gap_days, 'daily' AS frequency FROM g""")
+SELECT min(day) AS first, max(day) AS last, max(day) - min(day) AS days, count(*) AS distinct_days, max(day) - min(day) + 1 - count(*) AS missing_days, quantile_cont(gap, 0.5) AS median_gap_days, CASE WHEN quantile_cont(gap, 0.5) <= 1 THEN 'daily' WHEN quantile_cont(gap, 0.5) <= 7 THEN 'weekly' WHEN quantile_cont(gap, 0.5) <= 31 THEN 'monthly' ELSE 'irregular' END AS frequency FROM g""")
 def date_stats(spark, d):
     return profile.date_stats(spark.read.parquet(f"{d}/orders.parquet"), "o_orderdate")
 

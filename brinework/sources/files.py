@@ -27,8 +27,7 @@ def read(spark: SparkSession, path: str, kind: str | None = None, schema: str |
 
 def csv_encoding(spark: SparkSession, path: str) -> str:
     """UTF-8 where every line of the files decodes as such, else Latin-1, which any bytes do."""
-    lines = spark.read.option("encoding", "ISO-8859-1").text(path)
-    bad = lines.where(~F.is_valid_utf8(F.encode("value", "ISO-8859-1").cast("string")))
+    bad = spark.read.text(path).where(~F.is_valid_utf8("value"))
     return "UTF-8" if bad.isEmpty() else "ISO-8859-1"
 
 

@@ -17,11 +17,9 @@ from brinework.llm.common import LOWER, SPACES, connected_components, cut, is_wo
 #: at 0.4 shares one with probability 0.17.
 BANDS, ROWS = 44, 6
 SEED = 20240611
-#: Centres of a bucket that its members meet, round by round; members that are in different components afterwards
-#: meet pair by pair.
-CENTRES = (1, 8, 64)
-#: Pairs for each open member up to which the pairs meet at once.
-FEW_PAIRS = 1
+#: Members of a bucket up to which those in different components meet pair by pair; larger buckets are compared in
+#: blocks of about ``BLOCK`` members.
+FEW, BLOCK = 32, 512
 #: Words of the bitmap that texts are sifted with before they are shuffled.
 BITMAP = 1 << 17
 
@@ -120,14 +118,106 @@ def _texts_of(base: DataFrame, ids: DataFrame) -> DataFrame:
     return sifted.join(ids, "id").dropDuplicates(["id", "text"])
 
 
+def _confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Those of ``pairs`` (a, b) that are links by the words of both texts."""
+    full = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
+    return full.mapInArrow(_verified(shingle, percent), "a long, b long")
+
+
+def _split(members: DataFrame) -> DataFrame:
+    """Members of buckets that hold several components, with the bucket's size, its largest component, and how many
+    members are in others."""
+    of = members.groupBy("bucket", "component").agg(F.count("*").alias("k")).groupBy("bucket").agg(F.sum("k").alias("size"), F.max("k").alias("most"), F.max_by("component", F.struct("k", "component")).alias("main"))
+    return members.join(of.where("most < size").withColumn("others", F.col("size") - F.col("most")).drop("most"), "bucket")
+
+
+def _sets(shingle: int):
+    """The hashed shingle set of each text."""
+
+    def run(batches):
+        for whole in batches:
+            for batch in pieces(whole, "text"):
+                data, at = joined(batch.column("text"))
+                x, runs = shingle_hashes(np.frombuffer(data.tobytes().translate(LOWER), dtype=np.uint8), at, shingle)
+                own = [np.unique(x[i:j]) for i, j in zip(runs[:-1], runs[1:], strict=True)]
+                ends = np.concatenate([[0], np.cumsum([len(o) for o in own])])
+                flat = np.concatenate([np.zeros(0, np.uint64), *own]).view(np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], names=["id", "shingles"])
+
+    return run
+
+
+def _crossing(percent: int):
+    """Links between the rows of role 0 and those of role 1 of one group that are in different components: for each
+    row of role 0 and each component it is linked to, one. Sets are counted a slice of shingles at a time."""
+
+    def run(table: pa.Table) -> pa.Table:
+        role = table.column("role").to_numpy()
+        ids, comp = table.column("id").to_numpy(), table.column("component").to_numpy()
+        sets = table.column("shingles").combine_chunks()
+        flat, ends = sets.flatten().to_numpy(), np.concatenate([[0], np.cumsum(sets.value_lengths().to_numpy())])
+        size = np.diff(ends)
+        owner = np.repeat(np.arange(len(ids)), size)
+        x, y = np.flatnonzero(role == 0), np.flatnonzero(role == 1)
+        shared = np.intersect1d(flat[role[owner] == 0], flat[role[owner] == 1])
+        place = np.searchsorted(shared, flat)
+        known = place < len(shared)
+        known[known] = shared[place[known]] == flat[known]
+        row_of = np.zeros(len(ids), dtype=np.int64)
+        row_of[x], row_of[y] = np.arange(len(x)), np.arange(len(y))
+        both = np.zeros((len(x), len(y)), dtype=np.float32)
+        for lo in range(0, len(shared), 4096):
+            here = known & (place >= lo) & (place < lo + 4096)
+            parts = []
+            for k, m in ((0, len(x)), (1, len(y))):
+                at = np.flatnonzero(here & (role[owner] == k))
+                part = np.zeros((m, 4096), dtype=np.float32)
+                part[row_of[owner[at]], place[at] - lo] = 1
+                parts.append(part)
+            both += parts[0] @ parts[1].T
+        union = size[x][:, None] + size[y][None, :] - both
+        hit = (100 * both >= percent * union) & (both > 0) & (comp[x][:, None] != comp[y][None, :])
+        r, c = np.nonzero(hit)
+        found = {(int(i), int(comp[y[j]])): (int(ids[x[i]]), int(ids[y[j]])) for i, j in zip(r, c, strict=True)}
+        ab = [(max(p), min(p)) for p in found.values()]
+        return pa.table({"a": pa.array([p[0] for p in ab], pa.int64()), "b": pa.array([p[1] for p in ab], pa.int64())})
+
+    return run
+
+
+def _apart(members: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of members of one bucket that are in different components and may be links; of several pairs from
+    one member to one component, one at least if any of them is a link.
+
+    A shingle that no other open document has is shared with none, which bounds what two documents can share and ends
+    most members at once. Small buckets then give their pairs. Large ones are compared within tasks: blocks of the
+    members outside the largest component against blocks of all, by counts of equal hashed shingles."""
+    ids = members.select("id").distinct()
+    sets = cut(texts.join(ids, "id").mapInArrow(_sets(shingle), "id long, shingles array<long>"))
+    each = sets.select("id", F.explode("shingles").alias("s"))
+    common = each.groupBy("s").agg(F.count("*").alias("k")).where("k > 1").select("s")
+    shared = each.join(common, "s").groupBy("id").agg(F.count("*").alias("c"))
+    live = members.select("bucket", "id", "n", "component").join(shared, "id").where(f"100 * c >= {percent} * n")
+    live = cut(_split(live))
+    fits = F.expr(f"component <> other.component and 100 * least(c, other.c) >= {percent} * (n + other.n - least(c, other.c))")
+    few = live.where(f"size <= {FEW}")
+    pairs = few.join(few.select("bucket", F.struct("id", "n", "c", "component").alias("other")), "bucket").where("id > other.id").where(fits).select(F.col("id").alias("a"), F.col("other.id").alias("b"))
+
+    many = live.where(f"size > {FEW}").withColumns({"ni": F.ceil(F.col("others") / BLOCK), "nj": F.ceil(F.col("size") / BLOCK)})
+    spread = lambda df, own, n_own, other, n_other, role: df.withColumn(own, F.pmod(F.xxhash64("id"), F.col(n_own))).withColumn(other, F.explode(F.expr(f"sequence(0L, {n_other} - 1)"))).select("bucket", "i", "j", F.lit(role).alias("role"), "id", "component")
+    blocks = spread(many.where("component <> main"), "i", "ni", "j", "nj", 0).union(spread(many, "j", "nj", "i", "ni", 1))
+    found = blocks.join(sets, "id").groupBy("bucket", "i", "j").applyInArrow(_crossing(percent), "a long, b long")
+    return pairs.union(found).distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, seed: int = SEED) -> DataFrame:
     """(id_col, n_shingles, component_id, kept) for each row of ``docs``.
 
     Words are runs of other bytes than white space, A-Z lower-cased. Two documents are linked when
     100 * shared shingles >= ``percent`` * all their shingles. Exact copies of a word sequence form a class first,
-    so only class representatives (least id) are banded. Within a bucket the members meet its centres, those that share
-    buckets with most others, and not each other; after a few such rounds, members still in different components meet
-    pair by pair, so no candidate pair stays unchecked.
+    so only class representatives (least id) are banded. Within a bucket the members first meet its centre, the member
+    that shares buckets with most others. Members that are in different components afterwards are compared too, unless
+    a bound rules a link out, so no candidate stays unchecked.
 
     Null or wordless texts: n_shingles 0, linked with nothing, kept. Rows with one id are one node. Null ids are
     linked with nothing (component_id null, kept true). Other columns of ``docs`` are ignored. Empty input: empty."""
@@ -139,38 +229,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     common = banded.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
     members = cut(banded.join(common, "bucket").distinct())
     n_open = members.count()
-    score = members.groupBy("id").agg(F.sum("size").alias("score"))
-    open_ = cut(members.drop("size").join(score, "id").withColumn("component", F.col("id")), n_open)
-    texts = cut(_texts_of(base, members.select("id").distinct())) if n_open else None
-
-    fits = F.expr(f"id <> centre.id and component <> centre.component and 100 * least(n, centre.n) >= {percent} * greatest(n, centre.n)")
-    links, components, last = None, None, False
-    for turn in range(len(CENTRES) + 1):
-        if not n_open:
-            break
-        if last:
-            centres = open_.select("bucket", F.struct("id", "n", "component").alias("centre"))
-            met = open_.join(centres, "bucket").where("id < centre.id").where(fits)
-        else:
-            best = Window.partitionBy("bucket").orderBy(F.desc("score"), "id")
-            centres = open_.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= CENTRES[turn])
-            centres = centres.select("bucket", F.struct("id", "n", "component").alias("centre"))
-            met = open_.join(centres, "bucket").where(fits)
-        pairs = met.select(F.greatest("id", "centre.id").alias("a"), F.least("id", "centre.id").alias("b")).distinct()
-        full = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-        new = cut(full.mapInArrow(_verified(shingle, percent), "a long, b long"))
-        links = new if links is None else links.union(new)
+    links, components = None, None
+    if n_open:
+        # each bucket's centre, the member that shares buckets with most others, against its other members
+        score = members.groupBy("id").agg(F.sum("size").alias("score"))
+        open_ = cut(members.drop("size").join(score, "id"), n_open)
+        texts = cut(_texts_of(base, members.select("id").distinct()))
+        best = Window.partitionBy("bucket").orderBy(F.desc("score"), "id")
+        centres = open_.withColumn("_r", F.row_number().over(best)).where("_r = 1").select("bucket", F.struct("id", "n").alias("centre"))
+        near = F.expr(f"id <> centre.id and 100 * least(n, centre.n) >= {percent} * greatest(n, centre.n)")
+        pairs = open_.join(centres, "bucket").where(near).select(F.greatest("id", "centre.id").alias("a"), F.least("id", "centre.id").alias("b")).distinct()
+        links = cut(_confirmed(pairs, texts, shingle, percent))
         components = cut(connected_components(links), n_open)
-        if last:
-            break
-        moved = open_.drop("component").join(centres.select("bucket", F.col("centre.id").alias("id")), ["bucket", "id"], "left_anti").join(components, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        # buckets with members of several components, and the pairs of members that are apart
-        apart = moved.groupBy("bucket", "component").count().groupBy("bucket").agg(F.sum("count").alias("m"), F.sum(F.col("count") * F.col("count")).alias("within")).where("m * m > within")
-        apart = cut(apart, n_open)
-        n_open, n_pairs = apart.agg(F.coalesce(F.sum("m"), F.lit(0)), F.coalesce(F.sum((F.col("m") * F.col("m") - F.col("within")) / 2), F.lit(0))).first()
-        if n_open:
-            open_ = cut(moved.join(apart.select("bucket"), "bucket"), n_open)
-        last = turn + 1 == len(CENTRES) or n_pairs <= FEW_PAIRS * n_open
+        left = open_.drop("score").join(centres.select("bucket", F.col("centre.id").alias("id")), ["bucket", "id"], "left_anti").join(components, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        left = cut(_split(left), n_open)
+        if not left.isEmpty():
+            more = cut(_confirmed(_apart(left, texts, shingle, percent), texts, shingle, percent))
+            links = links.union(more)
+            components = cut(connected_components(links), n_open)
 
     named = signed.drop("bands").join(heads, ["tag1", "tag2"], "left")
     if components is not None:

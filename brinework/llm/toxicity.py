@@ -19,7 +19,7 @@ from brinework.llm.decontaminate import _NORMAL
 
 BUCKETS, WIDTH, GRAMS, WINDOW = 1 << 16, 8, (3, 4, 5), 8
 #: Labelled rows of class 0 and of class 1 the model is fitted on, at most; chosen by a hash of the id.
-FIT_ROWS = (4500, 1500)
+FIT_ROWS = (3000, 1000)
 
 
 @dataclass(frozen=True)
@@ -85,24 +85,37 @@ def scores(texts: list[bytes], model: Model) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(worst_windows(words, first) + model.bias, -500, 500)))
 
 
-def fit(texts: list[bytes], labels: list[int], steps: int = 160, rate: float = 0.05, decay: float = 1e-7, seed: int = 11) -> Model:
+def fit(texts: list[bytes], labels: list[int], steps: int = 120, rate: float = 0.05, decay: float = 1e-7, seed: int = 11) -> Model:
     """Joint training of n-gram vectors and softmax by Adam on the worst window of each text. Without rows of both
     classes, a model that gives every text the share of class 1 (0.5 - tiny for no rows)."""
     y = np.asarray(labels, dtype=np.float64)
     texts = [t or b"" for t in texts]
     if len(set(labels)) < 2:
         return Model(np.zeros(BUCKETS), 20.0 if labels and labels[0] else -20.0)
-    data, starts, ends, first = _laid_out(texts)
-    # distinct words, and the buckets of each
-    word, place = np.unique(word_hashes(data, starts, ends), return_index=True)
-    token = np.searchsorted(word, word_hashes(data, starts, ends))
-    s, e = starts[place], ends[place]
-    buckets, owner = [(word & np.uint64(BUCKETS - 1)).astype(np.int64)], [np.arange(len(word))]
+    # the distinct words, a few texts at a time
+    spelled: dict[int, bytes] = {}
+    hashes, counts = [], []
+    for at in range(0, len(texts), 256):
+        data, starts, ends, first = _laid_out(texts[at : at + 256])
+        h = word_hashes(data, starts, ends)
+        new, place = np.unique(h, return_index=True)
+        raw = data.tobytes()
+        spelled.update((k, raw[starts[i] : ends[i]]) for k, i in zip(new.tolist(), place.tolist(), strict=True) if k not in spelled)
+        hashes.append(h)
+        counts.append(np.diff(first))
+    token = np.concatenate(hashes)
+    first = np.concatenate([[0], np.cumsum(np.concatenate(counts))])
+    word = np.sort(np.fromiter(spelled, dtype=np.uint64, count=len(spelled)))
+    token = np.searchsorted(word, token).astype(np.int32)
+    data, s, e, _ = _laid_out([b" ".join(spelled[k] for k in word.tolist())])
+    del hashes, spelled
+    # the buckets of each
+    buckets, owner = [(word & np.uint64(BUCKETS - 1)).astype(np.int32)], [np.arange(len(word), dtype=np.int32)]
     for n in GRAMS:
         have = np.maximum(e - s + 3 - n, 0)
         at = np.repeat(s - 1, have) + np.arange(have.sum()) - np.repeat(np.cumsum(have) - have, have)
-        buckets.append(_gram_buckets(data, n)[at].astype(np.int64))
-        owner.append(np.repeat(np.arange(len(word)), have))
+        buckets.append(_gram_buckets(data, n)[at].astype(np.int32))
+        owner.append(np.repeat(np.arange(len(word), dtype=np.int32), have))
     buckets, owner = np.concatenate(buckets), np.concatenate(owner)
     by_word = np.argsort(owner, kind="stable")
     buckets, owner = buckets[by_word], owner[by_word]

@@ -70,9 +70,10 @@ def test_many_near_copies_that_only_the_original_links(spark):
     assert {tuple(r) for r in near_dups.near_duplicates(docs).collect()} == brute(rows, 5)
 
 
-def test_later_rounds_lose_nothing(spark, monkeypatch):
-    monkeypatch.setattr(near_dups, "FEW_PAIRS", 0)
-    rows = some_docs(9, 15)
+def test_blocks_of_large_buckets_lose_nothing(spark, monkeypatch):
+    monkeypatch.setattr(near_dups, "FEW", 1)
+    monkeypatch.setattr(near_dups, "BLOCK", 7)
+    rows = some_docs(9, 25)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert {tuple(r) for r in near_dups.near_duplicates(docs).collect()} == brute(rows, 5)
 

@@ -19,7 +19,7 @@ from brinework.llm.decontaminate import _NORMAL
 
 BUCKETS, WIDTH, GRAMS, WINDOW = 1 << 16, 8, (3, 4, 5), 8
 #: Labelled rows of class 0 and of class 1 the model is fitted on, at most; chosen by a hash of the id.
-FIT_ROWS = (3000, 1000)
+FIT_ROWS = (2400, 800)
 
 
 @dataclass(frozen=True)
@@ -119,6 +119,7 @@ def fit(texts: list[bytes], labels: list[int], steps: int = 120, rate: float = 0
     buckets, owner = np.concatenate(buckets), np.concatenate(owner)
     by_word = np.argsort(owner, kind="stable")
     buckets, owner = buckets[by_word], owner[by_word]
+    del by_word, data, s, e
     size = np.bincount(owner, minlength=len(word)).astype(np.float64)
     begin = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
 

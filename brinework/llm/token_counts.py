@@ -25,7 +25,7 @@ _PRE_ASCII = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\
 _CHUNK = re.compile(rb" ?[^\t-\r ]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+")
 #: White space beyond ASCII, in UTF-8; texts with any of it are split by the full pattern.
 _WIDE = re.compile(r"[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-CACHE = 400_000
+CACHE = 200_000
 
 
 class MergeCounter:

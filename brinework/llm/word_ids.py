@@ -15,7 +15,7 @@ _PLAIN = re.compile(r"[\x21-\x7EÀ-ÖØ-öø-ÿ]+")
 _WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 _PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
 #: Entries of a cache before it becomes the old one and a new one begins; it bounds memory only.
-CACHE = 500_000
+CACHE = 200_000
 
 
 def byte_letters() -> list[str]:

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from brinework.functions.columns import long_form
+from brinework.operators import anomaly, impute, models, profile, quality, tests_of, timeseries
 from brinework.operators import insights as rules
-from brinework.operators import models, profile, quality, tests_of, timeseries
 from brinework.plans.registry import query
 
 #: Line items with injected nulls, the same in both engines.
@@ -278,3 +278,29 @@ def adf_test(spark, d):
 @query(LONG.replace("AS col", 'AS "column"', 1).replace("AS v", "AS value", 1))
 def cells(spark, d):
     return long_form(li(spark, d), NUM)
+
+
+@query()
+def anderson_normal(spark, d):
+    return tests_of.anderson_normal(spark.read.parquet(f"{d}/orders.parquet"), "o_totalprice")
+
+
+@query()
+def shapiro_francia(spark, d):
+    return tests_of.shapiro_francia(spark.read.parquet(f"{d}/orders.parquet"), "o_totalprice", key="o_orderkey")
+
+
+@query()
+def isolation_forest(spark, d):
+    found = anomaly.flags(li(spark, d), ["price", "disc"])
+    return anomaly.summary(found, ["price", "disc"])
+
+
+@query()
+def knn_impute(spark, d):
+    return impute.knn(li(spark, d).select("qty", "price", "tax"), ["qty", "price", "tax"], donors=500).agg(F.count("qty").alias("n"), F.avg("qty").alias("qty"))
+
+
+@query()
+def mice_impute(spark, d):
+    return impute.mice(li(spark, d).select("qty", "price", "tax"), ["qty", "price", "tax"], rounds=3).agg(F.count("qty").alias("n"), F.avg("qty").alias("qty"))

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from brinework.functions import special
-from brinework.operators import charts, cleaning, insights, kpi, models, profile, quality, relational, tests_of, timeseries
+from brinework.operators import anomaly, charts, cleaning, impute, insights, kpi, models, profile, quality, relational, tests_of, timeseries
 from brinework.sources import catalog, files
 from brinework.sources.star import Star
 from brinework.streaming import ingest
@@ -224,3 +224,34 @@ def test_files_catalog_and_stream(spark, tmp_path):
     stream = ingest.landed(spark, str(tmp_path / "in"), "order_date timestamp_ntz, total_amount double")
     ingest.run_once(ingest.revenue_stream(stream), str(tmp_path / "out"), str(tmp_path / "cp"))
     assert (date(2024, 1, 1), 2.0) in rows(spark.read.parquet(str(tmp_path / "out")))
+
+
+def test_normality(spark):
+    rng = np.random.default_rng(4)
+    normal = spark.createDataFrame([(float(v),) for v in rng.normal(size=400)], "v double")
+    skewed = spark.createDataFrame([(float(v),) for v in rng.exponential(size=400)], "v double")
+    x = np.sort([r.v for r in normal.collect()])
+    z = (x - x.mean()) / x.std(ddof=1)
+    p = np.array([special.normal_cdf(v) for v in z])
+    i = np.arange(1, 401)
+    assert tests_of.anderson_normal(normal, "v").first().statistic == pytest.approx(-400 - ((2 * i - 1) * (np.log(p) + np.log(1 - p[::-1]))).sum() / 400, abs=1e-3)
+    assert tests_of.anderson_normal(normal, "v").first().normal and not tests_of.anderson_normal(skewed, "v").first().normal
+    assert tests_of.shapiro_francia(normal, "v").first().p_value > 0.01 > tests_of.shapiro_francia(skewed, "v").first().p_value
+    assert tests_of.anderson_normal(normal.limit(0), "v").first().statistic is None
+
+
+def test_isolation_forest(spark):
+    rng = np.random.default_rng(5)
+    rows = [(float(a), float(b)) for a, b in rng.normal(size=(300, 2))] + [(50.0, -50.0), (None, 1.0)]
+    got = anomaly.flags(spark.createDataFrame(rows, "a double, b double"), contamination=0.02)
+    top = got.orderBy("anomaly", ascending=False).first()
+    assert top.a == 50.0 and top.is_anomaly and got.where("a is null").first().anomaly is None
+
+
+def test_model_imputation(spark):
+    rows = [(float(i), 2.0 * i + 1) for i in range(40)] + [(10.5, None), (None, 21.0)]
+    df = spark.createDataFrame(rows, "a double, b double")
+    near = {(r.a, r.b) for r in impute.knn(df, ["a", "b"], k=2).collect()}
+    assert (10.5, 22.0) in near and any(b == 21.0 and abs(a - 10) < 1.1 for a, b in near)
+    chained = impute.mice(df, ["a", "b"])
+    assert chained.where("a = 10.5").first().b == pytest.approx(22.0, abs=0.01) and chained.where("b = 21").orderBy("a").first().a == pytest.approx(10.0, abs=0.01)

@@ -18,7 +18,7 @@ log = logging.getLogger(__name__)
 #: Vectors the centroids are fitted on, at most, chosen by a hash of the id; every vector is indexed.
 FIT_VECTORS = 10_000
 #: Vectors of a shard, about; what a task holds of a cluster, and of the queries sent to it.
-SHARD = 1000
+SHARD = 300
 #: Clusters of a label, at most; larger clusters are dealt over more shards.
 CLUSTERS = 256
 DEGREE, BEAM, ALPHA = 24, 32, 1.2
@@ -172,8 +172,8 @@ def _search_of(least: float, beam: int):
         for i, own in enumerate(lists):
             graph[i, : len(own)] = own
         medoid = int(np.argmax(x @ x.mean(axis=0)))
-        home, weight = nodes["home"].to_numpy(dtype=bool), nodes["copies"].to_numpy(dtype=np.int64)
-        q_ids, qx = queries["id"].to_numpy(), _matrix(queries["v"])
+        first, weight = nodes["first"].to_numpy(dtype=np.int64), nodes["copies"].to_numpy(dtype=np.int64)
+        q_ids, qx, probed = queries["id"].to_numpy(), _matrix(queries["v"]), _matrix(queries["probed"]).astype(np.int64)
         n_of, q_least, n_least = np.zeros(len(q_ids), np.int64), q_ids.copy(), ids.copy()
         edges: list[tuple[int, int]] = []
         for a in range(0, len(q_ids), 256):
@@ -182,8 +182,9 @@ def _search_of(least: float, beam: int):
             exact = np.einsum("ij,ij->i", qx[a + r], x[c])
             good = (exact >= least) & (q_ids[a + r] != ids[c])
             hit[r[~good], c[~good]] = False
-            # a vector is in several shards and counted in the first of its own
-            n_of[a : a + 256] = (hit & home) @ weight
+            # a vector is in two clusters: it is counted in its first, or in the other where the query misses the first
+            met = (probed[a : a + 256, :, None] == first).any(axis=1)
+            n_of[a : a + 256] = (hit & ((first == int(key[1])) | ~met)) @ weight
             q1, n1 = _components(hit, q_ids[a : a + 256], ids)
             edges += [(int(i), int(j)) for i, j in zip(q_ids[a : a + 256], q1, strict=True) if i != j]
             edges += [(int(i), int(j)) for i, j in zip(ids, n1, strict=True) if i != j]
@@ -247,16 +248,16 @@ def near_vectors(vectors: DataFrame, least: float = 0.93, id_col: str = "vec_id"
         placed = cut(classes.mapInPandas(nearest(max(OVERLAP, probes)), "id long, group string, copies long, v array<double>, near array<int>"))
         crowd = cut(placed.select("group", F.explode(F.slice("near", 1, OVERLAP)).alias("cluster")).groupBy("group", "cluster").agg(F.ceil(F.count("*") / shard).cast("int").alias("shards")))
         asked = placed.select("group", F.explode(F.slice("near", 1, probes)).alias("cluster")).groupBy("group", "cluster").agg(F.ceil(F.count("*") / shard).cast("int").alias("blocks"))
-        members = placed.select("id", "group", "copies", "v", F.posexplode(F.slice("near", 1, OVERLAP)).alias("home", "cluster")).join(F.broadcast(crowd), ["group", "cluster"])
-        members = members.withColumn("part", F.pmod(F.xxhash64("id"), F.col("shards"))).withColumn("home", F.col("home") == 0)
-        members = cut(members.select("id", "group", "cluster", "part", "home", "copies", "v"))
+        members = placed.select("id", "group", "copies", "v", F.col("near")[0].alias("first"), F.explode(F.slice("near", 1, OVERLAP)).alias("cluster")).join(F.broadcast(crowd), ["group", "cluster"])
+        members = members.withColumn("part", F.pmod(F.xxhash64("id"), F.col("shards")))
+        members = cut(members.select("id", "group", "cluster", "part", "first", "copies", "v"))
         graphs = members.groupBy("group", "cluster", "part").applyInPandas(_graph_of, "id long, near array<long>")
         graph = graphs.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
         nodes = members.join(graph, "id").join(F.broadcast(asked), ["group", "cluster"]).withColumn("block", F.explode(F.expr("sequence(0L, blocks - 1L)"))).drop("blocks")
-        queries = placed.select("id", "group", "v", F.explode(F.slice("near", 1, probes)).alias("cluster")).join(F.broadcast(asked), ["group", "cluster"]).join(F.broadcast(crowd), ["group", "cluster"])
+        queries = placed.select("id", "group", "v", F.slice("near", 1, probes).alias("probed"), F.explode(F.slice("near", 1, probes)).alias("cluster")).join(F.broadcast(asked), ["group", "cluster"]).join(F.broadcast(crowd), ["group", "cluster"])
         queries = queries.withColumn("block", F.pmod(F.xxhash64("id", F.lit(1)), F.col("blocks"))).withColumn("part", F.explode(F.expr("sequence(0L, shards - 1L)")))
         key = ["group", "cluster", "part", "block"]
-        queries = queries.select(*(F.col(c).alias(c) for c in ("id", "v", *key)))
+        queries = queries.select(*(F.col(c).alias(c) for c in ("id", "v", "probed", *key)))
         found = nodes.groupBy(key).cogroup(queries.groupBy(key)).applyInPandas(_search_of(least, beam), "kind int, id long, n long, component long")
         return cut(found)
 

@@ -173,7 +173,10 @@ def _search_of(least: float, beam: int):
             graph[i, : len(own)] = own
         medoid = int(np.argmax(x @ x.mean(axis=0)))
         first, weight = nodes["first"].to_numpy(dtype=np.int64), nodes["copies"].to_numpy(dtype=np.int64)
-        q_ids, qx, probed = queries["id"].to_numpy(), _matrix(queries["v"]), _matrix(queries["probed"]).astype(np.int64)
+        q_ids, qx = queries["id"].to_numpy(), _matrix(queries["v"])
+        probed = np.full((len(q_ids), max(map(len, queries["probed"]))), -1, dtype=np.int64)
+        for i, own in enumerate(queries["probed"]):
+            probed[i, : len(own)] = own
         n_of, q_least, n_least = np.zeros(len(q_ids), np.int64), q_ids.copy(), ids.copy()
         edges: list[tuple[int, int]] = []
         for a in range(0, len(q_ids), 256):
@@ -205,7 +208,8 @@ def near_vectors(vectors: DataFrame, least: float = 0.93, id_col: str = "vec_id"
     Vectors that are null, zero, or hold null or non-finite components, and rows with a null label or id, link with
     nothing. Equal vectors of a label are one class, searched once. Vectors of another length than most of their label
     form classes of their own length. Each class is indexed in its ``OVERLAP`` nearest clusters and searched in its
-    ``probes`` nearest. A cluster of more than ``shard`` classes is dealt over several shards, and its queries over
+    ``probes`` nearest, and in every other whose centroid is itself in range, so that a tight group that is dealt over
+    many clusters is met whole. A cluster of more than ``shard`` classes is dealt over several shards, and its queries over
     several blocks, so no task holds more of either. An audit of at most ``AUDIT`` vectors against all of their label
     follows; below a recall of ``RECALL`` the search is repeated with twice the probes and beam. No pair is returned: a
     search yields counts and a spanning forest. Rows with one id are one vector for components. Empty input: empty."""
@@ -237,8 +241,13 @@ def near_vectors(vectors: DataFrame, least: float = 0.93, id_col: str = "vec_id"
                 out = []
                 for g, part in pdf.groupby("group", sort=False):
                     c = shared.value[g]
-                    near = np.argsort(-(_matrix(part["v"]) @ c.T), axis=1, kind="stable")[:, :count].tolist() if len(c) else [[0]] * len(part)
-                    out.append(part.assign(near=near))
+                    if not len(c):
+                        out.append(part.assign(near=[[0]] * len(part)))
+                        continue
+                    sim = _matrix(part["v"]) @ c.T
+                    order = np.argsort(-sim, axis=1, kind="stable")
+                    wide = np.maximum(count, (sim >= least).sum(axis=1))
+                    out.append(part.assign(near=[row[:n].tolist() for row, n in zip(order, wide, strict=True)]))
                 if out:
                     yield pd.concat(out)
 
@@ -247,14 +256,14 @@ def near_vectors(vectors: DataFrame, least: float = 0.93, id_col: str = "vec_id"
     def linked(probes: int, beam: int):
         placed = cut(classes.mapInPandas(nearest(max(OVERLAP, probes)), "id long, group string, copies long, v array<double>, near array<int>"))
         crowd = cut(placed.select("group", F.explode(F.slice("near", 1, OVERLAP)).alias("cluster")).groupBy("group", "cluster").agg(F.ceil(F.count("*") / shard).cast("int").alias("shards")))
-        asked = placed.select("group", F.explode(F.slice("near", 1, probes)).alias("cluster")).groupBy("group", "cluster").agg(F.ceil(F.count("*") / shard).cast("int").alias("blocks"))
+        asked = placed.select("group", F.explode("near").alias("cluster")).groupBy("group", "cluster").agg(F.ceil(F.count("*") / shard).cast("int").alias("blocks"))
         members = placed.select("id", "group", "copies", "v", F.col("near")[0].alias("first"), F.explode(F.slice("near", 1, OVERLAP)).alias("cluster")).join(F.broadcast(crowd), ["group", "cluster"])
         members = members.withColumn("part", F.pmod(F.xxhash64("id"), F.col("shards")))
         members = cut(members.select("id", "group", "cluster", "part", "first", "copies", "v"))
         graphs = members.groupBy("group", "cluster", "part").applyInPandas(_graph_of, "id long, near array<long>")
         graph = graphs.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
         nodes = members.join(graph, "id").join(F.broadcast(asked), ["group", "cluster"]).withColumn("block", F.explode(F.expr("sequence(0L, blocks - 1L)"))).drop("blocks")
-        queries = placed.select("id", "group", "v", F.slice("near", 1, probes).alias("probed"), F.explode(F.slice("near", 1, probes)).alias("cluster")).join(F.broadcast(asked), ["group", "cluster"]).join(F.broadcast(crowd), ["group", "cluster"])
+        queries = placed.select("id", "group", "v", F.col("near").alias("probed"), F.explode("near").alias("cluster")).join(F.broadcast(asked), ["group", "cluster"]).join(F.broadcast(crowd), ["group", "cluster"])
         queries = queries.withColumn("block", F.pmod(F.xxhash64("id", F.lit(1)), F.col("blocks"))).withColumn("part", F.explode(F.expr("sequence(0L, shards - 1L)")))
         key = ["group", "cluster", "part", "block"]
         queries = queries.select(*(F.col(c).alias(c) for c in ("id", "v", "probed", *key)))

@@ -40,6 +40,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of an Arrow batch between the JVM and Python: ten thousand whole texts at once would be tens of megabytes, held
+#: several times.
+BATCH_BYTES = 4_000_000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound the session's Arrow batches to ``BATCH_BYTES``. The setting outlives the call, as plans run later."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def pieces(batch: pa.RecordBatch, column: str, limit: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of ``batch`` with about ``limit`` bytes in ``column``; a longer row is a slice of its own."""
     if not batch.num_rows:

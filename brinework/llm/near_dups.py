@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from brinework.llm.common import LOWER, SPACES, connected_components, cut, is_word_table, joined, mix, pieces, word_bounds, word_hashes
+from brinework.llm.common import LOWER, SPACES, bounded_batches, connected_components, cut, is_word_table, joined, mix, pieces, word_bounds, word_hashes
 
 #: A pair at the threshold of 0.8 shares no band of 6 rows in 44 with probability (1 - 0.8**6)**44 = 1.6e-6; a pair
 #: at 0.4 shares one with probability 0.17.
@@ -221,6 +221,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Null or wordless texts: n_shingles 0, linked with nothing, kept. Rows with one id are one node. Null ids are
     linked with nothing (component_id null, kept true). Other columns of ``docs`` are ignored. Empty input: empty."""
+    bounded_batches(docs.sparkSession)
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     signed = cut(base.mapInArrow(_signatures(shingle, bands, rows, seed), "id long, n_shingles long, tag1 long, tag2 long, bands array<long>"))
     found = signed.where("n_shingles > 0 and id is not null")

@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from brinework.llm.common import pieces
+from brinework.llm.common import bounded_batches, pieces
 from brinework.llm.word_ids import WordEncoder
 
 #: Ids in a block, about; a longer document is a block by itself. It bounds what a task holds at once.
@@ -90,6 +90,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", te
     """Write the ids of all texts, each followed by ``end_id``, in ascending ``id_col`` order. Null texts are empty;
     null ids come first; rows with one id are ordered by text. ``tokenizer`` is a file of the tokenizers library whose
     pre-tokens never hold white space. An empty input gives an empty file."""
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     rows = rows.repartitionByRange("id").sortWithinPartitions("id", "text")
     rows.mapInArrow(_writer(tokenizer, end_id, block_ids), BLOCK).write.mode("overwrite").parquet(path)

@@ -14,10 +14,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from brinework.llm.common import pieces, word_hashes
+from brinework.llm.common import bounded_batches, pieces, word_hashes
 from brinework.llm.decontaminate import _NORMAL
 
 BUCKETS, WIDTH, GRAMS, WINDOW = 1 << 16, 8, (3, 4, 5), 8
+#: Bytes of text that are scored at once.
+PIECE_BYTES = 500_000
 #: Labelled rows of class 0 and of class 1 the model is fitted on, at most; chosen by a hash of the id.
 FIT_ROWS = (2400, 800)
 
@@ -186,12 +188,13 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", score_as: str =
     """``docs`` with the score of each whole text; empty, wordless and null texts have the score of the bias alone. A
     column of ``docs`` with the name of the score is replaced."""
     docs = docs.drop(score_as)
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in docs.schema] + [T.StructField(score_as, T.DoubleType())])
 
     def run(batches):
         for whole in batches:
-            for batch in pieces(whole, text_col):
+            for batch in pieces(whole, text_col, PIECE_BYTES):
                 texts = [(t or "").encode() for t in batch.column(text_col).to_pylist()]
                 yield batch.append_column(score_as, pa.array(scores(texts, shared.value)))
 

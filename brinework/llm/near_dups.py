@@ -20,6 +20,8 @@ SEED = 20240611
 #: Members of a bucket up to which those in different components meet pair by pair; larger buckets are compared in
 #: blocks of about ``BLOCK`` members.
 FEW, BLOCK = 32, 512
+#: Bytes of text that are hashed at once: each minimum is taken over arrays of 8 bytes a word.
+PIECE_BYTES = 500_000
 #: Words of the bitmap that texts are sifted with before they are shuffled.
 BITMAP = 1 << 17
 
@@ -56,7 +58,7 @@ def _signatures(shingle: int, bands: int, rows: int, seed: int):
 
     def run(batches):
         for whole in batches:
-            for batch in pieces(whole, "text"):
+            for batch in pieces(whole, "text", PIECE_BYTES):
                 data, at = joined(batch.column("text"))
                 data = np.frombuffer(data.tobytes().translate(LOWER), dtype=np.uint8)
                 x, runs = shingle_hashes(data, at, shingle)
@@ -136,7 +138,7 @@ def _sets(shingle: int):
 
     def run(batches):
         for whole in batches:
-            for batch in pieces(whole, "text"):
+            for batch in pieces(whole, "text", PIECE_BYTES):
                 data, at = joined(batch.column("text"))
                 x, runs = shingle_hashes(np.frombuffer(data.tobytes().translate(LOWER), dtype=np.uint8), at, shingle)
                 own = [np.unique(x[i:j]) for i, j in zip(runs[:-1], runs[1:], strict=True)]

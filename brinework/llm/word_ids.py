@@ -45,6 +45,24 @@ class Cache(dict):
         return out
 
 
+class Memo(dict):
+    """What ``make`` gives for each key, in two generations as in ``Cache``; one lookup for a known key."""
+
+    def __init__(self, limit: int, make):
+        super().__init__()
+        self.limit, self.make, self.old = limit, make, {}
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= self.limit:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
 class WordEncoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -54,7 +72,7 @@ class WordEncoder:
         self.model = self.library.model
         self.codes = [i.to_bytes(4, "little") for i in range(self.library.get_vocab_size())]
         self.letters = dict(enumerate(byte_letters()))
-        self.chunks, self.parts = Cache(CACHE), Cache(CACHE)
+        self.chunks, self.parts = Memo(CACHE, self._chunk), Memo(CACHE, self._part)
         specials = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, specials))) if specials else re.compile(r"(?!)")
 
@@ -71,23 +89,15 @@ class WordEncoder:
             gc.enable()
 
     def _encode(self, texts: list[bytes]) -> list[bytes]:
-        split = [t.split() for t in texts]
-        known: set[bytes] = set()
-        known.update(*split)
-        plain, word = {}, _WORD.fullmatch
-        for chunk in self.chunks.missing(known):
-            text = chunk.decode()
-            if m := word(text):
-                plain[chunk] = (m[1].lower(), m[2]) if m[2] else (m[1].lower(),)
-            elif _PLAIN.fullmatch(text) and not self.special.search(text):
-                plain[chunk] = _PARTS.findall(text.lower())
-            else:
-                self.chunks[chunk] = np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        needed: set[str] = set()
-        needed.update(*plain.values())
-        for part in self.parts.missing(needed):
-            self.parts[part] = self._part(part)
-        for chunk, parts in plain.items():
-            self.chunks[chunk] = b"".join([self.parts[p] for p in parts])
         get = self.chunks.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        return [b"".join(map(get, t.split())) for t in texts]
+
+    def _chunk(self, chunk: bytes) -> bytes:
+        text = chunk.decode()
+        if m := _WORD.fullmatch(text):
+            parts = (m[1].lower(), m[2]) if m[2] else (m[1].lower(),)
+        elif _PLAIN.fullmatch(text) and not self.special.search(text):
+            parts = _PARTS.findall(text.lower())
+        else:
+            return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return b"".join([self.parts[p] for p in parts])

@@ -78,16 +78,29 @@ _ANY_DIGIT = "(?:" + "|".join(sorted(_DIGITS, key=len, reverse=True)) + "|[0-9])
 #: Three digits or more on end, of which at least two are spelled.
 _SPELLED_RUN = re.compile(rf"(?<![^\W_]){_ANY_DIGIT}(?:[\s,-]{{1,2}}{_ANY_DIGIT}(?![^\W_])){{2,}}", re.I)
 _ONE_DIGIT = re.compile(_ANY_DIGIT, re.I)
-_DIGIT_HINTS = [w for w in _DIGITS if len(w) > 2]
 
 _AT_WORDS, _DOT_WORDS = "at|arroba|arobase|klammeraffe", "dot|punkt|punto|point"
 _AT_BRACKETS = re.compile(rf"\s{{0,3}}[\[({{<]\s{{0,3}}(?:{_AT_WORDS}|@)\s{{0,3}}[\])}}>]\s{{0,3}}", re.I)
 _DOT_BRACKETS = re.compile(rf"\s{{0,3}}[\[({{<]\s{{0,3}}(?:{_DOT_WORDS}|\.)\s{{0,3}}[\])}}>]\s{{0,3}}", re.I)
-# Last labels of hosts that a bare "dot" may come before.
+# Last labels of hosts that a bare "dot" may come before. Other labels need more to be sure.
 _LAST = "com|org|net|edu|gov|info|biz|io|dev|app|eu|uk|de|fr|es|it|nl|ch|at|us|ca|au|example"
+# Words of prose that are no label where the last label is not one of the listed.
+_PROSE = "a|an|and|are|as|at|be|but|by|for|from|if|in|is|it|its|my|no|not|of|off|on|or|our|out|so|that|the|their|then|there|they|this|to|up|was|we|were|when|where|which|with|you|your|der|die|das|des|dem|den|ein|eine|im|ist|mit|und|von|zu|zum|auf|le|la|les|un|une|du|et|est|que|qui|pour|el|los|las|una|con|del|por|para|y|o|e"
+_END = r"(?![A-Za-z0-9-])"
+_STEP = rf"(?:\s+|_)(?:{_DOT_WORDS})(?:\s+|_)"
+_NO_PROSE = rf"(?!(?:{_PROSE}){_END})"
+_NAME = r"(?:[A-Za-z]{2,24}|xn--[A-Za-z0-9-]{2,59})"
 #: A bare "at" counts only between what looks like a name and a host with bare dots and one of the last labels.
 _AT_BARE = re.compile(rf"(?<=[A-Za-z0-9])(?:\s+(?:{_AT_WORDS})\s+|_(?:{_AT_WORDS})_)(?=[A-Za-z0-9-]+(?:(?:\s+|_)(?:{_DOT_WORDS})(?:\s+|_)[A-Za-z0-9-]+)*?(?:\s+|_)(?:{_DOT_WORDS})(?:\s+|_)(?:{_LAST})(?![A-Za-z0-9-]))", re.I)
 _DOT_BARE = re.compile(rf"(?<=[A-Za-z0-9])(?:\s+(?:{_DOT_WORDS})\s+|_(?:{_DOT_WORDS})_)(?=(?:[A-Za-z0-9-]+(?:\s+|_)(?:{_DOT_WORDS})(?:\s+|_))*(?:{_LAST})(?![A-Za-z0-9-]))", re.I)
+#: A bare "at" before any last label: between underscores, by a word that means nothing else, or before a host of two
+#: dots or more, in which no label is a word of prose.
+_AT_SURE = re.compile(rf"(?<=[A-Za-z0-9])(?:(?:\s+(?:arroba|arobase|klammeraffe)\s+|_(?:{_AT_WORDS})_)(?=[A-Za-z0-9-]+(?:{_STEP}[A-Za-z0-9-]+)*?{_STEP}{_NO_PROSE}{_NAME}{_END})|\s+at\s+(?={_NO_PROSE}[A-Za-z0-9-]+(?:{_STEP}{_NO_PROSE}[A-Za-z0-9-]+)+?{_STEP}{_NO_PROSE}{_NAME}{_END}))", re.I)
+#: After an "@" any last label counts, less words of prose where the word before it is not "dot"; a host that has dots
+#: by now goes on with "dot" only.
+_DOT = r"(?:\s+|_)dot(?:\s+|_)"
+_HOST_BARE = re.compile(rf"(?<=@)[A-Za-z0-9-]+(?:(?:\.[A-Za-z0-9-]+)+(?:{_DOT}[A-Za-z0-9-]+)*?{_DOT}|(?:{_STEP}[A-Za-z0-9-]+)*?(?:{_STEP}{_NO_PROSE}|{_DOT})){_NAME}{_END}(?!(?:{_STEP}{_NO_PROSE}|{_DOT}){_NAME}{_END})", re.I)
+_STEPS = re.compile(_STEP, re.I)
 _DOT_DIGITS = re.compile(rf"(?<=[0-9])\s+(?:{_DOT_WORDS})\s+(?=[0-9])", re.I)
 _PLUS = re.compile(r"(?<![^\W_])plus\s+(?=[0-9])", re.I)
 
@@ -135,7 +148,21 @@ def _digits(m: re.Match) -> list[tuple[str, int, int]] | str:
     found = list(_ONE_DIGIT.finditer(m[0]))
     if sum(len(d[0]) > 1 for d in found) < 2:
         return [(c, m.start() + i, m.start() + i + 1) for i, c in enumerate(m[0])]
-    return [(_DIGITS.get(d[0].lower(), d[0]), m.start() + d.start(), m.start() + d.end()) for d in found]
+    return [(_DIGITS.get(_folded(d[0]), d[0]), m.start() + d.start(), m.start() + d.end()) for d in found]
+
+
+def _dotted(m: re.Match) -> list[tuple[str, int, int]]:
+    out, at, a = [], 0, m.start()
+    for step in _STEPS.finditer(m[0]):
+        out += [(c, a + at + i, a + at + i + 1) for i, c in enumerate(m[0][at : step.start()])]
+        out.append((".", a + step.start(), a + step.end()))
+        at = step.end()
+    return out + [(c, a + at + i, a + at + i + 1) for i, c in enumerate(m[0][at:])]
+
+
+def _folded(text: str) -> str:
+    """``text`` in lower case, with the letters that patterns without case take for "i" and "s"."""
+    return text.lower() if text.isascii() else text.replace("İ", "i").lower().replace("ı", "i").replace("ſ", "s")
 
 
 def normalised(text: str) -> Copy | None:
@@ -149,22 +176,29 @@ def normalised(text: str) -> Copy | None:
 
     if not text.isascii() and _DISGUISED.search(text):
         rewrite(_DISGUISED, _letter)
-    low = (copy.text if copy else text).lower()
+    # what follows is guarded by necessary conditions only, as a copy costs far more than a search
+    low = _folded(copy.text if copy else text)
     if _AT_BRACKETS.search(low):
         rewrite(_AT_BRACKETS, lambda m: "@")
     if _DOT_BRACKETS.search(low):
         rewrite(_DOT_BRACKETS, lambda m: ".")
-    dots = any(w in low for w in _DOT_WORDS.split("|"))
-    if sum(map(low.count, _DIGIT_HINTS)) >= 3 and _SPELLED_RUN.search(low):
+    if sum(map(low.count, _DIGITS)) >= 2 and _SPELLED_RUN.search(low):
         rewrite(_SPELLED_RUN, _digits)
-        if dots:
-            rewrite(_DOT_DIGITS, lambda m: ".")
-        if "plus" in low:
-            rewrite(_PLUS, lambda m: "+")
-    if dots and (copy and "@" in copy.text or any(w in low for w in _AT_WORDS.split("|")) and _AT_BARE.search(low)):
-        rewrite(_AT_BARE, lambda m: "@")
-        if "@" in copy.text:
-            rewrite(_DOT_BARE, lambda m: ".")
+    dots = any(w in low for w in _DOT_WORDS.split("|"))
+    if dots and _DOT_DIGITS.search(copy.text if copy else text):
+        rewrite(_DOT_DIGITS, lambda m: ".")
+    if "plus" in low and _PLUS.search(copy.text if copy else text):
+        rewrite(_PLUS, lambda m: "+")
+    if dots:
+        if any(w in low for w in _AT_WORDS.split("|")):
+            for pattern in (_AT_BARE, _AT_SURE):
+                if pattern.search(copy.text if copy else text):
+                    rewrite(pattern, lambda m: "@")
+        if "@" in (copy.text if copy else text):
+            if _DOT_BARE.search(copy.text if copy else text):
+                rewrite(_DOT_BARE, lambda m: ".")
+            if _HOST_BARE.search(copy.text if copy else text):
+                rewrite(_HOST_BARE, _dotted)
     return copy if changed else None
 
 

@@ -55,6 +55,26 @@ def test_disguises():
     assert found("192[.]168[.]0[.]1") == [("ip", "192[.]168[.]0[.]1")]
 
 
+def test_guards_let_every_rule_through():
+    assert found("mail john@example dot com now") == [("email", "john@example dot com")]
+    assert found("call +44 two 0 7 five 9 4 6 0 9 5 8 now") == [("phone", "+44 two 0 7 five 9 4 6 0 9 5 8")]
+    assert found("tel +33 un 4 un 5 6 7 8 9 0 fin") == [("phone", "+33 un 4 un 5 6 7 8 9 0")]
+    assert found("call plus 44 20 7946 0958 now") == [("phone", "plus 44 20 7946 0958")]
+    assert found("host 192 dot 168 dot 0 dot 1 ok") == [("ip", "192 dot 168 dot 0 dot 1")]
+    assert found("mail john at one two three dot com now") == [("email", "john at one two three dot com")]
+    assert found("mail john@example POİNT com now") == [("email", "john@example POİNT com")]
+
+
+def test_any_last_label_where_the_host_is_sure():
+    assert found("mail john at mail dot example dot se now") == [("email", "john at mail dot example dot se")]
+    assert found("mail john@example dot museum now") == [("email", "john@example dot museum")]
+    assert found("mail john (at) mail dot acme dot in now") == [("email", "john (at) mail dot acme dot in")]
+    assert found("mail john_at_example_dot_pl now") == [("email", "john_at_example_dot_pl")]
+    assert found("correo juan arroba ejemplo punto mx ya") == [("email", "juan arroba ejemplo punto mx")]
+    for text in ["arrive at this point to point link", "look at a dot to dot puzzle", "look at this dot matrix printer", "log in as me@host point your browser there"]:
+        assert pii.all_spans(text) == ([], []), text
+
+
 def test_clean_prose_is_left_alone():
     for text in ["", "one two three and four", "look at the dot on the map", "meet me at noon. point taken", "vier und sieben", "à point nommé", "(at) home", "a at b. dot"]:
         assert pii.all_spans(text) == ([], [])

@@ -46,7 +46,9 @@ RULES = [
     ("proprietary", ["rights_reserved"]),
 ]
 
-_BREAK = re.compile(r"[.!?]+[ \t\r\n]+|\n+")
+_BREAK = re.compile(r"([.!?]+[ \t\r\n]+|\n+)")
+# Comment marks that are words; all others fall away as a sentence is normalised.
+_MARKS = ("dnl ", "rem ", "c ")
 _OTHER = re.compile(r"[^a-z0-9]+")
 _ASCII_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -55,19 +57,40 @@ def normal(sentence: str) -> str:
     return _OTHER.sub(" ", sentence.translate(_ASCII_LOWER)).strip(" ")
 
 
+def line(part: str) -> str:
+    """A part of a text, normalised, without a comment mark before it."""
+    out = normal(part)
+    return next((out[len(m) :] for m in _MARKS if out.startswith(m)), out)
+
+
 class Recogniser:
     def __init__(self, sentences: dict[str, str] = SENTENCES, rules: list[tuple[str, list[str]]] = RULES):
-        self.known = {normal(s): name for name, s in sentences.items()}
+        self.known = {line(s): name for name, s in sentences.items()}
+        #: What a line may hold where a known sentence begins in it and is wrapped.
+        self.begun = {" ".join(s.split()[:n]) for s in self.known for n in range(1, len(s.split()))}
         self.rules = [(licence, "|" + "|".join(ids) + "|") for licence, ids in rules]
         #: Each known sentence has one of these words, so a text without them has none.
         self.hints = sorted({max(s.split(), key=len) for s in self.known})
 
     def sentences(self, text: str) -> list[str]:
-        """Identifiers of the known sentences, in order."""
+        """Identifiers of the known sentences, in order. A sentence may go on over lines, behind comment marks too, but
+        not past a blank line; of those that begin in a line the longest counts."""
         low = text.translate(_ASCII_LOWER) if not text.isascii() else text.lower()
         if not any(h in low for h in self.hints):
             return []
-        return [name for s in _BREAK.split(low) if (name := self.known.get(normal(s)))]
+        parts = _BREAK.split(low)
+        lines, breaks = list(map(line, parts[::2])), parts[1::2]
+        out, at = [], 0
+        while at < len(lines):
+            whole, end, name, after = lines[at], at + 1, self.known.get(lines[at]), at + 1
+            while whole in self.begun and end < len(lines) and breaks[end - 1] == "\n" and lines[end]:
+                whole, end = f"{whole} {lines[end]}", end + 1
+                if whole in self.known:
+                    name, after = self.known[whole], end
+            if name:
+                out.append(name)
+            at = after
+        return out
 
     def licences(self, ids: list[str]) -> list[str]:
         left, out = "|" + "|".join(ids) + "|" if ids else "", []

@@ -1,3 +1,7 @@
+import textwrap
+
+import pytest
+
 from brinework.llm import licences
 
 
@@ -25,3 +29,32 @@ def test_frames(spark):
     assert sorted(got, key=str) == sorted([(1, ["MIT"]), (1, ["MIT"]), (None, []), (2, []), (3, ["CC-BY-NC-4.0"])], key=str)
     assert {r.doc_id for r in licences.drop_licences(docs, ["MIT"]).collect()} == {None, 2, 3}
     assert licences.scan(docs.limit(0)).count() == 0
+
+
+WHOLE = {
+    "MIT": ["mit_grant", "mit_notice"],
+    "Apache-2.0": ["apache_long", "apache_copy"],
+    "GPL-3.0-or-later": ["gpl_free", "gpl_warranty"],
+    "BSD": ["bsd_grant"],
+}
+
+
+@pytest.mark.parametrize("mark", ["", " * ", "# ", "// ", "-- ", "dnl ", "REM ", "C     "])
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_wrapped_and_commented(mark, end):
+    own = licences.Recogniser()
+    for licence, ids in WHOLE.items():
+        text = "\n\n".join(licences.SENTENCES[i] + ("" if licences.SENTENCES[i].endswith(":") else ".") for i in ids)
+        lines = [mark + x for block in text.split("\n\n") for x in ["Copyright 2020 A. Body", *textwrap.wrap(block, 70), ""]]
+        found = own.sentences("int x;" + end + end.join(lines) + end + "x = 1")
+        assert found == ids and own.licences(found) == [licence]
+
+
+def test_wrapped_sentences_end_at_blank_lines_and_stops():
+    own = licences.Recogniser()
+    assert own.sentences("Released under\nthe MIT License") == ["mit_short"]
+    assert own.sentences("Released under\n\nthe MIT License") == []
+    assert own.sentences(" * Released under\n *\n * the MIT License") == []
+    assert own.sentences("Released under.\nthe MIT License") == []
+    assert own.sentences("Licensed under the Apache License, Version 2.0\n(the \"License\");\nLicensed under CC BY 4.0") == ["apache_short", "cc_by_short"]
+    assert own.sentences("Licensed under the Apache License, Version 2.0 (the \"License\");\n you may not use this file except in compliance with the License. You may obtain a\n copy of the License at") == ["apache_long", "apache_copy"]

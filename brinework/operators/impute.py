@@ -4,39 +4,99 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from brinework.operators.models import _moments
 
 
-def knn(df: DataFrame, columns: list[str], k: int = 5, donors: int = 5000, seed: int = 42) -> DataFrame:
+#: Distinct rows of each side that meet in one task of ``knn``, and distances that it holds at once. They bound memory,
+#: not what is compared: each incomplete row meets all donors.
+DONORS_A_TASK, ROWS_A_TASK, HELD = 50_000, 20_000, 2_000_000
+
+
+def _nearest(donors: pd.DataFrame, rows: pd.DataFrame, p: int, k: int) -> pd.DataFrame:
+    """For each of ``rows`` and each column it lacks, the k of ``donors`` that have it and come first by distance, hash
+    and value: (column, distance, tie, value, n) beside the row."""
+    names = [f"_c{j}" for j in range(p)]
+    none = pd.DataFrame(columns=[*names, "column", "distance", "tie", "value", "n"])
+    if not len(donors) or not len(rows):
+        return none
+    base, x = donors[names].to_numpy(dtype=np.float64), rows[[f"_q{j}" for j in range(p)]].to_numpy(dtype=np.float64)
+    known, gaps, tie, times = ~np.isnan(base), np.isnan(x), donors["tie"].to_numpy(), donors["n"].to_numpy()
+    out = []
+    for mask in np.unique(gaps, axis=0):
+        own, mine = np.flatnonzero(~mask), np.flatnonzero((gaps == mask).all(axis=1))
+        shared = known[:, own].sum(axis=1)
+        for j in np.flatnonzero(mask):
+            pick = np.flatnonzero(known[:, j] & (shared > 0))
+            if not len(pick):
+                continue
+            have, both, n = np.nan_to_num(base[pick]), known[pick], shared[pick]
+            step = max(1, HELD // len(pick))
+            for at in range(0, len(mine), step):
+                some = mine[at : at + step]
+                far = np.zeros((len(some), len(pick)))
+                for c in own:
+                    d = x[some, c, None] - have[None, :, c]
+                    d *= d
+                    d *= both[None, :, c]
+                    far += d
+                far *= p
+                far /= n
+                # the k-th of some donors is no nearer than the k-th of all
+                few = far[:, : max(2000, k)]
+                least = np.partition(few, k - 1, axis=1)[:, k - 1] if few.shape[1] >= k else np.full(len(some), np.inf)
+                r, d = np.nonzero(far <= least[:, None])
+                distance, value = far[r, d], base[pick[d], j]
+                order = np.lexsort((value, tie[pick[d]], distance, r))
+                r, d = r[order], d[order]
+                first = np.searchsorted(r, np.arange(len(some)))
+                best = np.arange(len(r)) - first[r] < k
+                r, d = r[best], d[best]
+                part = pd.DataFrame(x[some[r]], columns=names)
+                out.append(part.assign(column=j, distance=far[r, d], tie=tie[pick[d]], value=base[pick[d], j], n=times[pick[d]]))
+    return pd.concat(out) if out else none
+
+
+def knn(df: DataFrame, columns: list[str], k: int = 5, seed: int = 42) -> DataFrame:
     """Nulls of ``columns`` as the mean of the k nearest donors that have the column, by Euclidean distance over the
-    columns both have, scaled up for those missing; the column's mean where no donor is comparable. Donors are at most
-    ``donors`` rows of least seeded hash, so what is broadcast is bounded and each row is filled where it is."""
-    few = df.select(*(F.col(c).cast("double").alias(c) for c in columns)).orderBy(F.xxhash64(F.lit(seed), *columns), *columns).limit(donors).toPandas().to_numpy(dtype=np.float64)
-    shared = df.sparkSession.sparkContext.broadcast(few)
+    columns both have, scaled up for those missing; the column's mean over all rows where no donor is comparable. All
+    rows are donors: blocks of distinct incomplete rows meet parts of the distinct donors, and the k nearest of each
+    meeting are merged. Equal distances go by a seeded hash. The work grows with incomplete rows times donors."""
+    names = [f"_c{j}" for j in range(len(columns))]
+    clean = {n: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for n, c in zip(names, columns, strict=True)}
+    lacking = F.lit(False)
+    for n in names:
+        lacking = lacking | F.col(n).isNull()
+    work = df.withColumns(clean)
+    rows = work.groupBy(*names).agg(F.count("*").alias("n")).withColumn("tie", F.xxhash64(F.lit(seed), *names))
+    start = work.agg(*(F.avg(n).alias(n) for n in names)).first()
+    size = rows.agg(F.count("*").alias("all"), F.count_if(lacking).alias("lacking")).first()
+    parts, blocks = 1 + size["all"] // DONORS_A_TASK, 1 + size["lacking"] // ROWS_A_TASK
 
-    def fill(*parts: pd.Series) -> pd.DataFrame:
-        base = shared.value
-        x = np.column_stack([p.to_numpy(dtype=np.float64) for p in parts])
-        known, have = ~np.isnan(base), np.nan_to_num(base)
-        means = have.sum(axis=0) / np.maximum(known.sum(axis=0), 1)
-        for i in np.flatnonzero(np.isnan(x).any(axis=1)):
-            own = ~np.isnan(x[i])
-            both = known & own
-            n = both.sum(axis=1)
-            far = np.where(both, have - np.nan_to_num(x[i]), 0.0)
-            distance = np.where(n > 0, (far * far).sum(axis=1) * len(own) / np.maximum(n, 1), np.inf)
-            order = np.argsort(distance, kind="stable")
-            for j in np.flatnonzero(~own):
-                near = [d for d in order if known[d, j] and np.isfinite(distance[d])][:k]
-                x[i, j] = base[near, j].mean() if near else means[j]
-        return pd.DataFrame(x, columns=[f"c{j}" for j in range(len(columns))])
+    def spread(own, other, count, others):
+        return lambda x: x.withColumn(own, F.pmod(F.xxhash64(F.lit(seed + 1), *names), F.lit(count))).withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(others - 1).cast("long"))))
 
-    made = F.pandas_udf(fill, ", ".join(f"c{j} double" for j in range(len(columns))))
-    out = df.withColumn("_filled", made(*(F.col(c).cast("double") for c in columns)))
-    return out.withColumns({c: F.col("_filled")[f"c{j}"] for j, c in enumerate(columns)}).drop("_filled")
+    donors = rows.transform(spread("part", "block", parts, blocks)).groupBy("part", "block")
+    # new names, as a cogroup of two frames with columns of one origin mixes them up
+    asked = [f"_q{j}" for j in range(len(columns))]
+    wanted = rows.where(lacking).transform(spread("block", "part", blocks, parts)).select(*(F.col(n).alias(q) for n, q in zip(names, asked, strict=True)), F.col("part").alias("to_part"), F.col("block").alias("to_block")).groupBy("to_part", "to_block")
+    schema = ", ".join(f"{n} double" for n in names) + ", column int, distance double, tie long, value double, n long"
+    p = len(columns)
+    near = donors.cogroup(wanted).applyInPandas(lambda a, b: _nearest(a, b, p, k), schema)
+    # pandas has no null number, so what comes back as NaN is null again
+    near = near.withColumns({n: F.nanvl(n, F.lit(None).cast("double")) for n in names})
+    each = Window.partitionBy(*names, "column").orderBy("distance", "tie", "value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    taken = near.withColumn("before", F.sum("n").over(each) - F.col("n")).where(F.col("before") < k).withColumn("n", F.least("n", k - F.col("before")))
+    means = taken.groupBy(*names, "column").agg((F.sum(F.col("value") * F.col("n")) / F.sum("n")).alias("value"))
+    fills = means.groupBy(*(F.col(n).alias(f"_k{n}") for n in names)).agg(*(F.max(F.when(F.col("column") == j, F.col("value"))).alias(f"_f{j}") for j in range(p)))
+    same = F.lit(True)
+    for n in names:
+        same = same & F.col(n).eqNullSafe(F.col(f"_k{n}"))
+    filled = work.where(lacking).join(fills, same, "left").withColumns({c: F.coalesce(names[j], f"_f{j}", F.lit(float(start[names[j]] or 0.0))) for j, c in enumerate(columns)}).select(*df.columns)
+    whole = work.where(~lacking).withColumns({c: F.col(n) for n, c in zip(names, columns, strict=True)}).select(*df.columns)
+    return whole.unionByName(filled)
 
 
 def mice(df: DataFrame, columns: list[str], rounds: int = 10, ridge: float = 1e-6) -> DataFrame:

@@ -298,7 +298,7 @@ def isolation_forest(spark, d):
 
 @query()
 def knn_impute(spark, d):
-    return impute.knn(li(spark, d).select("qty", "price", "tax"), ["qty", "price", "tax"], donors=500).agg(F.count("qty").alias("n"), F.avg("qty").alias("qty"))
+    return impute.knn(li(spark, d).select("qty", "price", "tax"), ["qty", "price", "tax"]).agg(F.count("qty").alias("n"), F.avg("qty").alias("qty"))
 
 
 @query()

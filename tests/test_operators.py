@@ -255,3 +255,31 @@ def test_model_imputation(spark):
     assert (10.5, 22.0) in near and any(b == 21.0 and abs(a - 10) < 1.1 for a, b in near)
     chained = impute.mice(df, ["a", "b"])
     assert chained.where("a = 10.5").first().b == pytest.approx(22.0, abs=0.01) and chained.where("b = 21").orderBy("a").first().a == pytest.approx(10.0, abs=0.01)
+
+
+def test_knn_searches_all_rows(spark):
+    # every row of the even numbers is a donor: far more than a sample would hold
+    df = spark.range(12_000).selectExpr("id * 2.0D AS a", "id * 4.0D AS b").union(spark.range(40).selectExpr("id * 600 + 1.0D", "CAST(NULL AS DOUBLE)"))
+    got = {r.a: r.b for r in impute.knn(df, ["a", "b"], k=2).where("a % 2 = 1").collect()}
+    assert got == {i * 600 + 1.0: i * 1200 + 2.0 for i in range(40)}
+
+
+def test_knn_in_blocks_as_by_one_pass(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(120, 3))
+    x[rng.random(x.shape) < 0.25] = np.nan
+    x = np.vstack([x, x[:30], np.full((2, 3), np.nan)])
+    want = x.copy()
+    for i in range(len(x)):
+        for j in np.flatnonzero(np.isnan(x[i])):
+            both = ~np.isnan(x) & ~np.isnan(x[i])
+            n = both.sum(axis=1)
+            far = np.where(both, x - x[i], 0.0) ** 2
+            ok = np.flatnonzero((n > 0) & ~np.isnan(x[:, j]))
+            near = ok[np.argsort(far[ok].sum(axis=1) * 3 / n[ok], kind="stable")][:4]
+            want[i, j] = x[near, j].mean() if len(near) else np.nanmean(x[:, j])
+    monkeypatch.setattr(impute, "DONORS_A_TASK", 40)
+    monkeypatch.setattr(impute, "ROWS_A_TASK", 25)
+    rows = [(i, *(None if np.isnan(v) else float(v) for v in r)) for i, r in enumerate(x)]
+    got = impute.knn(spark.createDataFrame(rows, "id long, a double, b double, c double"), ["a", "b", "c"], k=4).orderBy("id").collect()
+    assert np.allclose([[r.a, r.b, r.c] for r in got], want)

@@ -40,6 +40,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_name(df: DataFrame, wanted: str) -> str:
+    """``wanted``, with underscores added until no column of ``df`` has that name."""
+    have = {c.lower() for c in df.columns}
+    while wanted.lower() in have:
+        wanted += "_"
+    return wanted
+
+
 #: Bytes of an Arrow batch between the JVM and Python: ten thousand whole texts at once would be tens of megabytes, held
 #: several times.
 BATCH_BYTES = 4_000_000

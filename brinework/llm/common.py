@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,15 +24,24 @@ LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 PART_ROWS = 100_000
 
 
-def cut(df: DataFrame, most_rows: int | None = None) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and go on from the files, so that a lost executor costs no rerun
-    of what came before. The folder is the session's ``spark.checkpoint.dir``; a temporary one is set only where that
-    is unset, as in local tests. A bound on the rows, where known, keeps small results in few files."""
-    spark = df.sparkSession
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The folder for checkpoints that driver and executors share: ``spark.checkpoint.dir``, or what the context has.
+    A temporary one is made only on a local master, as in tests; on a cluster it would be one machine's own."""
     sc = spark.sparkContext
+    have = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if have is None:
+        if not (sc.master or "").startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        have = tempfile.mkdtemp(prefix="brinework-")
     if sc.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="brinework-"))
+        sc.setCheckpointDir(have)
+    return have
+
+
+def cut(df: DataFrame, most_rows: int | None = None) -> DataFrame:
+    """Write ``df`` to the shared checkpoint folder and go on from the files, so that a lost executor costs no rerun
+    of what came before. A bound on the rows, where known, keeps small results in few files."""
+    checkpoint_dir(df.sparkSession)
     if most_rows is not None:
         df = df.coalesce(4 + most_rows // PART_ROWS)
     return df.checkpoint()
@@ -40,6 +51,35 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_held: dict[str, object] = {}
+
+
+def held(key: str, make: Callable[[], object]):
+    """What ``make`` gives, kept in this Python worker under ``key`` until another key is asked for: workers are reused
+    from stage to stage, so one that kept every stage's tables would grow with the length of a pipeline."""
+    if key not in _held:
+        release()
+        _held[key] = make()
+    return _held[key]
+
+
+def release() -> None:
+    """Give back what this Python worker holds of earlier tasks."""
+    _held.clear()
+    _powers.clear()
+    trim()
+
+
+def trim() -> None:
+    """Give freed memory back to the system, as the allocators would keep it for this process alone."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
 def free_name(df: DataFrame, wanted: str) -> str:
     """``wanted``, with underscores added until no column of ``df`` has that name."""
     have = {c.lower() for c in df.columns}
@@ -118,7 +158,9 @@ def _power(base: int, n: int) -> np.ndarray:
     if have is None or len(have) < n:
         out = np.ones(max(n, 4096), dtype=np.uint64)
         out[1:] = np.uint64(base)
-        have = _powers[base] = np.multiply.accumulate(out)
+        have = np.multiply.accumulate(out)
+        if n <= PIECE_BYTES:  # those for a very long text are not kept
+            _powers[base] = have
     return have[:n]
 
 
@@ -139,10 +181,21 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix((sums[ends] - sums[starts]) * back[starts])
 
 
+def with_least(df: DataFrame, key: list[str], value: str, name: str, spread_by: str) -> DataFrame:
+    """``df`` with the least ``value`` of all rows with the same ``key``. Rows of one key are dealt by a hash of
+    ``spread_by`` over as many tasks as a shuffle has, first for partial minima and then for the join back, so a key that
+    holds a third of all rows fills no task."""
+    salts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(salts)))
+    parts = dealt.groupBy(*key, "_salt").agg(F.min(value).alias("_part"))
+    least = parts.groupBy(*key).agg(F.min("_part").alias(name))
+    return dealt.join(parts.drop("_part").join(least, key), [*key, "_salt"]).drop("_salt")
+
+
 def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(id, component) of every id in ``edges`` (a, b): the smallest id reachable, by alternating large-star and
-    small-star. Each step is a min per node and a join back, so a hub's neighbours never meet in one task's memory;
-    the adaptive planner may split the join at a hub. Null ids are dropped; an empty input gives an empty result."""
+    small-star. Each step is a least per node, joined back by node and salt, so that a hub's neighbours are dealt over
+    many tasks. Null ids are dropped; an empty input gives an empty result."""
     edges = cut(edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
 
     def state(df):
@@ -152,12 +205,10 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         """Large: v > u go to the least of u and its neighbours. Small: u and its smaller neighbours do."""
         if large:
             links = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = links.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        met = links.join(least, "u")
+        met = with_least(links, ["u"], "v", "m", "v").withColumn("m", F.least("u", "m"))
         if large:
             return met.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        out = met.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-        return out.distinct()
+        return met.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(met.select("u", F.col("m").alias("v"))).distinct()
 
     before = state(edges)  # stars have no more edges than before, and at most one more for each node
     for _ in range(most_rounds if before[0] else 0):

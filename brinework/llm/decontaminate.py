@@ -4,6 +4,7 @@ through it word by word, and spans whose matches are long enough are found, repo
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 from itertools import repeat
 
 import numpy as np
@@ -12,16 +13,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from brinework.llm.common import cut, is_word_table, joined, pieces, word_bounds
+from brinework.llm.common import bounded_batches, cut, free_name, held, is_word_table, joined, pieces, word_bounds
 
 #: A word is a run of other bytes than these: ASCII controls, space and punctuation.
 SEPARATORS = bytes([*range(0x00, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)])
 _NORMAL = bytes(b + 32 if 65 <= b <= 90 else 32 if b in SEPARATORS else b for b in range(256))
-#: Characters of test items in one automaton; more items are split by a hash of their id, and documents pass through
-#: one automaton after the other.
+#: Characters of test items in one automaton; more items are split by a hash of their id.
 SHARD_CHARS = 1_000_000
 
-HIDDEN = "struct<spans:array<int>,items:array<string>,n_words:int>"
+#: What one of several automata gives for a row: flat word spans (start, end, start, ...) and the ids of their items.
+HIDDEN = "spans array<int>, items array<string>"
 
 
 def words_of(text: str) -> list[bytes]:
@@ -163,89 +164,104 @@ def without(text: str, spans: list[tuple[int, int]]) -> str:
     return b" ".join(x for x in left if x).decode()
 
 
-_built: dict[str, Automaton] = {}
-
-
-def _scanner(shard, key: str, window: int, text_col: str):
-    """Adds what one automaton finds to the hidden column."""
+def _with_spans(shard, key: str, window: int, text_col: str, finish):
+    """Batches with what ``finish`` makes of each piece and, for each of its rows, the merged word spans that one
+    automaton finds, their items and the count of words."""
 
     def run(batches):
-        if key not in _built:
-            _built.clear()  # one automaton at a time
-            _built[key] = Automaton(shard.value, window)
-        machine = _built[key]
+        machine = held(key, lambda: Automaton(shard.value, window))
         for whole in batches:
             for batch in pieces(whole, text_col):
-                texts, hidden = batch.column(text_col), batch.column("_found").to_pylist()
-                data, at = joined(texts)
+                data, at = joined(batch.column(text_col))
                 raw = data.tobytes().translate(_NORMAL)
-                out = []
+                found = []
                 for i in range(batch.num_rows):
                     words = raw[at[i] : at[i + 1]].split()
-                    spans, items = machine.scan(words)
-                    if hidden[i] is not None:
-                        old = hidden[i]["spans"]
-                        spans = _merged(spans + list(zip(old[::2], old[1::2], strict=True)))
-                        items |= set(hidden[i]["items"])
-                    out.append({"spans": [x for s in spans for x in s], "items": sorted(items), "n_words": len(words)})
-                field = batch.schema.field("_found")
-                at_col = batch.schema.get_field_index("_found")
-                yield batch.set_column(at_col, field, pa.array(out, type=field.type))
+                    found.append((*machine.scan(words), len(words)))
+                yield finish(batch, found)
 
     return run
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, shard_chars: int = SHARD_CHARS) -> DataFrame:
-    """``docs`` with a column ``_found``: word spans of all item windows (flat: start, end, ...), ids of their items
-    and the count of words. A null or wordless text has no words. Null or wordless items match nothing; an item with a
-    null id matches but is not listed. Items meet in automata of at most about ``shard_chars`` characters, one after
-    the other, so what is broadcast stays bounded however many items there are."""
+def _spread(docs: DataFrame, benchmark: DataFrame, text_col: str, item_id: str, item_text: str, window: int, shard_chars: int, finish, schema) -> DataFrame:
+    """``finish(batch, found)`` of all rows of ``docs``, where ``found`` has (spans, items, words) for each row.
+
+    Items meet in automata of at most about ``shard_chars`` characters each, so what is broadcast and held stays bounded
+    however many items there are. With one automaton all is one pass over the texts. With more, the rows are numbered
+    and written once; each automaton reads the texts and gives only the rows that it finds something in, and what they
+    all found is joined to the rows by their numbers."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     items = benchmark.select(F.col(item_id).cast("string").alias("id"), F.col(item_text).cast("string").alias("text")).where("text is not null")
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     shards = max(1, -(-total // shard_chars))
-    found = docs.withColumn("_found", F.lit(None).cast(HIDDEN))
-    schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in found.schema])
-    for k in range(shards):
-        if k:
-            found = cut(found)
+
+    def machine(k: int):
         part = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(shards)) == k) if shards > 1 else items
-        shard = spark.sparkContext.broadcast([tuple(r) for r in part.toLocalIterator()])
-        found = found.mapInArrow(_scanner(shard, uuid.uuid4().hex, window, text_col), schema)
-    return found
+        return spark.sparkContext.broadcast([tuple(r) for r in part.toLocalIterator()]), uuid.uuid4().hex
 
+    if shards == 1:
+        return docs.mapInArrow(_with_spans(*machine(0), window, text_col, finish), schema)
+    row, hidden = free_name(docs, "_row"), free_name(docs, "_found")
+    numbered = cut(docs.withColumn(row, F.monotonically_increasing_id()))
+    narrow = numbered.select(F.col(row).alias("row"), F.col(text_col).alias("text"))
+    parts = [cut(narrow.mapInArrow(_with_spans(*machine(k), window, "text", _hits), f"row long, {HIDDEN}")) for k in range(shards)]
+    merged = reduce(DataFrame.union, parts).groupBy("row").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+    both = numbered.join(merged.select(F.col("row").alias(row), F.struct("spans", "items").alias(hidden)), row, "left")
 
-def report(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """(id_col, n_words, n_hit, items) for each row; see ``matches`` for nulls. n_hit: words inside any window."""
-    narrow = docs.select(id_col, F.col(text_col).cast("string").alias("text"))
-    found = matches(narrow, benchmark, **options).select(id_col, "_found.*")
-    hit = F.aggregate(F.transform("spans", lambda x, i: F.when(i % 2 == 0, -x).otherwise(x)), F.lit(0).cast("long"), lambda s, x: s + x)
-    return found.select(id_col, F.col("n_words").cast("long"), hit.alias("n_hit"), "items")
+    def run(batches):
+        for whole in batches:
+            for batch in pieces(whole, text_col):
+                found = []
+                for text, f in zip(batch.column(text_col).to_pylist(), batch.column(hidden).to_pylist(), strict=True):
+                    flat = f["spans"] if f else []
+                    found.append((_merged(list(zip(flat[::2], flat[1::2], strict=True))), set(f["items"]) if f else set(), len(words_of(text or ""))))
+                yield finish(batch.drop_columns([row, hidden]), found)
 
+    return both.select(*docs.columns, row, hidden).mapInArrow(run, schema)
 
-def _cutter(text_col: str, max_coverage: float, min_span: int):
-    def run(batches):
-        for batch in batches:
-            hidden, texts = batch.column("_found"), batch.column(text_col)
-            changed, keep = [], []
-            for i in range(batch.num_rows):
-                f = hidden[i].as_py()
-                flat = f["spans"]
-                spans = [(a, b) for a, b in zip(flat[::2], flat[1::2], strict=True) if b - a >= min_span]
-                keep.append(sum(b - a for a, b in spans) <= max_coverage * f["n_words"])
-                text = texts[i].as_py()
-                changed.append(without(text, spans) if spans and keep[-1] else text)
-            at = batch.schema.get_field_index(text_col)
-            out = batch.set_column(at, batch.schema.field(at), pa.array(changed, type=batch.schema.field(at).type))
-            yield out.select([n for n in batch.schema.names if n != "_found"]).filter(pa.array(keep, pa.bool_()))
 
-    return run
+def _hits(batch: pa.RecordBatch, found: list) -> pa.RecordBatch:
+    """The rows of ``batch`` (row, text) in which something was found."""
+    at = [i for i, f in enumerate(found) if f[0]]
+    spans = [[x for s in found[i][0] for x in s] for i in at]
+    return pa.RecordBatch.from_arrays([batch.column("row").take(pa.array(at, pa.int64())), pa.array(spans, pa.list_(pa.int32())), pa.array([sorted(found[i][1]) for i in at], pa.list_(pa.string()))], names=["row", "spans", "items"])
+
+
+def report(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, shard_chars: int = SHARD_CHARS) -> DataFrame:
+    """(id_col, n_words, n_hit, items) for each row; n_hit: words inside any window of an item; items: their ids, in
+    order. A null or wordless text has no words. Null or wordless items match nothing; an item with a null id matches
+    but is not listed. Repeated rows stay, other columns are ignored, an empty input gives an empty result."""
+    narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    kind = narrow.schema["id"].dataType
 
+    def finish(batch, found):
+        hit = [sum(b - a for a, b in spans) for spans, _, _ in found]
+        cols = [batch.column("id"), pa.array([n for _, _, n in found], pa.int64()), pa.array(hit, pa.int64()), pa.array([sorted(items) for _, items, _ in found], pa.list_(pa.string()))]
+        return pa.RecordBatch.from_arrays(cols, names=[id_col, "n_words", "n_hit", "items"])
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", max_coverage: float = 0.5, min_span: int = 1, **options) -> DataFrame:
+    schema = T.StructType([T.StructField(id_col, kind), T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("items", T.ArrayType(T.StringType()))])
+    return _spread(narrow, benchmark, "text", item_id, item_text, window, shard_chars, finish, schema)
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", max_coverage: float = 0.5, min_span: int = 1, item_id: str = "item_id", item_text: str = "text", window: int = 10, shard_chars: int = SHARD_CHARS) -> DataFrame:
     """``docs`` less the contaminated spans: a span of at least ``min_span`` words is cut from its text, and a row
     whose cut words are more than ``max_coverage`` of its words goes. Rows without a match stay as they are, empty and
-    null texts too; columns are those of ``docs``, which must have no column named _found."""
-    found = matches(docs, benchmark, text_col, **options)
+    null texts too; columns are those of ``docs``, whatever their names. Items as in ``report``."""
+
+    def finish(batch, found):
+        texts = batch.column(text_col)
+        changed, keep = {}, []
+        for i, (spans, _, words) in enumerate(found):
+            spans = [(a, b) for a, b in spans if b - a >= min_span]
+            keep.append(sum(b - a for a, b in spans) <= max_coverage * words)
+            if spans and keep[-1]:
+                changed[i] = without(texts[i].as_py(), spans)
+        if changed:
+            at = batch.schema.get_field_index(text_col)
+            new = pa.array([changed[i] if i in changed else t.as_py() for i, t in enumerate(texts)], type=batch.schema.field(at).type)
+            batch = batch.set_column(at, batch.schema.field(at), new)
+        return batch if all(keep) else batch.filter(pa.array(keep, pa.bool_()))
+
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in docs.schema])
-    return found.mapInArrow(_cutter(text_col, max_coverage, min_span), schema)
+    return _spread(docs, benchmark, text_col, item_id, item_text, window, shard_chars, finish, schema)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from brinework.llm.common import free_name, pieces
+from brinework.llm.common import bounded_batches, free_name, pieces
 
 # Sentences of licence notices, as published. "<...>" stands for one to twenty words, as of a name.
 SENTENCES = {
@@ -227,6 +227,7 @@ def scan(docs: DataFrame, text_col: str = "text", sentences: dict[str, str] | No
     """``docs`` with ``licence_sentences`` (identifiers in order) and ``licences`` (in the order of the rules) of each
     whole text; empty arrays where there is none, and for null and empty texts. Columns of ``docs`` with these names
     are replaced; name others in ``sentences_as`` and ``licences_as`` to keep them. Repeated rows stay."""
+    bounded_batches(docs.sparkSession)
     docs = docs.drop(sentences_as, licences_as)
     own = Recogniser(sentences or SENTENCES, rules or RULES)
     names = T.ArrayType(T.StringType())

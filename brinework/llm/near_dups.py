@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from brinework.llm.common import LOWER, SPACES, bounded_batches, connected_components, cut, is_word_table, joined, mix, pieces, word_bounds, word_hashes
+from brinework.llm.common import LOWER, SPACES, bounded_batches, connected_components, cut, free_name, is_word_table, joined, mix, pieces, release, with_least, word_bounds, word_hashes
 
 #: A pair at the threshold of 0.8 shares no band of 6 rows in 44 with probability (1 - 0.8**6)**44 = 1.6e-6; a pair
 #: at 0.4 shares one with probability 0.17.
@@ -80,6 +80,7 @@ def _signatures(shingle: int, bands: int, rows: int, seed: int):
                     [batch.column("id"), pa.array(n), pa.array(tag[:, 0].copy()), pa.array(tag[:, 1].copy()), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(np.ascontiguousarray(keys).reshape(-1).view(np.int64)))],
                     names=["id", "n_shingles", "tag1", "tag2", "bands"],
                 )
+        release()
 
     return run
 
@@ -145,6 +146,7 @@ def _sets(shingle: int):
                 ends = np.concatenate([[0], np.cumsum([len(o) for o in own])])
                 flat = np.concatenate([np.zeros(0, np.uint64), *own]).view(np.int64)
                 yield pa.RecordBatch.from_arrays([batch.column("id"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], names=["id", "shingles"])
+        release()
 
     return run
 
@@ -221,18 +223,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     that shares buckets with most others. Members that are in different components afterwards are compared too, unless
     a bound rules a link out, so no candidate stays unchecked.
 
-    Null or wordless texts: n_shingles 0, linked with nothing, kept. Rows with one id are one node. Null ids are
-    linked with nothing (component_id null, kept true). Other columns of ``docs`` are ignored. Empty input: empty."""
+    Null or wordless texts: n_shingles 0, linked with nothing, kept. Rows with one id are one node, whatever their
+    texts, and link what each of them links. Null ids are linked with nothing (component_id null, kept true). Other
+    columns of ``docs`` are ignored. Empty input: empty."""
     bounded_batches(docs.sparkSession)
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     signed = cut(base.mapInArrow(_signatures(shingle, bands, rows, seed), "id long, n_shingles long, tag1 long, tag2 long, bands array<long>"))
     found = signed.where("n_shingles > 0 and id is not null")
-    heads = found.groupBy("tag1", "tag2").agg(F.min("id").alias("head"))
-    banded = found.join(heads.select(F.col("head").alias("id")).distinct(), "id", "left_semi").select("id", F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
+    headed = cut(with_least(found.drop("bands"), ["tag1", "tag2"], "id", "head", "id"))
+    # one id with several texts: the heads of all its texts are one
+    several = headed.groupBy("id").agg(F.min("head").alias("v"), F.max("head").alias("most")).where("v < most").select("id", "v")
+    same = cut(headed.join(several, "id").where("head > v").select(F.col("head").alias("a"), F.col("v").alias("b")).distinct())
+    banded = found.join(headed.where("id = head").select("id").distinct(), "id", "left_semi").select("id", F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
     common = banded.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
     members = cut(banded.join(common, "bucket").distinct())
     n_open = members.count()
-    links, components = None, None
+    links = same
     if n_open:
         # each bucket's centre, the member that shares buckets with most others, against its other members
         score = members.groupBy("id").agg(F.sum("size").alias("score"))
@@ -242,32 +248,42 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         centres = open_.withColumn("_r", F.row_number().over(best)).where("_r = 1").select("bucket", F.struct("id", "n").alias("centre"))
         near = F.expr(f"id <> centre.id and 100 * least(n, centre.n) >= {percent} * greatest(n, centre.n)")
         pairs = open_.join(centres, "bucket").where(near).select(F.greatest("id", "centre.id").alias("a"), F.least("id", "centre.id").alias("b")).distinct()
-        links = cut(_confirmed(pairs, texts, shingle, percent))
-        components = cut(connected_components(links), n_open)
+        links = cut(_confirmed(pairs, texts, shingle, percent)).union(same)
+        components = cut(connected_components(links))
         left = open_.drop("score").join(centres.select("bucket", F.col("centre.id").alias("id")), ["bucket", "id"], "left_anti").join(components, "id", "left").withColumn("component", F.coalesce("component", "id"))
         left = cut(_split(left), n_open)
         if not left.isEmpty():
             more = cut(_confirmed(_apart(left, texts, shingle, percent), texts, shingle, percent))
             links = links.union(more)
-            components = cut(connected_components(links), n_open)
-
-    named = signed.drop("bands").join(heads, ["tag1", "tag2"], "left")
-    if components is not None:
-        named = named.join(components.select(F.col("id").alias("head"), "component"), "head", "left")
+            components = cut(connected_components(links))
     else:
-        named = named.withColumn("component", F.lit(None).cast("long"))
-    # a wordless text has no head
-    component = F.when(F.col("n_shingles") > 0, F.coalesce("component", "head")).otherwise(F.col("id"))
-    return named.select(F.col("id").alias(id_col), "n_shingles", F.when(F.col("id").isNotNull(), component).alias("component_id")).withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
+        components = connected_components(links)
+
+    # components are of heads only, so their join fills no task but by the copies of one text: those are dealt by id
+    heads = headed.select("head").distinct().join(components.select(F.col("id").alias("head"), "component"), "head").where("component <> head")
+    named = _joined_apart(headed.select("id", "n_shingles", "head"), heads, "head", "id")
+    named = named.select("id", "n_shingles", F.coalesce("component", "head").alias("component_id"))
+    alone = signed.where("n_shingles = 0 or id is null").select("id", "n_shingles", F.col("id").alias("component_id"))
+    out = named.union(alone)
+    return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+def _joined_apart(rows: DataFrame, facts: DataFrame, key: str, spread_by: str) -> DataFrame:
+    """``rows`` left-joined with ``facts``, which has at most one row for each ``key``. Rows of one key are dealt over many
+    tasks: the keys of each salt fetch the fact first, and the rows of that salt take it from there."""
+    salts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(salts)))
+    here = dealt.select(key, "_salt").distinct().join(facts, key)
+    return dealt.join(here, [key, "_salt"], "left").drop("_salt")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` less all but one document of each near-duplicate group; columns stay as they are.
     Rows that repeat an id keep one row of it; rows with a null id stay."""
     classes = near_duplicates(docs, id_col, text_col, **options)
-    gone = classes.where("not kept").select(F.col(id_col).alias("_gone")).distinct()
-    left = docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
-    repeated = classes.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").isEmpty()
-    if repeated:
+    gone_id = free_name(docs, "_gone")
+    gone = classes.where("not kept").select(F.col(id_col).alias(gone_id)).distinct()
+    left = docs.join(gone, docs[id_col] == gone[gone_id], "left_anti")
+    if docs.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").isEmpty():
         return left
     return left.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).union(left.where(F.col(id_col).isNull()))

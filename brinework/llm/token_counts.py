@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from brinework.llm.common import joined, pieces
+from brinework.llm.common import bounded_batches, held, joined, pieces
 from brinework.llm.word_ids import Cache, byte_letters
 
 #: White space of the library's patterns: Unicode White_Space.
@@ -114,14 +114,9 @@ class MergeCounter:
         return [n + sum(map(get, parts)) for n, parts in zip(extra, whole, strict=True)]
 
 
-_counters: dict[str, MergeCounter] = {}
-
-
 def _counting(path: str, text_col: str, names: tuple[str, str]):
     def run(batches):
-        if path not in _counters:
-            _counters[path] = MergeCounter(path)
-        counter = _counters[path]
+        counter = held(f"counter {path}", lambda: MergeCounter(path))
         for whole in batches:
             for batch in pieces(whole, text_col):
                 data, at = joined(batch.column(text_col))
@@ -137,6 +132,7 @@ def token_counts(docs: DataFrame, tokenizer: str, text_col: str = "text", bytes_
     """``docs`` with the UTF-8 bytes and the tokens of each text; null and empty texts have none of either. Special
     strings of the tokenizer file are one token each. A column of ``docs`` that has one of the two names is replaced.
     Repeated rows stay; an empty input gives an empty result."""
+    bounded_batches(docs.sparkSession)
     docs = docs.drop(bytes_as, tokens_as).withColumn(text_col, F.col(text_col).cast("string"))
     fields = [T.StructField(f.name, f.dataType, True) for f in docs.schema]
     schema = T.StructType([*fields, T.StructField(bytes_as, T.LongType()), T.StructField(tokens_as, T.LongType())])

@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from brinework.llm.common import bounded_batches, pieces
+from brinework.llm.common import bounded_batches, checkpoint_dir, held, pieces
 from brinework.llm.word_ids import WordEncoder
 
 #: Ids in a block, about; a longer document is a block by itself. It bounds what a task holds at once.
@@ -58,28 +58,23 @@ def _block(part: int, number: int, before: int, names: list, texts: list[bytes])
     return {"part": part, "block": number, "ids_before": before, "n_ids": len(ids), "doc_ids": names, "doc_sizes": [len(t) // 4 for t in texts], "ranks": ranked.astype("<u4").tobytes(), "control": control, "data": data}
 
 
-_encoders: dict[str, WordEncoder] = {}
-
-
 def _writer(path: str, end_id: int, block_ids: int):
     end = np.array([end_id], dtype="<u4").tobytes()
     schema = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("ids_before", pa.int64()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("doc_sizes", pa.list_(pa.int64())), ("ranks", pa.binary()), ("control", pa.binary()), ("data", pa.binary())])
 
     def run(batches):
-        if path not in _encoders:
-            _encoders[path] = WordEncoder(path)
-        encoder = _encoders[path]
-        part, number, before, held, names, texts = TaskContext.get().partitionId(), 0, 0, 0, [], []
+        encoder = held(f"encoder {path}", lambda: WordEncoder(path))
+        part, number, before, n_ids, names, texts = TaskContext.get().partitionId(), 0, 0, 0, [], []
         for whole in batches:
             for batch in pieces(whole, "text"):
                 raw = [(t or "").encode() for t in batch.column("text").to_pylist()]
                 for name, ids in zip(batch.column("id").to_pylist(), encoder.encode(raw), strict=True):
                     names.append(name)
                     texts.append(ids + end)
-                    held += len(ids) // 4 + 1
-                    if held >= block_ids:
+                    n_ids += len(ids) // 4 + 1
+                    if n_ids >= block_ids:
                         yield pa.RecordBatch.from_pylist([_block(part, number, before, names, texts)], schema)
-                        number, before, held, names, texts = number + 1, before + held, 0, [], []
+                        number, before, n_ids, names, texts = number + 1, before + n_ids, 0, [], []
         if names:
             yield pa.RecordBatch.from_pylist([_block(part, number, before, names, texts)], schema)
 
@@ -127,11 +122,4 @@ def read(spark: SparkSession, path: str, as_ids: bool = False) -> DataFrame:
 
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path in the folder that driver and executors share."""
-    sc = spark.sparkContext
-    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if root is None:
-        from brinework.llm.common import cut
-
-        cut(spark.range(0))
-        root = sc.getCheckpointDir()
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

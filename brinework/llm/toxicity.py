@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from brinework.llm.common import bounded_batches, pieces, word_hashes
+from brinework.llm.common import bounded_batches, free_name, pieces, release, word_hashes
 from brinework.llm.decontaminate import _NORMAL
 
 BUCKETS, WIDTH, GRAMS, WINDOW = 1 << 16, 8, (3, 4, 5), 8
@@ -89,7 +89,7 @@ def scores(texts: list[bytes], model: Model) -> np.ndarray:
 
 def fit(texts: list[bytes], labels: list[int], steps: int = 120, rate: float = 0.05, decay: float = 1e-7, seed: int = 11) -> Model:
     """Joint training of n-gram vectors and softmax by Adam on the worst window of each text. Without rows of both
-    classes, a model that gives every text the share of class 1 (0.5 - tiny for no rows)."""
+    classes, a model that gives every text the one class there is, nearly surely; that of no toxicity for no rows."""
     y = np.asarray(labels, dtype=np.float64)
     texts = [t or b"" for t in texts]
     if len(set(labels)) < 2:
@@ -171,16 +171,18 @@ def fit(texts: list[bytes], labels: list[int], steps: int = 120, rate: float = 0
 
 
 def fit_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: tuple[int, int] = FIT_ROWS) -> list[tuple[bytes, int]]:
-    """At most ``per_class`` rows of label 0 and of label 1 whose crc32(id as text) mod 5 is not 0, least hash first. The ids are
-    chosen before any text is read, so only bounded rows meet on the driver."""
+    """At most ``per_class`` rows of label 0 and of label 1 whose crc32(id as text) mod 5 is not 0, least hash first. The
+    ids are chosen before any text is read, so only bounded rows meet on the driver. An id with both labels is toxic;
+    null ids and labels are left out, and so are null texts. An id with several texts gives all of them."""
     lab = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).where("_id is not null and _y in (0, 1)")
+    lab = lab.groupBy("_id").agg(F.max("_y").alias("_y"))
     lab = lab.where(F.crc32(F.col("_id").cast("string").cast("binary")) % 5 != 0).join(docs.select(F.col(id_col).alias("_id")).distinct(), "_id", "left_semi").withColumn("_h", F.xxhash64("_id"))
     few = [r for y in (0, 1) for r in lab.where(F.col("_y") == y).orderBy("_h", "_id").limit(per_class[y]).collect()]
     if not few:
         return []
-    spark = docs.sparkSession
-    chosen = spark.createDataFrame([(r["_id"], r["_y"]) for r in few], "_id long, _y int").dropDuplicates(["_id"])
-    got = docs.join(F.broadcast(chosen), docs[id_col] == F.col("_id")).select("_id", "_y", F.col(text_col).alias("_t")).where("_t is not null").collect()
+    chosen = docs.sparkSession.createDataFrame(pa.table({"_id": pa.array([r["_id"] for r in few], pa.int64()), "_y": pa.array([r["_y"] for r in few], pa.int32())}))
+    texts = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("_t")).where("_t is not null")
+    got = texts.join(F.broadcast(chosen), F.col("_doc") == F.col("_id")).select("_id", "_y", "_t").collect()
     return [(r["_t"].encode(), r["_y"]) for r in sorted(got, key=lambda r: (r["_id"], r["_t"]))]
 
 
@@ -197,12 +199,15 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", score_as: str =
             for batch in pieces(whole, text_col, PIECE_BYTES):
                 texts = [(t or "").encode() for t in batch.column(text_col).to_pylist()]
                 yield batch.append_column(score_as, pa.array(scores(texts, shared.value)))
+        release()
 
     return docs.mapInArrow(run, schema)
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, **options) -> DataFrame:
-    """``docs`` less the rows that a model fitted on ``labels`` scores at ``threshold`` or more; columns stay."""
+    """``docs`` less the rows that a model fitted on ``labels`` scores at ``threshold`` or more; columns stay, whatever
+    their names."""
     rows = fit_rows(docs, labels, id_col, text_col, **options)
     model = fit([t for t, _ in rows], [y for _, y in rows])
-    return score(docs, model, text_col, "_toxicity").where(F.col("_toxicity") < threshold).select(*docs.columns)
+    name = free_name(docs, "_toxicity")
+    return score(docs, model, text_col, name).where(F.col(name) < threshold).select(*docs.columns)

@@ -106,3 +106,34 @@ def test_components(spark):
     want = components_of({x for ab in links for x in ab if ab[0] != ab[1]}, [ab for ab in links if ab[0] != ab[1]])
     assert got == want
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_one_id_with_several_texts_is_one_node(spark):
+    a, b = "one two three four five six seven", "red orange yellow green blue indigo violet"
+    rows = [(5, a), (5, b), (1, a), (2, b), (7, "alone in all the world"), (7, b), (9, a + " eight nine ten eleven"), (8, None), (8, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {(r.doc_id, r.component_id) for r in near_dups.near_duplicates(docs).collect()}
+    assert got == {(5, 1), (1, 1), (2, 1), (7, 1), (9, 9), (8, 8)}
+    assert sorted(r.doc_id for r in near_dups.keep_one(docs.withColumn("_gone", docs.doc_id)).collect()) == [1, 8, 9]
+
+
+def test_very_long_texts(spark):
+    rng = random.Random(3)
+    base = [f"w{rng.randrange(50_000)}" for _ in range(400_000)]
+    near = list(base)
+    for k in range(0, 400_000, 10_000):
+        near[k] = "changed"
+    rows = [(1, " ".join(base)), (2, " ".join(near)), (3, " ".join(base[: 200_000])), (4, "x " * 600_000), (5, "x " * 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {tuple(r) for r in near_dups.near_duplicates(docs).collect()} == brute(rows, 5)
+
+
+def test_hot_keys_are_dealt_over_tasks(spark):
+    from brinework.llm.common import with_least
+
+    df = spark.range(3000).selectExpr("id", "if(id < 2900, 0, id) as k", "(id * 7919) % 3001 as v").repartition(5)
+    out = with_least(df, ["k"], "v", "least", "id")
+    want = {}
+    for r in df.collect():
+        want[r.k] = min(want.get(r.k, 1 << 40), r.v)
+    assert {(r.id, r.least) for r in out.collect()} == {(r.id, want[r.k]) for r in df.collect()}

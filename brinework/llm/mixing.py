@@ -9,12 +9,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from brinework.llm.common import cut
+from brinework.llm.common import cut, free_name
 
 LEVELS = ("domain", "lang", "source")
-#: Hex digits of the key by which a source's order is summed first; only the bucket in which the budget ends is summed
-#: row by row, so a source that holds a third of all rows needs no task of its own.
-PREFIX = 3
+#: Hex digits of the key by which a source's order is summed at a time; only the bucket in which the budget ends is
+#: looked into further, so a source that holds a third of all rows needs no task of its own.
+DIGITS = 2
+#: Rows of a source, about, that may be summed one by one.
+FEW_ROWS = 500
 #: Leaves up to which their table is broadcast.
 FEW_LEAVES = 50_000
 
@@ -57,45 +59,70 @@ def budgets(leaves: DataFrame, budget: int, weights: dict[str, dict[str, float]]
     return leaves.drop("capacity").join(amount.withColumnRenamed("amount", "tokens_due"), list(LEVELS))
 
 
-def mix(docs: DataFrame, domain: Column, budget_share: float = 0.5, weights: dict[str, dict[str, float]] | None = None, max_epochs: int = 2, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+def _levels(most_rows: int) -> int:
+    """How often a source's order is cut into ``16 ** DIGITS`` buckets until one of them has few rows."""
+    levels = 1
+    while most_rows > FEW_ROWS * 16 ** (DIGITS * levels):
+        levels += 1
+    return levels
+
+
+def _ends(keyed: DataFrame, small, levels: int) -> DataFrame:
+    """(leaf, last_key): the greatest key that fits in what is left for the last epoch of each leaf whose budget ends
+    within it, or nothing where no row fits; ``keyed``: (leaf, extra, key, tokens). Leaves that are taken whole are not
+    listed."""
+    up_to = lambda by, order: Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    left, prefix = keyed.withColumn("before", F.lit(0).cast("long")), 0
+    for _ in range(levels):
+        prefix += DIGITS
+        left = left.withColumn("bucket", F.substring("key", 1, prefix))
+        sums = left.groupBy(*LEVELS, "bucket", "extra", "before").agg(F.sum("tokens").alias("tokens"))
+        ends = sums.withColumn("till", F.col("before") + F.sum("tokens").over(up_to(LEVELS, "bucket"))).where("till > extra")
+        ends = cut(ends.groupBy(*LEVELS).agg(F.min_by(F.struct("bucket", (F.col("till") - F.col("tokens")).alias("before")), "bucket").alias("end")).select(*LEVELS, F.col("end.bucket").alias("end_bucket"), F.col("end.before").alias("till_here")))
+        left = left.join(small(ends), list(LEVELS)).where("bucket = end_bucket").select(*LEVELS, "extra", "key", "tokens", F.col("till_here").alias("before"))
+    last = left.groupBy(*LEVELS, "before", "extra", "key").agg(F.sum("tokens").alias("tokens"))
+    fit = last.withColumn("till", F.col("before") + F.sum("tokens").over(up_to(LEVELS, "key"))).where("till <= extra").groupBy(*LEVELS).agg(F.max("key").alias("last_key"))
+    # with no row of the last bucket, what comes before that bucket still fits
+    return ends.join(fit, list(LEVELS), "left").select(*LEVELS, F.coalesce("last_key", "end_bucket").alias("last_key"))
+
+
+def mix(docs: DataFrame, domain: Column, budget_share: float = 0.5, weights: dict[str, dict[str, float]] | None = None, max_epochs: int = 2, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", domain_as: str = "_domain", tokens_as: str = "_tokens", epoch_as: str = "_epoch") -> DataFrame:
     """The selected rows of ``docs``, once for each epoch they are in, with ``_domain``, ``_tokens`` and ``_epoch``.
 
     The budget is ``budget_share`` of all tokens. Weights not given are 1; a weight of 0 takes nothing while a sibling
     has any. A source's order in epoch e is that of md5(seed:e:id); it is cut before the row that would pass what the
     source is to give, so no source gives more than that. Rows with one id (null ids count as one) stand at one place
     and are taken together. Null domain, language or source count as the empty name, null texts as 0 tokens. Other
-    columns stay. An empty input gives an empty result."""
+    columns stay; columns with the names of the three new ones are replaced, so name others in ``domain_as``,
+    ``tokens_as`` and ``epoch_as`` to keep them. An empty input gives an empty result."""
     weights = weights or {}
-    named = docs.withColumns({"_domain": F.coalesce(domain.cast("string"), F.lit("")), "_tokens": tokens_of(F.col(text_col)), "_lang": F.coalesce(F.col(lang_col).cast("string"), F.lit("")), "_source": F.coalesce(F.col(source_col).cast("string"), F.lit(""))})
-    name = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
-    narrow = cut(named.select(name.alias("id"), F.col("_domain").alias("domain"), F.col("_lang").alias("lang"), F.col("_source").alias("source"), F.col("_tokens").alias("tokens")))
-    leaves = cut(narrow.groupBy(*LEVELS).agg(F.sum("tokens").alias("supply")))
-    total, n_leaves = leaves.agg(F.coalesce(F.sum("supply"), F.lit(0)), F.count("*")).first()
+    own = {k: free_name(docs, f"_mix_{k}") for k in (*LEVELS, "tokens", "epochs", "last_key", "upto", "epoch")}
+    text_of = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    named = docs.withColumns({own["domain"]: text_of(domain), own["tokens"]: tokens_of(F.col(text_col)), own["lang"]: text_of(F.col(lang_col)), own["source"]: text_of(F.col(source_col))})
+    name = text_of(F.col(id_col))
+    narrow = cut(named.select(name.alias("id"), *(F.col(own[k]).alias(k) for k in (*LEVELS, "tokens"))))
+    leaves = cut(narrow.groupBy(*LEVELS).agg(F.sum("tokens").alias("supply"), F.count("*").alias("rows")))
+    total, n_leaves, most_rows = leaves.agg(F.coalesce(F.sum("supply"), F.lit(0)), F.count("*"), F.coalesce(F.max("rows"), F.lit(0))).first()
     small = (lambda df: F.broadcast(df)) if n_leaves <= FEW_LEAVES else (lambda df: df)
 
-    due = budgets(leaves, int(total * budget_share), weights, max_epochs)
+    due = budgets(leaves.drop("rows"), int(total * budget_share), weights, max_epochs)
     whole = F.coalesce(F.floor(F.try_divide("tokens_due", "supply")), F.lit(0)).cast("long")
     due = cut(due.withColumn("epochs", whole).withColumn("extra", F.col("tokens_due") - F.col("epochs") * F.col("supply")).select(*LEVELS, "epochs", "extra"))
 
     def key(epochs, row_id):
         return F.md5(F.concat_ws(":", F.lit(seed), epochs + 1, row_id))
 
-    keyed = narrow.join(small(due), list(LEVELS)).withColumn("key", key(F.col("epochs"), F.col("id"))).withColumn("bucket", F.substring("key", 1, PREFIX))
-    sums = keyed.groupBy(*LEVELS, "bucket", "extra").agg(F.sum("tokens").alias("tokens"))
-    up_to = Window.partitionBy(*LEVELS).orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ends = sums.withColumn("till", F.sum("tokens").over(up_to)).where("till > extra").groupBy(*LEVELS).agg(F.min_by(F.struct("bucket", (F.col("till") - F.col("tokens")).alias("before")), "bucket").alias("end"))
-    ends = cut(ends.select(*LEVELS, F.col("end.bucket").alias("end_bucket"), F.col("end.before").alias("before")))
-    last = keyed.join(small(ends), list(LEVELS)).where("bucket = end_bucket").groupBy(*LEVELS, "before", "extra", "key").agg(F.sum("tokens").alias("tokens"))
-    in_order = Window.partitionBy(*LEVELS).orderBy("key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    fit = last.withColumn("till", F.col("before") + F.sum("tokens").over(in_order)).where("till <= extra").groupBy(*LEVELS).agg(F.max("key").alias("last_key"))
-    table = cut(due.join(ends.drop("before"), list(LEVELS), "left").join(fit, list(LEVELS), "left"))
-    table = table.select(*(F.col(c).alias(f"_{c}") for c in (*LEVELS, "epochs", "end_bucket", "last_key")))
-
-    own = key(F.col("_epochs"), name)
-    in_prefix = F.col("_end_bucket").isNull() | (F.substring(own, 1, PREFIX) < F.col("_end_bucket")) | F.coalesce((F.substring(own, 1, PREFIX) == F.col("_end_bucket")) & (own <= F.col("_last_key")), F.lit(False))
-    upto = F.col("_epochs") + F.when(in_prefix, 1).otherwise(0)
-    taken = named.join(small(table), ["_domain", "_lang", "_source"]).withColumn("_upto", upto).where("_upto > 0")
-    return taken.withColumn("_epoch", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_upto")))).select(*docs.columns, "_domain", "_tokens", "_epoch")
+    keyed = narrow.join(small(due), list(LEVELS)).withColumn("key", key(F.col("epochs"), F.col("id")))
+    ends = _ends(keyed.select(*LEVELS, "extra", "key", "tokens"), small, _levels(most_rows))
+    table = cut(due.join(ends, list(LEVELS), "left")).select(*(F.col(k).alias(own[k]) for k in (*LEVELS, "epochs", "last_key")))
+
+    # a key is longer than the bucket that it is in, and so greater
+    in_prefix = F.col(own["last_key"]).isNull() | (key(F.col(own["epochs"]), name) <= F.col(own["last_key"]))
+    upto = F.col(own["epochs"]) + F.when(in_prefix, 1).otherwise(0)
+    taken = named.join(small(table), [own[k] for k in LEVELS]).withColumn(own["upto"], upto).where(F.col(own["upto"]) > 0)
+    taken = taken.withColumn(own["epoch"], F.explode(F.sequence(F.lit(1).cast("long"), F.col(own["upto"]))))
+    stay = [c for c in docs.columns if c not in (domain_as, tokens_as, epoch_as)]
+    return taken.select(*stay, F.col(own["domain"]).alias(domain_as), F.col(own["tokens"]).alias(tokens_as), F.col(own["epoch"]).alias(epoch_as))
 
 
 def oracle(domain: str, budget_share: float, weights: dict[str, dict[str, float]], max_epochs: int, seed: int) -> str:

@@ -86,3 +86,24 @@ def test_short_sibling_gives_to_siblings_first(spark):
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, tag string")
     assert mixing.mix(docs, F.col("tag")).count() == 0
+
+
+def test_orders_cut_into_several_levels_of_buckets(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "FEW_ROWS", 2)
+    monkeypatch.setattr(mixing, "DIGITS", 1)
+    assert [mixing._levels(n) for n in (0, 32, 33, 512, 513)] == [1, 1, 2, 2, 3]
+    for seed in (6, 7):
+        rows = some(seed, 400)
+        docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, tag string")
+        got = [(r.doc_id, r._domain, r.lang or "", r.source or "", r._epoch) for r in mixing.mix(docs, F.col("tag"), 0.6, {}, 2, seed).collect()]
+        assert sorted(got, key=str) == brute(rows, {}, 0.6, 2, seed)
+
+
+def test_clashing_columns_and_long_texts(spark):
+    rows = [(1, "a b c", "en", "s", "web", "mine", 7), (2, "w " * 500_000, "en", "s", "web", "mine", 7), (3, None, "en", "s", "web", None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, tag string, _tokens string, _mix_key int")
+    got = mixing.mix(docs, F.col("tag"), 1.0, max_epochs=1, tokens_as="n")
+    assert got.columns == ["doc_id", "text", "lang", "source", "tag", "_tokens", "_mix_key", "_domain", "n", "_epoch"]
+    assert {(r.doc_id, r._tokens, r._mix_key, r.n) for r in got.collect()} == {(1, "mine", 7, 3), (2, "mine", 7, 500_000), (3, None, None, 0)}
+    replaced = mixing.mix(docs, F.col("tag"), 1.0, max_epochs=1)
+    assert replaced.columns.count("_tokens") == 1 and {r._tokens for r in replaced.collect()} == {3, 500_000, 0}

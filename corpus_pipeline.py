@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brinework.llm import decontaminate, mixing, near_dups, token_files, toxicity
-from brinework.llm.common import table
+from brinework.llm.common import free_name, table
 from brinework.llm.queries import MIX, mix_domain
 
 #: A model and hashed candidates have no SQL; the stages are tested against brute force.
@@ -31,7 +31,8 @@ def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources by target weights, each document at most once."""
-    return mixing.mix(docs, mix_domain(), weights=MIX["weights"], seed=MIX["seed"], budget_share=0.9, max_epochs=1).select(*docs.columns)
+    new = {k: free_name(docs, f"_mixed_{k}") for k in ("domain_as", "tokens_as", "epoch_as")}
+    return mixing.mix(docs, mix_domain(), weights=MIX["weights"], seed=MIX["seed"], budget_share=0.9, max_epochs=1, **new).select(*docs.columns)
 
 
 def write_token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

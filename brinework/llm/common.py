@@ -181,38 +181,45 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix((sums[ends] - sums[starts]) * back[starts])
 
 
-def with_least(df: DataFrame, key: list[str], value: str, name: str, spread_by: str) -> DataFrame:
-    """``df`` with the least ``value`` of all rows with the same ``key``. Rows of one key are dealt by a hash of
-    ``spread_by`` over as many tasks as a shuffle has, first for partial minima and then for the join back, so a key that
-    holds a third of all rows fills no task."""
-    salts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = df.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(salts)))
-    parts = dealt.groupBy(*key, "_salt").agg(F.min(value).alias("_part"))
-    least = parts.groupBy(*key).agg(F.min("_part").alias(name))
-    return dealt.join(parts.drop("_part").join(least, key), [*key, "_salt"]).drop("_salt")
+#: Rows that a task of a join may have of one key, at least; and keys with more of them, at most.
+KEY_ROWS, HOT_KEYS = 100, 10_000
+
+
+def joined_by_key(rows: DataFrame, facts: DataFrame, key: list[str], size: str, n: int, how: str = "inner") -> DataFrame:
+    """``rows`` with ``facts``, which has one row for each ``key`` and in ``size`` how many of the ``n`` rows it has. A key
+    with over ``n / HOT_KEYS`` rows fills no task: there are at most ``HOT_KEYS`` such keys, whose facts are broadcast to
+    where the rows are. All other keys are joined by shuffle."""
+    most = max(KEY_ROWS, n // HOT_KEYS)
+    hot, few = facts.where(F.col(size) > most).drop(size), facts.where(F.col(size) <= most).drop(size)
+    rest = rows.join(F.broadcast(hot.select(*key)), key, "left_anti").join(few, key, how)
+    return rows.join(F.broadcast(hot), key).unionByName(rest)
+
+
+def with_least(df: DataFrame, key: list[str], value: str, name: str, n: int) -> DataFrame:
+    """``df`` (of ``n`` rows) with the least ``value`` of all rows with the same ``key``; a hot key fills no task."""
+    return joined_by_key(df, df.groupBy(*key).agg(F.min(value).alias(name), F.count("*").alias("_size")), key, "_size", n)
 
 
 def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(id, component) of every id in ``edges`` (a, b): the smallest id reachable, by alternating large-star and
-    small-star. Each step is a least per node, joined back by node and salt, so that a hub's neighbours are dealt over
-    many tasks. Null ids are dropped; an empty input gives an empty result."""
+    small-star. Each step is a least per node and a join back in which a hub's neighbours fill no task. Null ids are dropped; an empty input gives an empty result."""
     edges = cut(edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
 
     def state(df):
         return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
-    def star(links, large: bool):
+    def star(links, large: bool, n: int):
         """Large: v > u go to the least of u and its neighbours. Small: u and its smaller neighbours do."""
         if large:
             links = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        met = with_least(links, ["u"], "v", "m", "v").withColumn("m", F.least("u", "m"))
+        met = with_least(links, ["u"], "v", "m", n).withColumn("m", F.least("u", "m"))
         if large:
             return met.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         return met.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(met.select("u", F.col("m").alias("v"))).distinct()
 
     before = state(edges)  # stars have no more edges than before, and at most one more for each node
     for _ in range(most_rounds if before[0] else 0):
-        edges = cut(star(star(edges, True), False), 2 * before[0])
+        edges = cut(star(star(edges, True, 2 * before[0]), False, before[0]), 2 * before[0])
         after = state(edges)
         if after == before:
             break

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from brinework.llm.common import LOWER, SPACES, bounded_batches, connected_components, cut, free_name, is_word_table, joined, mix, pieces, release, with_least, word_bounds, word_hashes
+from brinework.llm.common import LOWER, SPACES, bounded_batches, connected_components, cut, free_name, is_word_table, joined, joined_by_key, mix, pieces, release, with_least, word_bounds, word_hashes
 
 #: A pair at the threshold of 0.8 shares no band of 6 rows in 44 with probability (1 - 0.8**6)**44 = 1.6e-6; a pair
 #: at 0.4 shares one with probability 0.17.
@@ -127,11 +127,11 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -
     return full.mapInArrow(_verified(shingle, percent), "a long, b long")
 
 
-def _split(members: DataFrame) -> DataFrame:
+def _split(members: DataFrame, n: int) -> DataFrame:
     """Members of buckets that hold several components, with the bucket's size, its largest component, and how many
     members are in others."""
     of = members.groupBy("bucket", "component").agg(F.count("*").alias("k")).groupBy("bucket").agg(F.sum("k").alias("size"), F.max("k").alias("most"), F.max_by("component", F.struct("k", "component")).alias("main"))
-    return members.join(of.where("most < size").withColumn("others", F.col("size") - F.col("most")).drop("most"), "bucket")
+    return joined_by_key(members, of.where("most < size").select("bucket", "size", "main", (F.col("size") - F.col("most")).alias("others"), F.col("size").alias("_size")), ["bucket"], "_size", n)
 
 
 def _sets(shingle: int):
@@ -189,7 +189,7 @@ def _crossing(percent: int):
     return run
 
 
-def _apart(members: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+def _apart(members: DataFrame, texts: DataFrame, shingle: int, percent: int, n: int) -> DataFrame:
     """Pairs (a, b) of members of one bucket that are in different components and may be links; of several pairs from
     one member to one component, one at least if any of them is a link.
 
@@ -202,7 +202,7 @@ def _apart(members: DataFrame, texts: DataFrame, shingle: int, percent: int) ->
     common = each.groupBy("s").agg(F.count("*").alias("k")).where("k > 1").select("s")
     shared = each.join(common, "s").groupBy("id").agg(F.count("*").alias("c"))
     live = members.select("bucket", "id", "n", "component").join(shared, "id").where(f"100 * c >= {percent} * n")
-    live = cut(_split(live))
+    live = cut(_split(live, n))
     fits = F.expr(f"component <> other.component and 100 * least(c, other.c) >= {percent} * (n + other.n - least(c, other.c))")
     few = live.where(f"size <= {FEW}")
     pairs = few.join(few.select("bucket", F.struct("id", "n", "c", "component").alias("other")), "bucket").where("id > other.id").where(fits).select(F.col("id").alias("a"), F.col("other.id").alias("b"))
@@ -230,53 +230,45 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     signed = cut(base.mapInArrow(_signatures(shingle, bands, rows, seed), "id long, n_shingles long, tag1 long, tag2 long, bands array<long>"))
     found = signed.where("n_shingles > 0 and id is not null")
-    headed = cut(with_least(found.drop("bands"), ["tag1", "tag2"], "id", "head", "id"))
+    n_rows = signed.count()
+    headed = cut(with_least(found.drop("bands"), ["tag1", "tag2"], "id", "head", n_rows))
     # one id with several texts: the heads of all its texts are one
     several = headed.groupBy("id").agg(F.min("head").alias("v"), F.max("head").alias("most")).where("v < most").select("id", "v")
     same = cut(headed.join(several, "id").where("head > v").select(F.col("head").alias("a"), F.col("v").alias("b")).distinct())
     banded = found.join(headed.where("id = head").select("id").distinct(), "id", "left_semi").select("id", F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
     common = banded.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-    members = cut(banded.join(common, "bucket").distinct())
+    shared = common.withColumn("_size", F.col("size"))
+    members = cut(joined_by_key(banded, shared, ["bucket"], "_size", n_rows * bands).distinct())
     n_open = members.count()
     links = same
     if n_open:
         # each bucket's centre, the member that shares buckets with most others, against its other members
         score = members.groupBy("id").agg(F.sum("size").alias("score"))
-        open_ = cut(members.drop("size").join(score, "id"), n_open)
+        open_ = cut(members.join(score, "id"), n_open)
         texts = cut(_texts_of(base, members.select("id").distinct()))
         best = Window.partitionBy("bucket").orderBy(F.desc("score"), "id")
-        centres = open_.withColumn("_r", F.row_number().over(best)).where("_r = 1").select("bucket", F.struct("id", "n").alias("centre"))
+        centres = open_.withColumn("_r", F.row_number().over(best)).where("_r = 1").select("bucket", F.struct("id", "n").alias("centre"), F.col("size").alias("_size"))
         near = F.expr(f"id <> centre.id and 100 * least(n, centre.n) >= {percent} * greatest(n, centre.n)")
-        pairs = open_.join(centres, "bucket").where(near).select(F.greatest("id", "centre.id").alias("a"), F.least("id", "centre.id").alias("b")).distinct()
+        pairs = joined_by_key(open_, centres, ["bucket"], "_size", n_open).where(near).select(F.greatest("id", "centre.id").alias("a"), F.least("id", "centre.id").alias("b")).distinct()
         links = cut(_confirmed(pairs, texts, shingle, percent)).union(same)
         components = cut(connected_components(links))
-        left = open_.drop("score").join(centres.select("bucket", F.col("centre.id").alias("id")), ["bucket", "id"], "left_anti").join(components, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        left = cut(_split(left), n_open)
+        left = open_.drop("score", "size").join(centres.select("bucket", F.col("centre.id").alias("id")), ["bucket", "id"], "left_anti").join(components, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        left = cut(_split(left, n_open), n_open)
         if not left.isEmpty():
-            more = cut(_confirmed(_apart(left, texts, shingle, percent), texts, shingle, percent))
+            more = cut(_confirmed(_apart(left, texts, shingle, percent, n_open), texts, shingle, percent))
             links = links.union(more)
             components = cut(connected_components(links))
     else:
         components = connected_components(links)
 
-    # components are of heads only, so their join fills no task but by the copies of one text: those are dealt by id
-    heads = headed.select("head").distinct().join(components.select(F.col("id").alias("head"), "component"), "head").where("component <> head")
-    named = _joined_apart(headed.select("id", "n_shingles", "head"), heads, "head", "id")
+    moved = headed.groupBy("head").agg(F.count("*").alias("_size")).join(components.select(F.col("id").alias("head"), "component"), "head").where("component <> head")
+    named = joined_by_key(headed.select("id", "n_shingles", "head"), moved, ["head"], "_size", n_rows, "left")
     named = named.select("id", "n_shingles", F.coalesce("component", "head").alias("component_id"))
     alone = signed.where("n_shingles = 0 or id is null").select("id", "n_shingles", F.col("id").alias("component_id"))
     out = named.union(alone)
     return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
-def _joined_apart(rows: DataFrame, facts: DataFrame, key: str, spread_by: str) -> DataFrame:
-    """``rows`` left-joined with ``facts``, which has at most one row for each ``key``. Rows of one key are dealt over many
-    tasks: the keys of each salt fetch the fact first, and the rows of that salt take it from there."""
-    salts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(salts)))
-    here = dealt.select(key, "_salt").distinct().join(facts, key)
-    return dealt.join(here, [key, "_salt"], "left").drop("_salt")
-
-
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` less all but one document of each near-duplicate group; columns stay as they are.
     Rows that repeat an id keep one row of it; rows with a null id stay."""

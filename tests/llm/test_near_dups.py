@@ -128,12 +128,14 @@ def test_very_long_texts(spark):
     assert {tuple(r) for r in near_dups.near_duplicates(docs).collect()} == brute(rows, 5)
 
 
-def test_hot_keys_are_dealt_over_tasks(spark):
-    from brinework.llm.common import with_least
+def test_hot_keys(spark):
+    from brinework.llm.common import joined_by_key, with_least
 
-    df = spark.range(3000).selectExpr("id", "if(id < 2900, 0, id) as k", "(id * 7919) % 3001 as v").repartition(5)
-    out = with_least(df, ["k"], "v", "least", "id")
-    want = {}
+    df = spark.range(3000).selectExpr("id", "if(id < 2900, id % 2, id) as k", "(id * 7919) % 3001 as v").repartition(5)
+    want: dict[int, int] = {}
     for r in df.collect():
         want[r.k] = min(want.get(r.k, 1 << 40), r.v)
-    assert {(r.id, r.least) for r in out.collect()} == {(r.id, want[r.k]) for r in df.collect()}
+    assert {(r.id, r.least) for r in with_least(df, ["k"], "v", "least", 3000).collect()} == {(r.id, want[r.k]) for r in df.collect()}
+    facts = spark.createDataFrame([(0, "a", 1450), (2950, "b", 1)], "k long, fact string, size long")
+    got = {(r.id, r.fact) for r in joined_by_key(df, facts, ["k"], "size", 3000, "left").collect()}
+    assert got == {(r.id, {0: "a", 2950: "b"}.get(r.k)) for r in df.collect()}

@@ -1,7 +1,9 @@
-"""Isolation forest: trees from bounded seeded samples, every row scored on the executors."""
+"""Outliers of rows: an isolation forest whose trees come from bounded seeded samples, every row scored on the executors;
+noise of a density clustering; and one entry to all methods."""
 
 from __future__ import annotations
 
+import itertools
 import math
 from dataclasses import dataclass
 
@@ -10,7 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brinework.functions.columns import numeric
+from brinework.functions.columns import long_form, numeric
+from brinework.operators.profile import iqr_outliers, zscore_outliers
 
 
 @dataclass(frozen=True)
@@ -97,9 +100,69 @@ def flags(df: DataFrame, columns: list[str] | None = None, contamination: float
 
 
 def summary(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(column, anomaly_mean, normal_mean, difference) of rows with ``is_anomaly``."""
-    from brinework.functions.columns import long_form
-
-    cells = long_form(df, columns, keep=["is_anomaly"])
-    got = cells.groupBy("column").agg(F.avg(F.when(F.col("is_anomaly"), F.col("value"))).alias("anomaly_mean"), F.avg(F.when(~F.col("is_anomaly"), F.col("value"))).alias("normal_mean"))
-    return got.withColumn("difference", F.col("anomaly_mean") - F.col("normal_mean"))
+    """(column, anomaly_mean, normal_mean, anomaly_std, difference) of rows with ``is_anomaly``."""
+    odd = F.coalesce(F.col("is_anomaly"), F.lit(False))
+    cells = long_form(df.where("anomaly is not null").withColumn("_odd", odd), columns, keep=["_odd"])
+    x = F.when(F.col("_odd"), F.col("value"))
+    got = cells.groupBy("column").agg(F.avg(x).alias("anomaly_mean"), F.avg(F.when(~F.col("_odd"), F.col("value"))).alias("normal_mean"), F.stddev_samp(x).alias("anomaly_std"))
+    return got.withColumn("difference", F.abs(F.col("anomaly_mean") - F.col("normal_mean")))
+
+
+def totals(df: DataFrame, least: int = 50) -> DataFrame:
+    """(samples, anomalies, percent, min_score, max_score, mean_score, extreme, high, moderate) of rows with a score; no
+    row for under ``least`` of them. Scores are negated, as is common: under -0.5 is extreme, under -0.3 high, under -0.1
+    moderate."""
+    s = -F.col("anomaly")
+    one = df.where("anomaly is not null").agg(
+        F.count("*").alias("samples"), F.count_if("is_anomaly").alias("anomalies"), F.min(s).alias("min_score"), F.max(s).alias("max_score"), F.avg(s).alias("mean_score"),
+        F.count_if(s < -0.5).alias("extreme"), F.count_if((s >= -0.5) & (s < -0.3)).alias("high"), F.count_if((s >= -0.3) & (s < -0.1)).alias("moderate"),
+    )
+    return one.where(F.col("samples") >= least).withColumn("percent", F.col("anomalies") * 100.0 / F.col("samples"))
+
+
+def dbscan_noise(df: DataFrame, columns: list[str], eps: float = 0.5, min_samples: int = 5, name: str = "is_noise") -> DataFrame:
+    """``df`` with the rows that a density clustering leaves over: those with fewer than ``min_samples`` rows within
+    ``eps``, themselves included, and none with that many within ``eps``. The columns have no nulls.
+
+    Distinct points lie in cells whose diagonal is ``eps``. Where a cell has enough rows all are dense, and nothing is
+    compared; the few points of other cells are compared with those of the cells around, so no cell's points meet each
+    other. The cells around grow with the columns to the power of their number: at most four are taken."""
+    d = len(columns)
+    if d > 4:
+        raise ValueError("density clustering takes at most four columns; choose some, or take components first")
+    side = eps / math.sqrt(d) * (1 - 1e-12)
+    p, q = [f"_p{i}" for i in range(d)], [f"_q{i}" for i in range(d)]
+    points = df.groupBy(*(F.col(c).cast("double").alias(x) for c, x in zip(columns, p, strict=True))).agg(F.count("*").alias("_w"))
+    points = points.withColumn("_cell", F.array(*(F.floor(F.col(x) / side).cast("long") for x in p)))
+    crowded = points.groupBy("_cell").agg(F.sum("_w").alias("_m"))
+    points = points.join(crowded, "_cell").withColumn("_dense", F.col("_m") >= min_samples)
+    reach = math.ceil(math.sqrt(d))
+    around = [o for o in itertools.product(range(-reach, reach + 1), repeat=d) if sum(max(abs(x) - 1, 0) ** 2 for x in o) < d]
+    offsets = F.array(*(F.array(*(F.lit(x).cast("long") for x in o)) for o in around))
+    asked = points.where("not _dense").select(*p, F.col("_cell").alias("_own")).withColumn("_o", F.explode(offsets)).select(*p, F.zip_with("_own", "_o", lambda a, b: a + b).alias("_cell"))
+    close = sum(((F.col(a) - F.col(b)) ** 2 for a, b in zip(p, q, strict=True)), F.lit(0.0)) <= eps * eps
+    others = points.select("_cell", "_w", "_dense", *(F.col(a).alias(b) for a, b in zip(p, q, strict=True)))
+    near = asked.join(others, "_cell").where(close)
+    dense = near.groupBy(*p).agg(F.sum("_w").alias("_near"), F.max("_dense").alias("_by_dense")).withColumn("_core", F.col("_near") >= min_samples)
+    cores = dense.where("_core").select(*(F.col(a).alias(b) for a, b in zip(p, q, strict=True)))
+    reached = near.join(cores, q, "left_semi").select(*p).distinct()
+    noise = dense.where("not _core and not _by_dense").select(*p).join(reached, p, "left_anti").withColumn("_noise", F.lit(True))
+    same = [F.col(c).cast("double") == F.col(x) for c, x in zip(columns, p, strict=True)]
+    return df.join(noise, same, "left").withColumn(name, F.coalesce("_noise", F.lit(False))).drop(*p, "_noise")
+
+
+def detect(df: DataFrame, method: str = "all", columns: list[str] | None = None) -> DataFrame:
+    """Outliers by one entry: (column, ...) of iqr or zscore, (samples, ...) of isolation_forest, or for all the columns
+    that both iqr and zscore look at: (column, iqr_outliers, zscore_outliers, agreement), high where the counts differ by
+    under ten."""
+    columns = columns or numeric(df)
+    if method == "iqr":
+        return iqr_outliers(df, columns)
+    if method == "zscore":
+        return zscore_outliers(df, columns)
+    if method == "isolation_forest":
+        return totals(flags(df, columns))
+    if method != "all":
+        raise ValueError("method must be iqr, zscore, isolation_forest or all")
+    both = iqr_outliers(df, columns).select("column", F.col("total").alias("iqr_outliers")).join(zscore_outliers(df, columns).select("column", F.col("total").alias("zscore_outliers")), "column")
+    return both.withColumn("agreement", F.when(F.abs(F.col("iqr_outliers") - F.col("zscore_outliers")) < 10, "high").otherwise("low"))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from brinework.functions.columns import categorical, long_form, numeric
-from brinework.operators.profile import percentiles, top_values
+from brinework.operators.profile import pearson, top_values, value_counts
+from brinework.operators.ranks import exact_quantiles, quantile_row, quantile_table
 
 AGGREGATES = {
     "sum": F.sum, "avg": F.avg, "count": F.count, "min": F.min, "max": F.max, "median": lambda c: F.percentile(c, F.lit(0.5)),
@@ -26,7 +28,26 @@ def histogram(df: DataFrame, column: str, bins: int = 30) -> DataFrame:
 
 
 def histogram_stats(df: DataFrame, column: str) -> DataFrame:
-    return df.agg(F.avg(column).alias("mean"), F.percentile(column, F.lit(0.5)).alias("median"), F.stddev_samp(column).alias("std"))
+    """(mean, median, std)."""
+    return df.agg(F.avg(column).alias("mean"), F.stddev_samp(column).alias("std")).join(quantile_row(df, [column], (0.5,)).select(F.col("_q0")[0].alias("median"))).select("mean", "median", "std")
+
+
+def density(df: DataFrame, column: str, by: str | None = None, points: int = 100, bins: int = 512) -> DataFrame:
+    """(by, x, density): a Gaussian kernel estimate at equal steps from the least to the most value, with Scott's
+    bandwidth. Values are counted in fine bins first, so bins and not rows meet the points."""
+    v, keys = F.col(column).cast("double"), [by] if by else []
+    rows = df.where(v.isNotNull() & (F.col(by).isNotNull() if by else F.lit(True))).select(*keys, v.alias("_v"))
+    ends = rows.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count("*").alias("_n"), (F.stddev_samp("_v") * F.pow(F.count("*").cast("double"), F.lit(-0.2))).alias("_h")).where("_h > 0")
+    place = F.least(F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * bins), F.lit(bins - 1))
+    facts = ["_lo", "_hi", "_n", "_h"]
+    both = rows.join(ends, keys) if by else rows.join(F.broadcast(ends))
+    counts = both.groupBy(*keys, *facts, place.alias("_b")).agg(F.count("*").alias("_c"))
+    at = counts.withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
+    x = F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_i") / (points - 1)
+    centre = F.col("_lo") + (F.col("_b") + 0.5) * (F.col("_hi") - F.col("_lo")) / bins
+    z = (x - centre) / F.col("_h")
+    kernel = F.col("_c") * F.exp(-z * z / 2) / (F.col("_n") * F.col("_h") * 2.5066282746310002)
+    return at.groupBy(*keys, "_i", x.alias("x")).agg(F.sum(kernel).alias("density")).drop("_i")
 
 
 def regression_line(df: DataFrame, x: str, y: str, by: str | None = None) -> DataFrame:
@@ -59,16 +80,17 @@ def bar(df: DataFrame, x: str, y: str | None = None, k: int = 20) -> DataFrame:
 
 def box(df: DataFrame, columns: list[str] | None = None, exact: bool = True) -> DataFrame:
     """(column, min, q1, median, q3, max, mean, std) of the first five number columns, or those named."""
-    cells = long_form(df, columns or numeric(df)[:5]).where("value is not null")
-    got = cells.groupBy("column").agg(percentiles("value", (0.25, 0.5, 0.75), exact).alias("_q"), F.min("value").alias("min"), F.max("value").alias("max"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"))
-    return got.select("column", "min", F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"), F.col("_q")[2].alias("q3"), "max", "mean", "std")
+    columns = columns or numeric(df)[:5]
+    q = quantile_table(df, columns, (0.25, 0.5, 0.75), exact).select("column", "q")
+    got = long_form(df, columns).where("value is not null").groupBy("column").agg(F.min("value").alias("min"), F.max("value").alias("max"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"))
+    return got.join(F.broadcast(q), "column").select("column", "min", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"), "max", "mean", "std")
 
 
-def violin(df: DataFrame, column: str, by: str | None = None, exact: bool = True) -> DataFrame:
-    """(by, q1, median, q3, n) by group."""
-    rows = df.where(F.col(column).isNotNull())
-    got = (rows.where(F.col(by).isNotNull()).groupBy(by) if by else rows.groupBy()).agg(percentiles(column, (0.25, 0.5, 0.75), exact).alias("_q"), F.count("*").alias("n"))
-    return got.select(*([by] if by else []), F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"), F.col("_q")[2].alias("q3"), "n")
+def violin(df: DataFrame, column: str, by: str | None = None) -> DataFrame:
+    """(by, q1, median, q3, n) by group; ``density`` has the outline."""
+    rows = df.where(F.col(by).isNotNull()) if by else df
+    got = exact_quantiles(rows, column, (0.25, 0.5, 0.75), [by] if by else [])
+    return got.select(*([by] if by else []), F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"), F.col("rows").alias("n"))
 
 
 def time_series(df: DataFrame, at: str, y: str) -> DataFrame:
@@ -103,3 +125,82 @@ def column_groups(df: DataFrame) -> DataFrame:
 
     groups = {c: g for g, names in (("numeric", numeric(df)), ("categorical", categorical(df)), ("datetime", temporal(df)), ("boolean", boolean(df))) for c in names}
     return df.sparkSession.createDataFrame([(c, k, groups.get(c, "other")) for c, k in df.dtypes], "column string, type string, group string")
+
+
+def largest_triangles(df: DataFrame, x: str, y: str, points: int = 500, ratio: int = 4) -> DataFrame:
+    """(x, y): the ``points`` that keep a line's shape, each with the largest triangle to the one before and the mean of
+    the next bucket. Of each of ``ratio * points`` spans of x only the least and largest y, and the ends, are looked at, so
+    what one task holds is bounded by the points."""
+    v, w = F.col(x).cast("double"), F.col(y).cast("double")
+    rows = df.where(v.isNotNull() & w.isNotNull()).select(v.alias("x"), w.alias("y"))
+    ends = rows.agg(F.min("x").alias("_lo"), F.max("x").alias("_hi"))
+    spans = ratio * points
+    place = F.when(F.col("_hi") > F.col("_lo"), F.least(F.floor((F.col("x") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * spans), F.lit(spans - 1))).otherwise(0)
+    here = F.struct("x", "y")
+    few = rows.join(F.broadcast(ends)).groupBy(place.alias("_b")).agg(F.min_by(here, F.struct("y", "x")).alias("a"), F.max_by(here, F.struct("y", "x")).alias("b"), F.min(here).alias("c"), F.max(here).alias("d"))
+    few = few.select(F.explode(F.array_distinct(F.array("a", "b", "c", "d"))).alias("p")).select("p.*")
+
+    def run(pdf):
+        pdf = pdf.sort_values(["x", "y"], ignore_index=True)
+        n = len(pdf)
+        if n <= points or points < 3:
+            return pdf
+        px, py = pdf["x"].to_numpy(), pdf["y"].to_numpy()
+        edges = np.linspace(1, n - 1, points - 1).astype(int)
+        kept, last = [0], 0
+        for i in range(points - 2):
+            a, b = edges[i], max(edges[i + 1], edges[i] + 1)
+            c, d = (edges[i + 1], max(edges[i + 2], edges[i + 1] + 1)) if i + 2 < len(edges) else (n - 1, n)
+            mx, my = px[c:d].mean(), py[c:d].mean()
+            area = np.abs((px[last] - mx) * (py[a:b] - py[last]) - (px[last] - px[a:b]) * (my - py[last]))
+            last = a + int(np.argmax(area))
+            kept.append(last)
+        return pdf.iloc[sorted({*kept, n - 1})]
+
+    return few.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(lambda pdf: run(pdf[["x", "y"]]), "x double, y double")
+
+
+def suite(df: DataFrame, most: int = 20) -> DataFrame:
+    """(rank, chart, columns) of what to draw: the distributions of seven number columns, a heatmap, those of the first
+    five text columns that have at most twenty values, five scatters of pairs with |r| over 0.5, and a box chart."""
+    num, cat = numeric(df), categorical(df)
+    charts = [("distribution", c) for c in num[:7]]
+    charts += [("heatmap", ",".join(num))] if len(num) >= 2 else []
+    if cat:
+        kinds = {r["column"]: r["n"] for r in value_counts(df, cat[:5]).groupBy("column").agg(F.count("*").alias("n")).collect()}
+        charts += [("categorical", c) for c in cat[:5] if kinds.get(c, 0) <= 20]
+    if len(num) >= 2:
+        pairs = pearson(df, num).where(F.abs("r") > 0.5).orderBy(F.desc(F.abs("r")), "a", "b").limit(5).collect()
+        charts += [("scatter", f"{r['a']},{r['b']}") for r in pairs]
+    charts += [("box", ",".join(num[:7]))] if num else []
+    return df.sparkSession.createDataFrame([(i, *c) for i, c in enumerate(charts[:most], 1)], "rank int, chart string, columns string")
+
+
+def listed(charts: DataFrame, dataset, kind: str | None = None) -> DataFrame:
+    """The saved charts of a dataset, in order."""
+    out = charts.where(F.col("dataset_id") == dataset)
+    return (out.where(F.col("chart_type") == kind) if kind else out).orderBy("order", "id")
+
+
+def funnel(df: DataFrame, column: str, stages: list[str]) -> DataFrame:
+    """(stage, rank, n, share): rows of each stage in order, and their share of the first."""
+    counts = df.where(F.col(column).isin(*stages)).groupBy(F.col(column).alias("stage")).agg(F.count("*").alias("n"))
+    rank = F.array_position(F.array(*map(F.lit, stages)), F.col("stage")).cast("int")
+    first = counts.where(F.col("stage") == stages[0]).agg(F.max("n").alias("_first"))
+    return counts.join(F.broadcast(first)).select("stage", rank.alias("rank"), "n", F.try_divide("n", F.col("_first").cast("double")).alias("share"))
+
+
+def waterfall(df: DataFrame, column: str, value: str) -> DataFrame:
+    """(step, change, start, end): sums by step, each from where the one before ended."""
+    sums = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("step")).agg(F.coalesce(F.sum(F.col(value).cast("double")), F.lit(0.0)).alias("change"))
+    till = F.sum("change").over(Window.partitionBy(F.lit(0)).orderBy("step").rowsBetween(Window.unboundedPreceding, 0))
+    return sums.withColumn("end", till).select("step", "change", (F.col("end") - F.col("change")).alias("start"), "end")
+
+
+def grid_counts(df: DataFrame, x: str, y: str, cells: int = 20) -> DataFrame:
+    """(i, j, n): rows by equal steps of two columns, for density maps."""
+    a, b = F.col(x).cast("double"), F.col(y).cast("double")
+    rows = df.where(a.isNotNull() & b.isNotNull()).select(a.alias("_x"), b.alias("_y"))
+    ends = rows.agg(F.min("_x").alias("_lx"), F.max("_x").alias("_hx"), F.min("_y").alias("_ly"), F.max("_y").alias("_hy"))
+    step = lambda v, lo, hi: F.when(F.col(hi) > F.col(lo), F.least(F.floor((F.col(v) - F.col(lo)) / (F.col(hi) - F.col(lo)) * cells), F.lit(cells - 1))).otherwise(0).cast("int")
+    return rows.join(F.broadcast(ends)).groupBy(step("_x", "_lx", "_hx").alias("i"), step("_y", "_ly", "_hy").alias("j")).agg(F.count("*").alias("n"))

@@ -1,5 +1,5 @@
-"""Cleaning and feature preparation. Statistics are one aggregate each and are joined back as a single row, so every
-operator stays lazy; "first" and "next" go by a declared key, never by a position."""
+"""Cleaning and feature preparation. Statistics are one aggregate each, taken at once and joined back as a single row, so
+that the plan of many steps grows with their number only; "first" and "next" go by a declared key, never by a position."""
 
 from __future__ import annotations
 
@@ -10,12 +10,14 @@ from math import ceil, log2
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from brinework.functions.columns import numeric
+from brinework.functions.columns import long_form, numeric
+from brinework.operators import anomaly, impute
+from brinework.operators.ranks import collected, order_statistics, quantile_row, running, sizes_of
 
 
 def _with_stats(df: DataFrame, stats: list[Column]) -> DataFrame:
-    """``df`` with a row of statistics beside each row; it is one row, so its broadcast is bounded."""
-    return df.join(F.broadcast(df.agg(*stats))) if stats else df
+    """``df`` with a row of statistics beside each row, taken at once; it is one row, so its broadcast is bounded."""
+    return df.join(F.broadcast(collected(df.agg(*stats)))) if stats else df
 
 
 # rows
@@ -52,18 +54,18 @@ def fill(df: DataFrame, numbers: str = "median", others: str = "mode", columns:
     a column without values by "Unknown" where it is text. Strategy ``live_mode`` fills numbers with the mean."""
     columns = list(columns or df.columns)
     num = set(numeric(df))
+    middle = [c for c in columns if c in num] if numbers == "median" else []
 
     def stat(c):
         if c not in num:
             return F.mode(F.col(c), True) if others == "mode" else F.lit(None)
-        if numbers in ("mean", "live_mode"):
-            return F.avg(c)
-        if numbers == "mode":
-            return F.mode(F.col(c), True)
-        return F.percentile(c, F.lit(0.5)) if exact else F.percentile_approx(c, 0.5)
+        return F.mode(F.col(c), True) if numbers == "mode" else F.avg(c)
 
     kinds = dict(df.dtypes)
-    out = _with_stats(df, [stat(c).alias(f"_fill_{i}") for i, c in enumerate(columns)])
+    out = _with_stats(df, [stat(c).alias(f"_fill_{i}") for i, c in enumerate(columns) if c not in middle])
+    if middle:
+        q = quantile_row(df, middle, (0.5,), exact)
+        out = out.join(F.broadcast(q.select(*(F.col(f"_q{i}")[0].alias(f"_fill_{columns.index(c)}") for i, c in enumerate(middle)))))
     filled = {}
     for i, c in enumerate(columns):
         kind = "double" if c in num and numbers in ("mean", "live_mode", "median") else kinds[c]
@@ -93,17 +95,24 @@ def interpolate(df: DataFrame, column: str, at: str, by: Sequence[str] = ()) ->
 # outliers
 
 
-def outlier_flags(df: DataFrame, columns: Sequence[str], method: str = "iqr", threshold: float = 1.5, exact: bool = True) -> DataFrame:
-    """``df`` with a boolean ``<column>_outlier`` each: beyond ``threshold`` interquartile ranges of the quartiles, or
-    over ``threshold`` population standard deviations from the mean. Nulls are never outliers."""
+def outlier_flags(df: DataFrame, columns: Sequence[str], method: str = "iqr", threshold: float = 1.5, exact: bool = True, contamination: float = 0.05, eps: float = 0.5, min_samples: int = 5) -> DataFrame:
+    """``df`` with a boolean ``<column>_outlier`` each: beyond ``threshold`` interquartile ranges of the quartiles (iqr),
+    over ``threshold`` population standard deviations from the mean (zscore), or one mask for all columns: by an isolation
+    forest, or as noise of a density clustering (dbscan), nulls counting as the median. Nulls are never outliers by iqr or
+    zscore."""
+    columns = list(columns)
+    if method in ("isolation_forest", "dbscan"):
+        plain = [f"_plain_{i}" for i in range(len(columns))]
+        q = quantile_row(df, columns, (0.5,), exact)
+        full = df.join(F.broadcast(q)).withColumns({p: F.coalesce(F.col(c).cast("double"), F.col(f"_q{i}")[0], F.lit(0.0)) for i, (c, p) in enumerate(zip(columns, plain, strict=True))}).drop(*(f"_q{i}" for i in range(len(columns))))
+        flagged = anomaly.flags(full, plain, contamination).withColumnRenamed("is_anomaly", "_odd").drop("anomaly") if method == "isolation_forest" else anomaly.dbscan_noise(full, plain, eps, min_samples, "_odd")
+        return flagged.withColumns({f"{c}_outlier": F.col("_odd") for c in columns}).select(*df.columns, *(f"{c}_outlier" for c in columns))
     if method == "iqr":
-        points = F.array(F.lit(0.25), F.lit(0.75))
-        stats = [(F.percentile(c, points) if exact else F.percentile_approx(c, points)).alias(f"_s{i}") for i, c in enumerate(columns)]
+        out = df.join(F.broadcast(quantile_row(df, columns, (0.25, 0.75), exact, "_s{}")))
     elif method == "zscore":
-        stats = [F.array(F.avg(c), F.stddev_pop(c)).alias(f"_s{i}") for i, c in enumerate(columns)]
+        out = _with_stats(df, [F.array(F.avg(c), F.stddev_pop(c)).alias(f"_s{i}") for i, c in enumerate(columns)])
     else:
         raise ValueError(f"no outlier method {method}")
-    out = _with_stats(df, stats)
     flags = {}
     for i, c in enumerate(columns):
         a, b, x = F.col(f"_s{i}")[0], F.col(f"_s{i}")[1], F.col(c)
@@ -112,12 +121,16 @@ def outlier_flags(df: DataFrame, columns: Sequence[str], method: str = "iqr", th
     return out.withColumns(flags).select(*df.columns, *flags)
 
 
-def treat_outliers(df: DataFrame, columns: Sequence[str], treatment: str = "cap", method: str = "iqr", threshold: float = 1.5, value: float | None = None) -> DataFrame:
-    """cap: to the least and most of the values that are none; remove: the rows; impute: ``value`` or the median of
-    those that are none; none: as it is. The columns become doubles but for remove and none."""
+def treat_outliers(df: DataFrame, columns: Sequence[str], treatment: str = "cap", method: str = "iqr", threshold: float = 1.5, value: float | None = None, exact: bool = True, **options) -> DataFrame:
+    """cap: to the least and most of the values that are none; remove: the rows; winsorize: the ends of each column, if
+    any row is flagged; impute: ``value`` or the median of those that are none; flag: a column each; none: as it is. The
+    columns become doubles but for remove, flag and none."""
+    columns = list(columns)
     if treatment == "none":
         return df
-    flagged = outlier_flags(df, columns, method, threshold)
+    flagged = outlier_flags(df, columns, method, threshold, exact, **options)
+    if treatment == "flag":
+        return flagged
     if treatment == "remove":
         return flagged.where(~reduce(lambda a, b: a | b, (F.col(f"{c}_outlier") for c in columns))).select(*df.columns)
     fair = {c: F.when(~F.col(f"{c}_outlier"), F.col(c).cast("double")) for c in columns}
@@ -125,24 +138,33 @@ def treat_outliers(df: DataFrame, columns: Sequence[str], treatment: str = "cap"
         out = _with_stats(flagged, [F.array(F.min(x), F.max(x)).alias(f"_t_{c}") for c, x in fair.items()])
         new = {c: F.when(F.col(c).isNotNull(), F.least(F.greatest(F.col(c).cast("double"), F.col(f"_t_{c}")[0]), F.col(f"_t_{c}")[1])) for c in columns}
     elif treatment == "impute":
-        out = _with_stats(flagged, [(F.lit(float(value)) if value is not None else F.percentile(x, F.lit(0.5))).alias(f"_t_{c}") for c, x in fair.items()]) if value is None else flagged.withColumns({f"_t_{c}": F.lit(float(value)) for c in columns})
+        if value is None:
+            middle = quantile_row(flagged.select(*(x.alias(c) for c, x in fair.items())), columns, (0.5,), exact)
+            out = flagged.join(F.broadcast(middle.select(*(F.col(f"_q{i}")[0].alias(f"_t_{c}") for i, c in enumerate(columns)))))
+        else:
+            out = flagged.withColumns({f"_t_{c}": F.lit(float(value)) for c in columns})
         new = {c: F.when(F.col(f"{c}_outlier"), F.col(f"_t_{c}")).otherwise(F.col(c).cast("double")) for c in columns}
+    elif treatment == "winsorize":
+        any_odd = F.coalesce(F.max(reduce(lambda a, b: a | b, (F.col(f"{c}_outlier") for c in columns))), F.lit(False)).alias("_any")
+        out = _with_stats(flagged, [any_odd])
+        for c in columns:
+            out = out.withColumn(f"_w_{c}", F.col(c).cast("double"))
+            out = winsorize(out, f"_w_{c}")
+        new = {c: F.when(F.col("_any"), F.col(f"_w_{c}")).otherwise(F.col(c).cast("double")) for c in columns}
     else:
         raise ValueError(f"no treatment {treatment}")
     return out.withColumns(new).select(*df.columns)
 
 
 def winsorize(df: DataFrame, column: str, share: float = 0.05) -> DataFrame:
-    """The lowest and highest floor(share n) values become the next value inward. Order statistics come from the counts
-    of distinct values, so no task sorts all rows."""
-    sizes = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("_n"))
-    n = sizes.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("_all"))
-    till = F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy(column).rowsBetween(Window.unboundedPreceding, 0))
-    ranked = sizes.withColumn("_till", till).join(F.broadcast(n))
-    k = F.floor(F.col("_all") * share)
-    ends = ranked.agg(F.min(F.when(F.col("_till") > k, F.col(column))).alias("_lo"), F.min(F.when(F.col("_till") >= F.col("_all") - k, F.col(column))).alias("_hi"))
-    c = F.col(column)
-    return df.join(F.broadcast(ends)).withColumn(column, F.when(c.isNotNull(), F.least(F.greatest(c, F.col("_lo")), F.col("_hi")))).select(*df.columns)
+    """The lowest and highest floor(share n) values become the next value inward. The two order statistics are taken by
+    brackets, so no task sorts all rows."""
+    ends = order_statistics(df, [column], lambda n: [int(n * share), n - 1 - int(n * share)])[0]
+    if not ends[0]:
+        return df
+    k = int(ends[0] * share)
+    c, kind = F.col(column), dict(df.dtypes)[column]
+    return df.withColumn(column, F.when(c.isNotNull(), F.least(F.greatest(c, F.lit(ends[1][k]).cast(kind)), F.lit(ends[1][ends[0] - 1 - k]).cast(kind))))
 
 
 # scaling and encoding
@@ -158,24 +180,49 @@ def scale(df: DataFrame, columns: Sequence[str], method: str = "standard", low:
     if method == "quantile":
         out = df
         for c in columns:
-            sizes = df.where(F.col(c).isNotNull()).groupBy(c).agg(F.count("*").alias("_n"))
-            every = Window.partitionBy(F.lit(0))
-            before = F.coalesce(F.sum("_n").over(every.orderBy(c).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-            place = sizes.select(F.col(c).alias("_v"), F.coalesce(F.try_divide(before, (F.sum("_n").over(every) - 1).cast("double")), F.lit(0.0)).alias("_q"))
+            ranked = running(sizes_of(df, c), c)
+            total = ranked.agg((F.sum("n") - 1).cast("double").alias("_last"))
+            place = ranked.join(F.broadcast(total)).select(F.col(c).alias("_v"), F.coalesce(F.try_divide("before", F.nullif("_last", F.lit(0.0))), F.lit(0.0)).alias("_q"))
             out = out.join(place, F.col(c) == F.col("_v"), "left").withColumn(c, F.col("_q")).drop("_v", "_q")
         return out
     x = {c: F.col(c).cast("double") for c in columns}
-    stats = {
-        "standard": lambda v: F.array(F.avg(v), F.stddev_pop(v)), "minmax": lambda v: F.array(F.min(v), F.max(v) - F.min(v)),
-        "robust": lambda v: F.array(F.percentile(v, F.lit(0.5)), F.percentile(v, F.lit(0.75)) - F.percentile(v, F.lit(0.25))), "maxabs": lambda v: F.array(F.lit(0.0), F.max(F.abs(v))),
-    }[method]
-    out = _with_stats(df, [stats(v).alias(f"_s_{c}") for c, v in x.items()])
+    out = df.join(F.broadcast(scale_parameters(df, columns, method).agg(*(F.max(F.when(F.col("column") == c, F.array("centre", "width"))).alias(f"_s_{c}") for c in columns))))
     new = {c: F.when(v.isNotNull(), F.coalesce(F.try_divide(v - F.col(f"_s_{c}")[0], F.nullif(F.col(f"_s_{c}")[1], F.lit(0.0))), F.lit(0.0))) for c, v in x.items()}
     if method == "minmax" and (low, high) != (0.0, 1.0):
         new = {c: v * (high - low) + low for c, v in new.items()}
     return out.withColumns(new).select(*df.columns)
 
 
+def scale_parameters(df: DataFrame, columns: Sequence[str], method: str = "standard") -> DataFrame:
+    """(column, centre, width) that ``scale`` takes off and divides by, as a table to keep and use again."""
+    columns = list(columns)
+    if method == "robust":
+        q = quantile_row(df, columns, (0.25, 0.5, 0.75))
+        parts = [F.struct(F.lit(c).alias("column"), F.col(f"_q{i}")[1].alias("centre"), (F.col(f"_q{i}")[2] - F.col(f"_q{i}")[0]).alias("width")) for i, c in enumerate(columns)]
+        return q.select(F.explode(F.array(*parts)).alias("p")).select("p.*")
+    stats = {
+        "standard": lambda v: (F.avg(v), F.stddev_pop(v)), "minmax": lambda v: (F.min(v), F.max(v) - F.min(v)), "maxabs": lambda v: (F.lit(0.0), F.max(F.abs(v))),
+    }[method]
+    one = df.agg(*(x.alias(f"_{i}_{k}") for i, c in enumerate(columns) for k, x in zip("ab", stats(F.col(c).cast("double")), strict=True)))
+    return one.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(f"_{i}_a").alias("centre"), F.col(f"_{i}_b").alias("width")) for i, c in enumerate(columns)))).alias("p")).select("p.*")
+
+
+def scale_by(df: DataFrame, parameters: DataFrame) -> DataFrame:
+    """Columns scaled by kept ``scale_parameters``, which are few and so collected; 0 where the width is 0."""
+    kept = {r["column"]: (r["centre"], r["width"]) for r in parameters.collect() if r["column"] in df.columns}
+    return df.withColumns({c: F.when(F.col(c).isNotNull(), (F.col(c).cast("double") - a) / b if b else F.lit(0.0)) for c, (a, b) in kept.items() if a is not None})
+
+
+def code_parameters(df: DataFrame, column: str) -> DataFrame:
+    """(value, code) of the sorted distinct values, as a table to keep and use again."""
+    return _codes(df, column).select(F.col("_v").alias("value"), F.col("_code").cast("long").alias("code"))
+
+
+def encode_by(df: DataFrame, column: str, parameters: DataFrame) -> DataFrame:
+    """``column`` by kept ``code_parameters``; null for values they do not have."""
+    return df.join(parameters, F.col(column).cast("string") == F.col("value"), "left").withColumn(column, F.col("code")).select(*df.columns)
+
+
 def _codes(df: DataFrame, column: str) -> DataFrame:
     """(column, _code): 0, 1, ... in order of the distinct values as text. A task ranks the distinct values only."""
     values = df.where(F.col(column).isNotNull()).select(F.col(column).cast("string").alias("_v")).distinct()
@@ -218,14 +265,15 @@ def binary_encode(df: DataFrame, column: str) -> DataFrame:
 
 # types and rules
 
-DATE_FORMS = {"yyyy-MM-dd": r"^\d{4}-\d{2}-\d{2}", "MM/dd/yyyy": r"^\d{2}/\d{2}/\d{4}", "dd-MM-yyyy": r"^\d{2}-\d{2}-\d{4}"}
-TRUE_WORDS, FALSE_WORDS = ("true", "yes", "y", "1", "t"), ("false", "no", "n", "0", "f")
+# What dates begin with, by the formats that they may be in; words for yes and no.
+DATE_FORMS = {("yyyy-MM-dd",): r"^\d{4}-\d{2}-\d{2}", ("MM/dd/yyyy", "dd/MM/yyyy"): r"^\d{2}/\d{2}/\d{4}", ("MM-dd-yy", "dd-MM-yy", "MM-dd-yyyy", "dd-MM-yyyy"): r"^\d{2}-\d{2}-\d{2}"}
+TRUE_WORDS, FALSE_WORDS = ("true", "t", "yes", "y", "1", "on"), ("false", "f", "no", "n", "0", "off")
 
 
-def repair_types(df: DataFrame, date_share: float = 0.8, number_share: float = 0.9) -> DataFrame:
+def repair_types(df: DataFrame, date_share: float = 0.8, number_share: float = 0.9, kinds: Sequence[str] = ("date", "boolean", "number"), skip: Sequence[str] = ()) -> DataFrame:
     """String columns that hold dates, yes-no words or numbers, as such; shares are of all non-null values, found in
     one pass. What does not parse becomes null."""
-    names = [c for c, k in df.dtypes if k == "string"]
+    names = [c for c, k in df.dtypes if k == "string" and c not in skip]
     if not names:
         return df
     plain = {c: F.trim(F.regexp_replace(c, "[,$]", "")) for c in names}
@@ -241,11 +289,11 @@ def repair_types(df: DataFrame, date_share: float = 0.8, number_share: float = 0
         if not s["n"]:
             continue
         best = max(range(len(DATE_FORMS)), key=lambda i: s[f"d{i}"])  # noqa: B023
-        if s["n"] >= s["rows"] / 2 and s[f"d{best}"] > date_share * s["n"]:
-            new[c] = F.try_to_timestamp(F.substring(c, 1, 10), F.lit(list(DATE_FORMS)[best]))
-        elif s["yn"] == s["n"] and s["few"] <= 2:
+        if "date" in kinds and s["n"] >= s["rows"] / 2 and s[f"d{best}"] > date_share * s["n"]:
+            new[c] = F.coalesce(*(F.try_to_timestamp(F.trim(F.substring(c, 1, 10)), F.lit(form)) for form in list(DATE_FORMS)[best]))
+        elif "boolean" in kinds and s["yn"] == s["n"] and s["few"] <= 2:
             new[c] = F.when(F.lower(F.trim(c)).isin(*TRUE_WORDS), True).when(F.lower(F.trim(c)).isin(*FALSE_WORDS), False)
-        elif s["num"] > number_share * s["n"]:
+        elif "number" in kinds and s["num"] > number_share * s["n"]:
             new[c] = plain[c].try_cast("double")
     return df.withColumns(new) if new else df
 
@@ -301,9 +349,22 @@ def fix_schema(df: DataFrame, rules: Mapping[str, Mapping]) -> DataFrame:
     return df.withColumns(new) if new else df
 
 
-def clean_text(df: DataFrame, column: str, lower: bool = True, letters_only: bool = False, punctuation: bool = True, stopwords: Sequence[str] = ()) -> DataFrame:
+# English endings, tried in this order, and what they become.
+ENDINGS = (("sses", "ss"), ("ies", "i"), ("ational", "ate"), ("ization", "ize"), ("fulness", "ful"), ("ousness", "ous"), ("iveness", "ive"), ("ingly", ""), ("edly", ""), ("ing", ""), ("ed", ""), ("ly", ""), ("s", ""))
+
+
+def stemmed(word: Column) -> Column:
+    """A word without the first of ``ENDINGS`` that it has, where three letters or more stay and one is a vowel."""
+    out = word
+    for end, new in reversed(ENDINGS):
+        stem = F.substring(word, F.lit(1), F.length(word) - len(end))
+        out = F.when(word.endswith(end) & (F.length(stem) >= 3) & stem.rlike("[aeiouy]") & (F.lit(end != "s") | ~word.endswith("ss")), F.concat(stem, F.lit(new))).otherwise(out)
+    return out
+
+
+def clean_text(df: DataFrame, column: str, lower: bool = True, letters_only: bool = False, punctuation: bool = True, stopwords: Sequence[str] = (), stem: bool = False) -> DataFrame:
     """Text in lower case, without punctuation or anything but letters, digits and spaces, without stop words, with
-    single spaces."""
+    single spaces, each word without its ending where ``stem``."""
     x = F.lower(column) if lower else F.col(column)
     if letters_only:
         x = F.regexp_replace(x, r"[^\p{L}\p{N}\s]", "")
@@ -312,32 +373,92 @@ def clean_text(df: DataFrame, column: str, lower: bool = True, letters_only: boo
     x = F.trim(F.regexp_replace(x, r"\s+", " "))
     if stopwords:
         x = F.array_join(F.filter(F.split(x, " "), lambda w: ~w.isin(*stopwords)), " ")
+    if stem:
+        x = F.array_join(F.transform(F.split(x, " "), stemmed), " ")
     return df.withColumn(column, x)
 
 
-PRESETS = {
-    "minimal": {"duplicates": True},
-    "standard": {"duplicates": True, "numbers": "median", "others": "mode"},
-    "aggressive": {"duplicates": True, "numbers": "median", "others": "mode", "outliers": "cap"},
-    "ml_ready": {"duplicates": True, "numbers": "median", "others": "mode", "outliers": "cap", "scale": "standard"},
-    "production": {"duplicates": True, "numbers": "median", "others": "mode", "outliers": "winsorize"},
-}
-
-
-def clean(df: DataFrame, preset: str | None = None, drop: Sequence[str] = (), **config) -> DataFrame:
-    """Duplicates, dropped columns, missing values, outliers and scaling, in this order; ``config`` overrides the preset.
-    Statistics are those of the rows left by the step before."""
-    want = {**PRESETS.get(preset or "standard", {}), **config}
-    out = df.dropDuplicates() if want.get("duplicates") else df
-    out = out.drop(*drop)
-    if want.get("numbers"):
-        out = fill(out, want["numbers"], want.get("others", "mode"))
-    num = numeric(out)
-    if num and want.get("outliers") == "winsorize":
-        for c in num:
-            out = winsorize(out, c)
-    elif num and want.get("outliers"):
-        out = treat_outliers(out, num, want["outliers"])
-    if num and want.get("scale"):
-        out = scale(out, num, want["scale"])
-    return out
+def categories(df: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """(column, distinct, ratio) of the string columns whose distinct values are under ``threshold`` of all rows. A
+    column's values are dictionary-encoded in files and caches anyway, so being a category is a fact about it, no type."""
+    names = [c for c, k in df.dtypes if k == "string"]
+    if not names:
+        return df.sparkSession.createDataFrame([], "column string, distinct long, ratio double")
+    kinds = long_form(df, names, "string").where("value is not null").groupBy("column", "value").agg(F.lit(1).alias("one")).groupBy("column").agg(F.count("*").alias("distinct"))
+    rows = df.agg(F.count("*").alias("_rows"))
+    return kinds.join(F.broadcast(rows)).select("column", "distinct", (F.col("distinct") / F.col("_rows")).alias("ratio")).where(F.col("ratio") < threshold)
+
+
+def downcast(df: DataFrame, integers: bool = True, floats: bool = True) -> DataFrame:
+    """Integer columns in the least type that holds their range, and doubles as floats where none loses anything."""
+    whole = [c for c, k in df.dtypes if integers and k in ("smallint", "int", "bigint")]
+    broken = [c for c, k in df.dtypes if floats and k == "double"]
+    if not whole and not broken:
+        return df
+    found = df.agg(*(F.struct(F.min(c).alias("lo"), F.max(c).alias("hi")).alias(c) for c in whole), *(F.bool_and(F.isnan(c) | (F.col(c).cast("float").cast("double") == F.col(c))).alias(c) for c in broken)).first()
+    new = {}
+    for c in whole:
+        if found[c]["lo"] is not None:
+            kind = next(k for k, bits in (("byte", 7), ("short", 15), ("int", 31), ("long", 63)) if -(2**bits) <= found[c]["lo"] and found[c]["hi"] < 2**bits)
+            new[c] = F.col(c).cast(kind)
+    new |= {c: F.col(c).cast("float") for c in broken if found[c]}
+    return df.withColumns(new) if new else df
+
+
+def parse_dates(df: DataFrame, column: str, form: str | None = None, unit: str | None = None, utc_from: str | None = None) -> DataFrame:
+    """``column`` as a timestamp: by ``form``, or as seconds, milliseconds or microseconds since 1970 (``unit`` s, ms or
+    us), or by the first known form that fits; from the zone ``utc_from`` to UTC. What does not parse is null."""
+    if unit:
+        x = {"s": F.timestamp_seconds, "ms": F.timestamp_millis, "us": F.timestamp_micros}[unit](F.col(column).try_cast("long"))
+    elif form:
+        x = F.try_to_timestamp(column, F.lit(form))
+    else:
+        x = F.coalesce(*(F.try_to_timestamp(F.trim(column), F.lit(f)) for forms in DATE_FORMS for f in forms), F.col(column).try_cast("timestamp"))
+    return df.withColumn(column, F.to_utc_timestamp(x, utc_from) if utc_from else x)
+
+
+def standardize(df: DataFrame, column: str, how: str = "lower") -> DataFrame:
+    """One form for a text column: lower, upper, title, trim, digits (only those), or spaces (single ones)."""
+    x = F.col(column)
+    forms = {"lower": F.lower(x), "upper": F.upper(x), "title": F.initcap(x), "trim": F.trim(x), "digits": F.regexp_replace(x, "[^0-9]", ""), "spaces": F.trim(F.regexp_replace(x, r"\s+", " "))}
+    return df.withColumn(column, forms[how])
+
+
+def fill_by_strategy(df: DataFrame, strategy: str = "median", per_column: Mapping[str, str] | None = None, values: Mapping[str, object] | None = None, order: Sequence[str] = (), by: Sequence[str] = (), neighbours: int = 5, rounds: int = 10) -> DataFrame:
+    """Missing values by a strategy for each column: drop, median, mean, mode, forward, backward, knn or mice; given
+    ``values`` first. Columns go in order, so a drop changes the statistics of those after it; statistics of columns on end
+    that drop nothing are one pass. median and mean leave other columns than numbers as they are. Forward and backward go
+    by ``order``, within each ``by``. knn and mice come last, each over its own columns."""
+    out = df.na.fill(dict(values)) if values else df
+    num, per_column = set(numeric(df)), per_column or {}
+    batch: dict[str, list[str]] = {}
+    last: dict[str, list[str]] = {"knn": [], "mice": []}
+
+    def done(frame: DataFrame) -> DataFrame:
+        for how, names in batch.items():
+            frame = fill(frame, numbers=how, others="mode", columns=names)
+        batch.clear()
+        return frame
+
+    for c in df.columns:
+        how = per_column.get(c, strategy)
+        if how == "drop":
+            out = done(out).na.drop(subset=[c])
+        elif how == "mode" or how in ("median", "mean") and c in num:
+            batch.setdefault(how, []).append(c)
+        elif how in ("forward", "backward"):
+            if not order:
+                raise ValueError(f"{how} needs an order")
+            out = carry(done(out), c, order, by, forward=how == "forward")
+        elif how in last and c in num:
+            last[how].append(c)
+        elif how not in ("median", "mean", "knn", "mice", "none"):
+            raise ValueError(f"no strategy {how}")
+    out = done(out)
+    for how, names in last.items():  # only columns with nulls are filled, and make the space of neighbours
+        if names:
+            nulls = out.agg(*(F.count_if(F.col(c).isNull()).alias(c) for c in names)).first()
+            last[how] = [c for c in names if nulls[c]]
+    if last["knn"]:
+        out = impute.knn(out, last["knn"], neighbours)
+    return impute.mice(out, last["mice"], rounds=rounds) if last["mice"] else out

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import math
+import statistics
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from brinework.functions.columns import categorical, numeric
 from brinework.functions.special import chi2_sf, f_sf, kolmogorov_sf, normal_sf
-from brinework.operators.profile import ranked
+from brinework.operators.ranks import average_ranks, exact_quantiles, running, sizes_of
 
 
 def _row(spark, **values) -> DataFrame:
@@ -58,7 +60,7 @@ def anova(df: DataFrame, value: str, by: str, least: int = 3) -> DataFrame:
 def kruskal(df: DataFrame, value: str, by: str) -> DataFrame:
     """(statistic, groups, n, p_value): Kruskal-Wallis with the correction for ties."""
     rows = df.where(F.col(value).isNotNull() & F.col(by).isNotNull()).select(F.col(value).cast("double").alias("x"), F.col(by).alias("g"))
-    ranks = ranked(rows, "x")
+    ranks = average_ranks(rows, "x")
     ties = ranks.agg(F.sum("n").alias("n"), F.sum(F.pow("n", F.lit(3)) - F.col("n")).alias("t")).first()
     sums = rows.groupBy("g", "x").agg(F.count("*").alias("m")).join(ranks.select("x", "rank"), "x").groupBy("g").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("rank")).alias("r"))
     s = sums.agg(F.count("*").alias("k"), F.sum(F.col("r") * F.col("r") / F.col("m")).alias("q")).first()
@@ -73,7 +75,7 @@ def kruskal(df: DataFrame, value: str, by: str) -> DataFrame:
 def levene(df: DataFrame, value: str, by: str) -> DataFrame:
     """ANOVA of the distances from the group medians."""
     rows = df.where(F.col(value).isNotNull() & F.col(by).isNotNull()).select(F.col(value).cast("double").alias("x"), F.col(by).alias("g"))
-    mid = rows.groupBy("g").agg(F.percentile("x", F.lit(0.5)).alias("mid"))
+    mid = exact_quantiles(rows, "x", (0.5,), ["g"]).select("g", F.col("q")[0].alias("mid"))
     return anova(rows.join(mid, "g").select("g", F.abs(F.col("x") - F.col("mid")).alias("x")), "x", "g")
 
 
@@ -84,11 +86,10 @@ def ks_normal(df: DataFrame, value: str) -> DataFrame:
     m = x.agg(F.avg("x").alias("m"), F.stddev_samp("x").alias("s"), F.count("*").alias("n")).first()
     if not m["s"]:
         return _row(df.sparkSession, statistic=None, n=m["n"], p_value=None)
-    steps = x.groupBy("x").agg(F.count("*").alias("c"))
-    till = F.sum("c").over(Window.partitionBy(F.lit(0)).orderBy("x").rowsBetween(Window.unboundedPreceding, 0))
+    steps = running(sizes_of(x, "x"), "x").withColumn("c", F.col("n").cast("double")).withColumn("till", F.col("before") + F.col("c"))
     z = (F.col("x") - m["m"]) / m["s"]
-    cdf = F.expr("0.5") * (1 + _erf(z / math.sqrt(2)))
-    got = steps.withColumn("till", till).withColumn("cdf", cdf).agg(F.max(F.greatest(F.col("till") / m["n"] - F.col("cdf"), F.col("cdf") - (F.col("till") - F.col("c")) / m["n"]))).first()[0]
+    cdf = F.lit(0.5) * (1 + _erf(z / math.sqrt(2)))
+    got = steps.withColumn("cdf", cdf).agg(F.max(F.greatest(F.col("till") / m["n"] - F.col("cdf"), F.col("cdf") - (F.col("till") - F.col("c")) / m["n"]))).first()[0]
     return _row(df.sparkSession, statistic=got, n=m["n"], p_value=kolmogorov_sf(got * math.sqrt(m["n"])))
 
 
@@ -100,11 +101,10 @@ def anderson_normal(df: DataFrame, value: str) -> DataFrame:
     n = m["n"]
     if not m["s"]:
         return _row(df.sparkSession, statistic=None, n=n, critical=None, normal=None)
-    steps = x.groupBy("x").agg(F.count("*").alias("c"))
-    till = F.sum("c").over(Window.partitionBy(F.lit(0)).orderBy("x").rowsBetween(Window.unboundedPreceding, 0))
+    steps = running(sizes_of(x, "x"), "x").withColumn("c", F.col("n").cast("double")).withColumn("till", F.col("before") + F.col("c"))
     z = (F.col("x") - m["m"]) / m["s"]
     cdf = F.greatest(F.lit(1e-12), F.least(F.lit(1 - 1e-12), 0.5 * (1 + _erf(z / math.sqrt(2)))))
-    d = steps.withColumn("j", till).withColumn("i", F.col("j") - F.col("c")).withColumn("p", cdf)
+    d = steps.withColumn("j", F.col("till")).withColumn("i", F.col("j") - F.col("c")).withColumn("p", cdf)
     # the sum of 2k - 1 over k = i+1..j, and of 2n + 1 - 2k
     low, high = F.col("j") * F.col("j") - F.col("i") * F.col("i"), F.lit(2 * n) * F.col("c") - (F.col("j") * F.col("j") - F.col("i") * F.col("i"))
     total = d.agg(F.sum(low * F.ln("p") + high * F.ln(1 - F.col("p")))).first()[0]
@@ -114,13 +114,97 @@ def anderson_normal(df: DataFrame, value: str) -> DataFrame:
     return _row(df.sparkSession, statistic=float(stat), n=n, critical=float(critical), normal=bool(stat < critical))
 
 
+def _least_hashed(df: DataFrame, value: str, most: int, key: str | None) -> list[float]:
+    """At most ``most`` values, in order: those of least hash of ``key``, as tests of this kind are for small samples."""
+    rows = df.where(F.col(value).isNotNull())
+    return sorted(r[0] for r in rows.select(F.col(value).cast("double")).orderBy(F.xxhash64(key or value), value).limit(most).collect())
+
+
+def _shapiro(x: list[float]) -> tuple[float, float]:
+    """W and its p-value for ordered values, by Royston's 1995 approximation."""
+    n, normal = len(x), statistics.NormalDist()
+    m = [normal.inv_cdf((i - 0.375) / (n + 0.25)) for i in range(1, n + 1)]
+    mm, u = sum(v * v for v in m), 1 / math.sqrt(n)
+    poly = lambda c, t: sum(k * t**i for i, k in enumerate(c))
+    # Royston's polynomials.
+    if n == 3:
+        a = [-math.sqrt(0.5), 0.0, math.sqrt(0.5)]
+    else:
+        last = poly((m[-1] / math.sqrt(mm), 0.221157, -0.147981, -2.071190, 4.434685, -2.706056), u)
+        if n <= 5:
+            f = math.sqrt((mm - 2 * m[-1] ** 2) / (1 - 2 * last**2))
+            a = [-last, *(v / f for v in m[1:-1]), last]
+        else:
+            second = poly((m[-2] / math.sqrt(mm), 0.042981, -0.293762, -1.752461, 5.682633, -3.582633), u)
+            f = math.sqrt((mm - 2 * m[-1] ** 2 - 2 * m[-2] ** 2) / (1 - 2 * last**2 - 2 * second**2))
+            a = [-last, -second, *(v / f for v in m[2:-2]), second, last]
+    mean = math.fsum(x) / n
+    w = min(1.0, math.fsum(p * q for p, q in zip(a, x, strict=True)) ** 2 / math.fsum((v - mean) ** 2 for v in x))
+    if n == 3:
+        return w, max(0.0, 6 / math.pi * (math.asin(math.sqrt(w)) - math.asin(math.sqrt(0.75))))
+    if w >= 1:
+        return w, 1.0
+    if n <= 11:
+        gamma = 0.459 * n - 2.273
+        if math.log(1 - w) >= gamma:
+            return w, 0.0
+        y, mu, sigma = -math.log(gamma - math.log(1 - w)), poly((0.5440, -0.39978, 0.025054, -0.0006714), n), math.exp(poly((1.3822, -0.77857, 0.062767, -0.0020322), n))
+    else:
+        y, k = math.log(1 - w), math.log(n)
+        mu, sigma = poly((-1.5861, -0.31082, -0.083751, 0.0038915), k), math.exp(poly((-0.4803, -0.082676, 0.0030302), k))
+    return w, normal_sf((y - mu) / sigma)
+
+
+def shapiro_wilk(df: DataFrame, value: str, most: int = 5000, key: str | None = None) -> DataFrame:
+    """(statistic, n, p_value, normal): Shapiro-Wilk on at most ``most`` rows of least hash; normal over 5 percent."""
+    x = _least_hashed(df, value, most, key)
+    if len(x) < 3 or x[0] == x[-1]:
+        return _row(df.sparkSession, statistic=None, n=len(x), p_value=None, normal=None)
+    w, p = _shapiro(x)
+    return _row(df.sparkSession, statistic=w, n=len(x), p_value=p, normal=p > 0.05)
+
+
+def normality(df: DataFrame, columns: list[str] | None = None, key: str | None = None) -> DataFrame:
+    """(column, shapiro, kolmogorov, anderson, votes, consensus) of each number column: whether each test takes it for
+    normal, and normal where two of them do. Null for a column that does not vary."""
+    rows = []
+    for c in columns or numeric(df):
+        shapiro, ks, anderson = shapiro_wilk(df, c, key=key).first()["normal"], ks_normal(df, c).first()["p_value"], anderson_normal(df, c).first()["normal"]
+        if shapiro is None or ks is None:
+            rows.append((c, None, None, None, None, None))
+            continue
+        votes = int(shapiro) + int(ks > 0.05) + int(anderson)
+        rows.append((c, bool(shapiro), bool(ks > 0.05), bool(anderson), votes, "normal" if votes >= 2 else "non_normal"))
+    return df.sparkSession.createDataFrame(rows, "column string, shapiro boolean, kolmogorov boolean, anderson boolean, votes int, consensus string")
+
+
+def chi_square_all(df: DataFrame, columns: list[str] | None = None, ahead: int = 3) -> DataFrame:
+    """(a, b, statistic, dof, p_value, cramers_v, n): each string column with the next ``ahead``; those with fewer than
+    four cells are left out."""
+    columns = columns or categorical(df)
+    out = df.sparkSession.createDataFrame([], "a string, b string, statistic double, dof long, p_value double, cramers_v double, n long")
+    for i, a in enumerate(columns):
+        for b in columns[i + 1 : i + 1 + ahead]:
+            one = chi_square(df, a, b)
+            out = out.union(one.where("dof >= 1").select(F.lit(a), F.lit(b), "statistic", "dof", "p_value", "cramers_v", "n"))
+    return out
+
+
+def group_tests(df: DataFrame, values: list[str] | None = None, groups: list[str] | None = None) -> DataFrame:
+    """(test, value, by, statistic, groups, n, p_value) of the first five number columns by the first three string
+    columns: anova and kruskal, and levene by the first two."""
+    out = df.sparkSession.createDataFrame([], "test string, value string, by string, statistic double, groups long, n long, p_value double")
+    for v in (values or numeric(df))[:5]:
+        for i, g in enumerate((groups or categorical(df))[:3]):
+            for name, test in (("anova", anova), ("kruskal", kruskal), *([("levene", levene)] if i < 2 else [])):
+                out = out.union(test(df, v, g).select(F.lit(name), F.lit(v), F.lit(g), F.col("statistic").cast("double"), "groups", "n", F.col("p_value").cast("double")))
+    return out
+
+
 def shapiro_francia(df: DataFrame, value: str, most: int = 5000, key: str | None = None) -> DataFrame:
     """(statistic, n, p_value): Shapiro-Francia normality by Royston's 1993 approximation, on at most ``most`` rows of
-    least hash, as tests of this kind are for small samples."""
-    import statistics
-
-    rows = df.where(F.col(value).isNotNull())
-    x = sorted(r[0] for r in rows.select(F.col(value).cast("double")).orderBy(F.xxhash64(key or value), value).limit(most).collect())
+    least hash."""
+    x = _least_hashed(df, value, most, key)
     n = len(x)
     if n < 5 or x[0] == x[-1]:
         return _row(df.sparkSession, statistic=None, n=n, p_value=None)

@@ -20,9 +20,9 @@ def period_of(ts: Column | str, period: str) -> Column:
 
 
 def money(x: Column | str) -> Column:
-    """Exact sum of amounts in cents."""
+    """Sum of amounts to ten places, the same in any order of the rows; 0 for none."""
     x = F.col(x) if isinstance(x, str) else x
-    return F.coalesce(F.sum(x.cast("decimal(18,2)")), F.lit(0)).cast("double")
+    return F.coalesce(F.sum(x.try_cast("decimal(38,10)")), F.lit(0)).cast("double")
 
 
 def revenue(star: Star, period: str = "daily", start: date | datetime | str | None = None, end: date | datetime | str | None = None) -> DataFrame:
@@ -67,7 +67,7 @@ def sold_quantities(star: Star) -> DataFrame:
 def top_products(star: Star, n: int = 10) -> DataFrame:
     """(product_id, revenue, category) of the ``n`` products with most revenue at catalog prices; ties by product_id."""
     priced = sold_quantities(star).join(star.products, "product_id")
-    value = (F.col("quantity") * F.col("price")).cast("decimal(28,4)").cast("double").alias("revenue")
+    value = (F.col("quantity") * F.col("price")).alias("revenue")
     return priced.select("product_id", value, "category").orderBy(F.desc("revenue"), "product_id").limit(n)
 
 
@@ -142,8 +142,9 @@ def churn_rate(star: Star, reference: date | datetime | str, days: int = 90) ->
 def retention(star: Star, days: int = 30) -> DataFrame:
     """(cohort, period, customers): whole periods of ``days`` since acquisition, negative before it."""
     both = _with_cohort(star, "inner").where("cohort is not null")
-    seconds = F.unix_timestamp(F.col("order_date").cast("timestamp")) - F.unix_timestamp(F.col("acquisition_date").cast("timestamp"))
-    period = F.floor(F.floor(seconds / 86400) / days).cast("long")
+    # without a zone, as a day on which clocks change is a day too
+    micros = F.timestamp_diff("MICROSECOND", F.col("acquisition_date").cast("timestamp_ntz"), F.col("order_date").cast("timestamp_ntz"))
+    period = F.floor(F.floor(micros / 86_400_000_000) / days).cast("long")
     return both.withColumn("period", period).where("period is not null").groupBy("cohort", "period").agg(F.count_distinct("customer_id").alias("customers"))
 
 
@@ -163,14 +164,13 @@ def journey(star: Star, customer_id, order_by: tuple[str, ...] = ("date", "touch
 def gross_margin(star: Star) -> DataFrame:
     """(product_id, revenue, cost, gross_margin) of sold units at catalog price and cost."""
     both = sold_quantities(star).join(star.products, "product_id")
-    exact = lambda c: (F.col("quantity") * F.col(c)).cast("decimal(28,4)").cast("double")
-    out = both.select("product_id", exact("price").alias("revenue"), exact("cost").alias("cost"))
+    out = both.select("product_id", (F.col("quantity") * F.col("price")).alias("revenue"), (F.col("quantity") * F.col("cost")).alias("cost"))
     return out.withColumn("gross_margin", F.col("revenue") - F.col("cost"))
 
 
 def net_margin(star: Star) -> DataFrame:
     """Order totals less one unit's cost of each catalog product, less spend."""
-    one = [star.orders.agg(money("total_amount").alias("revenue")), star.products.agg(F.coalesce(F.sum(F.col("cost").cast("decimal(18,4)")), F.lit(0)).cast("double").alias("cost")), star.marketing.agg(money("spend_amount").alias("spend"))]
+    one = [star.orders.agg(money("total_amount").alias("revenue")), star.products.agg(money("cost").alias("cost")), star.marketing.agg(money("spend_amount").alias("spend"))]
     return one[0].join(one[1]).join(one[2]).select((F.col("revenue") - F.col("cost") - F.col("spend")).alias("net_margin"))
 
 
@@ -181,7 +181,8 @@ def unit_economics(star: Star) -> DataFrame:
 
 
 def break_even(star: Star, product_id) -> DataFrame:
-    """(product_id, break_even_units): fixed costs by unit margin; null for no margin, no row for no such product."""
+    """(product_id, break_even_units): fixed costs by unit margin; null for no margin, and for no such product."""
     fixed = F.coalesce("fixed_costs", F.lit(0.0)) if "fixed_costs" in star.products.columns else F.lit(0.0)
-    p = star.products.where(F.col("product_id") == F.lit(product_id))
-    return p.select("product_id", F.try_divide(fixed, F.nullif(F.col("price") - F.col("cost"), F.lit(0.0))).alias("break_even_units"))
+    p = star.products.where(F.col("product_id") == F.lit(product_id)).select(F.try_divide(fixed, F.nullif(F.col("price") - F.col("cost"), F.lit(0.0))).alias("break_even_units"))
+    kind = dict(star.products.dtypes)["product_id"]
+    return star.products.sparkSession.range(1).select(F.lit(product_id).cast(kind).alias("product_id")).join(p, how="left")

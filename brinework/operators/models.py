@@ -4,10 +4,10 @@ meet on the driver; rows never do."""
 from __future__ import annotations
 
 import numpy as np
-from pyspark.ml.clustering import BisectingKMeans, GaussianMixture, KMeans
-from pyspark.ml.evaluation import ClusteringEvaluator
+import pandas as pd
+from pyspark.ml.clustering import BisectingKMeans, GaussianMixture
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from brinework.functions.columns import numeric
@@ -52,6 +52,8 @@ def pca(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     component is positive."""
     columns = columns or numeric(df)
     n, sums, cross = _moments(df, columns)
+    if n < 2:
+        return df.sparkSession.createDataFrame([], "component int, variance double, ratio double, cumulative double, loadings map<string,double>")
     cov = cross / n - np.outer(sums, sums) / n**2
     sd = np.sqrt(np.maximum(np.diag(cov), 0))
     live = [i for i in range(len(columns)) if sd[i] > 0]
@@ -67,24 +69,168 @@ def pca(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "component int, variance double, ratio double, cumulative double, loadings map<string,double>")
 
 
-def _vectors(df: DataFrame, columns: list[str]) -> DataFrame:
+def pca_summary(components: DataFrame) -> DataFrame:
+    """(for_90, for_95, for_99, components, reduction_95): how many components keep so many percent of the variance, and
+    by how many percent that shortens the rows."""
+    need = lambda t: (F.count_if(F.col("cumulative") < t - 1e-12) + 1).cast("int")
+    one = components.agg(need(0.90).alias("for_90"), need(0.95).alias("for_95"), need(0.99).alias("for_99"), F.count("*").alias("components"))
+    return one.withColumn("reduction_95", (1 - F.col("for_95") / F.col("components")) * 100)
+
+
+def pca_top_features(components: DataFrame, most: int = 5) -> DataFrame:
+    """(component, rank, feature, loading) of the ``most`` largest loadings of the first ``most`` components."""
+    each = components.where(F.col("component") <= most).select("component", F.explode("loadings").alias("feature", "loading"))
+    order = Window.partitionBy("component").orderBy(F.desc(F.abs("loading")), "feature")
+    return each.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
+
+
+def _standardized(df: DataFrame, columns: list[str]) -> DataFrame:
     full = df.select(*(F.col(c).cast("double").alias(c) for c in columns)).na.drop()
     stats = full.agg(*(F.struct(F.avg(c).alias("m"), F.stddev_pop(c).alias("s")).alias(c) for c in columns)).first()
-    scaled = full.select(*(((F.col(c) - stats[c]["m"]) / (stats[c]["s"] or 1.0)).alias(c) for c in columns))
-    return VectorAssembler(inputCols=columns, outputCol="features").transform(scaled).select("features")
+    return full.select(*(((F.col(c) - F.lit(stats[c]["m"] or 0.0)) / F.lit(stats[c]["s"] or 1.0)).alias(c) for c in columns))
 
 
-def kmeans(df: DataFrame, columns: list[str] | None = None, ks: range = range(2, 11), seed: int = 42) -> DataFrame:
-    """(k, inertia, silhouette, sizes, best) for each number of clusters of standardized complete rows."""
-    data = _vectors(df, columns or numeric(df)).persist()
-    rows = []
-    for k in ks:
-        model = KMeans(k=k, seed=seed).fit(data)
-        score = ClusteringEvaluator(distanceMeasure="squaredEuclidean").evaluate(model.transform(data)) if model.summary.k > 1 else 0.0
-        rows.append([k, float(model.summary.trainingCost), float(score), [int(s) for s in model.summary.clusterSizes]])
+def _vectors(df: DataFrame, columns: list[str]) -> DataFrame:
+    return VectorAssembler(inputCols=columns, outputCol="features").transform(_standardized(df, columns)).select("features")
+
+
+#: Rows that starts are drawn from, those of least hash, and rounds of a fit at most.
+SEED_ROWS, ROUNDS = 2000, 300
+
+
+def _seeded(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """``k`` starts, each drawn by its squared distance from those before."""
+    chosen = [x[rng.integers(len(x))]]
+    near = ((x - chosen[0]) ** 2).sum(axis=1)
+    for _ in range(k - 1):
+        total = near.sum()
+        chosen.append(x[rng.choice(len(x), p=near / total) if total > 0 else rng.integers(len(x))])
+        near = np.minimum(near, ((x - chosen[-1]) ** 2).sum(axis=1))
+    return np.array(chosen)
+
+
+def _assigned(x: np.ndarray, centres: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Nearest centre and its squared distance, for each set of centres."""
+    square, out = (x * x).sum(axis=1), []
+    for c in centres:
+        d = square[:, None] - 2 * x @ c.T + (c * c).sum(axis=1)
+        own = np.argmin(d, axis=1)
+        out.append((own, np.maximum(d[np.arange(len(x)), own], 0)))
+    return out
+
+
+def kmeans(df: DataFrame, columns: list[str] | None = None, ks: range = range(2, 11), starts: int = 10, seed: int = 42, least: int = 50) -> DataFrame:
+    """(k, inertia, silhouette, davies_bouldin, sizes, balance, best, best_davies_bouldin, elbow) for each number of
+    clusters of standardized complete rows; no row for under ``least`` of them.
+
+    All starts of all k are fitted together: a pass over the rows assigns them to every set of centres and gives a sum for
+    each centre, so passes are shared and only centres reach the driver. Of each k the start of least inertia counts.
+    Silhouettes are by squared distances, which sums of a cluster give in closed form. Ties go to the smaller k."""
+    columns = columns or numeric(df)
+    spark, schema = df.sparkSession, "k int, inertia double, silhouette double, davies_bouldin double, sizes array<long>, balance double, best boolean, best_davies_bouldin boolean, elbow boolean"
+    data = _standardized(df, columns).persist()
+    n, p = data.count(), len(columns)
+    ks = [k for k in ks if k < n]
+    if n < least or not ks:
+        data.unpersist()
+        return spark.createDataFrame([], schema)
+    few = data.orderBy(F.xxhash64(*columns), *columns).limit(SEED_ROWS).toPandas().to_numpy()
+    rng = np.random.default_rng(seed)
+    owner = [k for k in ks for _ in range(starts)]
+    centres = [_seeded(few, k, rng) for k in owner]
+    sums = ", ".join(f"s{i} double" for i in range(p))
+
+    def total(live: list[int], held: list[np.ndarray]) -> dict[int, np.ndarray]:
+        shared = spark.sparkContext.broadcast(held)
+
+        def run(batches):
+            acc = [np.zeros((len(c), p + 2)) for c in shared.value]
+            for pdf in batches:
+                x = pdf.to_numpy(dtype=np.float64)
+                for a, (own, far), c in zip(acc, _assigned(x, shared.value), shared.value, strict=True):
+                    a[:, 0] += np.bincount(own, minlength=len(c))
+                    a[:, 1] += np.bincount(own, weights=far, minlength=len(c))
+                    for j in range(p):
+                        a[:, 2 + j] += np.bincount(own, weights=x[:, j], minlength=len(c))
+            rows = [(i, j, *row) for i, a in enumerate(acc) for j, row in enumerate(a) if row[0]]
+            yield pd.DataFrame(rows, columns=["i", "j", "n", "cost", *(f"s{q}" for q in range(p))])
+
+        got = data.mapInPandas(run, f"i long, j long, n double, cost double, {sums}").groupBy("i", "j").agg(F.sum("n"), F.sum("cost"), *(F.sum(f"s{q}") for q in range(p))).collect()
+        shared.destroy()
+        out = {i: np.zeros((len(held[at]), p + 2)) for at, i in enumerate(live)}
+        for r in got:
+            out[live[r["i"]]][r["j"]] = list(r)[2:]
+        return out
+
+    live, inertia = list(range(len(centres))), np.full(len(centres), np.inf)
+    for _ in range(ROUNDS):
+        found, still = total(live, [centres[i] for i in live]), []
+        for i in live:
+            a = found[i]
+            new = np.where(a[:, :1] > 0, a[:, 2:] / np.maximum(a[:, :1], 1), centres[i])
+            inertia[i] = a[:, 1].sum()
+            if ((new - centres[i]) ** 2).sum() > 1e-4:
+                still.append(i)
+            centres[i] = new
+        live = still
+        if not live:
+            break
+    best = {k: min((i for i, o in enumerate(owner) if o == k), key=lambda i: (inertia[i], i)) for k in ks}
+    chosen = [centres[best[k]] for k in ks]
+    last = total(list(range(len(ks))), chosen)
+    scores = _cluster_scores(data, chosen, last, p)
     data.unpersist()
-    best = max(rows, key=lambda r: r[2])[0]
-    return df.sparkSession.createDataFrame([(*r, r[0] == best) for r in rows], "k int, inertia double, silhouette double, sizes array<long>, best boolean")
+    cost = [float(last[i][:, 1].sum()) for i in range(len(ks))]
+    sil, db = [float(s) for s, _ in scores], [float(d) for _, d in scores]
+    bend = np.diff(np.diff(cost)) if len(ks) >= 3 else np.zeros(0)
+    elbow = ks[int(np.argmax(bend)) + 1] if len(bend) else ks[int(np.argmax(sil))]
+    rows = []
+    for i, k in enumerate(ks):
+        sizes = last[i][:, 0]
+        full = sizes[sizes > 0]
+        rows.append((k, cost[i], sil[i], db[i], [int(s) for s in sizes], float(full.min() / full.max()), i == int(np.argmax(sil)), i == int(np.argmin(db)), k == elbow))
+    return spark.createDataFrame(rows, schema)
+
+
+def _cluster_scores(data: DataFrame, centres: list[np.ndarray], sums: dict[int, np.ndarray], p: int) -> list[tuple[float, float]]:
+    """(silhouette, Davies-Bouldin) of each set of centres, in one pass."""
+    stats = []
+    for i, c in enumerate(centres):
+        n = sums[i][:, 0]
+        mean = np.where(n[:, None] > 0, sums[i][:, 2:] / np.maximum(n[:, None], 1), c)
+        spread = np.where(n > 0, (sums[i][:, 1] / np.maximum(n, 1)) - ((mean - c) ** 2).sum(axis=1), 0)
+        stats.append((c, n, mean, np.maximum(spread, 0)))
+    shared = data.sparkSession.sparkContext.broadcast(stats)
+
+    def run(batches):
+        acc = [(np.zeros(1), np.zeros(len(c))) for c, _, _, _ in shared.value]
+        for pdf in batches:
+            x = pdf.to_numpy(dtype=np.float64)
+            for (total, far), (own, _), (_, n, mean, spread) in zip(acc, _assigned(x, [s[0] for s in shared.value]), shared.value, strict=True):
+                d = (x * x).sum(axis=1)[:, None] - 2 * x @ mean.T + (mean * mean).sum(axis=1)
+                # mean squared distance to all rows of a cluster: to its centre, and theirs to it
+                each = np.where(n > 0, np.maximum(d, 0) + spread, np.inf)
+                rows = np.arange(len(x))
+                mine = each[rows, own] * n[own] / np.maximum(n[own] - 1, 1)
+                each[rows, own] = np.inf
+                other = each.min(axis=1)
+                most = np.maximum(mine, other)
+                total += np.where((n[own] > 1) & (most > 0), (other - mine) / np.where(most > 0, most, 1), 0).sum()
+                far += np.bincount(own, weights=np.sqrt(np.maximum(d[rows, own], 0)), minlength=len(far))
+        rows = [(i, -1, float(t[0])) for i, (t, _) in enumerate(acc)] + [(i, j, float(v)) for i, (_, f) in enumerate(acc) for j, v in enumerate(f)]
+        yield pd.DataFrame(rows, columns=["i", "j", "v"])
+
+    got = {(r["i"], r["j"]): r["v"] for r in data.mapInPandas(run, "i long, j long, v double").groupBy("i", "j").agg(F.sum("v").alias("v")).collect()}
+    shared.destroy()
+    out = []
+    for i, (_, n, mean, _) in enumerate(stats):
+        full = np.flatnonzero(n > 0)
+        s = np.array([got[i, j] / n[j] for j in full])
+        gap = np.sqrt(((mean[full][:, None] - mean[full][None]) ** 2).sum(axis=2))
+        np.fill_diagonal(gap, np.inf)
+        worst = ((s[:, None] + s[None]) / np.where(gap > 0, gap, np.inf)).max(axis=1) if len(full) > 1 else np.zeros(1)
+        out.append((got[i, -1] / max(n.sum(), 1), float(worst.mean())))
+    return out
 
 
 def mixture(df: DataFrame, k: int = 3, columns: list[str] | None = None, seed: int = 42) -> DataFrame:
@@ -125,8 +271,10 @@ def mutual_information(df: DataFrame, features: list[str], target: str, bins: in
 
 
 def mahalanobis(df: DataFrame, columns: list[str], key: list[str]) -> DataFrame:
-    """(key..., distance): each complete row's distance from the mean by the covariance of all."""
+    """(key..., distance): each complete row's distance from the mean by the covariance of all; null for one row."""
     n, sums, cross = _moments(df, columns)
+    if n < 2:  # no covariance
+        return df.na.drop(subset=columns).select(*key, F.lit(None).cast("double").alias("distance"))
     mean = sums / n
     inverse = np.linalg.pinv((cross - n * np.outer(mean, mean)) / (n - 1))
     d = [F.col(c).cast("double") - float(m) for c, m in zip(columns, mean, strict=True)]

@@ -4,24 +4,23 @@ are profiled together in long form, so a table is read once however wide it is."
 from __future__ import annotations
 
 from itertools import combinations
+from math import ceil, floor
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from brinework.functions.columns import categorical, labelled, long_form, numeric
+from brinework.functions.columns import categorical, labelled, long_form, numeric, temporal
+from brinework.operators.ranks import RANGES, order_statistics, quantile_table, running, sizes_of
 
 QUANTILES = (0.05, 0.10, 0.25, 0.50, 0.75, 0.90, 0.95, 0.99)
 
 
-def percentiles(c: Column | str, points, exact: bool = True) -> Column:
-    """Linear-interpolation percentiles; with ``exact`` false, sketches of bounded size for very large columns."""
-    arr = F.array(*map(F.lit, points))
-    return F.percentile(c, arr) if exact else F.percentile_approx(F.col(c) if isinstance(c, str) else c, arr, 100_000)
-
-
 def overview(df: DataFrame) -> DataFrame:
     """One row: rows, columns, cells, missing cells and share, columns with any and only missing values, duplicate and
-    unique rows, density."""
+    unique rows, density, columns by kind, their names."""
     n = len(df.columns)
     grouped = df.groupBy(*df.columns).agg(F.count("*").alias("_n"))
     missing = lambda c: F.coalesce(F.sum(F.when(F.col(c).isNull(), F.col("_n")).otherwise(0)), F.lit(0))
@@ -35,30 +34,63 @@ def overview(df: DataFrame) -> DataFrame:
         F.size(F.filter("_m", lambda x: (x > 0) & (x == F.col("rows")))).alias("columns_all_missing"),
         (F.col("rows") - F.col("unique_rows")).alias("duplicate_rows"), "unique_rows",
         F.coalesce(F.try_divide((F.col("cells") - F.col("missing_cells")) * 100.0, "cells"), F.lit(0.0)).alias("density_percent"),
+        F.coalesce(F.try_divide(F.col("missing_cells") * 100.0, "cells"), F.lit(0.0)).alias("sparsity_percent"),
+        F.coalesce(F.try_divide((F.col("rows") - F.col("unique_rows")) * 100.0, "rows"), F.lit(0.0)).alias("duplicate_percent"),
+        F.lit(len(numeric(df))).alias("numeric_columns"), F.lit(len(categorical(df))).alias("categorical_columns"), F.lit(len(temporal(df))).alias("date_columns"),
+        F.lit(",".join(df.columns)).alias("column_names"), F.lit(sum(map(len, df.columns)) / max(1, n)).alias("mean_name_length"),
     )
 
 
+def _moments(df: DataFrame, columns: list[str], fences: dict | None = None) -> DataFrame:
+    """(column, count, missing, mean, std, variance, min, max, zeros, skewness, kurtosis), and the values beyond
+    ``fences`` if given, in one pass without a shuffle of cells."""
+    one = []
+    for c in columns:
+        v = F.col(c).cast("double")
+        moments = {
+            "count": F.count(v), "missing": F.count_if(v.isNull()), "mean": F.avg(v), "std": F.stddev_samp(v), "variance": F.var_samp(v), "min": F.min(v), "max": F.max(v),
+            "zeros": F.count_if(v == 0), "skewness": F.skewness(v), "kurtosis": F.kurtosis(v),
+        }
+        if fences is not None:
+            moments["outliers"] = F.count_if((v < fences[c][0]) | (v > fences[c][1])) if fences[c] else F.lit(0).cast("long")
+        one.append(F.struct(F.lit(c).alias("column"), *(x.alias(k) for k, x in moments.items())))
+    return df.agg(F.array(*one).alias("c")).select(F.explode("c").alias("c")).select("c.*")
+
+
 def numeric_stats(df: DataFrame, columns: list[str] | None = None, exact: bool = True) -> DataFrame:
-    """A row for each numeric column: counts, moments, percentiles, shape labels, zeros, fences and outliers."""
+    """A row for each numeric column: counts, moments, percentiles, shape labels, zeros, the three least and largest
+    values, fences and outliers. Percentiles are order statistics by brackets, modes and distinct values come from the
+    counts of distinct values; all else is one aggregate of the rows."""
     columns = columns or numeric(df)
-    cells = long_form(df, columns)
-    v = F.col("value")
-    one = cells.groupBy("column").agg(
-        F.count(v).alias("count"), F.count_if(v.isNull()).alias("missing"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.var_samp(v).alias("variance"),
-        F.min(v).alias("min"), F.max(v).alias("max"), percentiles("value", QUANTILES, exact).alias("_q"), F.mode("value", True).alias("mode"),
-        F.count_distinct(v).alias("distinct"), F.count_if(v == 0).alias("zeros"), F.skewness(v).alias("skewness"), F.kurtosis(v).alias("kurtosis"),
-    )
-    for i, q in enumerate(QUANTILES):
-        one = one.withColumn(f"p{round(q * 100)}", F.col("_q")[i])
-    one = one.drop("_q").withColumn("iqr", F.col("p75") - F.col("p25")).withColumn("range", F.col("max") - F.col("min"))
+    spark = df.sparkSession
+    if not columns:
+        raise ValueError("no numeric columns")
+    facts, fences, kinds = [], {}, pa.schema([("column", pa.string()), ("_q", pa.list_(pa.float64())), ("least", pa.list_(pa.float64())), ("largest", pa.list_(pa.float64()))])
+    if exact:
+        found = order_statistics(df, columns, lambda n: [*(f(p * (n - 1)) for p in QUANTILES for f in (floor, ceil)), *range(3), *range(n - 3, n)])
+        for c, (n, at) in zip(columns, found, strict=True):
+            q = [at[floor(p * (n - 1))] + (at[ceil(p * (n - 1))] - at[floor(p * (n - 1))]) * (p * (n - 1) - floor(p * (n - 1))) for p in QUANTILES] if n else [None] * len(QUANTILES)
+            facts.append((c, q, [at[i] for i in range(min(3, n))], [at[i] for i in range(n - 1, max(n - 4, -1), -1)]))
+    else:
+        known = {r["column"]: r["q"] for r in quantile_table(df, columns, QUANTILES, False).collect()}
+        facts = [(c, known.get(c) or [None] * len(QUANTILES), None, None) for c in columns]
+    for c, q, _, _ in facts:
+        a, b = q[2], q[4]
+        fences[c] = (a - 1.5 * (b - a), b + 1.5 * (b - a)) if a is not None else None
+    ranks = spark.createDataFrame(pa.Table.from_pylist([dict(zip(kinds.names, f, strict=True)) for f in facts], kinds))
+    sizes = sizes_of(long_form(df, columns), "value", ["column"])
+    common = sizes.groupBy("column").agg(F.count("*").alias("distinct"), F.min_by("value", F.struct((-F.col("n")).alias("a"), "value")).alias("mode"))
+    one = _moments(df, columns, fences).join(F.broadcast(common), "column", "left").join(F.broadcast(ranks), "column", "left")
+    for i, p in enumerate(QUANTILES):
+        one = one.withColumn(f"p{round(p * 100)}", F.col("_q")[i])
+    one = one.drop("_q").withColumn("distinct", F.coalesce("distinct", F.lit(0))).withColumn("iqr", F.col("p75") - F.col("p25")).withColumn("range", F.col("max") - F.col("min"))
     one = one.withColumn("low_fence", F.col("p25") - 1.5 * F.col("iqr")).withColumn("high_fence", F.col("p75") + 1.5 * F.col("iqr"))
     one = one.withColumn("cv_percent", F.coalesce(F.try_divide(F.col("std") * 100, F.nullif("mean", F.lit(0.0))), F.lit(0.0)))
+    rows = F.col("count") + F.col("missing")
+    one = one.withColumn("missing_percent", F.coalesce(F.try_divide(F.col("missing") * 100.0, rows), F.lit(0.0))).withColumn("zeros_percent", F.coalesce(F.try_divide(F.col("zeros") * 100.0, rows), F.lit(0.0)))
     s, k = F.col("skewness"), F.col("kurtosis")
     one = one.withColumn("skew_label", F.when(F.abs(s) < 0.5, "symmetric").when(s > 0.5, "right").when(s.isNotNull(), "left"))
-    one = one.withColumn("kurtosis_label", F.when(F.abs(k) < 0.5, "mesokurtic").when(k > 0.5, "leptokurtic").when(k.isNotNull(), "platykurtic"))
-    # a row a column: its size is the number of columns
-    out = cells.join(F.broadcast(one.select("column", "low_fence", "high_fence")), "column").groupBy("column").agg(F.count_if((v < F.col("low_fence")) | (v > F.col("high_fence"))).alias("outliers"))
-    return one.join(F.broadcast(out), "column", "left")
+    return one.withColumn("kurtosis_label", F.when(F.abs(k) < 0.5, "mesokurtic").when(k > 0.5, "leptokurtic").when(k.isNotNull(), "platykurtic"))
 
 
 def value_counts(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -72,7 +104,8 @@ def top_values(df: DataFrame, column: str, k: int = 20) -> DataFrame:
 
 
 def categorical_stats(df: DataFrame, columns: list[str] | None = None, limit: int = 50) -> DataFrame:
-    """A row for each string column: counts, most common value, concentration, entropy, Gini index, imbalance."""
+    """A row for each string column: counts, most common value, concentration, entropy, Gini index, imbalance, cardinality
+    (by the share of distinct values among the non-null ones), and the ten most common values as value=count texts."""
     columns = columns or categorical(df)
     counts = value_counts(df, columns)
     total = counts.groupBy("column").agg(F.sum("n").alias("count"), F.count("*").alias("distinct"), F.max("n").alias("top_count"), F.min("n").alias("least_count"))
@@ -84,7 +117,7 @@ def categorical_stats(df: DataFrame, columns: list[str] | None = None, limit: in
     gini = _gini(counts, total)
     sizes = df.agg(F.count("*").alias("rows"))
     one = total.join(tops, "column").join(mixed, "column").join(few, "column").join(gini, "column").join(F.broadcast(sizes))
-    level = F.col("distinct") / F.col("rows")
+    level = F.col("distinct") / F.col("count")
     return one.select(
         "column", "count", (F.col("rows") - F.col("count")).alias("missing"), "distinct", "top", "top_count",
         (F.col("top_count") * 100.0 / F.col("count")).alias("top_percent"),
@@ -93,17 +126,17 @@ def categorical_stats(df: DataFrame, columns: list[str] | None = None, limit: in
         F.when(F.col("distinct") > 1, F.col("entropy") / F.log2(F.col("distinct").cast("double"))).otherwise(0.0).alias("normalized_entropy"),
         "gini", (F.col("top_count") / F.col("least_count")).alias("imbalance_ratio"), (F.col("distinct") > limit).alias("high_cardinality"),
         (F.col("top_count") / F.col("count") > 0.9).alias("imbalanced"),
-        F.when(F.col("distinct") <= 1, "constant").otherwise(labelled(level, [(0.01, "low"), (0.1, "medium"), (0.5, "high")], "very high")).alias("cardinality"),
+        F.when(F.col("distinct") <= 1, "constant").otherwise(labelled(level, [(0.01, "low"), (0.1, "medium"), (0.5, "high")], "very_high")).alias("cardinality"), "top_values",
     )
 
 
 def _largest(counts: DataFrame, k: int) -> DataFrame:
-    """(column, top5, top10): the sums of the largest counts. Ranks are taken within hash buckets of the values first,
+    """(column, top5, top10, top_values): the sums of the largest counts, and the values that have them. Ranks are taken within hash buckets of the values first,
     so no task sorts all values of a column."""
     bucket = F.pmod(F.xxhash64("value"), F.lit(64))
     near = counts.withColumn("_b", bucket).withColumn("_r", F.row_number().over(Window.partitionBy("column", "_b").orderBy(F.desc("n"), "value"))).where(F.col("_r") <= k)
     ranked = near.withColumn("_r", F.row_number().over(Window.partitionBy("column").orderBy(F.desc("n"), "value"))).where(F.col("_r") <= k)
-    return ranked.groupBy("column").agg(F.sum(F.when(F.col("_r") <= 5, F.col("n"))).alias("top5"), F.sum("n").alias("top10"))
+    return ranked.groupBy("column").agg(F.sum(F.when(F.col("_r") <= 5, F.col("n"))).alias("top5"), F.sum("n").alias("top10"), F.transform(F.sort_array(F.collect_list(F.struct("_r", F.concat_ws("=", "value", "n").alias("t")))), lambda x: x["t"]).alias("top_values"))
 
 
 def _gini(counts: DataFrame, total: DataFrame) -> DataFrame:
@@ -133,96 +166,197 @@ def pearson(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     return one.select(F.explode(F.array(*one.columns)).alias("p")).select("p.*")
 
 
-def ranked(df: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
-    """(by..., value, rank, n): the average rank of each distinct value; ties share it. A row for each distinct value."""
-    by = by or []
-    sizes = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n"))
-    w = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    return sizes.withColumn("rank", F.coalesce(F.sum("n").over(w), F.lit(0)) + (F.col("n") + 1) / 2)
+def _pair_cells(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(a, b, x, y, w): the distinct value pairs of each pair of columns, over rows that have both, and their counts."""
+    pairs = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y")) for a, b in combinations(columns, 2)]
+    return df.select(F.explode(F.array(*pairs)).alias("p")).select("p.*").where("x is not null and y is not null").groupBy("a", "b", "x", "y").agg(F.count("*").alias("w"))
 
 
 def spearman(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """(a, b, r) of each pair over rows that have both: Pearson of average ranks."""
+    """(a, b, r) of each pair over rows that have both: Pearson of average ranks. All pairs share one plan; null where a
+    column does not vary."""
     columns = columns or numeric(df)
-    out = None
-    for a, b in combinations(columns, 2):
-        both = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y")).groupBy("x", "y").agg(F.count("*").alias("w"))
-        rank = lambda c: both.groupBy(c).agg(F.sum("w").alias("n")).withColumn("r", F.coalesce(F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy(c).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + (F.col("n") + 1) / 2).select(c, F.col("r").alias(f"r{c}"))  # noqa: B023, E731
-        both = both.join(rank("x"), "x").join(rank("y"), "y")
-        n, w, x, y = F.sum("w"), F.col("w"), F.col("rx"), F.col("ry")
-        cov = n * F.sum(w * x * y) - F.sum(w * x) * F.sum(w * y)
-        vx, vy = n * F.sum(w * x * x) - F.sum(w * x) * F.sum(w * x), n * F.sum(w * y * y) - F.sum(w * y) * F.sum(w * y)
-        one = both.agg(F.try_divide(cov, F.nullif(F.sqrt(vx) * F.sqrt(vy), F.lit(0.0))).alias("r")).select(F.lit(a).alias("a"), F.lit(b).alias("b"), "r")
-        out = one if out is None else out.union(one)
-    return out if out is not None else df.sparkSession.createDataFrame([], "a string, b string, r double")
-
-
-def kendall(df: DataFrame, a: str, b: str) -> DataFrame:
-    """(a, b, tau): tau-b from the counts of distinct value pairs. The pairs meet by an inequality join, so the work is
-    quadratic in the distinct pairs: bin continuous columns first."""
-    cells = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y")).agg(F.count("*").cast("double").alias("w"))
-    other = cells.select(F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("w").alias("w2"))
-    s = cells.join(other, F.col("x") < F.col("x2")).agg(F.sum(F.signum(F.col("y2") - F.col("y")) * F.col("w") * F.col("w2")).alias("s"))
-    pairs = lambda c: c * (c - 1) / 2
-    tied = lambda c: cells.groupBy(c).agg(F.sum("w").alias("w")).agg(F.coalesce(F.sum(pairs(F.col("w"))), F.lit(0.0)).alias(f"t{c}"))
-    n = cells.agg(pairs(F.coalesce(F.sum("w"), F.lit(0.0))).alias("n"))
-    one = s.join(n).join(tied("x")).join(tied("y"))
-    return one.select(F.lit(a).alias("a"), F.lit(b).alias("b"), F.try_divide("s", F.nullif(F.sqrt((F.col("n") - F.col("tx")) * (F.col("n") - F.col("ty"))), F.lit(0.0))).alias("tau"))
+    if len(columns) < 2:
+        return df.sparkSession.createDataFrame([], "a string, b string, r double")
+    cells, pair = _pair_cells(df, columns), ["a", "b"]
+
+    def ranks(c):
+        sizes = cells.groupBy(*pair, c).agg(F.sum("w").alias("n"))
+        return running(sizes, c, pair).select(*pair, c, (F.col("before") + (F.col("n") + 1) / 2).alias(f"r{c}"))
+
+    both = cells.join(ranks("x"), [*pair, "x"]).join(ranks("y"), [*pair, "y"])
+    mean = both.groupBy(*pair).agg(F.try_divide(F.sum(F.col("w") * F.col("rx")), F.sum("w").cast("double")).alias("m"))  # the mean of all ranks is the same for both
+    w, x, y = F.col("w"), F.col("rx") - F.col("m"), F.col("ry") - F.col("m")
+    r = F.try_divide(F.sum(w * x * y), F.nullif(F.sqrt(F.sum(w * x * x)) * F.sqrt(F.sum(w * y * y)), F.lit(0.0)))
+    return both.join(F.broadcast(mean), pair).groupBy(*pair).agg(r.alias("r"))
+
+
+def _balance(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> float:
+    """Weighted concordant less discordant pairs of points, by halves of x."""
+    order = np.argsort(x, kind="stable")
+    x, y, w = x[order], y[order], w[order]
+
+    def of(a: int, b: int) -> float:
+        if b - a <= 256:
+            s = np.sign(x[a:b, None] - x[None, a:b]) * np.sign(y[a:b, None] - y[None, a:b])
+            return float(w[a:b] @ s @ w[a:b]) / 2
+        mid = int(np.searchsorted(x, x[(a + b) // 2], "left"))
+        if mid <= a:
+            mid = int(np.searchsorted(x, x[a], "right"))
+        if mid >= b:
+            return 0.0  # one value of x
+        by_y = np.argsort(y[a:mid], kind="stable")
+        ys, till = y[a:mid][by_y], np.concatenate([[0.0], np.cumsum(w[a:mid][by_y])])
+        under, upto = till[np.searchsorted(ys, y[mid:b], "left")], till[np.searchsorted(ys, y[mid:b], "right")]
+        return float(w[mid:b] @ (under - (till[-1] - upto))) + of(a, mid) + of(mid, b)
+
+    return of(0, len(x)) if len(x) else 0.0
+
+
+def kendall(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """(a, b, tau): tau-b of each pair over rows that have both, from the counts of distinct value pairs.
+
+    Both columns are dealt into ranges, a value that bounds one being a range of its own. Pairs of points in different
+    ranges of both are settled by the counts of the grid of ranges; those in one range of x, or of y, are counted within
+    it, a task for each range; those in one range of both would be counted twice and are taken off once."""
+    columns = columns or numeric(df)
+    schema = "a string, b string, tau double"
+    if len(columns) < 2:
+        return df.sparkSession.createDataFrame([], schema)
+    cells, pair = _pair_cells(df, columns), ["a", "b"]
+    points = F.array(*(F.lit(i / RANGES) for i in range(1, RANGES)))
+    bounds = cells.groupBy(*pair).agg(*(F.percentile_approx(c, points, 2000).alias(f"_{c}") for c in ("x", "y")))
+    bucket = lambda c: 2 * F.size(F.filter(f"_{c}", lambda b: b < F.col(c))) + F.array_contains(f"_{c}", F.col(c)).cast("int")
+    placed = cells.join(F.broadcast(bounds), pair).withColumns({"i": bucket("x"), "j": bucket("y")}).drop("_x", "_y").withColumn("w", F.col("w").cast("double"))
+    grid = placed.groupBy(*pair, "i", "j").agg(F.sum("w").alias("w"))
+
+    def of_grid(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"a": [key[0]], "b": [key[1]], "s": [_balance(pdf["i"].to_numpy(float), pdf["j"].to_numpy(float), pdf["w"].to_numpy(float))]})
+
+    def of_range(other: bool):
+        def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+            s = _balance(pdf["x"].to_numpy(float), pdf["y"].to_numpy(float), pdf["w"].to_numpy(float))
+            if other:  # those in one cell of the grid are counted by the other axis
+                s -= sum(_balance(c["x"].to_numpy(float), c["y"].to_numpy(float), c["w"].to_numpy(float)) for _, c in pdf.groupby("j"))
+            return pd.DataFrame({"a": [key[0]], "b": [key[1]], "s": [s]})
+
+        return run
+
+    form = "a string, b string, s double"
+    # a range of one value has ties only
+    several = lambda c, k: placed.join(F.broadcast(placed.groupBy(*pair, k).agg(F.min(c).alias("_lo"), F.max(c).alias("_hi")).where("_lo < _hi").select(*pair, k)), [*pair, k], "left_semi")
+    s = grid.groupBy(*pair).applyInPandas(of_grid, form)
+    s = s.union(several("x", "i").groupBy(*pair, "i").applyInPandas(of_range(True), form)).union(several("y", "j").groupBy(*pair, "j").applyInPandas(of_range(False), form))
+    tied = lambda c: cells.groupBy(*pair, c).agg(F.sum("w").cast("double").alias("t")).groupBy(*pair).agg(F.sum(F.col("t") * (F.col("t") - 1) / 2).alias(f"t{c}"))
+    n = cells.groupBy(*pair).agg(F.sum("w").cast("double").alias("n")).select(*pair, (F.col("n") * (F.col("n") - 1) / 2).alias("n"))
+    one = s.groupBy(*pair).agg(F.sum("s").alias("s")).join(n, pair).join(tied("x"), pair).join(tied("y"), pair)
+    return one.select(*pair, F.try_divide("s", F.nullif(F.sqrt(F.col("n") - F.col("tx")) * F.sqrt(F.col("n") - F.col("ty")), F.lit(0.0))).alias("tau"))
+
+
+def correlations(df: DataFrame, method: str = "all", columns: list[str] | None = None) -> DataFrame:
+    """(a, b, pearson, spearman, kendall) of each pair, or (a, b, r) by one method."""
+    one = {"pearson": lambda: pearson(df, columns).select("a", "b", "r"), "spearman": lambda: spearman(df, columns), "kendall": lambda: kendall(df, columns).withColumnRenamed("tau", "r")}
+    if method != "all":
+        if method not in one:
+            raise ValueError(f"method must be all or one of {', '.join(one)}")
+        return one[method]()
+    frames = [f().withColumnRenamed("r", k) for k, f in one.items()]
+    return frames[0].join(frames[1], ["a", "b"], "left").join(frames[2], ["a", "b"], "left")
 
 
 def strong_pairs(pairs: DataFrame, least: float = 0.3) -> DataFrame:
-    """Pairs with |r| over ``least``, their strength, direction and whether they are near perfect; strongest first."""
+    """Pairs with |r| over ``least``, their strength, direction and whether they are near perfect (|r| over 0.99);
+    strongest first. Where ``pairs`` has pearson, spearman and kendall, r is Pearson's and ``agreement`` tells whether
+    their signs are one, two or three different ones."""
+    every = {"pearson", "spearman", "kendall"} <= set(pairs.columns)
+    if every:
+        signs = F.size(F.array_distinct(F.array(*(F.signum(F.coalesce(c, F.lit(float("nan")))) for c in ("pearson", "spearman", "kendall")))))
+        pairs = pairs.withColumn("r", F.col("pearson")).withColumn("agreement", F.when(signs == 1, "all_agree").when(signs == 2, "partial_agreement").otherwise("conflicting"))
     r = F.abs("r")
-    strength = F.when(r >= 0.9, "very strong").when(r >= 0.7, "strong").when(r >= 0.5, "moderate").when(r >= 0.3, "weak").otherwise("very weak")
+    strength = F.when(r > 0.9, "very_strong").when(r > 0.7, "strong").when(r > 0.5, "moderate").when(r > 0.3, "weak").otherwise("very_weak")
     out = pairs.where(r > least).withColumn("strength", strength).withColumn("direction", F.when(F.col("r") > 0, "positive").otherwise("negative")).withColumn("perfect", r > 0.99)
     return out.orderBy(F.desc(r), "a", "b")
 
 
+def pairs_above(pairs: DataFrame, least: float = 0.7) -> DataFrame:
+    """(n): pairs with |r| of ``least`` or more, each once."""
+    return pairs.agg(F.count_if(F.abs("r") >= least).alias("n"))
+
+
 def distribution_type(stats: DataFrame) -> DataFrame:
-    """(column, distribution) from skewness and kurtosis."""
+    """(column, distribution) from skewness and kurtosis; the first rule that holds."""
     s, k = F.col("skewness"), F.col("kurtosis")
     label = (
-        F.when((F.abs(s) < 0.5) & (F.abs(k) < 0.5), "normal").when((F.abs(s) < 0.5) & (k < -1), "uniform").when((F.abs(s) < 0.5) & (k > 1), "heavy-tailed")
-        .when(s > 1, "right-skewed").when(s < -1, "left-skewed").when(s > 0.5, "moderately right-skewed").when(s < -0.5, "moderately left-skewed").otherwise("unknown")
+        F.when((F.abs(s) < 0.5) & (F.abs(k) < 0.5), "normal").when(s > 1, "right_skewed").when(s < -1, "left_skewed")
+        .when(k > 3, "heavy_tailed").when(k < -1, "light_tailed").when(F.abs(s) < 0.5, "symmetric_non_normal").otherwise("unknown")
     )
     return stats.select("column", label.alias("distribution"))
 
 
+def distribution_counts(types: DataFrame) -> DataFrame:
+    """(normal_columns, right_skewed, left_skewed, heavy_tailed) of ``distribution_type``."""
+    n = lambda x: F.count_if(F.col("distribution") == x)
+    return types.agg(n("normal").alias("normal_columns"), n("right_skewed").alias("right_skewed"), n("left_skewed").alias("left_skewed"), n("heavy_tailed").alias("heavy_tailed"))
+
+
+SEVERITIES = [(1, "low"), (5, "moderate"), (10, "high")]
+
+
 def iqr_outliers(df: DataFrame, columns: list[str] | None = None, exact: bool = True) -> DataFrame:
-    """(column, n, low, high, mild, extreme, percent, severity) of columns with ten values or more: beyond 1.5 and 3
-    interquartile ranges of the quartiles."""
-    cells = long_form(df, columns or numeric(df)).where("value is not null")
-    q = cells.groupBy("column").agg(percentiles("value", (0.25, 0.75), exact).alias("q"), F.count("*").alias("n")).where("n >= 10")
-    iqr = F.col("q")[1] - F.col("q")[0]
-    q = q.select("column", "n", *(((F.col("q")[0] - k * iqr).alias(f"lo{i}")) for i, k in ((0, 1.5), (1, 3.0))), *((F.col("q")[1] + k * iqr).alias(f"hi{i}") for i, k in ((0, 1.5), (1, 3.0))))
-    v = F.col("value")
-    beyond = lambda i: (v < F.col(f"lo{i}")) | (v > F.col(f"hi{i}"))
-    got = cells.join(F.broadcast(q), "column").groupBy("column", "n", F.col("lo0").alias("low"), F.col("hi0").alias("high")).agg(F.count_if(beyond(0) & ~beyond(1)).alias("mild"), F.count_if(beyond(1)).alias("extreme"))
-    percent = (F.col("mild") + F.col("extreme")) * 100.0 / F.col("n")
-    return got.withColumn("percent", percent).withColumn("severity", labelled(F.col("percent"), [(1, "low"), (5, "moderate"), (10, "high")], "severe"))
+    """(column, n, low, high, mild, extreme, total, percent, severity, severity_of_fraction) of columns with ten values or
+    more: beyond 1.5 and 3 interquartile ranges of the quartiles. ``severity_of_fraction`` labels the fraction by the
+    steps of a percentage, as some reports do, and so is always low."""
+    columns = columns or numeric(df)
+    found = [(r["column"], r["rows"], *r["q"]) for r in quantile_table(df, columns, (0.25, 0.75), exact).collect() if r["rows"] >= 10]
+    if not found:
+        return df.sparkSession.createDataFrame([], "column string, n long, low double, high double, mild long, extreme long, total long, percent double, severity string, severity_of_fraction string")
+    rows = []
+    for c, n, a, b in found:
+        v, w = F.col(c).cast("double"), b - a
+        total, extreme = F.count_if((v < a - 1.5 * w) | (v > b + 1.5 * w)), F.count_if((v < a - 3 * w) | (v > b + 3 * w))
+        rows.append(F.struct(F.lit(c).alias("column"), F.lit(n).cast("long").alias("n"), F.lit(a - 1.5 * w).alias("low"), F.lit(b + 1.5 * w).alias("high"), (total - extreme).alias("mild"), extreme.alias("extreme"), total.alias("total")))
+    got = df.agg(F.array(*rows).alias("r")).select(F.explode("r").alias("r")).select("r.*")
+    got = got.withColumn("percent", F.col("total") * 100.0 / F.col("n"))
+    return got.withColumn("severity", labelled(F.col("percent"), SEVERITIES, "very_high")).withColumn("severity_of_fraction", labelled(F.col("percent") / 100, SEVERITIES, "very_high"))
+
+
+def outlier_summary(outliers: DataFrame) -> DataFrame:
+    """(total, columns_with_outliers, columns_analyzed) of an outlier table."""
+    return outliers.agg(F.coalesce(F.sum("total"), F.lit(0)).alias("total"), F.count_if(F.col("total") > 0).alias("columns_with_outliers"), F.count("*").alias("columns_analyzed"))
+
+
+def outlier_rows(df: DataFrame, key: list[str], columns: list[str] | None = None, most: int = 50, exact: bool = True) -> DataFrame:
+    """(column, key..., value): the first ``most`` outliers of each column in the order of ``key``."""
+    columns = columns or numeric(df)
+    fences = iqr_outliers(df, columns, exact).select("column", "low", "high")
+    odd = long_form(df, columns, keep=key).join(F.broadcast(fences), "column").where("value < low or value > high")
+    return odd.withColumn("_r", F.row_number().over(Window.partitionBy("column").orderBy(*key))).where(F.col("_r") <= most).select("column", *key, "value")
 
 
 def zscore_outliers(df: DataFrame, columns: list[str] | None = None, threshold: float = 3.0) -> DataFrame:
-    """(column, n, outliers, in_2_3, in_3_4, over_4, min_z, max_z) of columns with ten values or more that vary."""
-    cells = long_form(df, columns or numeric(df)).where("value is not null")
-    m = cells.groupBy("column").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.count("*").alias("n")).where("n >= 10 and std > 0")
-    z = (F.col("value") - F.col("mean")) / F.col("std")
-    scored = cells.join(F.broadcast(m), "column").withColumn("z", z)
+    """(column, n, total, in_2_3, in_3_4, over_4, min_z, max_z, advice) of columns with ten values or more that vary."""
+    columns = columns or numeric(df)
+    m = _moments(df, columns).where("count >= 10 and std > 0").select("column", "mean", "std", F.col("count").alias("n"))
+    scored = long_form(df, columns).where("value is not null").join(F.broadcast(m), "column").withColumn("z", (F.col("value") - F.col("mean")) / F.col("std"))
     a = F.abs("z")
-    return scored.groupBy("column", "n").agg(F.count_if(a > threshold).alias("outliers"), F.count_if((a > 2) & (a <= 3)).alias("in_2_3"), F.count_if((a > 3) & (a <= 4)).alias("in_3_4"), F.count_if(a > 4).alias("over_4"), F.min("z").alias("min_z"), F.max("z").alias("max_z"))
+    got = scored.groupBy("column", "n").agg(F.count_if(a > threshold).alias("total"), F.count_if((a > 2) & (a <= 3)).alias("in_2_3"), F.count_if((a > 3) & (a <= 4)).alias("in_3_4"), F.count_if(a > 4).alias("over_4"), F.min("z").alias("min_z"), F.max("z").alias("max_z"), F.max(a).alias("_most"))
+    # The advice by the largest score.
+    advice = F.when(F.col("_most") > 5, "Extreme outliers detected - investigate data quality issues").when(F.col("_most") > 4, "Significant outliers - consider removal or transformation").when(F.col("_most") > 3, "Moderate outliers - analyze context before action").otherwise("Outliers within normal range")
+    return got.withColumn("advice", advice).drop("_most")
 
 
 def missing_patterns(df: DataFrame) -> DataFrame:
-    """(column, missing, percent, band, kind, advice) of each column."""
+    """(column, missing, percent, band, kind, advice) of each column. kind and advice are null where nothing is missing."""
     one = df.agg(F.count("*").alias("_rows"), *(F.count_if(F.col(c).isNull()).alias(c) for c in df.columns))
     rows = F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).alias("missing"), F.lit(c in numeric(df)).alias("is_number")) for c in df.columns))
     out = one.select("_rows", F.explode(rows).alias("r")).select("_rows", "r.*")
     share = F.coalesce(F.try_divide(F.col("missing") * 100.0, "_rows"), F.lit(0.0))
     out = out.withColumn("percent", share)
     p = F.col("percent")
-    kind = F.when(p == 0, "none").otherwise(labelled(p, [(5, "MCAR"), (30, "MAR")], "MNAR"))
-    band = F.when(p == 0, "none").when(p > 50, "high").when(p > 10, "medium").otherwise("low")
-    advice = F.when(p == 0, "none").when(kind == "MNAR", "model or drop").when(F.col("is_number"), F.when(kind == "MCAR", "median").otherwise("knn")).otherwise("mode")
+    # Kinds by the share that is missing, and what to do about them.
+    kind = F.when(p > 0, labelled(p, [(5, "MCAR_likely"), (30, "MAR_possible")], "MNAR_possible"))
+    band = F.when(p == 0, "none").when(p > 50, "high").when(p > 10, "moderate").otherwise("low")
+    advice = F.when(p > 0, F.when(~F.col("is_number"), "mode_or_ml_based").when(kind == "MCAR_likely", "mean_or_median").otherwise("ml_based_imputation"))
     return out.select("column", "missing", "percent", band.alias("band"), kind.alias("kind"), advice.alias("advice"))
 
 
@@ -241,14 +375,22 @@ def constant_features(df: DataFrame, quasi: float = 0.95, low: float = 0.90) ->
 
 
 def column_profile(df: DataFrame) -> DataFrame:
-    """(column, type, nulls, null_percent, distinct, min, max, mean, median, std) of each column."""
-    num = set(numeric(df))
+    """(column, type, nulls, null_percent, distinct, min, max, mean, median, std, top_values) of each column; the five most
+    common values as value=count texts where there are under 50 distinct ones."""
+    num, kinds = numeric(df), dict(df.dtypes)
     one = []
     for c in df.columns:
         v = F.col(c).cast("double") if c in num else F.lit(None).cast("double")
-        one.append(F.struct(F.lit(c).alias("column"), F.lit(dict(df.dtypes)[c]).alias("type"), F.count_if(F.col(c).isNull()).alias("nulls"), F.count_distinct(F.col(c)).alias("distinct"), F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"), F.percentile(v, F.lit(0.5)).alias("median"), F.stddev_samp(v).alias("std")))
+        one.append(F.struct(F.lit(c).alias("column"), F.lit(kinds[c]).alias("type"), F.count_if(F.col(c).isNull()).alias("nulls"), F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std")))
     got = df.agg(F.count("*").alias("rows"), F.array(*one).alias("c")).select("rows", F.explode("c").alias("c")).select("rows", "c.*")
-    return got.withColumn("null_percent", F.coalesce(F.try_divide(F.col("nulls") * 100.0, "rows"), F.lit(0.0))).drop("rows")
+    got = got.withColumn("null_percent", F.coalesce(F.try_divide(F.col("nulls") * 100.0, "rows"), F.lit(0.0))).drop("rows")
+    counts = value_counts(df, df.columns)
+    distinct = counts.groupBy("column").agg(F.count("*").alias("distinct"))
+    near = counts.join(F.broadcast(distinct.where("distinct < 50").select("column")), "column")
+    tops = near.groupBy("column").agg(F.array_join(F.transform(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("a"), "value"))), 1, 5), lambda x: F.concat_ws("=", x["value"], -x["a"])), ",").alias("top_values"))
+    middle = quantile_table(df, num, (0.5,)).select("column", F.col("q")[0].alias("median")) if num else df.sparkSession.createDataFrame([], "column string, median double")
+    out = got.join(F.broadcast(distinct), "column", "left").join(F.broadcast(tops), "column", "left").join(F.broadcast(middle), "column", "left")
+    return out.withColumn("distinct", F.coalesce("distinct", F.lit(0)))
 
 
 def compare(frames: dict[str, DataFrame], columns: list[str]) -> DataFrame:
@@ -262,10 +404,11 @@ def compare(frames: dict[str, DataFrame], columns: list[str]) -> DataFrame:
 
 def date_stats(df: DataFrame, column: str) -> DataFrame:
     """(first, last, days, distinct_days, missing_days, median_gap_days, frequency) of a date column. Gaps are between
-    the distinct days, of which there are at most as many as days in the range."""
-    days = df.select(F.to_date(F.col(column)).alias("day")).where("day is not null").groupBy("day").count()
+    the distinct days, of which there are at most as many as days in the range. No row for under ten dates."""
+    t = F.try_to_timestamp(column) if dict(df.dtypes)[column] == "string" else F.col(column)
+    days = df.select(t.cast("date").alias("day")).where("day is not null").groupBy("day").count()
     gap = F.datediff("day", F.lag("day").over(Window.partitionBy(F.lit(0)).orderBy("day")))
-    one = days.withColumn("gap", gap).agg(F.min("day").alias("first"), F.max("day").alias("last"), F.count("*").alias("distinct_days"), F.percentile("gap", F.lit(0.5)).alias("median_gap_days"))
+    one = days.withColumn("gap", gap).agg(F.min("day").alias("first"), F.max("day").alias("last"), F.count("*").alias("distinct_days"), F.percentile("gap", F.lit(0.5)).alias("median_gap_days"), F.sum("count").alias("_dates")).where("_dates >= 10")
     span = F.datediff("last", "first")
     freq = F.when(F.col("median_gap_days") <= 1, "daily").when(F.col("median_gap_days") <= 7, "weekly").when(F.col("median_gap_days") <= 31, "monthly").otherwise("irregular")
     return one.select("first", "last", span.alias("days"), "distinct_days", (span + 1 - F.col("distinct_days")).alias("missing_days"), "median_gap_days", freq.alias("frequency"))

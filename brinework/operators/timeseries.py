@@ -7,6 +7,10 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from brinework.functions.columns import numeric
+from brinework.functions.special import normal_cdf
+from brinework.operators.profile import date_stats
+
 
 def daily(df: DataFrame, at: str, value: str) -> DataFrame:
     """(day, value): the mean of each day; text dates that do not parse go."""
@@ -75,11 +79,50 @@ def decompose(df: DataFrame, at: str, value: str, period: int = 7) -> DataFrame:
     return out.select("day", "value", F.col("average").alias("trend"), "seasonal", (F.col("value") - F.col("average") - F.col("seasonal")).alias("residual"))
 
 
+#: The days of a season by how often a series has values.
+PERIODS = {"daily": 12, "weekly": 7, "monthly": 30}
+
+
+def strengths(df: DataFrame, at: str, value: str) -> DataFrame:
+    """(frequency, period, trend, seasonal, residual): the deviations of the parts of ``decompose`` by that of the
+    series. The period goes by the median gap between days, at most half the days; no row for an irregular series, or
+    one of under 24 days."""
+    gaps = date_stats(df, at).select("frequency", "distinct_days").first()
+    if gaps is None or gaps["frequency"] not in PERIODS or gaps["distinct_days"] < 24:
+        return df.sparkSession.createDataFrame([], "frequency string, period int, trend double, seasonal double, residual double")
+    period = min(PERIODS[gaps["frequency"]], gaps["distinct_days"] // 2)
+    parts = decompose(df, at, value, period)
+    share = lambda c: F.try_divide(F.stddev_pop(c), F.nullif(F.stddev_pop("value"), F.lit(0.0))).alias(c)
+    return parts.agg(share("trend"), share("seasonal"), share("residual")).select(F.lit(gaps["frequency"]).alias("frequency"), F.lit(int(period)).alias("period"), "trend", "seasonal", "residual")
+
+
+def analysis(df: DataFrame, at: str, columns: list[str] | None = None) -> DataFrame:
+    """(column, statistic, p_value, stationary, acf_1, acf_5, pacf_1, significant_lags, trend) of the first three number
+    columns with twenty days or more."""
+    rows = []
+    for c in (columns or [x for x in numeric(df) if x != at])[:3]:
+        test = adf(df, at, c).first()
+        if test is None:
+            continue
+        lags = {r["lag"]: r for r in correlations(df, at, c).collect()}
+        of = lambda k, what: float(lags[k][what]) if k in lags else 0.0  # noqa: B023, E731
+        rows.append((c, test["statistic"], test["p_value"], test["stationary"], of(1, "acf"), of(5, "acf"), of(1, "pacf"), sum(r["significant"] for r in lags.values()), trend(df, at, c).first()["trend"]))
+    return df.sparkSession.createDataFrame(rows, "column string, statistic double, p_value double, stationary boolean, acf_1 double, acf_5 double, pacf_1 double, significant_lags int, trend string")
+
+
+def forecast(df: DataFrame, at: str, value: str, days: int = 7) -> DataFrame:
+    """(day, forecast): the line through the daily series, ``days`` ahead, by least squares."""
+    x = F.datediff("day", F.lit("1970-01-01").cast("date")).cast("double")
+    line = daily(df, at, value).agg(F.regr_slope("value", x).alias("b"), F.regr_intercept("value", x).alias("a"), F.max("day").alias("last"))
+    ahead = line.where("last is not null").withColumn("day", F.explode(F.expr(f"sequence(date_add(last, 1), date_add(last, {days}))")))
+    return ahead.select("day", (F.col("a") + F.col("b") * x).alias("forecast"))
+
+
 def adf(df: DataFrame, at: str, value: str) -> DataFrame:
-    """(statistic, lags, n, stationary): augmented Dickey-Fuller with a constant, lags by AIC, against the 5 percent
-    value of MacKinnon's response surface."""
+    """(statistic, lags, n, p_value, critical_1, critical_5, critical_10, stationary): augmented Dickey-Fuller with a
+    constant, lags by AIC; p-value and critical values by MacKinnon's response surfaces, stationary under 5 percent."""
     x = _series(df, at, value)
-    schema = "statistic double, lags int, n long, stationary boolean"
+    schema = "statistic double, lags int, n long, p_value double, critical_1 double, critical_5 double, critical_10 double, stationary boolean"
     if len(x) < 20 or x.std() == 0:
         return df.sparkSession.createDataFrame([], schema)
     d = np.diff(x)
@@ -101,6 +144,13 @@ def adf(df: DataFrame, at: str, value: str) -> DataFrame:
     m, beta, rss, n = ols(best, best)
     se = np.sqrt(rss / (n - m.shape[1]) * np.linalg.inv(m.T @ m)[0, 0])
     stat = float(beta[0] / se)
-    # MacKinnon's surface for the 5 percent point with a constant.
-    critical = -2.86154 - 2.8903 / n - 4.234 / n**2 - 40.04 / n**3
-    return df.sparkSession.createDataFrame([(stat, best, n, stat < critical)], schema)
+    # MacKinnon's surfaces with a constant.
+    points = [sum(c / n**i for i, c in enumerate(row)) for row in ((-3.43035, -6.5393, -16.786, -79.433), (-2.86154, -2.8903, -4.234, -40.04), (-2.56677, -1.5384, -2.809))]
+    if stat > 2.74:
+        p = 1.0
+    elif stat < -18.83:
+        p = 0.0
+    else:
+        row = (2.1659, 1.4412, 0.038269) if stat <= -1.61 else (1.7339, 0.93202, -0.12745, -0.010368)
+        p = normal_cdf(sum(c * stat**i for i, c in enumerate(row)))
+    return df.sparkSession.createDataFrame([(stat, best, n, float(p), *map(float, points), p < 0.05)], schema)

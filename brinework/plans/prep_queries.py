@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from brinework.operators import charts, cleaning, relational
+from brinework.functions import scalars
+from brinework.operators import anomaly, charts, cleaning, recipes, relational
 from brinework.plans.profile_queries import LI, li, rounded
 from brinework.plans.registry import query
 from brinework.sources import catalog
@@ -187,10 +188,160 @@ def clean_text(spark, d):
     return cleaning.clean_text(t(spark, d, "conversations").select("conv_id", "turn", "text"), "text")
 
 
-@query(f"SELECT count(*) AS n FROM (SELECT DISTINCT * FROM {LI})")
+_NUM = ["qty", "price", "disc", "tax"]
+_SUMS = ", ".join(f"round(sum({c}), 3) AS {c}" for c in _NUM)
+
+
+def sums_by_text(df):
+    return df.groupBy("flag", "status").agg(F.count("*").alias("n"), *(F.round(F.sum(F.col(c).cast("double")), 3).alias(c) for c in _NUM))
+
+
+@query(f"SELECT flag, status, count(*) AS n, {_SUMS} FROM (SELECT DISTINCT * FROM {LI}) WHERE qty IS NOT NULL AND tax IS NOT NULL AND flag IS NOT NULL GROUP BY ALL")
+def clean_minimal(spark, d):
+    return sums_by_text(recipes.clean(li(spark, d), "minimal"))
+
+
+_FILLED = f"""
+d AS (SELECT DISTINCT * FROM {LI}),
+m AS (SELECT quantile_cont(qty, 0.5) AS mq, quantile_cont(tax, 0.5) AS mt FROM d), k AS (SELECT arg_min(flag, (-n, flag)) AS mf FROM (SELECT flag, count(*) AS n FROM d WHERE flag IS NOT NULL GROUP BY 1)),
+f AS (SELECT coalesce(qty, mq) AS qty, price, disc, coalesce(tax, mt) AS tax, coalesce(flag, mf) AS flag, status FROM d, m, k),
+v AS (SELECT coalesce(qty, mq) AS qty, price, disc, coalesce(tax, mt) AS tax, flag, status FROM d, m)"""
+_FENCED = ", ".join(f"quantile_cont({c}, 0.25) AS {c}_a, quantile_cont({c}, 0.75) AS {c}_b" for c in _NUM)
+_FAIR = {c: f"({c} BETWEEN {c}_a - 1.5 * ({c}_b - {c}_a) AND {c}_b + 1.5 * ({c}_b - {c}_a))" for c in _NUM}
+_CAPS = ", ".join(f"min({c}) FILTER ({_FAIR[c]}) AS {c}_lo, max({c}) FILTER ({_FAIR[c]}) AS {c}_hi" for c in _NUM)
+
+
+@query(f"""WITH {_FILLED}, q AS (SELECT {_FENCED} FROM v), e AS (SELECT {_CAPS} FROM v, q)
+SELECT flag, status, count(*) AS n, {", ".join(f"round(sum(least(greatest({c}, {c}_lo), {c}_hi)), 3) AS {c}" for c in _NUM)} FROM v, e GROUP BY ALL""")
 def clean_standard(spark, d):
-    out = cleaning.clean(li(spark, d))
-    return out.na.drop().agg(F.count("*").alias("n"))
+    return sums_by_text(recipes.clean(li(spark, d), "standard"))
+
+
+@query(f"WITH {_FILLED} SELECT flag, status, count(*) AS n, {_SUMS} FROM f GROUP BY ALL")
+def clean_live(spark, d):
+    return sums_by_text(recipes.live_clean(li(spark, d)))
+
+
+@query(f"""WITH {_FILLED}, s AS (SELECT {", ".join(f"avg({c}) AS {c}_m, stddev_pop({c}) AS {c}_s" for c in _NUM)} FROM v)
+SELECT "flag_N", "flag_R", "status_O", count(*) AS n, {", ".join(f"round(sum(({c} - {c}_m) / {c}_s), 3) + 0.0 AS {c}" for c in _NUM)} FROM (SELECT v.* EXCLUDE (flag, status), s.*, coalesce(flag = 'N', false) AS "flag_N", coalesce(flag = 'R', false) AS "flag_R", status = 'O' AS "status_O" FROM v, s) GROUP BY ALL""")
+def clean_scaled_encoded(spark, d):
+    """The steps of the model preset with strategies that SQL can say."""
+    built = recipes.Builder().remove_duplicates().handle_missing("median").scale_features("standard").encode_categorical("onehot").build()
+    out = recipes.clean(li(spark, d), config=built, outlier_detection=False, optimize_dtypes=False)
+    return out.groupBy("flag_N", "flag_R", "status_O").agg(F.count("*").alias("n"), *((F.round(F.sum(c), 3) + 0.0).alias(c) for c in _NUM))
+
+
+@query(f"SELECT l_orderkey, l_linenumber, round(coalesce(qty, m), 4) AS qty, price, flag FROM {KEYED}, (SELECT avg(qty) AS m FROM {KEYED}) WHERE flag IS NOT NULL")
+def fill_by_strategy(spark, d):
+    return rounded(cleaning.fill_by_strategy(keyed(spark, d), "median", {"qty": "mean", "flag": "drop"}), 4)
+
+
+@query(f"SELECT l_orderkey, l_linenumber, coalesce(qty, 7) AS qty, price, coalesce(flag, 'none') AS flag FROM {KEYED}")
+def fill_values(spark, d):
+    return cleaning.fill_values(keyed(spark, d), {"qty": 7.0, "flag": "none"})
+
+
+@query(f"SELECT l_orderkey, l_linenumber, flag FROM {KEYED} WHERE flag IS NOT NULL")
+def drop_missing_in_one(spark, d):
+    return cleaning.drop_missing(keyed(spark, d), ["flag"]).select("l_orderkey", "l_linenumber", "flag")
+
+
+_POINTS = "(SELECT c_custkey, CAST(c_nationkey AS DOUBLE) AS x, c_acctbal / 500 AS y FROM customer)"
+
+
+@query(f"""WITH p AS (SELECT * FROM {_POINTS}), n AS (SELECT a.c_custkey AS k, b.c_custkey AS o FROM p a JOIN p b ON (a.x - b.x) ** 2 + (a.y - b.y) ** 2 <= 0.25),
+c AS (SELECT k FROM n GROUP BY k HAVING count(*) >= 5) SELECT c_custkey, NOT EXISTS (SELECT 1 FROM n JOIN c ON c.k = n.o WHERE n.k = p.c_custkey) AS odd FROM p""")
+def dbscan_flags(spark, d):
+    x = t(spark, d, "customer").select("c_custkey", F.col("c_nationkey").cast("double").alias("x"), (F.col("c_acctbal") / 500).alias("y"))
+    return cleaning.outlier_flags(x, ["x", "y"], "dbscan").select("c_custkey", F.col("x_outlier").alias("odd"))
+
+
+@query()
+def forest_flags(spark, d):
+    return cleaning.outlier_flags(li(spark, d), ["price", "disc"], "isolation_forest").groupBy("price_outlier").agg(F.count("*").alias("n"))
+
+
+@query("SELECT o_orderkey, CASE WHEN (SELECT bool_or(o_totalprice < a - 0.5 * (b - a) OR o_totalprice > b + 0.5 * (b - a)) FROM orders, (SELECT quantile_cont(o_totalprice, 0.25) AS a, quantile_cont(o_totalprice, 0.75) AS b FROM orders)) THEN least(greatest(o_totalprice, lo), hi) ELSE o_totalprice END AS o_totalprice FROM orders, (SELECT min(v) FILTER (i > CAST(floor(n * 0.05) AS BIGINT)) AS lo, min(v) FILTER (i >= n - CAST(floor(n * 0.05) AS BIGINT)) AS hi FROM (SELECT o_totalprice AS v, row_number() OVER (ORDER BY o_totalprice) AS i, count(*) OVER () AS n FROM orders))")
+def winsorize_flagged(spark, d):
+    return cleaning.treat_outliers(t(spark, d, "orders"), ["o_totalprice"], "winsorize", threshold=0.5).select("o_orderkey", "o_totalprice")
+
+
+@query("SELECT c AS \"column\", k AS \"distinct\", round(k / n, 8) AS ratio FROM (SELECT 'o_orderstatus' AS c, count(DISTINCT o_orderstatus) AS k, count(*) AS n FROM orders UNION ALL SELECT 'o_orderpriority', count(DISTINCT o_orderpriority), count(*) FROM orders) WHERE k / n < 0.5")
+def text_categories(spark, d):
+    return rounded(cleaning.categories(t(spark, d, "orders")), 8)
+
+
+@query("SELECT * FROM (VALUES ('n_nationkey', 'tinyint'), ('n_name', 'string'), ('n_regionkey', 'tinyint'), ('half', 'float'), ('third', 'double')) v(\"column\", type)")
+def downcast_types(spark, d):
+    n = cleaning.downcast(t(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey", (F.col("n_nationkey") / 2).alias("half"), (F.col("n_nationkey") / 3).alias("third")))
+    return spark.createDataFrame(n.dtypes, "column string, type string")
+
+
+@query("SELECT event_id, CAST(CAST(ts AS DATE) AS TIMESTAMP) AS a, CAST(CAST(ts AS DATE) AS TIMESTAMP) AS b, make_timestamp(event_id * 1000000) AS c FROM events")
+def parse_dates(spark, d):
+    e = t(spark, d, "events").select("event_id", F.date_format("ts", "MM/dd/yyyy").alias("a"), F.date_format("ts", "dd.MM.yyyy").alias("b"), F.col("event_id").alias("c"))
+    out = cleaning.parse_dates(cleaning.parse_dates(cleaning.parse_dates(e, "a"), "b", "dd.MM.yyyy"), "c", unit="s")
+    return out.withColumns({x: F.col(x).cast("timestamp_ntz") for x in "abc"})
+
+
+@query("SELECT c_custkey, regexp_replace(c_name, '[^0-9]', '', 'g') AS c_name, upper(c_mktsegment) AS c_mktsegment FROM customer")
+def standardize(spark, d):
+    c = t(spark, d, "customer").select("c_custkey", "c_name", "c_mktsegment")
+    return cleaning.standardize(cleaning.standardize(c, "c_name", "digits"), "c_mktsegment", "upper")
+
+
+@query("SELECT o_orderkey, TRY_CAST(o_orderpriority AS BIGINT) AS o_orderpriority, CAST(o_totalprice AS VARCHAR) IS NOT NULL AS known FROM orders")
+def convert_types(spark, d):
+    out = cleaning.convert(cleaning.convert(t(spark, d, "orders"), "o_orderpriority", "int"), "o_totalprice", "str")
+    return out.select("o_orderkey", "o_orderpriority", F.col("o_totalprice").isNotNull().alias("known"))
+
+
+@query("SELECT o_orderkey, round((o_totalprice - m) / s, 6) AS o_totalprice, dense_rank() OVER (ORDER BY o_orderpriority) - 1 AS o_orderpriority FROM orders, (SELECT avg(o_totalprice) AS m, stddev_pop(o_totalprice) AS s FROM orders)")
+def kept_parameters(spark, d):
+    """Scaling and codes fitted on one frame and used on another."""
+    o = t(spark, d, "orders")
+    scaled = cleaning.scale_by(o, cleaning.scale_parameters(o, ["o_totalprice"]))
+    return rounded(cleaning.encode_by(scaled, "o_orderpriority", cleaning.code_parameters(o, "o_orderpriority")).select("o_orderkey", "o_totalprice", "o_orderpriority"))
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice BETWEEN 50000 AND 200000")
+def range_plugin(spark, d):
+    recipes.PLUGINS["mid_range"] = recipes.value_range("o_totalprice", 50000, 200000)
+    out = recipes.clean(t(spark, d, "orders"), plugins=["mid_range"], missing_strategy="none", remove_duplicates=False, outlier_detection=False, optimize_dtypes=False)
+    return out.select("o_orderkey", "o_totalprice")
+
+
+@query("""
+SELECT c_custkey, lower(regexp_replace(regexp_replace(c_name, '([a-z])([A-Z])', '\\1_\\2', 'g'), '[\\s-]', '_', 'g')) AS snake, lower(regexp_replace(c_name, '[\\s_]', '-', 'g')) AS kebab, regexp_replace(lower(trim(c_name)), '[^a-z0-9_\\s-]', '', 'g') AS slug,
+  upper(c_name[1]) || lower(c_name[2:]) AS sentence, CASE WHEN length(c_name) <= 12 THEN c_name ELSE c_name[1:9] || '...' END AS short, rpad(c_mktsegment, 12, '*') AS padded, least(greatest(c_acctbal, 0), 5000) AS clamped,
+  round((c_acctbal - 0) * 100 / 10000.0, 6) AS mapped, round((c_acctbal + 1000) / 11000.0, 8) AS normal, c_custkey % 2 = 0 AS even, round(c_acctbal * 100 / 5000.0, 6) AS share, round((c_acctbal - 5000) * 100 / 5000.0, 6) AS change,
+  regexp_matches(c_name || '@x.org', '^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\\.[a-zA-Z]{2,}$') AS email, regexp_matches(CAST(c_custkey AS VARCHAR), '^[+-]?[0-9]+$') AS whole, length(c_name) BETWEEN 3 AND 30 AS fits, 'C***@x.org' AS masked,
+  '(' || lpad(CAST(c_custkey AS VARCHAR), 10, '0')[1:3] || ') ' || lpad(CAST(c_custkey AS VARCHAR), 10, '0')[4:6] || '-' || lpad(CAST(c_custkey AS VARCHAR), 10, '0')[7:] AS phone, floor(c_acctbal * 10 + 0.5) / 10 AS rounded
+FROM customer""")
+def scalar_functions(spark, d):
+    c, n, s = F.col("c_custkey"), "c_name", scalars
+    ten = F.lpad(c.cast("string"), 10, "0")
+    return t(spark, d, "customer").select(
+        "c_custkey", s.snake(n).alias("snake"), s.kebab(n).alias("kebab"), s.slug(n).alias("slug"), s.sentence(n).alias("sentence"), s.truncated(n, 12).alias("short"), s.padded("c_mktsegment", 12, "*").alias("padded"),
+        s.clamped("c_acctbal", 0.0, 5000.0).alias("clamped"), F.round(s.mapped("c_acctbal", 0, 10000, 0, 100), 6).alias("mapped"), F.round(s.normalized("c_acctbal", -1000, 10000), 8).alias("normal"), s.even(c).alias("even"),
+        F.round(s.percent_of("c_acctbal", 5000), 6).alias("share"), F.round(s.percent_change(F.lit(5000.0), F.col("c_acctbal")), 6).alias("change"), s.is_email(F.concat(n, F.lit("@x.org"))).alias("email"), s.is_integer(c).alias("whole"),
+        s.has_length(n, 3, 30).alias("fits"), s.masked_email(F.concat(n, F.lit("@x.org"))).alias("masked"), s.phone_text(ten).alias("phone"), s.rounded_half_up("c_acctbal", 1).alias("rounded"),
+    )
+
+
+@query("""
+SELECT o_custkey, list_distinct(list(o_orderstatus)).len() AS kinds, sum(o_totalprice)::DOUBLE > 0 AS paid, ceil(count(*) / 3.0)::INT AS chunks, count(DISTINCT o_orderpriority)::INT AS by_priority, round(avg(o_totalprice), 7) AS mean FROM orders GROUP BY 1""")
+def array_functions(spark, d):
+    each = t(spark, d, "orders").groupBy("o_custkey").agg(F.collect_list("o_orderstatus").alias("s"), F.collect_list("o_totalprice").alias("p"), F.collect_list(F.struct("o_orderpriority", "o_orderkey")).alias("r"))
+    return each.select("o_custkey", F.size(F.array_distinct("s")).alias("kinds"), (scalars.array_total("p") > 0).alias("paid"), F.size(scalars.chunked("p", 3)).alias("chunks"), F.size(scalars.unique_by("r", "o_orderpriority")).alias("by_priority"), F.round(scalars.array_mean("p"), 7).alias("mean"))
+
+
+@query("SELECT c_custkey, {'a': c_custkey, 'b': c_nationkey}.b AS b, CAST(json_extract_string('{\"x\":{\"y\":' || c_nationkey || '}}', '$.x.y') AS VARCHAR) AS y, 2 AS keys, c_nationkey AS newest FROM customer")
+def map_functions(spark, d):
+    m = F.create_map(F.lit("a"), F.col("c_custkey").cast("long"), F.lit("b"), F.col("c_nationkey").cast("long"))
+    more = F.create_map(F.lit("a"), F.col("c_nationkey").cast("long"))
+    doc = F.format_string('{"x":{"y":%d}}', F.col("c_nationkey"))
+    return t(spark, d, "customer").select("c_custkey", scalars.picked(m, ["b"])["b"].alias("b"), scalars.nested(doc, "x.y").alias("y"), F.size(scalars.merged_maps(m, more)).alias("keys"), scalars.merged_maps(m, more)["a"].alias("newest"))
 
 
 # rows and columns
@@ -304,7 +455,47 @@ def downsample(spark, d):
     return charts.downsample(t(spark, d, "orders"), "o_orderkey", "o_totalprice", 50, "max").withColumn("x", F.round("x", 4))
 
 
+@query("""
+WITH e AS (SELECT min(o_totalprice) AS lo, max(o_totalprice) AS hi, count(*) AS n, stddev_samp(o_totalprice) * pow(count(*), -0.2) AS h FROM orders),
+b AS (SELECT CAST(least(floor((o_totalprice - lo) / (hi - lo) * 512), 511) AS INTEGER) AS b, count(*) AS c FROM orders, e GROUP BY 1),
+p AS (SELECT i, lo + (hi - lo) * i / 19.0 AS x FROM e, range(20) r(i))
+SELECT round(x, 2) AS x, round(1e6 * sum(c * exp(-0.5 * pow((x - (lo + (b + 0.5) * (hi - lo) / 512)) / h, 2)) / (n * h * sqrt(2 * pi()))), 6) AS density FROM p, b, e GROUP BY i, x""")
+def density(spark, d):
+    return charts.density(t(spark, d, "orders"), "o_totalprice", points=20).select(F.round("x", 2).alias("x"), F.round(F.col("density") * 1e6, 6).alias("density"))
+
+
 @query()
+def largest_triangles(spark, d):
+    return charts.largest_triangles(t(spark, d, "orders"), "o_orderkey", "o_totalprice", 100)
+
+
+@query("""
+WITH r AS (SELECT abs(corr(o_orderkey, o_custkey)) AS a, abs(corr(o_orderkey, o_totalprice)) AS b, abs(corr(o_custkey, o_totalprice)) AS c FROM orders),
+s AS (SELECT 'distribution' AS chart, unnest(['o_orderkey', 'o_custkey', 'o_totalprice']) AS columns, 1 AS k UNION ALL SELECT 'heatmap', 'o_orderkey,o_custkey,o_totalprice', 2
+  UNION ALL SELECT 'categorical', 'o_orderstatus', 3 FROM (SELECT count(DISTINCT o_orderstatus) AS n FROM orders) WHERE n <= 20 UNION ALL SELECT 'categorical', 'o_orderpriority', 4 FROM (SELECT count(DISTINCT o_orderpriority) AS n FROM orders) WHERE n <= 20
+  UNION ALL SELECT 'scatter', 'o_orderkey,o_custkey', 5 FROM r WHERE a > 0.5 UNION ALL SELECT 'scatter', 'o_orderkey,o_totalprice', 6 FROM r WHERE b > 0.5 UNION ALL SELECT 'scatter', 'o_custkey,o_totalprice', 7 FROM r WHERE c > 0.5
+  UNION ALL SELECT 'box', 'o_orderkey,o_custkey,o_totalprice', 8)
+SELECT chart, columns FROM s""")
+def chart_suite(spark, d):
+    return charts.suite(t(spark, d, "orders")).drop("rank")
+
+
+@query("SELECT s AS stage, r AS rank, count(*) AS n, round(count(*) / (SELECT count(*) FROM orders WHERE o_orderstatus = 'O'), 6) AS share FROM orders JOIN (VALUES ('O', 1), ('F', 2), ('P', 3)) v(s, r) ON s = o_orderstatus GROUP BY ALL")
+def funnel(spark, d):
+    return rounded(charts.funnel(t(spark, d, "orders"), "o_orderstatus", ["O", "F", "P"]))
+
+
+@query("SELECT step, round(change, 2) AS change, round(total - change, 2) AS start, round(total, 2) AS \"end\" FROM (SELECT *, sum(change) OVER (ORDER BY step) AS total FROM (SELECT o_orderpriority AS step, sum(o_totalprice) AS change FROM orders GROUP BY 1))")
+def waterfall(spark, d):
+    return rounded(charts.waterfall(t(spark, d, "orders"), "o_orderpriority", "o_totalprice"), 2)
+
+
+@query("SELECT CAST(least(floor((l_quantity - a) / (b - a) * 20), 19) AS INT) AS i, CAST(least(floor((l_discount - c) / (e - c) * 20), 19) AS INT) AS j, count(*) AS n FROM lineitem, (SELECT min(l_quantity) AS a, max(l_quantity) AS b, min(l_discount) AS c, max(l_discount) AS e FROM lineitem) GROUP BY ALL")
+def grid_counts(spark, d):
+    return charts.grid_counts(t(spark, d, "lineitem"), "l_quantity", "l_discount")
+
+
+@query("SELECT * FROM (VALUES ('o_orderkey', 'bigint', 'numeric'), ('o_custkey', 'bigint', 'numeric'), ('o_orderstatus', 'string', 'categorical'), ('o_totalprice', 'double', 'numeric'), ('o_orderdate', 'timestamp_ntz', 'datetime'), ('o_orderpriority', 'string', 'categorical')) v(\"column\", type, \"group\")")
 def column_groups(spark, d):
     return charts.column_groups(t(spark, d, "orders"))
 

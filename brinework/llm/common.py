@@ -183,6 +183,8 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
 
 #: Rows that a task of a join may have of one key, at least; and keys with more of them, at most.
 KEY_ROWS, HOT_KEYS = 100, 10_000
+#: Pairs of ids up to which one task can take them all, so that a plain join does.
+FEW_PAIRS = 200_000
 
 
 def joined_by_key(rows: DataFrame, facts: DataFrame, key: list[str], size: str, n: int, how: str = "inner") -> DataFrame:
@@ -197,6 +199,8 @@ def joined_by_key(rows: DataFrame, facts: DataFrame, key: list[str], size: str,
 
 def with_least(df: DataFrame, key: list[str], value: str, name: str, n: int) -> DataFrame:
     """``df`` (of ``n`` rows) with the least ``value`` of all rows with the same ``key``; a hot key fills no task."""
+    if n <= FEW_PAIRS:
+        return df.join(df.groupBy(*key).agg(F.min(value).alias(name)), key)
     return joined_by_key(df, df.groupBy(*key).agg(F.min(value).alias(name), F.count("*").alias("_size")), key, "_size", n)
 
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from brinework.llm.common import LOWER, SPACES, bounded_batches, connected_components, cut, free_name, is_word_table, joined, joined_by_key, mix, pieces, release, with_least, word_bounds, word_hashes
+from brinework.llm.common import LOWER, SPACES, bounded_batches, connected_components, cut, free_name, is_word_table, joined, joined_by_key, mix, pieces, release, word_bounds, word_hashes
 
 #: A pair at the threshold of 0.8 shares no band of 6 rows in 44 with probability (1 - 0.8**6)**44 = 1.6e-6; a pair
 #: at 0.4 shares one with probability 0.17.
@@ -231,7 +231,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     signed = cut(base.mapInArrow(_signatures(shingle, bands, rows, seed), "id long, n_shingles long, tag1 long, tag2 long, bands array<long>"))
     found = signed.where("n_shingles > 0 and id is not null")
     n_rows = signed.count()
-    headed = cut(with_least(found.drop("bands"), ["tag1", "tag2"], "id", "head", n_rows))
+    heads = found.groupBy("tag1", "tag2").agg(F.min("id").alias("head"), F.count("*").alias("_size"))
+    headed = cut(joined_by_key(found.drop("bands"), heads, ["tag1", "tag2"], "_size", n_rows))
     # one id with several texts: the heads of all its texts are one
     several = headed.groupBy("id").agg(F.min("head").alias("v"), F.max("head").alias("most")).where("v < most").select("id", "v")
     same = cut(headed.join(several, "id").where("head > v").select(F.col("head").alias("a"), F.col("v").alias("b")).distinct())

@@ -113,9 +113,7 @@ def op6_pii_spans(spark, sf_dir):
 def op10_toxicity(spark, sf_dir):
     """Contract of op10: fitted on labelled rows whose crc32 mod 5 is not 0."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    rows = toxicity.fit_rows(docs, table(spark, sf_dir, "labels"))
-    model = toxicity.fit([t for t, _ in rows], [y for _, y in rows])
-    scored = toxicity.score(docs, model)
+    scored = toxicity.score(docs, toxicity.fitted(docs, table(spark, sf_dir, "labels")))
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 

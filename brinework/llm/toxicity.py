@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from brinework.llm.common import bounded_batches, free_name, pieces, release, word_hashes
+from brinework.llm.common import bounded_batches, free_name, pieces, release, trim, word_hashes
 from brinework.llm.decontaminate import _NORMAL
 
 BUCKETS, WIDTH, GRAMS, WINDOW = 1 << 16, 8, (3, 4, 5), 8
@@ -186,6 +186,15 @@ def fit_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     return [(r["_t"].encode(), r["_y"]) for r in sorted(got, key=lambda r: (r["_id"], r["_t"]))]
 
 
+def fitted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> Model:
+    """The model of ``fit_rows``; what the fit took of the driver's memory is given back."""
+    rows = fit_rows(docs, labels, id_col, text_col, **options)
+    model = fit([t for t, _ in rows], [y for _, y in rows])
+    del rows
+    trim()
+    return model
+
+
 def score(docs: DataFrame, model: Model, text_col: str = "text", score_as: str = "score") -> DataFrame:
     """``docs`` with the score of each whole text; empty, wordless and null texts have the score of the bias alone. A
     column of ``docs`` with the name of the score is replaced."""
@@ -207,7 +216,6 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", score_as: str =
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, **options) -> DataFrame:
     """``docs`` less the rows that a model fitted on ``labels`` scores at ``threshold`` or more; columns stay, whatever
     their names."""
-    rows = fit_rows(docs, labels, id_col, text_col, **options)
-    model = fit([t for t, _ in rows], [y for _, y in rows])
+    model = fitted(docs, labels, id_col, text_col, **options)
     name = free_name(docs, "_toxicity")
     return score(docs, model, text_col, name).where(F.col(name) < threshold).select(*docs.columns)

@@ -128,9 +128,11 @@ def test_very_long_texts(spark):
     assert {tuple(r) for r in near_dups.near_duplicates(docs).collect()} == brute(rows, 5)
 
 
-def test_hot_keys(spark):
+def test_hot_keys(spark, monkeypatch):
     from brinework.llm.common import joined_by_key, with_least
 
+    monkeypatch.setattr("brinework.llm.common.FEW_PAIRS", 10)
+
     df = spark.range(3000).selectExpr("id", "if(id < 2900, id % 2, id) as k", "(id * 7919) % 3001 as v").repartition(5)
     want: dict[int, int] = {}
     for r in df.collect():

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from brinework.llm.common import pieces
+from brinework.llm.common import bounded_batches, free_name, pieces
 
 KINDS = ("email", "ip", "card", "phone")
 _ORDER = {k: i for i, k in enumerate(KINDS)}
@@ -62,7 +62,7 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 
 # Letters of other scripts that look like a Latin letter.
-_LOOKALIKE = dict(zip("АВЕЅІЈКМНОРСТХУаеіјорсухѕһԁԛԝΑΒΕΖΗΙΚΜΝΟΡΤΥΧοενιɡα", "ABESIJKMHOPCTXYaeijopcyxshdqwABEZHIKMNOPTYXoevigɑ".replace("ɑ", "a"), strict=True))
+_LOOKALIKE = dict(zip("АВЕЅІЈКМНОРСТХУаеіјорсухѕһԁԛԝΑΒΕΖΗΙΚΜΝΟΡΤΥΧοενιɡα", "ABESIJKMHOPCTXYaeijopcyxshdqwABEZHIKMNOPTYXoeviga", strict=True))
 _INVISIBLE = "­​‌‍⁠﻿"
 _DISGUISED = re.compile("[" + "".join(_LOOKALIKE) + _INVISIBLE + "！-～٠-٩۰-۹०-९․。\U0001d7ce-\U0001d7ff]")
 
@@ -75,8 +75,9 @@ _SPELLED = {
 }
 _DIGITS = {w: str(i) for words in _SPELLED.values() for i, w in enumerate(words.split())}
 _ANY_DIGIT = "(?:" + "|".join(sorted(_DIGITS, key=len, reverse=True)) + "|[0-9])"
-#: Three digits or more on end, of which at least two are spelled.
-_SPELLED_RUN = re.compile(rf"(?<![^\W_]){_ANY_DIGIT}(?:[\s,-]{{1,2}}{_ANY_DIGIT}(?![^\W_])){{2,}}", re.I)
+_DIGITS_ON_END = _ANY_DIGIT[:-1] + "+)"
+#: Three digits, or runs of them, or more on end, of which at least two are spelled.
+_SPELLED_RUN = re.compile(rf"(?<![^\W_]){_DIGITS_ON_END}(?:[\s,-]{{1,2}}{_DIGITS_ON_END}(?![^\W_])){{2,}}", re.I)
 _ONE_DIGIT = re.compile(_ANY_DIGIT, re.I)
 
 _AT_WORDS, _DOT_WORDS = "at|arroba|arobase|klammeraffe", "dot|punkt|punto|point"
@@ -203,16 +204,21 @@ def normalised(text: str) -> Copy | None:
 
 
 def all_spans(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
-    """Base spans of ``text``, and all: base ones, and those of the copy that overlap none of them."""
+    """Base spans of ``text``, and all: base ones, and those of the copy that are none of them. A span of the copy may
+    overlap base ones, as where a disguise hides the start of an identifier from the base patterns; one that lies within
+    a base span adds nothing and is left out."""
     base = base_spans(text)
     copy = normalised(text)
     if copy is None:
         return base, base
-    added = []
-    for a, b, kind in base_spans(copy.text):
-        start, end = copy.start[a], copy.end[b - 1]
-        if all(end <= x or start >= y for x, y, _ in base):
-            added.append((start, end, kind))
+    spans = sorted((copy.start[a], copy.end[b - 1], kind) for a, b, kind in base_spans(copy.text))
+    added, at, reach = [], 0, -1  # base spans that start no later, and how far they reach
+    for span in spans:
+        while at < len(base) and base[at][0] <= span[0]:
+            reach = max(reach, base[at][1])
+            at += 1
+        if span[1] > reach:
+            added.append(span)
     return base, sorted(base + added, key=lambda s: (s[0], _ORDER[s[2]]))
 
 
@@ -223,6 +229,7 @@ def find(docs: DataFrame, text_col: str = "text", spans_as: str = "spans") -> Da
     """``docs`` with the spans of each whole text, by start, in code points, end exclusive; ``disguised`` tells those
     that only the normalised copy shows. Null and empty texts have none. A column of ``docs`` with the name of the
     spans is replaced; repeated rows stay."""
+    bounded_batches(docs.sparkSession)
     docs = docs.drop(spans_as)
     schema = T.StructType([*(T.StructField(f.name, f.dataType, True) for f in docs.schema), T.StructField(spans_as, T._parse_datatype_string(_FOUND))])
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string()), ("disguised", pa.bool_())]))
@@ -247,10 +254,11 @@ def listed(spans):
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with each identifier replaced by its kind in angle brackets; where spans overlap, the one that starts
-    first goes and the rest of the other with it. Columns stay; null texts stay null."""
-    found = find(docs, text_col, "_spans")
+    first goes and the rest of the other with it. Columns stay, whatever their names; null texts stay null."""
+    name = free_name(docs, "_spans")
+    found = find(docs, text_col, name)
     step = F.aggregate(
-        "_spans",
+        name,
         F.struct(F.lit("").alias("out"), F.lit(0).alias("at")),
         lambda s, x: F.struct(
             F.when(x["start"] < s["at"], s["out"]).otherwise(F.concat(s["out"], F.substring(F.col(text_col), s["at"] + 1, x["start"] - s["at"]), F.lit("<"), x["kind"], F.lit(">"))).alias("out"),

@@ -65,6 +65,29 @@ def test_guards_let_every_rule_through():
     assert found("mail john@example POİNT com now") == [("email", "john@example POİNT com")]
 
 
+def test_a_base_span_hides_no_disguise_that_it_is_part_of(spark):
+    text = "mail jоhn@example.com now"  # a Cyrillic о, which the base pattern stops at
+    assert pii.all_spans(text) == ([(7, 21, "email")], [(5, 21, "email"), (7, 21, "email")])
+    docs = spark.createDataFrame([(text, 1)], "text string, _spans int")
+    assert [tuple(r) for r in pii.redact(docs).collect()] == [("mail <email> now", 1)]
+    assert found("card four one one one 1111 1111 1111 end") == [("card", "four one one one 1111 1111 1111")]
+    assert found("a@b.cc (at) d.ee") == []
+
+
+def test_many_spans_take_linear_time():
+    import time
+
+    def seconds(n):
+        text = "a@b.cc jоhn@example.com " * n
+        start = time.perf_counter()
+        base, every = pii.all_spans(text)
+        assert len(base) == 2 * n and len(every) == 3 * n
+        return time.perf_counter() - start
+
+    seconds(500)
+    assert seconds(16_000) < 20 * seconds(2_000) + 1
+
+
 def test_any_last_label_where_the_host_is_sure():
     assert found("mail john at mail dot example dot se now") == [("email", "john at mail dot example dot se")]
     assert found("mail john@example dot museum now") == [("email", "john@example dot museum")]

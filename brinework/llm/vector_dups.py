@@ -1,29 +1,33 @@
 """Near-duplicate vectors by a robust-pruned flat graph: graphs are built on overlapping cluster shards, adjacency lists
-are united, a greedy search from each shard's medoid widens to all vectors in range, recall is audited, and every link
-is verified in double precision."""
+are united by node, a greedy search from each shard's medoid widens to all nodes in range and goes on in every shard that a
+node in range is in, too; recall is audited, and every link is verified in double precision."""
 
 from __future__ import annotations
 
 import logging
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brinework.llm.common import connected_components, cut
+from brinework.llm.common import connected_components, cut, joined_by_key
 
 log = logging.getLogger(__name__)
 
-#: Vectors the centroids are fitted on, at most, chosen by a hash of the id; every vector is indexed.
+#: Vectors that coarse centroids are fitted on, at most, chosen by a hash of the node; every vector is indexed.
 FIT_VECTORS = 10_000
+#: Coarse cells of a label, at most. They only narrow down which clusters a vector is compared with; the number of clusters
+#: grows with the vectors, one for about ``SHARD`` of them.
+CELLS = 256
 #: Vectors of a shard, about; what a task holds of a cluster, and of the queries sent to it.
 SHARD = 300
-#: Clusters of a label, at most; larger clusters are dealt over more shards.
-CLUSTERS = 256
+#: Vectors of a cell that one task compares with the cell's clusters.
+CELL_ROWS = 20_000
 DEGREE, BEAM, ALPHA = 24, 32, 1.2
-#: Clusters a vector is indexed in, and clusters it is searched in.
-OVERLAP, PROBES = 2, 3
+#: Clusters a vector is indexed in, clusters it is searched in at first, and cells whose clusters it is compared with.
+OVERLAP, PROBES, NEAR_CELLS = 2, 3, 3
 AUDIT, RECALL = 200, 0.9
 
 
@@ -91,9 +95,10 @@ def build_graph(x: np.ndarray, degree: int = DEGREE, alpha: float = ALPHA) -> li
     return out
 
 
-def range_search(x: np.ndarray, graph: np.ndarray, start: int, queries: np.ndarray, least: float, beam: int) -> np.ndarray:
-    """For each query which nodes are in range. A beam of the nearest nodes seen walks from ``start``; once it stands
-    still, all nodes in range are expanded until no new one turns up. ``graph``: neighbours, filled up with -1."""
+def range_search(x: np.ndarray, graph: np.ndarray, start: int, queries: np.ndarray, least: float, beam: int, seeds: np.ndarray | None = None) -> np.ndarray:
+    """For each query which nodes are in range. A beam of the nearest nodes seen walks from ``start``, and from the
+    query's own ``seeds`` (filled up with -1); once it stands still, all nodes in range are expanded until no new one turns
+    up. ``graph``: neighbours, filled up with -1."""
     q, n = len(queries), len(x)
     x1 = np.vstack([x, np.zeros((1, x.shape[1]))])
     seen = np.zeros((q, n + 1), dtype=bool)
@@ -105,6 +110,12 @@ def range_search(x: np.ndarray, graph: np.ndarray, start: int, queries: np.ndarr
     rows = np.arange(q)
     top = np.full((q, beam), n, dtype=np.int64)
     top[:, 0] = start
+    for k in range(seeds.shape[1] if seeds is not None else 0):
+        r = np.flatnonzero((seeds[:, k] >= 0) & (seeds[:, k] != start))
+        node = seeds[r, k]
+        seen[r, node] = True
+        sim[r, node] = np.einsum("ij,ij->i", queries[r], x1[node])
+        top[r, 1 + k] = node
     active = rows
     while len(active):
         # the nearest open node of the beam, else any open node in range
@@ -154,155 +165,239 @@ def _matrix(column) -> np.ndarray:
 
 
 def _graph_of(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("id")
-    ids = pdf["id"].to_numpy()
+    pdf = pdf.sort_values("node")
+    ids = pdf["node"].to_numpy()
     graph = build_graph(_matrix(pdf["v"]))
-    return pd.DataFrame({"id": ids, "near": [ids[g].tolist() for g in graph]})
+    return pd.DataFrame({"node": ids, "near": [ids[g].tolist() for g in graph]})
+
+
+_FOUND = "kind int, node long, n long, m long, other long"
 
 
 def _search_of(least: float, beam: int):
+    """Kind 0: how many vectors (n) and nodes (m) of this cluster a query links to. Kind 1: links of a spanning forest.
+    Kind 2: a further cluster (n) that a node in range (other) is in, too."""
+
     def run(key, nodes: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        nodes = nodes.sort_values("id")
+        nodes = nodes.sort_values("node")
         if not len(nodes) or not len(queries):
-            return pd.DataFrame({"kind": [], "id": [], "n": [], "component": []})
-        ids, x = nodes["id"].to_numpy(), _matrix(nodes["v"])
+            return pd.DataFrame({c.split()[0]: [] for c in _FOUND.split(", ")})
+        leaf = int(key[0])
+        ids, x = nodes["node"].to_numpy(dtype=np.int64), _matrix(nodes["v"])
         place = {int(k): i for i, k in enumerate(ids)}
         lists = [[place[j] for j in near if j in place] for near in nodes["near"]]
         graph = np.full((len(ids), max(1, max(map(len, lists)))), -1, dtype=np.int64)
         for i, own in enumerate(lists):
             graph[i, : len(own)] = own
         medoid = int(np.argmax(x @ x.mean(axis=0)))
-        first, weight = nodes["first"].to_numpy(dtype=np.int64), nodes["copies"].to_numpy(dtype=np.int64)
-        q_ids, qx = queries["id"].to_numpy(), _matrix(queries["v"])
-        probed = np.full((len(q_ids), max(map(len, queries["probed"]))), -1, dtype=np.int64)
-        for i, own in enumerate(queries["probed"]):
-            probed[i, : len(own)] = own
-        n_of, q_least, n_least = np.zeros(len(q_ids), np.int64), q_ids.copy(), ids.copy()
-        edges: list[tuple[int, int]] = []
+        first, second = nodes["first"].to_numpy(dtype=np.int64), nodes["second"].to_numpy(dtype=np.int64)
+        weight, elsewhere = nodes["copies"].to_numpy(dtype=np.int64), np.where(first == leaf, second, first)
+        q_ids, qx = queries["node"].to_numpy(dtype=np.int64), _matrix(queries["v"])
+        seeds = np.array([[place.get(int(u), -1) for u in own] for own in queries["seeds"]], dtype=np.int64).reshape(len(q_ids), -1)
+        rows = []
+        edges: set[tuple[int, int]] = set()
         for a in range(0, len(q_ids), 256):
-            hit = range_search(x, graph, medoid, qx[a : a + 256], least, beam)
+            q = q_ids[a : a + 256]
+            hit = range_search(x, graph, medoid, qx[a : a + 256], least, beam, seeds[a : a + 256])
             r, c = np.nonzero(hit)
             exact = np.einsum("ij,ij->i", qx[a + r], x[c])
-            good = (exact >= least) & (q_ids[a + r] != ids[c])
+            good = (exact >= least) & (q[r] != ids[c])
             hit[r[~good], c[~good]] = False
-            # a vector is in two clusters: it is counted in its first, or in the other where the query misses the first
-            met = (probed[a : a + 256, :, None] == first).any(axis=1)
-            n_of[a : a + 256] = (hit & ((first == int(key[1])) | ~met)) @ weight
-            q1, n1 = _components(hit, q_ids[a : a + 256], ids)
-            edges += [(int(i), int(j)) for i, j in zip(q_ids[a : a + 256], q1, strict=True) if i != j]
-            edges += [(int(i), int(j)) for i, j in zip(ids, n1, strict=True) if i != j]
-        edges = sorted(set(edges))
-        return pd.DataFrame({"kind": [0] * len(q_ids) + [1] * len(edges), "id": [*q_ids.tolist(), *(a for a, _ in edges)], "n": [*n_of.tolist(), *([0] * len(edges))], "component": [*q_ids.tolist(), *(b for _, b in edges)]})
+            own = hit & (first == leaf)  # a node is counted in its first cluster, which every search that meets it comes to
+            rows += zip([0] * len(q), q.tolist(), (own @ weight).tolist(), own.sum(axis=1).tolist(), [0] * len(q), strict=True)
+            r, c = r[good], c[good]
+            further = pd.DataFrame({"q": q[r], "leaf": elsewhere[c], "u": ids[c]})
+            further = further[further["leaf"] != leaf].groupby(["q", "leaf"], as_index=False)["u"].min()
+            rows += zip([2] * len(further), further["q"].tolist(), further["leaf"].tolist(), [0] * len(further), further["u"].tolist(), strict=True)
+            q1, n1 = _components(hit, q, ids)
+            edges |= {(int(i), int(j)) for i, j in zip(q, q1, strict=True) if i != j} | {(int(i), int(j)) for i, j in zip(ids, n1, strict=True) if i != j}
+        rows += [(1, i, 0, 0, j) for i, j in sorted(edges)]
+        return pd.DataFrame(rows, columns=[c.split()[0] for c in _FOUND.split(", ")])
 
     return run
 
 
+def _in_cells(cells: dict[str, np.ndarray], count: int):
+    """Each row once for each of the ``count`` coarse cells that are nearest to it."""
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for g, part in pdf.groupby("group", sort=False):
+                c = cells.get(g)
+                if c is None:
+                    out.append(part.assign(cell=0))
+                    continue
+                order = np.argsort(-(_matrix(part["v"]) @ c.T), axis=1, kind="stable")[:, :count]
+                out += [part.assign(cell=order[:, k]) for k in range(order.shape[1])]
+            if out:
+                yield pd.concat(out)
+
+    return run
+
+
+def _nearest_of(count: int):
+    """Of the clusters of one cell the ``count`` nearest to each vector; a cell without any is a cluster of its own."""
+
+    def run(key, rows: pd.DataFrame, pivots: pd.DataFrame) -> pd.DataFrame:
+        if not len(rows):
+            return pd.DataFrame({"node": [], "leaf": [], "sim": []})
+        if not len(pivots):
+            return pd.DataFrame({"node": rows["node"], "leaf": rows["alone"], "sim": -1.0})
+        pivots = pivots.sort_values("pivot")
+        sim = _matrix(rows["v"]) @ _matrix(pivots["v"]).T
+        order = np.argsort(-sim, axis=1, kind="stable")[:, :count]
+        k = order.shape[1]
+        return pd.DataFrame({"node": np.repeat(rows["node"].to_numpy(), k), "leaf": pivots["pivot"].to_numpy()[order].ravel(), "sim": np.take_along_axis(sim, order, axis=1).ravel()})
+
+    return run
+
+
+def _fresh(df: DataFrame, *columns: str) -> DataFrame:
+    """Columns under new identities, as both sides of a cogroup come from one frame."""
+    return df.select(*(F.col(c).alias(c) for c in columns))
+
+
+def _placed(classes: DataFrame, cells: dict[str, np.ndarray], shard: int, count: int, seed: int) -> DataFrame:
+    """``classes`` with ``near``: the ``count`` nearest clusters. One node in ``shard`` is the pivot of a cluster, and stands
+    in its nearest coarse cell; a node is compared with the pivots of its ``NEAR_CELLS`` nearest cells, a part of a cell's
+    nodes in each task."""
+    kinds = "node long, group string, v array<double>, cell int"
+    narrow = classes.select("node", "group", "v")
+    pivots = narrow.where(F.pmod(F.xxhash64("node", F.lit(seed)), F.lit(shard)) == 0).mapInPandas(_in_cells(cells, 1), kinds).select(F.col("node").alias("pivot"), "group", "v", "cell")
+    rows = cut(narrow.mapInPandas(_in_cells(cells, NEAR_CELLS), kinds))
+    parts = rows.groupBy("group", "cell").agg(F.ceil(F.count("*") / CELL_ROWS).cast("int").alias("parts"))
+    key = ["group", "cell", "part"]
+    alone = -1 - F.shiftrightunsigned(F.xxhash64("group", "cell"), 1)
+    asked = rows.join(parts, ["group", "cell"]).withColumn("part", F.pmod(F.xxhash64("node", F.lit(2)), F.col("parts")).cast("int")).withColumn("alone", alone)
+    known = pivots.join(parts, ["group", "cell"]).withColumn("part", F.explode(F.expr("sequence(0, parts - 1)")))
+    near = asked.select("node", "v", "alone", *key).groupBy(key).cogroup(_fresh(known, "pivot", "v", *key).groupBy(key)).applyInPandas(_nearest_of(count), "node long, leaf long, sim double")
+    best = near.groupBy("node").agg(F.slice(F.array_distinct(F.transform(F.sort_array(F.collect_list(F.struct("sim", "leaf")), False), lambda x: x["leaf"])), 1, count).alias("near"))
+    return cut(classes.join(best, "node"))
+
+
+def _linked(placed: DataFrame, least: float, shard: int, probes: int, beam: int, most_rounds: int = 1000) -> DataFrame:
+    """What ``_search_of`` finds, from the ``probes`` nearest clusters of each node and all that the search comes to."""
+    crowd = placed.select(F.explode(F.slice("near", 1, OVERLAP)).alias("leaf")).groupBy("leaf").agg(F.ceil(F.count("*") / shard).cast("int").alias("shards"))
+    home = placed.select("node", "copies", "v", F.col("near")[0].alias("first"), F.coalesce(F.get("near", F.lit(1)), F.col("near")[0]).alias("second"), F.explode(F.slice("near", 1, OVERLAP)).alias("leaf"))
+    home = cut(home.join(crowd, "leaf").withColumn("part", F.pmod(F.xxhash64("node"), F.col("shards")).cast("int")))
+    graphs = home.select("leaf", "part", "node", "v").groupBy("leaf", "part").applyInPandas(_graph_of, "node long, near array<long>")
+    graph = graphs.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
+    nodes = cut(home.join(graph, "node"))
+    none = F.array().cast("array<bigint>")
+    front = cut(placed.select("node", F.explode(F.slice("near", 1, probes)).alias("leaf"), none.alias("seeds")))
+    been, found = front.select("node", "leaf"), []
+    for _ in range(most_rounds):
+        blocks = front.groupBy("leaf").agg(F.ceil(F.count("*") / shard).cast("int").alias("blocks"))
+        key = ["leaf", "part", "block"]
+        here = nodes.join(blocks, "leaf").withColumn("block", F.explode(F.expr("sequence(0, blocks - 1)"))).drop("blocks", "shards")
+        asked = front.join(placed.select("node", "v"), "node").join(blocks, "leaf").join(crowd, "leaf")
+        asked = asked.withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int")).withColumn("part", F.explode(F.expr("sequence(0, shards - 1)")))
+        got = cut(here.groupBy(key).cogroup(_fresh(asked, "node", "v", "seeds", *key).groupBy(key)).applyInPandas(_search_of(least, beam), _FOUND))
+        found.append(got.where("kind < 2"))
+        ahead = got.where("kind = 2").groupBy("node", F.col("n").alias("leaf")).agg(F.array(F.min("other"), F.max("other")).alias("seeds"))
+        front = cut(ahead.join(been, ["node", "leaf"], "left_anti"))
+        if front.isEmpty():
+            break
+        been = cut(been.union(front.select("node", "leaf")))
+    else:
+        raise RuntimeError(f"the search did not end in {most_rounds} rounds")
+    return reduce(DataFrame.union, found)
+
+
+def _true_links(classes: DataFrame, chosen: list, least: float) -> dict[int, int]:
+    """How many nodes of its group each of the ``chosen`` (node, group, v) is linked to, by comparison with all."""
+    groups = {g for _, g, _ in chosen}
+    of = {g: (np.array([i for i, h, _ in chosen if h == g]), _matrix([v for _, h, v in chosen if h == g])) for g in groups}
+    shared = classes.sparkSession.sparkContext.broadcast(of)
+
+    def brute(batches):
+        for pdf in batches:
+            total: dict[int, int] = {}
+            for g, part in pdf.groupby("group", sort=False):
+                if g in shared.value:
+                    ids, x = shared.value[g]
+                    hit = (x @ _matrix(part["v"]).T >= least) & (ids[:, None] != part["node"].to_numpy())
+                    for i, n in zip(ids.tolist(), hit.sum(axis=1).tolist(), strict=True):
+                        total[i] = total.get(i, 0) + n
+            yield pd.DataFrame({"node": list(total), "n": list(total.values())}).astype("int64")
+
+    got = classes.select("node", "group", "v").mapInPandas(brute, "node long, n long").groupBy("node").agg(F.sum("n").alias("n")).collect()
+    return {r["node"]: r["n"] for r in got if r["n"]}
+
+
+def _recall(found: DataFrame, true: dict[int, int]) -> float:
+    """The lesser of the share of all links of the audited nodes that were found, and of the mean of their shares."""
+    if not true:
+        return 1.0
+    have = {r["node"]: r["m"] for r in found.where(F.col("kind") == 0).where(F.col("node").isin(list(true))).groupBy("node").agg(F.sum("m").alias("m")).collect()}
+    got = {i: min(have.get(i, 0), n) for i, n in true.items()}
+    return min(sum(got.values()) / sum(true.values()), sum(got[i] / n for i, n in true.items()) / len(true))
+
+
 def _valid(v):
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     return v.isNotNull() & ~F.coalesce(bad, F.lit(True)) & F.coalesce(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x) > 0, F.lit(False))
 
 
-def near_vectors(vectors: DataFrame, least: float = 0.93, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", shard: int = SHARD, probes: int = PROBES, beam: int = BEAM, seed: int = 5) -> DataFrame:
+def near_vectors(vectors: DataFrame, least: float = 0.93, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", shard: int = SHARD, probes: int = PROBES, beam: int = BEAM, seed: int = 5, audit: dict | None = None) -> DataFrame:
     """(id_col, n_links, component_id, kept) for each row: the vectors of the same label with cosine >= ``least``.
 
     Vectors that are null, zero, or hold null or non-finite components, and rows with a null label or id, link with
-    nothing. Equal vectors of a label are one class, searched once. Vectors of another length than most of their label
-    form classes of their own length. Each class is indexed in its ``OVERLAP`` nearest clusters and searched in its
-    ``probes`` nearest, and in every other whose centroid is itself in range, so that a tight group that is dealt over
-    many clusters is met whole. A cluster of more than ``shard`` classes is dealt over several shards, and its queries over
-    several blocks, so no task holds more of either. An audit of at most ``AUDIT`` vectors against all of their label
-    follows; below a recall of ``RECALL`` the search is repeated with twice the probes and beam. No pair is returned: a
-    search yields counts and a spanning forest. Rows with one id are one vector for components. Empty input: empty."""
-    spark = vectors.sparkSession
+    nothing. Equal vectors of a label are one node, searched once. Vectors of another length than most of their label form
+    groups of their own length. A node is indexed in its ``OVERLAP`` nearest clusters and searched in its ``probes`` nearest,
+    and in every other cluster that a node in range is in. A cluster of more than ``shard`` nodes is dealt over several
+    shards, and its queries over several blocks, so no task holds more of either. An audit compares at most ``AUDIT`` nodes
+    with all of their group, each node and each link of one weight; under a recall of ``RECALL`` the search is repeated
+    with twice the probes and beam, and fails if the third time it is still under it. ``audit`` gets the recall. No pair is
+    returned: a search yields counts and a spanning forest. Rows with one id are one vector for components, whatever their
+    vectors, and keep the links of each. Other columns are ignored. Empty input: empty."""
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("label"), F.col(vector_col).cast("array<double>").alias("raw"))
     good = _valid(F.col("raw")) & F.col("id").isNotNull() & F.col("label").isNotNull()
     rows = rows.withColumn("good", good)
     norm = F.sqrt(F.aggregate("raw", F.lit(0.0), lambda s, x: s + x * x))
     keyed = rows.where("good").withColumn("group", F.concat_ws(":", F.size("raw"), F.col("label").cast("string"))).withColumn("tag1", F.xxhash64("group", "raw")).withColumn("tag2", F.hash("raw", "group").cast("long"))
     keyed = cut(keyed.select("id", "group", "raw", "tag1", "tag2"))
-    heads = keyed.groupBy("tag1", "tag2").agg(F.min("id").alias("head"), F.count("*").alias("copies"))
-    classes = keyed.join(heads, ["tag1", "tag2"]).where("id = head").dropDuplicates(["id"]).select("id", "group", "copies", F.transform("raw", lambda x: x / norm).alias("v"))
-    classes = cut(classes)
-    sizes = {r["group"]: r["n"] for r in classes.groupBy("group").agg(F.count("*").alias("n")).collect()}
-
-    # centroids of each label, on a bounded sample
-    share = FIT_VECTORS / max(1, sum(sizes.values()))
-    sample = classes.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1_000_000)) < int(1_000_000 * min(1.0, share))).limit(2 * FIT_VECTORS).select("group", "v").orderBy(F.xxhash64("v")).collect()
-    centroids: dict[str, np.ndarray] = {}
-    for g, n in sizes.items():
-        own = _matrix([r["v"] for r in sample if r["group"] == g])
-        k = min(CLUSTERS, max(1, round(n / shard)), len(own))
-        centroids[g] = unit(kmeans(own, k, seed)) if k > 1 else np.zeros((0, 0))
-    shared = spark.sparkContext.broadcast(centroids)
-
-    def nearest(count):
-        def run(batches):
-            for pdf in batches:
-                out = []
-                for g, part in pdf.groupby("group", sort=False):
-                    c = shared.value[g]
-                    if not len(c):
-                        out.append(part.assign(near=[[0]] * len(part)))
-                        continue
-                    sim = _matrix(part["v"]) @ c.T
-                    order = np.argsort(-sim, axis=1, kind="stable")
-                    wide = np.maximum(count, (sim >= least).sum(axis=1))
-                    out.append(part.assign(near=[row[:n].tolist() for row, n in zip(order, wide, strict=True)]))
-                if out:
-                    yield pd.concat(out)
-
-        return run
-
-    def linked(probes: int, beam: int):
-        placed = cut(classes.mapInPandas(nearest(max(OVERLAP, probes)), "id long, group string, copies long, v array<double>, near array<int>"))
-        crowd = cut(placed.select("group", F.explode(F.slice("near", 1, OVERLAP)).alias("cluster")).groupBy("group", "cluster").agg(F.ceil(F.count("*") / shard).cast("int").alias("shards")))
-        asked = placed.select("group", F.explode("near").alias("cluster")).groupBy("group", "cluster").agg(F.ceil(F.count("*") / shard).cast("int").alias("blocks"))
-        members = placed.select("id", "group", "copies", "v", F.col("near")[0].alias("first"), F.explode(F.slice("near", 1, OVERLAP)).alias("cluster")).join(F.broadcast(crowd), ["group", "cluster"])
-        members = members.withColumn("part", F.pmod(F.xxhash64("id"), F.col("shards")))
-        members = cut(members.select("id", "group", "cluster", "part", "first", "copies", "v"))
-        graphs = members.groupBy("group", "cluster", "part").applyInPandas(_graph_of, "id long, near array<long>")
-        graph = graphs.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
-        nodes = members.join(graph, "id").join(F.broadcast(asked), ["group", "cluster"]).withColumn("block", F.explode(F.expr("sequence(0L, blocks - 1L)"))).drop("blocks")
-        queries = placed.select("id", "group", "v", F.col("near").alias("probed"), F.explode("near").alias("cluster")).join(F.broadcast(asked), ["group", "cluster"]).join(F.broadcast(crowd), ["group", "cluster"])
-        queries = queries.withColumn("block", F.pmod(F.xxhash64("id", F.lit(1)), F.col("blocks"))).withColumn("part", F.explode(F.expr("sequence(0L, shards - 1L)")))
-        key = ["group", "cluster", "part", "block"]
-        queries = queries.select(*(F.col(c).alias(c) for c in ("id", "v", "probed", *key)))
-        found = nodes.groupBy(key).cogroup(queries.groupBy(key)).applyInPandas(_search_of(least, beam), "kind int, id long, n long, component long")
-        return cut(found)
-
-    found = linked(probes, beam)
-    if sizes:
-        chosen = [(r["id"], r["group"], r["v"]) for r in classes.orderBy(F.xxhash64("id", F.lit(seed + 1)), "id").limit(AUDIT).collect()]
-        by_group: dict[str, np.ndarray] = {g: _matrix([v for _, h, v in chosen if h == g]) for g in {c[1] for c in chosen}}
-        asked_ids = {g: [i for i, h, _ in chosen if h == g] for g in by_group}
-        audit = spark.sparkContext.broadcast((by_group, asked_ids))
-
-        def brute(batches):
-            for pdf in batches:
-                total: dict[int, int] = {}
-                vectors_of, ids_of = audit.value
-                for g, part in pdf.groupby("group", sort=False):
-                    if g in vectors_of:
-                        hit = (vectors_of[g] @ _matrix(part["v"]).T >= least) & (np.array(ids_of[g])[:, None] != part["id"].to_numpy())
-                        for i, n in zip(ids_of[g], hit @ part["copies"].to_numpy(dtype=np.int64), strict=True):
-                            total[i] = total.get(i, 0) + int(n)
-                yield pd.DataFrame({"id": list(total), "n": list(total.values())}).astype("int64")
-
-        true = classes.mapInPandas(brute, "id long, n long").groupBy("id").agg(F.sum("n").alias("truly"))
-        true = {r["id"]: r["truly"] for r in true.collect()}
-        for _ in range(3):
-            have = {r["id"]: r["n"] for r in found.where("kind = 0").join(F.broadcast(spark.createDataFrame([(i,) for i in true], "id long")), "id").groupBy("id").agg(F.sum("n").alias("n")).collect()}
-            recall = sum(min(have.get(i, 0), n) for i, n in true.items()) / max(1, sum(true.values()))
-            if recall >= RECALL or not sum(true.values()):
+    n_rows = keyed.count()
+    classes = keyed.groupBy("tag1", "tag2").agg(F.min("id").alias("head"), F.count("*").alias("copies"), F.first("group").alias("group"), F.first("raw").alias("raw"))
+    classes = cut(classes.select("tag1", "tag2", "head", "copies", "group", F.transform("raw", lambda x: x / norm).alias("v")).withColumn("node", F.monotonically_increasing_id()))
+    n = classes.count()
+    of_rows = cut(joined_by_key(keyed.select("id", "tag1", "tag2"), classes.select("tag1", "tag2", "node", "copies", F.col("copies").alias("_size")), ["tag1", "tag2"], "_size", n_rows))
+
+    if n:
+        # coarse cells of each group, on a bounded sample; groups that it hardly meets are one cell each
+        share = F.lit(int(1_000_000 * min(1.0, FIT_VECTORS / n)))
+        sample = classes.where(F.pmod(F.xxhash64("node", F.lit(seed)), F.lit(1_000_000)) < share).limit(2 * FIT_VECTORS).select("group", "v").orderBy(F.xxhash64("v")).collect()
+        by_group: dict[str, list] = {}
+        for r in sample:
+            by_group.setdefault(r["group"], []).append(r["v"])
+        cells = {g: unit(kmeans(_matrix(own), min(CELLS, len(own) // 8), seed)) for g, own in by_group.items() if len(own) >= 32 and len(own) * n / len(sample) > 4 * shard}
+        chosen = [(r["node"], r["group"], r["v"]) for r in classes.orderBy(F.xxhash64("node", F.lit(seed + 1)), "node").limit(AUDIT).collect()]
+        true = _true_links(classes, chosen, least)
+        for widened in range(4):
+            found = _linked(_placed(classes.select("node", "group", "copies", "v"), cells, shard, max(OVERLAP, probes), seed), least, shard, probes, beam)
+            recall = _recall(found, true)
+            log.info("audited recall %.4f over %d nodes with links", recall, len(true))
+            if recall >= RECALL:
                 break
+            if widened == 3:
+                raise RuntimeError(f"audited recall {recall:.4f} is under {RECALL}")
             probes, beam = 2 * probes, 2 * beam
-            found = linked(probes, beam)
-        log.info("audited recall %.4f over %d vectors", recall, len(true))
-
-    counts = found.where("kind = 0").groupBy("id").agg(F.sum("n").alias("others")).withColumnRenamed("id", "head")
-    components = cut(connected_components(found.where("kind = 1").select(F.col("id").alias("a"), F.col("component").alias("b")))).withColumnRenamed("id", "head")
-    named = keyed.select("id", "tag1", "tag2").join(heads, ["tag1", "tag2"]).join(counts, "head", "left").join(components, "head", "left")
-    linked_rows = named.select("id", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "head").alias("component_id"))
+        if audit is not None:
+            audit |= {"recall": recall, "nodes": len(true), "probes": probes, "beam": beam}
+        counts = found.where("kind = 0").groupBy("node").agg(F.sum("n").alias("others"))
+        several = of_rows.groupBy("id").agg(F.min("node").alias("b"), F.max("node").alias("most")).where("b < most")
+        same = of_rows.join(several, "id").where("node > b").select(F.col("node").alias("a"), "b")
+        links = cut(found.where("kind = 1").select(F.col("node").alias("a"), F.col("other").alias("b")).union(same).distinct())
+        components = cut(connected_components(links)).withColumnRenamed("id", "node")
+        heads = classes.select("node", "head").join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        least_head = heads.groupBy("component").agg(F.min("head").alias("component_id"), F.count("*").alias("_size"))
+        facts = joined_by_key(heads.select("node", "component"), least_head, ["component"], "_size", n).select("node", "component_id").join(counts, "node", "left")
+        facts = facts.join(classes.select("node", F.col("copies").alias("_size")), "node")
+        named = joined_by_key(of_rows, facts, ["node"], "_size", n_rows)
+        linked_rows = named.select("id", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
+    else:
+        linked_rows = keyed.select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     alone = rows.where("not good").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     out = linked_rows.union(alone)
     return out.select(F.col("id").alias(id_col), F.col("n_links").cast("long").alias("n_links"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))

@@ -73,3 +73,32 @@ def test_graph_reaches_all():
                 seen.add(j)
                 todo.append(j)
     assert len(seen) == 300 and max(map(len, graph)) <= 2 * v.DEGREE + 1
+
+
+def test_an_id_with_several_vectors_keeps_the_links_of_each(spark):
+    rows = [(1, [0.0, 1.0], 1), (5, [0.01, 1.0], 1), (5, [1.0, 0.0], 1), (2, [1.0, 0.01], 1), (3, [0.0, 1.0], 2), (5, [0.0, 1.0], 2), (4, [-1.0, 0.0], 1)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in v.near_vectors(frame).collect())
+    assert got == [(1, 1, 1), (2, 1, 1), (3, 1, 1), (4, 0, 4), (5, 1, 1), (5, 1, 1), (5, 1, 1)]
+
+
+def test_clusters_grow_with_the_vectors(spark, monkeypatch):
+    monkeypatch.setattr(v, "FIT_VECTORS", 300)
+    monkeypatch.setattr(v, "CELL_ROWS", 50)
+    monkeypatch.setattr(v, "CELLS", 4)
+    rows = some(8, 150)
+    frame = spark.createDataFrame([(i, x, 0, "other") for i, x, _ in rows], "vec_id long, embedding array<float>, label int, node string")
+    want, audit = brute([(i, x, 0) for i, x, _ in rows]), {}
+    got = {tuple(r) for r in v.near_vectors(frame, shard=25, audit=audit).collect()}
+    right = sum(min(n, m) for (i, n, *_), (j, m, *_) in zip(sorted(got), sorted(want), strict=True))
+    assert right >= 0.97 * sum(n for _, n, *_ in want) and audit["recall"] >= 0.9 and audit["nodes"] > 50
+    assert all(g[1] <= w[1] for g, w in zip(sorted(got), sorted(want), strict=True))
+
+
+def test_low_recall_is_no_result(spark, monkeypatch):
+    import pytest
+
+    monkeypatch.setattr(v, "_recall", lambda found, true: 0.5)
+    frame = spark.createDataFrame([(1, [1.0, 0.0], 1), (2, [1.0, 0.1], 1)], "vec_id long, embedding array<double>, label int")
+    with pytest.raises(RuntimeError):
+        v.near_vectors(frame)

@@ -69,3 +69,37 @@ def test_frames(spark):
     assert wrong < 15
     few = x.fit([], [])
     assert x.score(docs.limit(0), few).count() == 0 and x.fit([b"a"], [1]).bias > 0 > few.bias
+
+
+def test_clashing_columns_and_repeated_labels(spark):
+    rows = some(4, 120)
+    docs = spark.createDataFrame([(i, t, i, "s") for i, (t, _) in enumerate(rows)], "doc_id long, text string, _toxicity long, _id string")
+    labels = spark.createDataFrame([(i, y) for i, (_, y) in enumerate(rows)] * 2 + [(1, 0), (1, 1), (2, None)], "doc_id long, toxic int")
+    got = x.fit_rows(docs, labels)
+    assert len(got) == len({t for t, _ in got}) and [y for t, y in got if t == rows[1][0].encode()] in ([], [1])
+    left = x.drop_toxic(docs, labels)
+    assert left.columns == docs.columns and all(r._toxicity == r.doc_id and r._id == "s" for r in left.collect())
+
+
+def test_no_rows_mean_no_toxicity():
+    assert (x.scores([b"", b"a b"], x.fit([], [])) < 1e-6).all() and (x.scores([b""], x.fit([b"a"], [1])) > 1 - 1e-6).all()
+
+
+def test_query_columns(spark):
+    from brinework.llm.queries import op10_toxicity
+
+    import zlib
+
+    got = op10_toxicity(spark, "/root/testdata/sf0.001").collect()
+    assert {f for f in got[0].asDict()} == {"doc_id", "held_out", "score", "predicted"}
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and 0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in got)
+
+
+def test_worst_windows_as_a_loop():
+    rng = np.random.default_rng(5)
+    scores = rng.normal(size=60)
+    first = np.array([0, 0, 3, 11, 19, 60])
+    got = x.worst_windows(scores, first)
+    for i, (a, b) in enumerate(zip(first[:-1], first[1:], strict=True)):
+        own = list(scores[a:b]) + [0.0] * max(0, x.WINDOW - (b - a))
+        assert got[i] == (0.0 if a == b else max(sum(own[k : k + x.WINDOW]) / x.WINDOW for k in range(len(own) - x.WINDOW + 1))) or abs(got[i] - max(sum(own[k : k + x.WINDOW]) / x.WINDOW for k in range(len(own) - x.WINDOW + 1))) < 1e-12

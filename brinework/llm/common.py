@@ -38,6 +38,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return have
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a folder that a run wrote for itself, on any store."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def cut(df: DataFrame, most_rows: int | None = None) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and go on from the files, so that a lost executor costs no rerun
     of what came before. A bound on the rows, where known, keeps small results in few files."""

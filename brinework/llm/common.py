@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import gc
 import tempfile
+import time
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -44,13 +45,26 @@ def discard(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+#: Seconds between two sweeps by ``cut``.
+SWEEP_SECONDS = 2.0
+_swept = [0.0]
+
+
 def cut(df: DataFrame, most_rows: int | None = None) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and go on from the files, so that a lost executor costs no rerun
-    of what came before. A bound on the rows, where known, keeps small results in few files."""
+    of what came before. A bound on the rows, where known, keeps small results in few files.
+
+    Shuffle files of what came before go when the driver collects its garbage, which a job of many small steps would
+    else put off until they fill the disks; so it is asked to, now and then."""
     checkpoint_dir(df.sparkSession)
     if most_rows is not None:
         df = df.coalesce(4 + most_rows // PART_ROWS)
-    return df.checkpoint()
+    out = df.checkpoint()
+    if time.monotonic() - _swept[0] > SWEEP_SECONDS:
+        gc.collect()
+        out.sparkSession._jvm.System.gc()
+        _swept[0] = time.monotonic()
+    return out
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from brinework.llm.common import LOWER, SPACES, bounded_batches, connected_components, cut, free_name, is_word_table, joined, joined_by_key, mix, pieces, release, word_bounds, word_hashes
+from brinework.llm.common import KEY_ROWS, LOWER, SPACES, bounded_batches, connected_components, cut, free_name, is_word_table, joined, joined_by_key, mix, pieces, release, word_bounds, word_hashes
 
 #: A pair at the threshold of 0.8 shares no band of 6 rows in 44 with probability (1 - 0.8**6)**44 = 1.6e-6; a pair
 #: at 0.4 shares one with probability 0.17.
@@ -262,7 +262,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     else:
         components = connected_components(links)
 
-    moved = headed.groupBy("head").agg(F.count("*").alias("_size")).join(components.select(F.col("id").alias("head"), "component"), "head").where("component <> head")
+    # a text with many copies is listed even where its component is its own, so that its rows are known for a hot key
+    moved = headed.groupBy("head").agg(F.count("*").alias("_size")).join(components.select(F.col("id").alias("head"), "component"), "head", "left").where(f"component <> head or _size > {KEY_ROWS}")
     named = joined_by_key(headed.select("id", "n_shingles", "head"), moved, ["head"], "_size", n_rows, "left")
     named = named.select("id", "n_shingles", F.coalesce("component", "head").alias("component_id"))
     alone = signed.where("n_shingles = 0 or id is null").select("id", "n_shingles", F.col("id").alias("component_id"))

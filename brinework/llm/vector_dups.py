@@ -176,7 +176,7 @@ _FOUND = "kind int, node long, n long, m long, other long"
 
 def _search_of(least: float, beam: int):
     """Kind 0: how many vectors (n) and nodes (m) of this cluster a query links to. Kind 1: links of a spanning forest.
-    Kind 2: a further cluster (n) that a node in range (other) is in, too."""
+    Kind 2: a cluster (n) that the query has not been in, and a node in range (other) is."""
 
     def run(key, nodes: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         nodes = nodes.sort_values("node")
@@ -194,6 +194,7 @@ def _search_of(least: float, beam: int):
         weight, elsewhere = nodes["copies"].to_numpy(dtype=np.int64), np.where(first == leaf, second, first)
         q_ids, qx = queries["node"].to_numpy(dtype=np.int64), _matrix(queries["v"])
         seeds = np.array([[place.get(int(u), -1) for u in own] for own in queries["seeds"]], dtype=np.int64).reshape(len(q_ids), -1)
+        been = {int(i): set(map(int, own)) for i, own in zip(q_ids, queries["been"], strict=True)}
         rows = []
         edges: set[tuple[int, int]] = set()
         for a in range(0, len(q_ids), 256):
@@ -208,6 +209,7 @@ def _search_of(least: float, beam: int):
             r, c = r[good], c[good]
             further = pd.DataFrame({"q": q[r], "leaf": elsewhere[c], "u": ids[c]})
             further = further[further["leaf"] != leaf].groupby(["q", "leaf"], as_index=False)["u"].min()
+            further = further[np.array([y not in been[i] for i, y in zip(further["q"].tolist(), further["leaf"].tolist(), strict=True)], dtype=bool)]
             rows += zip([2] * len(further), further["q"].tolist(), further["leaf"].tolist(), [0] * len(further), further["u"].tolist(), strict=True)
             q1, n1 = _components(hit, q, ids)
             edges |= {(int(i), int(j)) for i, j in zip(q, q1, strict=True) if i != j} | {(int(i), int(j)) for i, j in zip(ids, n1, strict=True) if i != j}
@@ -291,9 +293,10 @@ def _linked(placed: DataFrame, least: float, shard: int, probes: int, beam: int,
         blocks = front.groupBy("leaf").agg(F.ceil(F.count("*") / shard).cast("int").alias("blocks"))
         key = ["leaf", "part", "block"]
         here = nodes.join(blocks, "leaf").withColumn("block", F.explode(F.expr("sequence(0, blocks - 1)"))).drop("blocks", "shards")
-        asked = front.join(placed.select("node", "v"), "node").join(blocks, "leaf").join(crowd, "leaf")
+        seen = been.groupBy("node").agg(F.collect_list("leaf").alias("been"))
+        asked = front.join(placed.select("node", "v"), "node").join(seen, "node").join(blocks, "leaf").join(crowd, "leaf")
         asked = asked.withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int")).withColumn("part", F.explode(F.expr("sequence(0, shards - 1)")))
-        got = cut(here.groupBy(key).cogroup(_fresh(asked, "node", "v", "seeds", *key).groupBy(key)).applyInPandas(_search_of(least, beam), _FOUND))
+        got = cut(here.groupBy(key).cogroup(_fresh(asked, "node", "v", "seeds", "been", *key).groupBy(key)).applyInPandas(_search_of(least, beam), _FOUND))
         found.append(got.where("kind < 2"))
         ahead = got.where("kind = 2").groupBy("node", F.col("n").alias("leaf")).agg(F.array(F.min("other"), F.max("other")).alias("seeds"))
         front = cut(ahead.join(been, ["node", "leaf"], "left_anti"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from brinework.llm import licences, mixing, pii, token_files, tool_calls, toxicity
+from brinework.llm import fill_middle, licences, mixing, pii, token_files, tool_calls, toxicity
 from brinework.llm.common import table
 from brinework.llm.decontaminate import report
 from brinework.llm.near_dups import near_duplicates
@@ -196,3 +196,11 @@ def op9_tool_call_linking(spark, sf_dir):
     """Every exchange of the conversations as a linked, ordered, checked and serialised tool call."""
     found = tool_calls.link(*tool_calls.from_exchanges(table(spark, sf_dir, "conversations")), REPLY)
     return found.select("conv_id", "call_id", "pos", "result_pos", "status", "at", "depth", "repeats", F.array_join("errors", ",").alias("errors"), "message")
+
+
+@query(fill_middle.oracle())
+def op13_fill_in_middle(spark, sf_dir):
+    """Contract of op13: seed 42, half of the documents, four fifths of them with the suffix first."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    fim, sha = F.col("_fim"), lambda c: F.sha2(c.cast("binary"), 256)
+    return fill_middle.fill_in_middle(docs).select("doc_id", "_fim.n", "_fim.form", "_fim.prefix_chars", "_fim.middle_chars", sha(fim["output"]).alias("output_sha256"), sha(fill_middle.restored(fim["output"], fim["form"])).alias("restored_sha256"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from brinework.llm import fill_middle, licences, mixing, pii, token_files, tool_calls, toxicity
+from brinework.llm import fill_middle, licences, mixing, pii, prefix_trie, token_files, tool_calls, toxicity
 from brinework.llm.common import table
 from brinework.llm.decontaminate import report
 from brinework.llm.near_dups import near_duplicates
@@ -198,6 +198,12 @@ def op9_tool_call_linking(spark, sf_dir):
     return found.select("conv_id", "call_id", "pos", "result_pos", "status", "at", "depth", "repeats", F.array_join("errors", ",").alias("errors"), "message")
 
 
+@query(prefix_trie.oracle())
+def op11_conversation_prefix_trie(spark, sf_dir):
+    """Contract of op11: the trie of the rebuilt conversations."""
+    return prefix_trie.trie(prefix_trie.rebuilt(table(spark, sf_dir, "conversations")))
+
+
 @query(fill_middle.oracle())
 def op13_fill_in_middle(spark, sf_dir):
     """Contract of op13: seed 42, half of the documents, four fifths of them with the suffix first."""

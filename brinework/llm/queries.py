@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from brinework.llm import fill_middle, licences, mixing, pii, prefix_trie, token_files, tool_calls, toxicity
+from brinework.llm import fill_middle, licences, mixing, pii, prefix_trie, spot_signatures, token_files, tool_calls, toxicity
 from brinework.llm.common import table
 from brinework.llm.decontaminate import report
 from brinework.llm.near_dups import near_duplicates
@@ -204,6 +204,15 @@ def op11_conversation_prefix_trie(spark, sf_dir):
     return prefix_trie.trie(prefix_trie.rebuilt(table(spark, sf_dir, "conversations")))
 
 
+@query()
+def op12_spot_signatures(spark, sf_dir):
+    """Contract of op12: fingerprints of texts and their edits, and how alike they are."""
+    found = spot_signatures.with_edits(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    own, edited = (spot_signatures.fingerprint(F.col(c)) for c in ("signatures", "signatures_edited"))
+    near = [spot_signatures.likeness(F.col("signatures"), F.col(f"signatures_{k}")).alias(f"near_{k}") for k in ("edited", "next")]
+    return found.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), own.alias("fingerprint"), edited.alias("edited_fingerprint"), *near)
+
+
 @query(fill_middle.oracle())
 def op13_fill_in_middle(spark, sf_dir):
     """Contract of op13: seed 42, half of the documents, four fifths of them with the suffix first."""

@@ -25,6 +25,14 @@ def boolean(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema if isinstance(f.dataType, T.BooleanType)]
 
 
+def free_name(df: DataFrame, wanted: str) -> str:
+    """``wanted``, with underscores added until no column of ``df`` has that name."""
+    have = {c.lower() for c in df.columns}
+    while wanted.lower() in have:
+        wanted += "_"
+    return wanted
+
+
 def nan_to_null(df: DataFrame) -> DataFrame:
     """Floating columns with NaN as null: there is one missing value."""
     floats = [f.name for f in df.schema if isinstance(f.dataType, (T.DoubleType, T.FloatType))]

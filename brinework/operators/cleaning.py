@@ -10,8 +10,8 @@ from math import ceil, log2
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from brinework.functions.columns import long_form, numeric
-from brinework.operators import anomaly, impute
+from brinework.functions.columns import free_name, long_form, numeric
+from brinework.operators import anomaly, impute, ranges
 from brinework.operators.ranks import collected, order_statistics, quantile_row, running, sizes_of
 
 
@@ -74,22 +74,31 @@ def fill(df: DataFrame, numbers: str = "median", others: str = "mode", columns:
     return out.withColumns(filled).select(*df.columns)
 
 
-def carry(df: DataFrame, column: str, order: Sequence[str], by: Sequence[str] = (), forward: bool = True) -> DataFrame:
-    """Forward or backward fill in ``order``. With ``by`` the order is within each entity; without, it is one of all
-    rows, which one task walks."""
-    w = Window.partitionBy(*(by or [F.lit(0)])).orderBy(*order)
+def carry(df: DataFrame, column: str, order: Sequence[str], by: Sequence[str] = (), forward: bool = True, range_rows: int = ranges.RANGE_ROWS) -> DataFrame:
+    """Forward or backward fill in ``order``. With ``by`` the order is within each entity; without, it is one of all rows,
+    which are scanned by ranges of it."""
+    if not by:
+        new = free_name(df, "_known")
+        return ranges.known(df, F.col(column), order, new, forward, range_rows=range_rows).withColumn(column, F.col(new)).select(*df.columns)
+    w = Window.partitionBy(*by).orderBy(*order)
     w = w.rowsBetween(Window.unboundedPreceding, 0) if forward else w.rowsBetween(0, Window.unboundedFollowing)
     return df.withColumn(column, (F.last if forward else F.first)(column, True).over(w))
 
 
-def interpolate(df: DataFrame, column: str, at: str, by: Sequence[str] = ()) -> DataFrame:
-    """Nulls between two values on the line through them by the number column ``at``; none beyond the ends."""
-    w = Window.partitionBy(*(by or [F.lit(0)])).orderBy(at)
-    back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+def interpolate(df: DataFrame, column: str, at: str, by: Sequence[str] = (), range_rows: int = ranges.RANGE_ROWS) -> DataFrame:
+    """Nulls between two values on the line through them by the number column ``at``; none beyond the ends. Without ``by``
+    the rows are scanned by ranges of ``at``."""
     here = F.when(F.col(column).isNotNull(), F.struct(F.col(at).cast("double").alias("x"), F.col(column).cast("double").alias("y")))
-    out = df.withColumn("_a", F.last(here, True).over(back)).withColumn("_b", F.first(here, True).over(ahead))
-    line = F.col("_a.y") + (F.col("_b.y") - F.col("_a.y")) * F.try_divide(F.col(at) - F.col("_a.x"), F.col("_b.x") - F.col("_a.x"))
-    return out.withColumn(column, F.coalesce(F.col(column).cast("double"), line)).drop("_a", "_b")
+    if by:
+        w = Window.partitionBy(*by).orderBy(at)
+        back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+        out, a, b = df.withColumn("_a", F.last(here, True).over(back)).withColumn("_b", F.first(here, True).over(ahead)), F.col("_a"), F.col("_b")
+    else:
+        new = free_name(df, "_known")
+        out = ranges.known(df, here, [at], new, ahead=True, range_rows=range_rows)
+        a, b = F.col(new), F.col(f"{new}_ahead")
+    line = a["y"] + (b["y"] - a["y"]) * F.try_divide(F.col(at) - a["x"], b["x"] - a["x"])
+    return out.withColumn(column, F.coalesce(F.col(column).cast("double"), line)).select(*df.columns)
 
 
 # outliers
@@ -224,9 +233,9 @@ def encode_by(df: DataFrame, column: str, parameters: DataFrame) -> DataFrame:
 
 
 def _codes(df: DataFrame, column: str) -> DataFrame:
-    """(column, _code): 0, 1, ... in order of the distinct values as text. A task ranks the distinct values only."""
+    """(column, _code): 0, 1, ... in order of the distinct values as text, which are placed by ranges."""
     values = df.where(F.col(column).isNotNull()).select(F.col(column).cast("string").alias("_v")).distinct()
-    return values.withColumn("_code", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("_v")) - 1)
+    return ranges.places(values, "_v", "_code")
 
 
 def label_encode(df: DataFrame, column: str) -> DataFrame:
@@ -260,7 +269,7 @@ def binary_encode(df: DataFrame, column: str) -> DataFrame:
     n = df.agg(F.count_distinct(column)).first()[0]
     bits = ceil(log2(n)) if n > 1 else 0
     out = df.join(_codes(df, column), F.col(column).cast("string") == F.col("_v"), "left")
-    return out.withColumns({f"{column}_bit_{i}": F.shiftright("_code", i).bitwiseAND(1) for i in range(bits)}).drop("_v", "_code", column)
+    return out.withColumns({f"{column}_bit_{i}": F.shiftright("_code", i).bitwiseAND(1).cast("int") for i in range(bits)}).drop("_v", "_code", column)
 
 
 # types and rules

@@ -63,6 +63,36 @@ def forward_fill(spark, d):
     return cleaning.carry(series(spark, d), "value", ["ts", "event_id"], ["user_id"]).select("user_id", "event_id", "value")
 
 
+@query(f"""
+SELECT event_id, last_value(value IGNORE NULLS) OVER (ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS value,
+  first_value(value IGNORE NULLS) OVER (ORDER BY ts, event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS following
+FROM {_SERIES}
+""")
+def fill_one_order(spark, d):
+    """Forward and backward fill in one order of all events, by ranges of about a thousand."""
+    both = series(spark, d).select("event_id", "ts", "value", F.col("value").alias("following"))
+    filled = cleaning.carry(both, "value", ["ts", "event_id"], range_rows=1000)
+    return cleaning.carry(filled, "following", ["ts", "event_id"], forward=False, range_rows=1000).select("event_id", "value", "following")
+
+
+@query(f"""
+SELECT event_id, round(CASE WHEN value IS NOT NULL THEN value WHEN b.x = a.x THEN NULL ELSE a.y + (b.y - a.y) * (event_id - a.x) / (b.x - a.x) END, 6) AS value FROM (
+  SELECT event_id, value, last_value(p IGNORE NULLS) OVER (ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS a,
+    first_value(p IGNORE NULLS) OVER (ORDER BY event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS b
+  FROM (SELECT event_id, value, CASE WHEN value IS NOT NULL THEN struct_pack(x := CAST(event_id AS DOUBLE), y := value) END AS p FROM {_SERIES}))
+""")
+def interpolate_one_order(spark, d):
+    return cleaning.interpolate(series(spark, d), "value", "event_id", range_rows=1000).select("event_id", F.round("value", 6).alias("value"))
+
+
+@query("SELECT c_custkey, dense_rank() OVER (ORDER BY c_name DESC) AS down, dense_rank() OVER (ORDER BY c_name) - 1 AS code FROM customer")
+def label_encode_names(spark, d):
+    """Codes of a text column with a value for each row, placed by ranges."""
+    names = t(spark, d, "customer").select("c_custkey", "c_name")
+    coded = cleaning.label_encode(names.withColumnRenamed("c_name", "code"), "code")
+    return coded.join(names.agg(F.count_distinct("c_name").alias("n"))).select("c_custkey", (F.col("n") - F.col("code")).alias("down"), "code")
+
+
 @query(f"SELECT user_id, event_id, first_value(value IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS value FROM {_SERIES}")
 def backward_fill(spark, d):
     return cleaning.carry(series(spark, d), "value", ["ts", "event_id"], ["user_id"], forward=False).select("user_id", "event_id", "value")

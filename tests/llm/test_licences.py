@@ -1,4 +1,5 @@
 import textwrap
+import time
 
 import duckdb
 import pytest
@@ -56,8 +57,17 @@ PUBLISHED = {
     "CC0-1.0": "To the extent possible under law, Jo Author has waived all copyright and related or neighboring rights to this work.",
     "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
     "Zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.\n\nPermission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+    "Apache-2.0 OR MIT": "Licensed under the Apache License, Version 2.0 <LICENSE-APACHE or http://www.apache.org/licenses/LICENSE-2.0> or the MIT license <LICENSE-MIT or http://opensource.org/licenses/MIT>, at your option. This file may not be copied, modified, or distributed except according to those terms.",
+    "LGPL-2.0-or-later": GPL.format(colon=";", kind="Library General Public License", semi=";", version="2").replace("This program", "This library"),
+    "AGPL-3.0-only": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, version 3.",
+    "GPL-3.0": "GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007",
+    "CC-BY-3.0": "This work is licensed under a Creative Commons Attribution 3.0 Unported License.",
     "BSL-1.0": "Distributed under the Boost Software License, Version 1.0.\n\n(See accompanying file LICENSE_1_0.txt)",
 }
+ASF = """Licensed to the Apache Software Foundation (ASF) under one or more contributor license agreements. See the NOTICE file distributed with this work for additional information regarding copyright ownership. The ASF licenses this file to You under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
+
+http://www.apache.org/licenses/LICENSE-2.0"""
+HEADED = {x: "Copyright (c) 2015, The Regents. All rights reserved.\n\n" + t for x, t in PUBLISHED.items()} | {"Apache-2.0 ": ASF}
 MARKS = ["", " * ", "# ", "// ", "-- ", "dnl ", "REM ", "C     ", "; "]
 
 
@@ -71,7 +81,8 @@ def test_sequences():
     text = "Some code.\n" + licences.SENTENCES["mit_grant"] + ":\n\n" + licences.SENTENCES["mit_notice"] + ".\nAll rights reserved. LICENSED under the Apache   License, version 2.0!\n"
     ids = own.sentences(text)
     assert ids == ["mit_grant", "mit_notice", "rights_reserved", "apache_short"]
-    assert own.licences(ids) == ["MIT", "Apache-2.0", "proprietary"]
+    assert own.licences(ids) == ["MIT", "Apache-2.0"]  # rights reserved beside a licence are no licence
+    assert own.licences(["rights_reserved"]) == ["proprietary"]
     assert own.sentences("the license of this is unknown. released under") == []
     assert own.licences([]) == []
 
@@ -101,6 +112,35 @@ def test_published_notices_as_one_line(licence):
     assert own.licences(own.sentences(flat)) == [licence]
 
 
+@pytest.mark.parametrize("mark", MARKS)
+@pytest.mark.parametrize("licence", sorted(HEADED))
+def test_notices_with_copyright_lines(licence, mark):
+    own = licences.Recogniser()
+    for width in (40, 80):
+        assert own.licences(own.sentences(wrapped(HEADED[licence], mark, width))) == [licence.strip()]
+
+
+def test_identifiers_in_a_line():
+    own = licences.Recogniser()
+    for x in licences.SPDX:
+        for form in ("// SPDX-License-Identifier: {}", "/* SPDX-License-Identifier:{} */", "# spdx-license-identifier : {}\nimport re"):
+            assert own.licences(own.sentences("#!/bin/sh\n" + form.format(x))) == [x]
+    assert own.licences(own.sentences("SPDX-License-Identifier: GPL-2.0+")) == ["GPL-2.0-or-later"]
+    assert own.licences(own.sentences("SPDX-License-Identifier: MIT OR Apache-2.0\n")) == ["Apache-2.0 OR MIT"]
+    assert own.licences(own.sentences("SPDX-License-Identifier: Something-1.0\n")) == []
+    assert own.licences(own.sentences("// SPDX-License-Identifier: MIT\n\n" + APACHE)) == ["MIT", "Apache-2.0"]
+    assert own.licences(own.sentences("Licensed under the MIT license.")) == ["MIT"]
+
+
+def test_very_long_texts_take_linear_time():
+    own = licences.Recogniser()
+    begin = "Neither the name of x "
+    for text, count in (("All rights reserved\n" * 100_000, 100_000), (begin * 30_000, 0), ("." * 300_000 + " mit license", 0), ("released under the mit license " * 30_000, 0), ("Licensed under the Apache License, Version 2.0\n" * 30_000, 30_000)):
+        start = time.monotonic()
+        assert len(own.sentences(text)) == count
+        assert time.monotonic() - start < 4
+
+
 def test_wrapped_sentences_end_at_blank_lines_and_stops():
     own = licences.Recogniser()
     assert own.sentences("Released under\nthe MIT License") == ["mit_short"]
@@ -135,7 +175,7 @@ def test_frames(spark):
 
 def test_sql_knows_wrapped_notices_too():
     own = licences.Recogniser()
-    texts = [wrapped(t, m, w) for t in PUBLISHED.values() for m in MARKS for w in (50, 72)] + list(PUBLISHED.values()) + [" ".join(t.split()) for t in PUBLISHED.values()] + [None, "", "\n\n", "Released under.\nthe MIT License", "The text is\nAll rights reserved\nby us"]
+    texts = [wrapped(t, m, w) for t in PUBLISHED.values() for m in MARKS for w in (50, 72)] + list(PUBLISHED.values()) + [" ".join(t.split()) for t in PUBLISHED.values()] + [wrapped(t, m) for t in HEADED.values() for m in MARKS[:4]] + [f"// SPDX-License-Identifier: {x}\nx" for x in [*licences.SPDX, "GPL-3.0+", "X"]] + [None, "", "\n\n", "Released under.\nthe MIT License", "The text is\nAll rights reserved\nby us"]
     con = duckdb.connect()
     con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
     con.executemany("INSERT INTO documents VALUES (?, ?)", list(enumerate(texts)))

@@ -91,12 +91,14 @@ _END = r"(?![A-Za-z0-9-])"
 _STEP = rf"(?:\s+|_)(?:{_DOT_WORDS})(?:\s+|_)"
 _NO_PROSE = rf"(?!(?:{_PROSE}){_END})"
 _NAME = r"(?:[A-Za-z]{2,24}|xn--[A-Za-z0-9-]{2,59})"
+#: Labels of a disguised host, at most: a look ahead goes no further, so that a long chain of "dot"s takes linear time.
+_LABELS = 10
 #: A bare "at" counts only between what looks like a name and a host with bare dots and one of the last labels.
-_AT_BARE = re.compile(rf"(?<=[A-Za-z0-9])(?:\s+(?:{_AT_WORDS})\s+|_(?:{_AT_WORDS})_)(?=[A-Za-z0-9-]+(?:(?:\s+|_)(?:{_DOT_WORDS})(?:\s+|_)[A-Za-z0-9-]+)*?(?:\s+|_)(?:{_DOT_WORDS})(?:\s+|_)(?:{_LAST})(?![A-Za-z0-9-]))", re.I)
-_DOT_BARE = re.compile(rf"(?<=[A-Za-z0-9])(?:\s+(?:{_DOT_WORDS})\s+|_(?:{_DOT_WORDS})_)(?=(?:[A-Za-z0-9-]+(?:\s+|_)(?:{_DOT_WORDS})(?:\s+|_))*(?:{_LAST})(?![A-Za-z0-9-]))", re.I)
+_AT_BARE = re.compile(rf"(?<=[A-Za-z0-9])(?:\s+(?:{_AT_WORDS})\s+|_(?:{_AT_WORDS})_)(?=[A-Za-z0-9-]+(?:(?:\s+|_)(?:{_DOT_WORDS})(?:\s+|_)[A-Za-z0-9-]+){{0,{_LABELS}}}?(?:\s+|_)(?:{_DOT_WORDS})(?:\s+|_)(?:{_LAST})(?![A-Za-z0-9-]))", re.I)
+_DOT_BARE = re.compile(rf"(?<=[A-Za-z0-9])(?:\s+(?:{_DOT_WORDS})\s+|_(?:{_DOT_WORDS})_)(?=(?:[A-Za-z0-9-]+(?:\s+|_)(?:{_DOT_WORDS})(?:\s+|_)){{0,{_LABELS}}}(?:{_LAST})(?![A-Za-z0-9-]))", re.I)
 #: A bare "at" before any last label: between underscores, by a word that means nothing else, or before a host of two
 #: dots or more, in which no label is a word of prose.
-_AT_SURE = re.compile(rf"(?<=[A-Za-z0-9])(?:(?:\s+(?:arroba|arobase|klammeraffe)\s+|_(?:{_AT_WORDS})_)(?=[A-Za-z0-9-]+(?:{_STEP}[A-Za-z0-9-]+)*?{_STEP}{_NO_PROSE}{_NAME}{_END})|\s+at\s+(?={_NO_PROSE}[A-Za-z0-9-]+(?:{_STEP}{_NO_PROSE}[A-Za-z0-9-]+)+?{_STEP}{_NO_PROSE}{_NAME}{_END}))", re.I)
+_AT_SURE = re.compile(rf"(?<=[A-Za-z0-9])(?:(?:\s+(?:arroba|arobase|klammeraffe)\s+|_(?:{_AT_WORDS})_)(?=[A-Za-z0-9-]+(?:{_STEP}[A-Za-z0-9-]+){{0,{_LABELS}}}?{_STEP}{_NO_PROSE}{_NAME}{_END})|\s+at\s+(?={_NO_PROSE}[A-Za-z0-9-]+(?:{_STEP}{_NO_PROSE}[A-Za-z0-9-]+){{1,{_LABELS}}}?{_STEP}{_NO_PROSE}{_NAME}{_END}))", re.I)
 #: After an "@" any last label counts, less words of prose where the word before it is not "dot"; a host that has dots
 #: by now goes on with "dot" only.
 _DOT = r"(?:\s+|_)dot(?:\s+|_)"

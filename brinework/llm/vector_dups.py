@@ -28,7 +28,8 @@ CELL_ROWS = 20_000
 DEGREE, BEAM, ALPHA = 24, 32, 1.2
 #: Clusters a vector is indexed in, clusters it is searched in at first, and cells whose clusters it is compared with.
 OVERLAP, PROBES, NEAR_CELLS = 2, 3, 3
-AUDIT, RECALL = 200, 0.9
+#: Nodes audited at random, and as many by links; recall asked for; links from which on a recall tells anything.
+AUDIT, RECALL, MEASURED = 200, 0.9, 50
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -351,8 +352,9 @@ def near_vectors(vectors: DataFrame, least: float = 0.93, id_col: str = "vec_id"
     groups of their own length. A node is indexed in its ``OVERLAP`` nearest clusters and searched in its ``probes`` nearest,
     and in every other cluster that a node in range is in. A cluster of more than ``shard`` nodes is dealt over several
     shards, and its queries over several blocks, so no task holds more of either. An audit compares at most ``AUDIT`` nodes
-    with all of their group, each node and each link of one weight; under a recall of ``RECALL`` the search is repeated
-    with twice the probes and beam, and fails if the third time it is still under it. ``audit`` gets the recall. No pair is
+    at random, and as many ends of links that were found, with all of their group, each node and each link of one weight; under a recall of ``RECALL`` the search is repeated
+    with twice the probes and beam, and fails if the third time it is still under it. ``audit`` gets the recall, or None where
+    the audited nodes have under ``MEASURED`` links, which tell nothing. No pair is
     returned: a search yields counts and a spanning forest. Rows with one id are one vector for components, whatever their
     vectors, and keep the links of each. Other columns are ignored. Empty input: empty."""
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("label"), F.col(vector_col).cast("array<double>").alias("raw"))
@@ -375,19 +377,25 @@ def near_vectors(vectors: DataFrame, least: float = 0.93, id_col: str = "vec_id"
         for r in sample:
             by_group.setdefault(r["group"], []).append(r["v"])
         cells = {g: unit(kmeans(_matrix(own), min(CELLS, len(own) // 8), seed)) for g, own in by_group.items() if len(own) >= 32 and len(own) * n / len(sample) > 4 * shard}
-        chosen = [(r["node"], r["group"], r["v"]) for r in classes.orderBy(F.xxhash64("node", F.lit(seed + 1)), "node").limit(AUDIT).collect()]
-        true = _true_links(classes, chosen, least)
+        true, at_random = {}, classes.orderBy(F.xxhash64("node", F.lit(seed + 1)), "node").limit(AUDIT)
         for widened in range(4):
             found = _linked(_placed(classes.select("node", "group", "copies", "v"), cells, shard, max(OVERLAP, probes), seed), least, shard, probes, beam)
-            recall = _recall(found, true)
-            log.info("audited recall %.4f over %d nodes with links", recall, len(true))
+            if not widened:
+                # where links are rare, nodes at random have none: as many ends of links that were found are asked for all of theirs
+                met = found.where("kind = 0 and m > 0").select("node").union(found.where("kind = 1").select(F.col("other").alias("node"))).distinct()
+                met = met.orderBy(F.xxhash64("node", F.lit(seed + 2)), "node").limit(AUDIT).join(classes, "node").select(*classes.columns)
+                chosen = {r["node"]: (r["node"], r["group"], r["v"]) for r in at_random.union(met).collect()}
+                true = _true_links(classes, list(chosen.values()), least)
+            recall, links = _recall(found, true), sum(true.values())
+            measured = links >= MEASURED
+            log.info("audited recall %.4f over %d links of %d nodes%s", recall, links, len(true), "" if measured else ": too few to measure it")
             if recall >= RECALL:
                 break
             if widened == 3:
                 raise RuntimeError(f"audited recall {recall:.4f} is under {RECALL}")
             probes, beam = 2 * probes, 2 * beam
         if audit is not None:
-            audit |= {"recall": recall, "nodes": len(true), "probes": probes, "beam": beam}
+            audit |= {"recall": recall if measured else None, "nodes": len(true), "links": links, "probes": probes, "beam": beam}
         counts = found.where("kind = 0").groupBy("node").agg(F.sum("n").alias("others"))
         several = of_rows.groupBy("id").agg(F.min("node").alias("b"), F.max("node").alias("most")).where("b < most")
         same = of_rows.join(several, "id").where("node > b").select(F.col("node").alias("a"), "b")

@@ -88,6 +88,18 @@ def test_many_spans_take_linear_time():
     assert seconds(16_000) < 20 * seconds(2_000) + 1
 
 
+def test_long_chains_take_linear_time():
+    import time
+
+    for part in ("a dot ", "a_dot_", "x at a dot ", "at ", "a.", "a", "1 ", "one ", "@a dot ", "x@y dot a dot ", "a (dot) ", "1.1.", "+1 ", "dot at ", "\t", "x at "):
+        text = "x@y dot " + part * (1_000_000 // len(part))
+        start = time.perf_counter()
+        pii.all_spans(text)
+        assert time.perf_counter() - start < 12, part
+    labels = " dot ".join(["a"] * 9)
+    assert found(f"mail x at {labels} dot com now") == [("email", f"x at {labels} dot com")]
+
+
 def test_any_last_label_where_the_host_is_sure():
     assert found("mail john at mail dot example dot se now") == [("email", "john at mail dot example dot se")]
     assert found("mail john@example dot museum now") == [("email", "john@example dot museum")]

@@ -95,6 +95,29 @@ def test_clusters_grow_with_the_vectors(spark, monkeypatch):
     assert all(g[1] <= w[1] for g, w in zip(sorted(got), sorted(want), strict=True))
 
 
+def test_audit_where_links_are_rare(spark):
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(6000, 24))
+    pairs = rng.choice(3000, size=60, replace=False)
+    x[3000 + pairs] = x[pairs] + rng.normal(size=(60, 24)) * 0.2  # a cosine of about 0.98
+    rows = [(i, v_.tolist(), 1) for i, v_ in enumerate(x)]
+    frame, audit = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(8), {}
+    got = {r.vec_id: (r.n_links, r.component_id) for r in v.near_vectors(frame, audit=audit).collect()}
+    y = v.unit(np.float32(x).astype(np.float64))
+    cosine = y @ y.T
+    want = (cosine >= 0.93).sum(axis=1) - 1
+    found = sum(min(got[i][0], int(n)) for i, n in enumerate(want))
+    assert want.sum() >= 110 and found >= 0.93 * want.sum() and all(got[i][0] <= n for i, n in enumerate(want))
+    assert audit["recall"] >= 0.9 and audit["links"] >= 100
+
+
+def test_audit_without_links_is_unmeasured(spark):
+    audit = {}
+    frame = spark.createDataFrame([(1, [1.0, 0.0], 1), (2, [0.0, 1.0], 1)], "vec_id long, embedding array<double>, label int")
+    assert {tuple(r) for r in v.near_vectors(frame, audit=audit).collect()} == {(1, 0, 1, True), (2, 0, 2, True)}
+    assert audit["recall"] is None and audit["links"] == 0
+
+
 def test_low_recall_is_no_result(spark, monkeypatch):
     import pytest
 

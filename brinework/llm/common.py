@@ -7,6 +7,7 @@ import gc
 import tempfile
 import time
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +46,31 @@ def discard(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def written(spark: SparkSession) -> set[str]:
+    """The folders of checkpoints that this application has written so far."""
+    checkpoint_dir(spark)
+    where = spark._jvm.org.apache.hadoop.fs.Path(spark.sparkContext.getCheckpointDir())
+    store = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    return {str(f.getPath()) for f in store.listStatus(where)} if store.exists(where) else set()
+
+
+@contextmanager
+def swept(spark: SparkSession) -> Iterator[None]:
+    """What is checkpointed within goes at the end, when the result has been written elsewhere."""
+    before = written(spark)
+    yield
+    for path in written(spark) - before:
+        discard(spark, path)
+
+
+def passed(*frames: DataFrame) -> None:
+    """Delete the files of frames that ``cut`` gave, which nothing reads any more: what is made of them has been written."""
+    for df in frames:
+        path = getattr(df, "_cut_path", None)
+        if path:
+            discard(df.sparkSession, path)
+
+
 #: Seconds between two sweeps by ``cut``.
 SWEEP_SECONDS = 2.0
 _swept = [0.0]
@@ -52,14 +78,16 @@ _swept = [0.0]
 
 def cut(df: DataFrame, most_rows: int | None = None) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and go on from the files, so that a lost executor costs no rerun
-    of what came before. A bound on the rows, where known, keeps small results in few files.
+    of what came before. A bound on the rows, where known, keeps small results in few files. ``passed`` takes the files away.
 
     Shuffle files of what came before go when the driver collects its garbage, which a job of many small steps would
     else put off until they fill the disks; so it is asked to, now and then."""
-    checkpoint_dir(df.sparkSession)
+    before = written(df.sparkSession)
     if most_rows is not None:
         df = df.coalesce(4 + most_rows // PART_ROWS)
     out = df.checkpoint()
+    new = written(df.sparkSession) - before
+    out._cut_path = new.pop() if len(new) == 1 else None  # of several, made by other threads too, none is known for sure
     if time.monotonic() - _swept[0] > SWEEP_SECONDS:
         gc.collect()
         out.sparkSession._jvm.System.gc()
@@ -243,8 +271,9 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
     before = state(edges)  # stars have no more edges than before, and at most one more for each node
     for _ in range(most_rounds if before[0] else 0):
-        edges = cut(star(star(edges, True, 2 * before[0]), False, before[0]), 2 * before[0])
+        earlier, edges = edges, cut(star(star(edges, True, 2 * before[0]), False, before[0]), 2 * before[0])
         after = state(edges)
+        passed(earlier)
         if after == before:
             break
         before = after

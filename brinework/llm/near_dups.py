@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from brinework.llm.common import KEY_ROWS, LOWER, SPACES, bounded_batches, connected_components, cut, free_name, is_word_table, joined, joined_by_key, mix, pieces, release, word_bounds, word_hashes
+from brinework.llm.common import KEY_ROWS, LOWER, SPACES, bounded_batches, connected_components, cut, free_name, is_word_table, joined, joined_by_key, mix, passed, pieces, release, word_bounds, word_hashes
 
 #: A pair at the threshold of 0.8 shares no band of 6 rows in 44 with probability (1 - 0.8**6)**44 = 1.6e-6; a pair
 #: at 0.4 shares one with probability 0.17.
@@ -189,9 +189,9 @@ def _crossing(percent: int):
     return run
 
 
-def _apart(members: DataFrame, texts: DataFrame, shingle: int, percent: int, n: int) -> DataFrame:
+def _apart(members: DataFrame, texts: DataFrame, shingle: int, percent: int, n: int) -> tuple[DataFrame, list[DataFrame]]:
     """Pairs (a, b) of members of one bucket that are in different components and may be links; of several pairs from
-    one member to one component, one at least if any of them is a link.
+    one member to one component, one at least if any of them is a link. And the frames that were cut for it.
 
     A shingle that no other open document has is shared with none, which bounds what two documents can share and ends
     most members at once. Small buckets then give their pairs. Large ones are compared within tasks: blocks of the
@@ -199,10 +199,12 @@ def _apart(members: DataFrame, texts: DataFrame, shingle: int, percent: int, n:
     ids = members.select("id").distinct()
     sets = cut(texts.join(ids, "id").mapInArrow(_sets(shingle), "id long, shingles array<long>"))
     each = sets.select("id", F.explode("shingles").alias("s"))
-    common = each.groupBy("s").agg(F.count("*").alias("k")).where("k > 1").select("s")
-    shared = each.join(common, "s").groupBy("id").agg(F.count("*").alias("c"))
+    common = cut(each.groupBy("s").agg(F.count("*").alias("_size")).where("_size > 1"))
+    n_shingles = sets.agg(F.coalesce(F.sum(F.size("shingles")), F.lit(0))).first()[0]
+    shared = joined_by_key(each, common, ["s"], "_size", n_shingles).groupBy("id").agg(F.count("*").alias("c"))
     live = members.select("bucket", "id", "n", "component").join(shared, "id").where(f"100 * c >= {percent} * n")
     live = cut(_split(live, n))
+    passed(common)
     fits = F.expr(f"component <> other.component and 100 * least(c, other.c) >= {percent} * (n + other.n - least(c, other.c))")
     few = live.where(f"size <= {FEW}")
     pairs = few.join(few.select("bucket", F.struct("id", "n", "c", "component").alias("other")), "bucket").where("id > other.id").where(fits).select(F.col("id").alias("a"), F.col("other.id").alias("b"))
@@ -211,7 +213,7 @@ def _apart(members: DataFrame, texts: DataFrame, shingle: int, percent: int, n:
     spread = lambda df, own, n_own, other, n_other, role: df.withColumn(own, F.pmod(F.xxhash64("id"), F.col(n_own))).withColumn(other, F.explode(F.expr(f"sequence(0L, {n_other} - 1)"))).select("bucket", "i", "j", F.lit(role).alias("role"), "id", "component")
     blocks = spread(many.where("component <> main"), "i", "ni", "j", "nj", 0).union(spread(many, "j", "nj", "i", "ni", 1))
     found = blocks.join(sets, "id").groupBy("bucket", "i", "j").applyInArrow(_crossing(percent), "a long, b long")
-    return pairs.union(found).distinct()
+    return pairs.union(found).distinct(), [sets, live]
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, seed: int = SEED) -> DataFrame:
@@ -241,12 +243,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = common.withColumn("_size", F.col("size"))
     members = cut(joined_by_key(banded, shared, ["bucket"], "_size", n_rows * bands).distinct())
     n_open = members.count()
+    # only rows without words are asked for again, not all their bands
+    alone = cut(signed.where("n_shingles = 0 or id is null").select("id", "n_shingles", F.col("id").alias("component_id")))
+    passed(signed)
     links = same
     if n_open:
         # each bucket's centre, the member that shares buckets with most others, against its other members
         score = members.groupBy("id").agg(F.sum("size").alias("score"))
         open_ = cut(members.join(score, "id"), n_open)
         texts = cut(_texts_of(base, members.select("id").distinct()))
+        passed(members)
         best = Window.partitionBy("bucket").orderBy(F.desc("score"), "id")
         centres = open_.withColumn("_r", F.row_number().over(best)).where("_r = 1").select("bucket", F.struct("id", "n").alias("centre"), F.col("size").alias("_size"))
         near = F.expr(f"id <> centre.id and 100 * least(n, centre.n) >= {percent} * greatest(n, centre.n)")
@@ -255,10 +261,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         components = cut(connected_components(links))
         left = open_.drop("score", "size").join(centres.select("bucket", F.col("centre.id").alias("id")), ["bucket", "id"], "left_anti").join(components, "id", "left").withColumn("component", F.coalesce("component", "id"))
         left = cut(_split(left, n_open), n_open)
+        passed(open_)
         if not left.isEmpty():
-            more = cut(_confirmed(_apart(left, texts, shingle, percent, n_open), texts, shingle, percent))
-            links = links.union(more)
+            pairs, used = _apart(left, texts, shingle, percent, n_open)
+            more = cut(_confirmed(pairs, texts, shingle, percent))
+            passed(*used)
+            links, earlier = links.union(more), components
             components = cut(connected_components(links))
+            passed(earlier)
+        passed(texts, left)
     else:
         components = connected_components(links)
 
@@ -266,7 +277,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     moved = headed.groupBy("head").agg(F.count("*").alias("_size")).join(components.select(F.col("id").alias("head"), "component"), "head", "left").where(f"component <> head or _size > {KEY_ROWS}")
     named = joined_by_key(headed.select("id", "n_shingles", "head"), moved, ["head"], "_size", n_rows, "left")
     named = named.select("id", "n_shingles", F.coalesce("component", "head").alias("component_id"))
-    alone = signed.where("n_shingles = 0 or id is null").select("id", "n_shingles", F.col("id").alias("component_id"))
     out = named.union(alone)
     return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
 

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brinework.llm import decontaminate, mixing, near_dups, token_files, toxicity
-from brinework.llm.common import discard, free_name, table
+from brinework.llm.common import discard, free_name, swept, table
 from brinework.llm.queries import MIX, mix_domain
 
 #: A model and hashed candidates have no SQL; the stages are tested against brute force.
@@ -53,11 +53,12 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written as Parquet and read again by the next; what a stage read is deleted once
-    the next is written."""
+    the next is written, and what it checkpointed once it is."""
     docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         path = token_files.shared_path(spark, f"stage-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with swept(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
         if before is not None:
             discard(spark, before)
         docs, before = spark.read.parquet(path), path

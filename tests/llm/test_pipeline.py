@@ -99,3 +99,17 @@ def test_empty_table(spark, docs, name):
 def test_all_stages_in_order(spark):
     out = corpus_pipeline.run(spark, DATA).collect()
     assert out and {f for f in out[0].asDict()} == {"doc_id", "start", "n_tokens", "ids_crc32"}
+
+
+def test_checkpoints_go_as_they_are_passed(spark):
+    from brinework.llm import common
+
+    before = common.written(spark)
+    with common.swept(spark):
+        kept = common.cut(spark.range(10))
+        gone = common.cut(spark.range(5))
+        assert len(common.written(spark) - before) == 2
+        common.passed(gone)
+        assert len(common.written(spark) - before) == 1 and kept.count() == 10
+    assert common.written(spark) == before
+    common.passed(spark.range(3), kept)

@@ -55,19 +55,19 @@ def likeness(a: Column, b: Column, percent: int = 0) -> Column:
     return F.when(large == 0, 1.0).when((small == 0) | (100 * small < percent * large), 0.0).otherwise(shared / (F.size(a) + F.size(b) - shared))
 
 
-#: Bytes of text of a place in the order of ids, about, and places at most: their bounds are part of the plan. Above
-#: PLACES * PLACE_BYTES bytes places get larger, and are sorted with spilling.
-PLACE_BYTES, PLACES, FAN = 16_000_000, 4096, 64
+#: Bytes of text and rows of a place in the order of ids, about, whichever is reached first; places at most, as their bounds
+#: are part of the plan. Beyond that places get larger, and are sorted with spilling.
+PLACE_BYTES, PLACE_ROWS, PLACES, FAN = 16_000_000, 1000, 4096, 64
 
 
 def _places(docs: DataFrame, id_col: str, text_col: str) -> list[int]:
     """First ids of the places in descending order of ids, beginning with the greatest."""
     points = F.array(*(F.lit(i / PLACES) for i in range(1, PLACES)))
     key = F.col(id_col).cast("long")
-    size, most, found = docs.agg(F.sum(F.octet_length(text_col)), F.max(key), F.percentile_approx(key, points)).first()
+    rows, size, most, found = docs.agg(F.count("*"), F.sum(F.octet_length(text_col)), F.max(key), F.percentile_approx(key, points)).first()
     if most is None:
         return []
-    n = min(PLACES, ceil((size or 0) / PLACE_BYTES) or 1)
+    n = min(PLACES, max(1, ceil((size or 0) / PLACE_BYTES), ceil(rows / PLACE_ROWS)))
     return sorted({most, *(found[(i * PLACES) // n - 1] for i in range(1, n))}, reverse=True)
 
 

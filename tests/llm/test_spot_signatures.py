@@ -69,6 +69,7 @@ def texts(seed, n, longest=40):
 @pytest.mark.parametrize("place_bytes, fan", [(10**8, 64), (700, 64), (150, 3)])
 def test_query_as_brute_force(spark, tmp_path, monkeypatch, place_bytes, fan):
     monkeypatch.setattr(s, "PLACE_BYTES", place_bytes)
+    monkeypatch.setattr(s, "PLACE_ROWS", place_bytes)
     monkeypatch.setattr(s, "FAN", fan)
     rows = [(7 * i - 50, t) for i, t in enumerate(texts(1, 60))]
     rows += [(1000, None), (1001, ""), (1002, "the of"), (1003, "?!"), (1004, "x"), (1005, "The\nRED, tree; and"), (1006, "the red tree and"), (2**60, "a b"), (None, "red of blue tree"), (None, "of"), (13, "red"), (13, "the blue"), (13, "red")]

@@ -120,24 +120,33 @@ def totals(df: DataFrame, least: int = 50) -> DataFrame:
     return one.where(F.col("samples") >= least).withColumn("percent", F.col("anomalies") * 100.0 / F.col("samples"))
 
 
+#: Columns of the grid that density clustering looks around in, at most.
+GRID = 3
+
+
 def dbscan_noise(df: DataFrame, columns: list[str], eps: float = 0.5, min_samples: int = 5, name: str = "is_noise") -> DataFrame:
     """``df`` with the rows that a density clustering leaves over: those with fewer than ``min_samples`` rows within
     ``eps``, themselves included, and none with that many within ``eps``. The columns have no nulls.
 
     Distinct points lie in cells whose diagonal is ``eps``. Where a cell has enough rows all are dense, and nothing is
-    compared; the few points of other cells are compared with those of the cells around, so no cell's points meet each
-    other. The cells around grow with the columns to the power of their number: at most four are taken."""
+    compared. The few points of other cells are compared with those of the cells around, in a grid of at most ``GRID``
+    columns, those that ``eps`` parts most: what is near is near in any of the columns, and whether it is near is told by
+    all of them."""
     d = len(columns)
-    if d > 4:
-        raise ValueError("density clustering takes at most four columns; choose some, or take components first")
-    side = eps / math.sqrt(d) * (1 - 1e-12)
     p, q = [f"_p{i}" for i in range(d)], [f"_q{i}" for i in range(d)]
     points = df.groupBy(*(F.col(c).cast("double").alias(x) for c, x in zip(columns, p, strict=True))).agg(F.count("*").alias("_w"))
-    points = points.withColumn("_cell", F.array(*(F.floor(F.col(x) / side).cast("long") for x in p)))
-    crowded = points.groupBy("_cell").agg(F.sum("_w").alias("_m"))
-    points = points.join(crowded, "_cell").withColumn("_dense", F.col("_m") >= min_samples)
-    reach = math.ceil(math.sqrt(d))
-    around = [o for o in itertools.product(range(-reach, reach + 1), repeat=d) if sum(max(abs(x) - 1, 0) ** 2 for x in o) < d]
+    spread = points.agg(*(F.coalesce(F.max(x) - F.min(x), F.lit(0.0)).alias(x) for x in p)).first()
+    grid = sorted(p, key=lambda x: (-spread[x], x))[:GRID]
+
+    def cell(of: list[str], side: float):
+        return F.array(*(F.floor(F.col(x) / side).cast("long") for x in of))
+
+    points = points.withColumn("_small", cell(p, eps / math.sqrt(d) * (1 - 1e-12))).withColumn("_cell", cell(grid, eps / math.sqrt(len(grid)) * (1 - 1e-12)))
+    crowded = points.groupBy("_small").agg(F.sum("_w").alias("_m"))
+    points = points.join(crowded, "_small").withColumn("_dense", F.col("_m") >= min_samples)
+    k = len(grid)
+    reach = math.ceil(math.sqrt(k))
+    around = [o for o in itertools.product(range(-reach, reach + 1), repeat=k) if sum(max(abs(x) - 1, 0) ** 2 for x in o) < k]
     offsets = F.array(*(F.array(*(F.lit(x).cast("long") for x in o)) for o in around))
     asked = points.where("not _dense").select(*p, F.col("_cell").alias("_own")).withColumn("_o", F.explode(offsets)).select(*p, F.zip_with("_own", "_o", lambda a, b: a + b).alias("_cell"))
     close = sum(((F.col(a) - F.col(b)) ** 2 for a, b in zip(p, q, strict=True)), F.lit(0.0)) <= eps * eps
@@ -151,6 +160,11 @@ def dbscan_noise(df: DataFrame, columns: list[str], eps: float = 0.5, min_sample
     return df.join(noise, same, "left").withColumn(name, F.coalesce("_noise", F.lit(False))).drop(*p, "_noise")
 
 
+def by_all_methods(df: DataFrame, columns: list[str] | None = None) -> dict[str, DataFrame]:
+    """Outliers by every method, and the consensus: the tables that ``detect`` gives for iqr, zscore, isolation_forest and all."""
+    return {"consensus" if m == "all" else m: detect(df, m, columns) for m in ("iqr", "zscore", "isolation_forest", "all")}
+
+
 def detect(df: DataFrame, method: str = "all", columns: list[str] | None = None) -> DataFrame:
     """Outliers by one entry: (column, ...) of iqr or zscore, (samples, ...) of isolation_forest, or for all the columns
     that both iqr and zscore look at: (column, iqr_outliers, zscore_outliers, agreement), high where the counts differ by

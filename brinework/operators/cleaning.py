@@ -49,6 +49,22 @@ def fill_values(df: DataFrame, values: Mapping[str, object]) -> DataFrame:
     return df.na.fill(dict(values))
 
 
+def _modes(df: DataFrame, columns: Sequence[str]) -> dict[str, object]:
+    """The most common value of each column, the least of several; null for one without values. Values are counted by
+    shuffle, all text columns in one pass, so no task holds all values of a column."""
+    text = [c for c, k in df.dtypes if c in columns and k == "string"]
+    best = lambda v: F.min_by(v, F.struct(-F.col("_n"), F.col(v)))
+    out: dict[str, object] = {}
+    if text:
+        counts = long_form(df, text, "string").where("value is not null").groupBy("column", "value").agg(F.count("*").alias("_n"))
+        out = {c: None for c in text} | {r["column"]: r["v"] for r in counts.groupBy("column").agg(best("value").alias("v")).collect()}
+    for c in columns:
+        if c not in text:
+            counts = df.where(F.col(c).isNotNull()).groupBy(F.col(c).alias("_v")).agg(F.count("*").alias("_n"))
+            out[c] = counts.agg(best("_v")).first()[0]
+    return out
+
+
 def fill(df: DataFrame, numbers: str = "median", others: str = "mode", columns: Sequence[str] | None = None, exact: bool = True) -> DataFrame:
     """Nulls of number columns by their median, mean or mode, of other columns by their mode (least of the most common);
     a column without values by "Unknown" where it is text. Strategy ``live_mode`` fills numbers with the mean."""
@@ -56,12 +72,14 @@ def fill(df: DataFrame, numbers: str = "median", others: str = "mode", columns:
     num = set(numeric(df))
     middle = [c for c in columns if c in num] if numbers == "median" else []
 
+    kinds = dict(df.dtypes)
+    common = _modes(df, [c for c in columns if c not in middle and (others == "mode" if c not in num else numbers == "mode")])
+
     def stat(c):
-        if c not in num:
-            return F.mode(F.col(c), True) if others == "mode" else F.lit(None)
-        return F.mode(F.col(c), True) if numbers == "mode" else F.avg(c)
+        if c in common:
+            return F.lit(common[c]).cast(kinds[c])
+        return F.avg(c) if c in num else F.lit(None)
 
-    kinds = dict(df.dtypes)
     out = _with_stats(df, [stat(c).alias(f"_fill_{i}") for i, c in enumerate(columns) if c not in middle])
     if middle:
         q = quantile_row(df, middle, (0.5,), exact)
@@ -290,7 +308,7 @@ def repair_types(df: DataFrame, date_share: float = 0.8, number_share: float = 0
     for c in names:
         low = F.lower(F.trim(c))
         forms = [F.count_if(F.col(c).rlike(p)).alias(f"d{i}") for i, p in enumerate(DATE_FORMS.values())]
-        stats.append(F.struct(F.count("*").alias("rows"), F.count(c).alias("n"), *forms, F.count_if(low.isin(*TRUE_WORDS, *FALSE_WORDS)).alias("yn"), F.count_if(plain[c].try_cast("double").isNotNull()).alias("num"), F.array_size(F.slice(F.collect_set(F.when(F.length(low) <= 5, low)), 1, 3)).alias("few")).alias(c))
+        stats.append(F.struct(F.count("*").alias("rows"), F.count(c).alias("n"), *forms, F.count_if(low.isin(*TRUE_WORDS, *FALSE_WORDS)).alias("yn"), F.count_if(plain[c].try_cast("double").isNotNull()).alias("num"), F.array_size(F.collect_set(F.when(low.isin(*TRUE_WORDS, *FALSE_WORDS), low))).alias("few")).alias(c))
     found = df.agg(*stats).first()
     new = {}
     for c in names:

@@ -27,9 +27,22 @@ def filter_rows(df: DataFrame, conditions: Sequence[tuple[str, str, object]], lo
     return df.where(p if keep else ~p)
 
 
-def merge(frames: Sequence[DataFrame], on: Sequence[str], how: str = "inner") -> DataFrame:
-    """Datasets joined one after the other by the same keys."""
-    return reduce(lambda a, b: a.join(b, list(on), how), frames)
+def merge(frames: Sequence[DataFrame], on: Sequence[str], how: str = "inner", suffixes: tuple[str, str] = ("_x", "_y")) -> DataFrame:
+    """Datasets joined one after the other by the same keys, of which nulls are equal to each other. Other columns that both
+    sides have get ``suffixes``."""
+    on = list(on)
+
+    def two(a: DataFrame, b: DataFrame) -> DataFrame:
+        both = [c for c in a.columns if c in b.columns and c not in on]
+        semi = how.replace("_", "").lower() in ("semi", "leftsemi", "anti", "leftanti")
+        key = {c: f"_key_{i}" for i, c in enumerate(on)}
+        right = b.select(*(F.col(c).alias(key[c]) for c in on), *([] if semi else [F.col(c).alias(c + suffixes[1] if c in both else c) for c in b.columns if c not in on]))
+        left = a if semi else a.withColumnsRenamed({c: c + suffixes[0] for c in both})
+        out = left.join(right, [F.col(c).eqNullSafe(F.col(k)) for c, k in key.items()], how)
+        # of an outer join's two keys one may be missing
+        return out if semi else out.select(*(F.coalesce(c, key[c]).alias(c) for c in on), *(c for c in out.columns if c not in on and c not in key.values()))
+
+    return reduce(two, frames)
 
 
 def rename(df: DataFrame, names: Mapping[str, str]) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,23 +15,30 @@ FORMATS = ("csv", "json", "jsonl", "parquet", "orc")
 
 def read(spark: SparkSession, path: str, kind: str | None = None, schema: str | None = None, encoding: str | None = None) -> DataFrame:
     """A table from CSV with a header, JSON records, JSON lines, Parquet or ORC; NaN is read as null. Without an
-    ``encoding`` CSV is UTF-8, or Latin-1 where some file is not valid UTF-8."""
+    ``encoding`` each CSV file is UTF-8, or Latin-1 where it is not valid UTF-8."""
     kind = kind or path.rstrip("/").rsplit(".", 1)[-1].lower()
     if kind not in FORMATS:
         raise ValueError(f"format must be one of {', '.join(FORMATS)}")
     reader = spark.read.schema(schema) if schema else spark.read
     if kind == "csv":
-        reader = reader.option("header", True).option("encoding", encoding or csv_encoding(spark, path))
-        return nan_to_null((reader if schema else reader.option("inferSchema", True)).csv(path))
+        reader = reader.option("header", True)
+        reader = reader if schema else reader.option("inferSchema", True)
+        groups = {encoding: [path]} if encoding else csv_encodings(spark, path)
+        return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), (nan_to_null(reader.option("encoding", kind).csv(files)) for kind, files in groups.items()))
     if kind in ("json", "jsonl"):
         return nan_to_null(reader.option("multiLine", kind == "json").json(path))
     return nan_to_null(reader.format(kind).load(path))
 
 
-def csv_encoding(spark: SparkSession, path: str) -> str:
-    """UTF-8 where every line of the files decodes as such, else Latin-1, which any bytes do."""
-    bad = spark.read.text(path).where(~F.is_valid_utf8("value"))
-    return "UTF-8" if bad.isEmpty() else "ISO-8859-1"
+def csv_encodings(spark: SparkSession, path: str) -> dict[str, list[str]]:
+    """The files of ``path`` by encoding: UTF-8 where every line decodes as such, else Latin-1, which any bytes do. Where all
+    files are of one kind, the path stands for them."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.is_valid_utf8("value").alias("ok"))
+    odd = [unquote(r["file"]) for r in lines.where("not ok").select("file").distinct().collect()]
+    if not odd:
+        return {"UTF-8": [path]}
+    plain = [unquote(r["file"]) for r in lines.groupBy("file").agg(F.bool_and("ok").alias("ok")).where("ok").collect()]
+    return ({"UTF-8": plain} if plain else {}) | {"ISO-8859-1": odd}
 
 
 def write(df: DataFrame, path: str, kind: str = "parquet", mode: str = "error", compression: str | None = None, by: list[str] | None = None) -> None:

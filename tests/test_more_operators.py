@@ -3,11 +3,13 @@ import math
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from brinework.functions import scalars
-from brinework.operators import anomaly, charts, cleaning, hypothesis_tests, insights, kpi, models, profile, quality, ranks, recipes, timeseries
+from brinework.operators import anomaly, charts, cleaning, hypothesis_tests, insights, kpi, models, profile, quality, ranks, recipes, relational, timeseries
+from brinework.sources import files
 from brinework.sources.star import Star
 
 
@@ -81,8 +83,45 @@ def test_density_noise(spark):
         want = ~core & ~(near & core[None]).any(axis=1)
         got = {(r.i, r.is_noise) for r in anomaly.dbscan_noise(df, ["a", "b", "c"][:cols], eps, least).collect()}
         assert got == {(p[0], bool(w)) for p, w in zip(points, want, strict=True)}
-    with pytest.raises(ValueError):
-        anomaly.dbscan_noise(df, list("abcab"))
+
+
+def test_density_noise_in_many_columns(spark):
+    rng = np.random.default_rng(5)
+    x = np.vstack([rng.choice([0.0, 2.0], size=(4, 6))[rng.integers(0, 4, 150)] + rng.normal(size=(150, 6)) * 0.12, rng.uniform(-1, 3, size=(30, 6)), np.zeros((4, 6))])
+    df = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(x)], "i long, a double, b double, c double, d double, e double, f double")
+    near = ((x[:, None] - x[None]) ** 2).sum(axis=2) <= 0.5**2
+    core = near.sum(axis=1) >= 5
+    want = ~core & ~(near & core[None]).any(axis=1)
+    got = {r.i: r.is_noise for r in anomaly.dbscan_noise(df, list("abcdef"), 0.5, 5).collect()}
+    assert 0 < want.sum() < 100 and all(got[i] == bool(w) for i, w in enumerate(want))
+
+
+def test_outliers_by_all_methods(spark):
+    df = spark.range(200).selectExpr("cast(id as double) as a", "cast(if(id = 7, 9000, id % 5) as double) as b")
+    found = anomaly.by_all_methods(df)
+    assert sorted(found) == ["consensus", "iqr", "isolation_forest", "zscore"]
+    assert found["isolation_forest"].first().samples == 200 and found["consensus"].count() == 2
+
+
+def test_merge_meets_null_keys_as_pandas_does(spark):
+    a = [(1, None, 1.0), (2, "x", 2.0), (None, None, 3.0), (5, "z", 4.0)]
+    b = [(1, None, 10.0), (2, "y", 20.0), (None, None, 30.0), (6, "w", 40.0)]
+    frames = [spark.createDataFrame(rows, f"k int, t string, v double, {n} int".replace(f", {n} int", "")) for n, rows in (("p", a), ("q", b))]
+    for how in ("inner", "left", "right", "outer"):
+        got = relational.merge(frames, ["k", "t"], how)
+        want = pd.DataFrame(a, columns=["k", "t", "v"]).merge(pd.DataFrame(b, columns=["k", "t", "v"]), on=["k", "t"], how=how)
+        assert got.columns == list(want.columns)
+        plain = lambda rows: sorted([tuple(None if x is None or x != x else x for x in r) for r in rows], key=str)
+        assert plain(got.collect()) == plain(want.itertuples(index=False, name=None))
+    assert relational.merge(frames, ["k", "t"], "left_anti").count() == 2 and relational.merge([*frames, frames[0].withColumnRenamed("v", "z")], ["k", "t"]).columns == ["k", "t", "v_x", "v_y", "z"]
+
+
+def test_csv_files_of_two_encodings(spark, tmp_path):
+    (tmp_path / "a b.csv").write_bytes("n,t\n1,café\n".encode())
+    (tmp_path / "c.csv").write_bytes("n,t\n2,caf\xe9\n".encode("latin-1"))
+    got = files.read(spark, str(tmp_path), "csv")
+    assert {tuple(r) for r in got.collect()} == {(1, "café"), (2, "café")} and dict(got.dtypes)["n"] == "int"
+    assert files.read(spark, str(tmp_path / "c.csv")).first().t == "café" and files.read(spark, str(tmp_path / "a b.csv")).first().t == "café"
 
 
 def test_shapiro_wilk_against_published_values(spark):

@@ -36,6 +36,34 @@ def digest(df, by, **sums):
     return df.groupBy(*by).agg(F.count("*").alias("n"), *(F.round(F.sum(c), 4).alias(k) for k, c in sums.items()))
 
 
+@query("""
+WITH c AS (SELECT c_custkey, c_acctbal / 1000 AS a, c_nationkey / 1.0 AS b, (c_custkey % 7) / 2.0 AS c, (c_custkey % 5) / 2.0 AS d, (c_custkey % 3) / 2.0 AS e FROM customer),
+n AS (
+  SELECT x.c_custkey, count(*) >= 4 AS core FROM c x JOIN c y ON abs(x.a - y.a) <= 0.8
+    AND (x.a - y.a) ** 2 + (x.b - y.b) ** 2 + (x.c - y.c) ** 2 + (x.d - y.d) ** 2 + (x.e - y.e) ** 2 <= 0.8 * 0.8 GROUP BY x.c_custkey),
+r AS (
+  SELECT DISTINCT x.c_custkey FROM c x JOIN c y ON abs(x.a - y.a) <= 0.8 JOIN n ON n.c_custkey = y.c_custkey AND n.core
+    WHERE (x.a - y.a) ** 2 + (x.b - y.b) ** 2 + (x.c - y.c) ** 2 + (x.d - y.d) ** 2 + (x.e - y.e) ** 2 <= 0.8 * 0.8)
+SELECT c.c_custkey, r.c_custkey IS NULL AS odd FROM c LEFT JOIN r ON r.c_custkey = c.c_custkey
+""")
+def dbscan_five_columns(spark, d):
+    k = F.col("c_custkey")
+    x = t(spark, d, "customer").select("c_custkey", (F.col("c_acctbal") / 1000).alias("a"), (F.col("c_nationkey") / 1.0).alias("b"), (k % 7 / 2.0).alias("c"), (k % 5 / 2.0).alias("d"), (k % 3 / 2.0).alias("e"))
+    return anomaly.dbscan_noise(x, list("abcde"), 0.8, 4, "odd").select("c_custkey", "odd")
+
+
+@query("""
+WITH a AS (SELECT CASE WHEN c_nationkey % 4 <> 0 THEN c_nationkey END AS k, CASE WHEN c_custkey % 3 <> 0 THEN c_mktsegment END AS s, count(*) AS n FROM customer GROUP BY 1, 2),
+b AS (SELECT CASE WHEN c_nationkey % 6 <> 0 THEN c_nationkey END AS k, CASE WHEN c_custkey % 2 <> 0 THEN c_mktsegment END AS s, count(*) AS n FROM customer GROUP BY 1, 2)
+SELECT coalesce(a.k, b.k) AS k, coalesce(a.s, b.s) AS s, a.n AS n_x, b.n AS n_y FROM a FULL JOIN b ON a.k IS NOT DISTINCT FROM b.k AND a.s IS NOT DISTINCT FROM b.s
+""")
+def merge_null_keys(spark, d):
+    """An outer merge by keys that hold nulls, which meet as other values do."""
+    c = t(spark, d, "customer")
+    side = lambda i, j: c.groupBy(F.when(F.col("c_nationkey") % i != 0, F.col("c_nationkey")).alias("k"), F.when(F.col("c_custkey") % j != 0, F.col("c_mktsegment")).alias("s")).agg(F.count("*").alias("n"))
+    return relational.merge([side(4, 3), side(6, 2)], ["k", "s"], "outer")
+
+
 @query(f"SELECT flag, count(*) AS n, round(sum(coalesce(qty, m)), 4) AS qty FROM (SELECT coalesce(flag, f) AS flag, qty, m FROM {KEYED}, (SELECT quantile_cont(qty, 0.5) AS m FROM {KEYED}), (SELECT arg_min(flag, (-n, flag)) AS f FROM (SELECT flag, count(*) AS n FROM {KEYED} WHERE flag IS NOT NULL GROUP BY 1))) GROUP BY 1")
 def fill_median_mode(spark, d):
     return digest(cleaning.fill(keyed(spark, d)), ["flag"], qty="qty")
@@ -256,8 +284,7 @@ def clean_live(spark, d):
 SELECT "flag_N", "flag_R", "status_O", count(*) AS n, {", ".join(f"round(sum(({c} - {c}_m) / {c}_s), 3) + 0.0 AS {c}" for c in _NUM)} FROM (SELECT v.* EXCLUDE (flag, status), s.*, coalesce(flag = 'N', false) AS "flag_N", coalesce(flag = 'R', false) AS "flag_R", status = 'O' AS "status_O" FROM v, s) GROUP BY ALL""")
 def clean_scaled_encoded(spark, d):
     """The steps of the model preset with strategies that SQL can say."""
-    built = recipes.Builder().remove_duplicates().handle_missing("median").scale_features("standard").encode_categorical("onehot").build()
-    out = recipes.clean(li(spark, d), config=built, outlier_detection=False, optimize_dtypes=False)
+    out = (recipes.distinct() + recipes.filled() + recipes.scaled("standard") + recipes.encoded("onehot"))(li(spark, d))
     return out.groupBy("flag_N", "flag_R", "status_O").agg(F.count("*").alias("n"), *((F.round(F.sum(c), 3) + 0.0).alias(c) for c in _NUM))
 
 

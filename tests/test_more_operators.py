@@ -160,16 +160,18 @@ def test_kmeans_scores(spark):
 
 
 def test_configurations(tmp_path):
-    c = recipes.merged(recipes.Config(preset="aggressive", knn_neighbors=9))
-    assert (c.missing_strategy, c.knn_neighbors, c.outlier_treatment, c.category_threshold, c.mice_max_iter) == ("knn", 9, "remove", 0.3, 10)
+    c = recipes.options(preset="aggressive", knn_neighbors=9)
+    assert tuple(c[k] for k in ("missing_strategy", "knn_neighbors", "outlier_treatment", "category_threshold", "mice_max_iter")) == ("knn", 9, "remove", 0.3, 10)
     for name in ("c.json", "c.yaml"):
-        recipes.save_config(recipes.Config(preset="minimal", outlier_threshold=3.0), str(tmp_path / name))
-        got = recipes.merged(recipes.Config(missing_strategy="mean"), str(tmp_path / name))
-        assert (got.missing_strategy, got.outlier_threshold, got.outlier_detection) == ("mean", 3.0, False)
-    assert recipes.conflicts(recipes.Config(missing_strategy="drop", outlier_treatment="impute"))["warnings"]
-    assert not recipes.conflicts(recipes.Config(plugins=["nothing"]))["valid"]
+        recipes.save_options(str(tmp_path / name), preset="minimal", outlier_threshold=3.0)
+        got = recipes.options(str(tmp_path / name), missing_strategy="mean")
+        assert (got["missing_strategy"], got["outlier_threshold"], got["outlier_detection"]) == ("mean", 3.0, False)
+    assert recipes.conflicts({"missing_strategy": "drop", "outlier_treatment": "impute"})["warnings"]
+    assert not recipes.conflicts({"plugins": ["nothing"]})["valid"]
     with pytest.raises(ValueError):
-        recipes.merged(recipes.Config(preset="nothing"))
+        recipes.options(preset="nothing")
+    with pytest.raises(ValueError, match="no option"):
+        recipes.options(missing_stratagem="mean")
     assert set(recipes.presets()) >= {"minimal", "standard", "aggressive", "ml_ready", "production"}
 
 
@@ -195,6 +197,20 @@ def test_runs_with_plugins_and_hooks(spark):
     assert recipes.clean(df.limit(0), "standard").count() == 0
 
 
+def test_steps_make_a_recipe_and_give_way(spark):
+    df = spark.createDataFrame([(1, None, "a"), (1, None, "a"), (2, 4.0, "b"), (3, 6.0, None)], "k long, v double, s string")
+    made = recipes.distinct() + recipes.filled("mean", {"s": "mode"}) + recipes.without(["k"])
+    assert [name for name, _, _ in made.steps] == ["duplicates", "missing", "columns"]
+    assert sorted(map(tuple, made(df).collect()), key=str) == [(4.0, "b"), (5.0, "a"), (6.0, "a")]
+    # a strategy that can't be planned gives way to median and mode
+    seen, hooks = [], recipes.Hooks()
+    hooks.subscribe(recipes.Event.RECOVERED, seen.append)
+    out = recipes.followed(df, recipes.distinct() + recipes.filled("nothing"), hooks, continue_on_error=True)
+    assert {r.v for r in out.collect()} == {4.0, 5.0, 6.0} and seen[0]["step"] == "missing"
+    with pytest.raises(ValueError):
+        recipes.followed(df, recipes.filled("nothing"), hooks)
+
+
 def test_strategies_in_order(spark):
     df = spark.createDataFrame([(1, None, 1.0, "a"), (2, 4.0, None, "b"), (3, 6.0, 3.0, None), (4, 8.0, None, "a")], "k long, a double, b double, s string")
     got = cleaning.fill_by_strategy(df, "median", {"s": "drop", "b": "forward"}, order=["k"]).orderBy("k").collect()

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from statistics import NormalDist
+
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from brinework.functions.columns import categorical, long_form, numeric
 from brinework.operators.profile import pearson, top_values, value_counts
-from brinework.operators.ranks import exact_quantiles, quantile_row, quantile_table
+from brinework.operators.ranges import RANGE_ROWS, dealt
+from brinework.operators.ranks import exact_quantiles, quantile_row, quantile_table, quantile_values
 
 AGGREGATES = {
     "sum": F.sum, "avg": F.avg, "count": F.count, "min": F.min, "max": F.max, "median": lambda c: F.percentile(c, F.lit(0.5)),
@@ -204,3 +208,60 @@ def grid_counts(df: DataFrame, x: str, y: str, cells: int = 20) -> DataFrame:
     ends = rows.agg(F.min("_x").alias("_lx"), F.max("_x").alias("_hx"), F.min("_y").alias("_ly"), F.max("_y").alias("_hy"))
     step = lambda v, lo, hi: F.when(F.col(hi) > F.col(lo), F.least(F.floor((F.col(v) - F.col(lo)) / (F.col(hi) - F.col(lo)) * cells), F.lit(cells - 1))).otherwise(0).cast("int")
     return rows.join(F.broadcast(ends)).groupBy(step("_x", "_lx", "_hx").alias("i"), step("_y", "_ly", "_hy").alias("j")).agg(F.count("*").alias("n"))
+
+
+def hexagons(df: DataFrame, x: str, y: str, cells: int = 20, value: str | None = None) -> DataFrame:
+    """(x, y, n, mean): rows by hexagons, ``cells`` of them along x, each by its centre, with the mean of ``value`` if there
+    is one. A hexagon's centre is on one of two lattices of rectangles; a row belongs to the nearer of its two candidates.
+    Rows with a null in x or y are left out; a column that doesn't vary is one row of hexagons."""
+    down = max(1, int(cells / 3**0.5))
+    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"), (F.col(value).cast("double") if value else F.lit(None).cast("double")).alias("_v"))
+    ends = rows.agg(*(f(c).alias(f"{k}{c}") for c in ("_x", "_y") for k, f in (("lo", F.min), ("hi", F.max))))
+
+    def place(c: str, n: int):
+        width = F.col(f"hi{c}") - F.col(f"lo{c}")
+        return F.when(width > 0, (F.col(c) - F.col(f"lo{c}")) / width * n).otherwise(0.0)
+
+    at = rows.join(F.broadcast(ends)).withColumns({"_a": place("_x", cells), "_b": place("_y", down)})
+    a, b = F.col("_a"), F.col("_b")
+    a1, b1, a2, b2 = F.floor(a + 0.5), F.floor(b + 0.5), F.floor(a) + 0.5, F.floor(b) + 0.5
+    first = (a - a1) * (a - a1) + 3 * (b - b1) * (b - b1) < (a - a2) * (a - a2) + 3 * (b - b2) * (b - b2)
+    centre = lambda c, p, q, n: F.col(f"lo{c}") + F.when(first, p).otherwise(q) * (F.col(f"hi{c}") - F.col(f"lo{c}")) / n
+    got = at.groupBy(centre("_x", a1, a2, cells).alias("x"), centre("_y", b1, b2, down).alias("y")).agg(F.count("*").alias("n"), F.avg("_v").alias("mean"))
+    return got if value else got.drop("mean")
+
+
+def normal_quantiles(df: DataFrame, column: str, points: int = 100) -> DataFrame:
+    """(i, expected, value): exact quantiles of a column at the middles of ``points`` equal shares, each with that of the
+    normal distribution of the same mean and deviation. No row for under two values."""
+    shares = [(i + 0.5) / points for i in range(points)]
+    (n, values), stats = quantile_values(df, [column], shares)[0], df.agg(F.avg(column).cast("double"), F.stddev_samp(column)).first()
+    normal = NormalDist()
+    rows = [(i, stats[0] + stats[1] * normal.inv_cdf(p), v) for i, (p, v) in enumerate(zip(shares, values, strict=True))] if n > 1 else []
+    return df.sparkSession.createDataFrame(rows, "i int, expected double, value double")
+
+
+def flows(df: DataFrame, by: str, order: Sequence[str], state: str, levels: int = 5, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """(level, source, target, n): how often a journey of ``by`` goes from one ``state`` to the next, at its first step, its
+    second and so on; later steps than ``levels`` count in the last level. Rows that tie in ``order`` come by state. Rows
+    without ``by`` belong to no journey; a null state is a state.
+
+    Journeys lie in ranges of one order of all rows, so that a very long one fills no task: each range passes its last
+    journey's last state and length on to the next."""
+    rows = df.where(F.col(by).isNotNull()).select(F.col(by).alias("_by"), F.struct(*order).alias("_at"), F.col(state).alias("_s"))
+    ranged, part, n = dealt(rows, ["_by", "_at", "_s"], range_rows)
+    within = Window.partitionBy(part, "_by").orderBy("_at", "_s")
+    steps = ranged.select(part, "_by", "_s", F.row_number().over(within).alias("_i"), F.lag(F.struct("_s")).over(within).alias("_from"))
+    place, source = F.col("_i"), F.col("_from")
+    if n > 1:
+        keys = ranged.groupBy(part, "_by").agg(F.count("*").alias("_n"), F.max_by(F.struct("_s"), F.struct("_at", "_s")).alias("_last"))
+        edges = keys.groupBy(part).agg(F.max("_by").alias("_key"), F.max_by("_n", "_by").alias("_n"), F.max_by("_last", "_by").alias("_last"))
+        edges = edges.withColumn("_n", F.sum("_n").over(Window.partitionBy("_key").orderBy(part)))
+        before = Window.partitionBy(F.lit(0)).orderBy(part)  # a row for each range
+        passed = edges.select(F.col(part).alias("_r"), *(F.lag(c).over(before).alias(c) for c in ("_key", "_n", "_last")))
+        steps = steps.join(F.broadcast(passed), F.col(part) == F.col("_r"))
+        goes_on = F.col("_by") == F.col("_key")
+        place = F.col("_i") + F.when(goes_on, F.col("_n")).otherwise(0)
+        source = F.when(goes_on & (F.col("_i") == 1), F.col("_last")).otherwise(F.col("_from"))
+    moves = steps.select(F.least(place - 1, F.lit(levels)).cast("int").alias("level"), source.alias("_from"), F.col("_s").alias("target")).where("_from is not null")
+    return moves.groupBy("level", F.col("_from._s").alias("source"), "target").agg(F.count("*").alias("n"))

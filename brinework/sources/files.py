@@ -41,6 +41,34 @@ def csv_encodings(spark: SparkSession, path: str) -> dict[str, list[str]]:
     return ({"UTF-8": plain} if plain else {}) | {"ISO-8859-1": odd}
 
 
+def read_json_columns(spark: SparkSession, path: str, index: str | None = None) -> DataFrame:
+    """A table from JSON files of the form {column: {row: value}}; see ``json_columns``."""
+    return json_columns(spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text")), index)
+
+
+def json_columns(texts: DataFrame, index: str | None = None) -> DataFrame:
+    """A table from (file, text) of the form {column: {row: value}}, one for each file; with ``index`` the row labels are a
+    column of that name. A column has the type that holds its values of all files: whole numbers, doubles, booleans or
+    texts, and text for anything else, as for values of different types. What a row lacks is null. A text is one value, so
+    a large table is one of many files; their rows are put together by (file, row) and not file by file."""
+    spark, n = texts.sparkSession, "brinework_json_columns"
+    texts.select("file", F.parse_json("text").alias("v")).createOrReplaceTempView(n)
+    cells = spark.sql(f"SELECT file, r.key AS label, c.key AS name, r.value AS value FROM {n}, LATERAL variant_explode(v) AS c, LATERAL variant_explode(c.value) AS r")
+    found = {r["name"]: r["kind"] for r in cells.groupBy("name").agg(F.schema_of_variant_agg("value").alias("kind")).collect()}
+    rows = cells.groupBy("file", "label").pivot("name", sorted(found)).agg(F.first("value"))
+
+    def typed(c: str, kind: str):
+        v = F.col("`" + c.replace("`", "``") + "`")
+        if kind.startswith("DECIMAL") or kind == "DOUBLE":
+            return F.variant_get(v, "$", "double").alias(c)
+        if kind in ("BIGINT", "BOOLEAN", "STRING"):
+            return F.variant_get(v, "$", kind.lower()).alias(c)
+        plain = F.schema_of_variant(v).isin("STRING", "VOID")
+        return F.when(plain, F.try_variant_get(v, "$", "string")).otherwise(F.to_json(v)).alias(c)
+
+    return rows.select(*([F.col("label").alias(index)] if index else []), *(typed(c, k) for c, k in found.items()))
+
+
 def write(df: DataFrame, path: str, kind: str = "parquet", mode: str = "error", compression: str | None = None, by: list[str] | None = None) -> None:
     writer = df.write.mode(mode)
     if compression:

@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from brinework.plans import kpi_queries, prep_queries, profile_queries, registry, source_queries  # noqa: F401
+from brinework.plans import kpi_queries, prep_queries, profile_queries, registry, shape_queries, source_queries  # noqa: F401
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

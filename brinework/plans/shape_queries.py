@@ -6,7 +6,7 @@ from statistics import NormalDist
 
 from pyspark.sql import functions as F
 
-from brinework.operators import charts, neighbours
+from brinework.operators import charts, neighbours, predict
 from brinework.plans.registry import query
 from brinework.sources import files
 
@@ -74,3 +74,38 @@ def json_column_orders(spark, d):
     column = lambda c: F.map_from_entries(F.collect_list(F.struct(F.col("o_orderkey").cast("string"), F.col(c)))).alias(c)
     texts = o.groupBy(F.floor(F.col("o_orderkey") / 2000).alias("file")).agg(F.to_json(F.struct(*map(column, o.columns))).alias("text"))
     return files.json_columns(texts)
+
+
+_LINE = """
+WITH train AS (SELECT regr_slope(l_extendedprice, l_quantity) AS slope, regr_intercept(l_extendedprice, l_quantity) AS intercept FROM lineitem WHERE l_orderkey % 5 <> 0),
+s AS (SELECT slope, intercept, l_extendedprice AS y, intercept + slope * l_quantity AS p FROM lineitem, train WHERE l_orderkey % 5 = 0)
+SELECT round(any_value(slope), 5) AS slope, round(any_value(intercept), 4) AS intercept, count(*) AS n, round(avg(abs(y - p)), 4) AS mae,
+  round(sqrt(avg((y - p) * (y - p))), 4) AS rmse, round(1 - sum((y - p) * (y - p)) / (var_pop(y) * count(*)), 6) AS r2 FROM s
+"""
+
+
+@query(_LINE)
+def price_prediction(spark, d):
+    x = t(spark, d, "lineitem")
+    line = predict.fit(x.where("l_orderkey % 5 <> 0"), "l_extendedprice", ["l_quantity"])
+    got = predict.measures(line.predict(x.where("l_orderkey % 5 = 0")), "l_extendedprice")
+    own = {"slope": F.round(F.lit(line.known["l_quantity"]), 5), "intercept": F.round(F.lit(line.known[""]), 4)}
+    return got.withColumns({**own, "r2": F.round("r2", 6), **{c: F.round(c, 4) for c in ("mae", "rmse")}})
+
+
+@query("""
+WITH t AS (SELECT l_extendedprice AS y, l_quantity AS a, l_discount AS b FROM lineitem WHERE l_orderkey % 5 <> 0),
+m AS (SELECT var_pop(a) AS aa, var_pop(b) AS bb, covar_pop(a, b) AS ab, covar_pop(a, y) AS ay, covar_pop(b, y) AS byy, avg(y) AS my, avg(a) AS ma, avg(b) AS mb FROM t),
+c AS (SELECT (ay * bb - byy * ab) / (aa * bb - ab * ab) AS ca, (byy * aa - ay * ab) / (aa * bb - ab * ab) AS cb, my, ma, mb FROM m),
+s AS (SELECT l_extendedprice AS y, l_quantity AS a, l_discount AS b, coalesce(lead(l_quantity) OVER w, first_value(l_quantity) OVER w) AS na, coalesce(lead(l_discount) OVER w, first_value(l_discount) OVER w) AS nb
+  FROM lineitem WHERE l_orderkey % 5 = 0 WINDOW w AS (PARTITION BY l_orderkey % 64 ORDER BY l_orderkey, l_linenumber, l_quantity, l_discount, l_extendedprice)),
+e AS (SELECT s.*, c.*, y - (my + ca * (a - ma) + cb * (b - mb)) AS e0, y - (my + ca * (na - ma) + cb * (b - mb)) AS ea, y - (my + ca * (a - ma) + cb * (nb - mb)) AS eb FROM s, c),
+r AS (SELECT avg(ea * ea) - avg(e0 * e0) AS a, avg(eb * eb) - avg(e0 * e0) AS b FROM e),
+u AS (SELECT 'l_quantity' AS feature, a AS v, greatest(a, 0) / (greatest(a, 0) + greatest(b, 0)) AS share FROM r UNION ALL SELECT 'l_discount', b, greatest(b, 0) / (greatest(a, 0) + greatest(b, 0)) FROM r)
+SELECT feature, round(v, 1) AS importance, round(share, 5) AS share, CAST(row_number() OVER (ORDER BY v DESC, feature) AS INT) AS rank FROM u
+""")
+def price_importance(spark, d):
+    x = t(spark, d, "lineitem")
+    line = predict.fit(x.where("l_orderkey % 5 <> 0"), "l_extendedprice", ["l_quantity", "l_discount"])
+    got = predict.permutation_importance(line, x.where("l_orderkey % 5 = 0"), block=F.col("l_orderkey") % 64, order=[F.col("l_orderkey"), F.col("l_linenumber")])
+    return got.select("feature", F.round("importance", 1).alias("importance"), F.round("share", 5).alias("share"), "rank")

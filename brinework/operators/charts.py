@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from math import ceil, floor
 from statistics import NormalDist
 
 import numpy as np
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from brinework.functions.columns import categorical, long_form, numeric
 from brinework.operators.profile import pearson, top_values, value_counts
 from brinework.operators.ranges import RANGE_ROWS, dealt
-from brinework.operators.ranks import exact_quantiles, quantile_row, quantile_table, quantile_values
+from brinework.operators.ranks import exact_quantiles, quantile_row, quantile_table, running, sizes_of
 
 AGGREGATES = {
     "sum": F.sum, "avg": F.avg, "count": F.count, "min": F.min, "max": F.max, "median": lambda c: F.percentile(c, F.lit(0.5)),
@@ -234,10 +235,17 @@ def hexagons(df: DataFrame, x: str, y: str, cells: int = 20, value: str | None =
 def normal_quantiles(df: DataFrame, column: str, points: int = 100) -> DataFrame:
     """(i, expected, value): exact quantiles of a column at the middles of ``points`` equal shares, each with that of the
     normal distribution of the same mean and deviation. No row for under two values."""
-    shares = [(i + 0.5) / points for i in range(points)]
-    (n, values), stats = quantile_values(df, [column], shares)[0], df.agg(F.avg(column).cast("double"), F.stddev_samp(column)).first()
-    normal = NormalDist()
-    rows = [(i, stats[0] + stats[1] * normal.inv_cdf(p), v) for i, (p, v) in enumerate(zip(shares, values, strict=True))] if n > 1 else []
+    stats = df.agg(F.count(column), F.avg(column).cast("double"), F.stddev_samp(column)).first()
+    shares, n, normal = [(i + 0.5) / points for i in range(points)], stats[0], NormalDist()
+    if n < 2:
+        return df.sparkSession.createDataFrame([], "i int, expected double, value double")
+    places = [p * (n - 1) for p in shares]
+    wanted = F.lit(sorted({f(p) for p in places for f in (floor, ceil)}))
+    x = df.select(F.col(column).cast("double").alias("_v"))
+    here = F.filter(wanted, lambda k: (k >= F.col("before")) & (k < F.col("before") + F.col("n")))
+    at = {r["k"]: r["_v"] for r in running(sizes_of(x, "_v"), "_v").select("_v", F.explode(here).alias("k")).collect()}  # two for each point
+    value = [at[floor(p)] + (at[ceil(p)] - at[floor(p)]) * (p - floor(p)) for p in places]
+    rows = [(i, stats[1] + stats[2] * normal.inv_cdf(p), v) for i, (p, v) in enumerate(zip(shares, value, strict=True))]
     return df.sparkSession.createDataFrame(rows, "i int, expected double, value double")
 
 

@@ -51,9 +51,8 @@ def json_columns(texts: DataFrame, index: str | None = None) -> DataFrame:
     column of that name. A column has the type that holds its values of all files: whole numbers, doubles, booleans or
     texts, and text for anything else, as for values of different types. What a row lacks is null. A text is one value, so
     a large table is one of many files; their rows are put together by (file, row) and not file by file."""
-    spark, n = texts.sparkSession, "brinework_json_columns"
-    texts.select("file", F.parse_json("text").alias("v")).createOrReplaceTempView(n)
-    cells = spark.sql(f"SELECT file, r.key AS label, c.key AS name, r.value AS value FROM {n}, LATERAL variant_explode(v) AS c, LATERAL variant_explode(c.value) AS r")
+    parsed = texts.select("file", F.parse_json("text").alias("v"))
+    cells = texts.sparkSession.sql("SELECT file, r.key AS label, c.key AS name, r.value AS value FROM {parsed}, LATERAL variant_explode(v) AS c, LATERAL variant_explode(c.value) AS r", parsed=parsed)
     found = {r["name"]: r["kind"] for r in cells.groupBy("name").agg(F.schema_of_variant_agg("value").alias("kind")).collect()}
     rows = cells.groupBy("file", "label").pivot("name", sorted(found)).agg(F.first("value"))
 

@@ -91,10 +91,11 @@ def points_of(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return rows.groupBy(F.array(*x).alias("at")).agg(F.count("*").alias("w"))
 
 
-def nearest(points: DataFrame, k: int, dims: int) -> DataFrame:
+def nearest(points: DataFrame, k: int, dims: int, widest: bool = False) -> DataFrame:
     """(at, w, other, other_w, distance, k_distance): for each of the ``points`` (at, w) the others that are among its ``k``
     nearest rows, all of one distance together, so that ties lose nothing. A point of several rows has its own copies
-    first, as ``other`` = ``at`` with one row less. With ``k`` rows or fewer, all others are near."""
+    first, as ``other`` = ``at`` with one row less. With ``k`` rows or fewer, all others are near. Distances are straight lines, or with
+    ``widest`` the greatest of the columns' differences."""
     n, total = points.agg(F.count("*"), F.sum("w")).first()
     k = min(k, (total or 1) - 1)
     cells = min(CELLS, ceil(n / CELL_POINTS))
@@ -114,7 +115,7 @@ def nearest(points: DataFrame, k: int, dims: int) -> DataFrame:
         known = shared.value.few
         for a in range(0, len(x), 256):
             part = slice(a, a + 256)
-            d = _distances(x[part], x)
+            d = _distances(x[part], x, widest)
             order = np.argsort(d, axis=1, kind="stable")
             till = np.cumsum(w[order], axis=1) - 1  # but for the row itself
             enough = till >= k
@@ -122,7 +123,7 @@ def nearest(points: DataFrame, k: int, dims: int) -> DataFrame:
             own = np.take_along_axis(d, np.take_along_axis(order, first[:, None], 1), 1)[:, 0]
             own[~enough.any(axis=1)] = np.inf
             if np.isinf(own).any():  # any k + 1 points, itself perhaps one of them, bound the distance
-                far = np.sort(_distances(x[part], known), axis=1)
+                far = np.sort(_distances(x[part], known, widest), axis=1)
                 own = np.minimum(own, far[:, min(k, far.shape[1] - 1)] if far.shape[1] > k else np.inf)
             reach[part] = own
         reach = reach * (1 + 1e-9) + 1e-300
@@ -130,7 +131,10 @@ def nearest(points: DataFrame, k: int, dims: int) -> DataFrame:
 
     placed = points.withColumn("cell", cell("at"))
     queries = placed.groupBy("cell").applyInPandas(asked, "at array<double>, w long, reach double, cells array<long>")
-    d = F.sqrt(F.aggregate(F.zip_with("at", "other", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v))
+    if widest:
+        d = F.array_max(F.zip_with("at", "other", lambda a, b: F.abs(a - b)))
+    else:
+        d = F.sqrt(F.aggregate(F.zip_with("at", "other", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v))
     others = placed.select("cell", F.col("at").alias("other"), F.col("w").alias("other_w"))
     near = queries.select("at", "w", "reach", F.explode("cells").alias("cell")).join(others, "cell").withColumn("distance", d).where("distance <= reach")
     near = near.withColumn("other_w", F.when(F.col("at") == F.col("other"), F.col("other_w") - 1).otherwise(F.col("other_w"))).where("other_w > 0")
@@ -140,11 +144,12 @@ def nearest(points: DataFrame, k: int, dims: int) -> DataFrame:
     return near.withColumn("till", till).withColumn("k_distance", kth).where("distance <= k_distance").drop("till", "reach", "cell")
 
 
-def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def _distances(a: np.ndarray, b: np.ndarray, widest: bool = False) -> np.ndarray:
     total = np.zeros((len(a), len(b)))
     for j in range(a.shape[1]):
-        total += (a[:, j, None] - b[None, :, j]) ** 2
-    return np.sqrt(total)
+        gap = a[:, j, None] - b[None, :, j]
+        total = np.maximum(total, np.abs(gap)) if widest else total + gap**2
+    return total if widest else np.sqrt(total)
 
 
 def local_outlier_factor(df: DataFrame, columns: Sequence[str], k: int = 20, name: str = "lof") -> DataFrame:

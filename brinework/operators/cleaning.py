@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brinework.functions.columns import free_name, long_form, numeric
+from brinework.functions.stems import stemmed
 from brinework.operators import anomaly, impute, ranges
 from brinework.operators.ranks import collected, order_statistics, quantile_row, running, sizes_of
 
@@ -336,11 +337,21 @@ def convert(df: DataFrame, column: str, kind: str, errors: str = "coerce") -> Da
     return df.withColumn(column, cast)
 
 
+def _broken(c: str, rule: Mapping) -> list[tuple[str, Column]]:
+    """The rules on the values of a column, and where a value breaks each."""
+    tests = {
+        "min": lambda v: F.col(c) < v,
+        "max": lambda v: F.col(c) > v,
+        "pattern": lambda v: ~F.coalesce(F.col(c).cast("string").rlike(f"^(?:{v})"), F.lit(False)),
+        "allowed": lambda v: F.col(c).isNotNull() & ~F.col(c).isin(*v),
+    }
+    return [(name, test(rule[name])) for name, test in tests.items() if name in rule]
+
+
 def schema_violations(df: DataFrame, rules: Mapping[str, Mapping]) -> DataFrame:
     """(column, rule, violations): missing columns, wrong types, values under min or over max, not matching a pattern
     (from the start; nulls count), or outside the allowed ones (nulls pass). One pass for all rules."""
-    kinds = dict(df.dtypes)
-    counts = []
+    kinds, counts = dict(df.dtypes), []
     for c, rule in rules.items():
         if c not in kinds:
             if rule.get("required"):
@@ -348,20 +359,37 @@ def schema_violations(df: DataFrame, rules: Mapping[str, Mapping]) -> DataFrame:
             continue
         if "type" in rule and kinds[c] != rule["type"]:
             counts.append((c, "type", F.lit(1).cast("long")))
-        if "min" in rule:
-            counts.append((c, "min", F.count_if(F.col(c) < rule["min"])))
-        if "max" in rule:
-            counts.append((c, "max", F.count_if(F.col(c) > rule["max"])))
-        if "pattern" in rule:
-            counts.append((c, "pattern", F.count_if(~F.coalesce(F.col(c).cast("string").rlike(f"^(?:{rule['pattern']})"), F.lit(False)))))
-        if "allowed" in rule:
-            counts.append((c, "allowed", F.count_if(F.col(c).isNotNull() & ~F.col(c).isin(*rule["allowed"]))))
+        counts += [(c, name, F.count_if(broken)) for name, broken in _broken(c, rule)]
     if not counts:
         return df.sparkSession.createDataFrame([], "column string, rule string, violations long")
     one = df.agg(F.array(*(F.struct(F.lit(c).alias("column"), F.lit(r).alias("rule"), F.first(n).alias("violations") if r in ("required", "type") else n.alias("violations")) for c, r, n in counts)).alias("_v"))
     return one.select(F.explode("_v").alias("v")).select("v.*").where("violations > 0")
 
 
+def violation_samples(df: DataFrame, rules: Mapping[str, Mapping], most: int = 5) -> DataFrame:
+    """(column, rule, samples): the first ``most`` different values, as texts in order, that break each rule of
+    ``schema_violations`` on values; a null is the text null. Values are picked out part by part, so a rule that
+    everything breaks fills no task."""
+    kinds = dict(df.dtypes)
+    hits = [F.when(broken, F.struct(F.lit(c).alias("column"), F.lit(name).alias("rule"), F.coalesce(F.col(c).cast("string"), F.lit("null")).alias("value"))) for c, rule in rules.items() if c in kinds for name, broken in _broken(c, rule)]
+    if not hits:
+        return df.sparkSession.createDataFrame([], "column string, rule string, samples array<string>")
+    values = df.select(F.explode(F.array_compact(F.array(*hits))).alias("h")).select("h.*").distinct()
+    for part in ([F.pmod(F.xxhash64("value"), F.lit(256))], []):
+        first = Window.partitionBy("column", "rule", *part).orderBy("value")
+        values = values.withColumn("i", F.row_number().over(first)).where(F.col("i") <= most).drop("i")
+    return values.groupBy("column", "rule").agg(F.sort_array(F.collect_list("value")).alias("samples"))
+
+
+def schema_report(df: DataFrame, rules: Mapping[str, Mapping], most: int = 5) -> DataFrame:
+    """``schema_violations`` with ``severity`` (error where a column is missing or a value is not allowed, else warning),
+    ``fixable`` (by ``fix_schema``), ``samples`` and ``valid``: whether no column is missing, the same in every row."""
+    found = schema_violations(df, rules).join(violation_samples(df, rules, most), ["column", "rule"], "left")
+    missing = [c for c, rule in rules.items() if rule.get("required") and c not in df.columns]
+    severity = F.when(F.col("rule").isin("required", "allowed"), "error").otherwise("warning")
+    return found.withColumns({"severity": severity, "fixable": F.col("rule").isin("type", "min", "max"), "valid": F.lit(not missing)})
+
+
 def fix_schema(df: DataFrame, rules: Mapping[str, Mapping]) -> DataFrame:
     """Columns cast to their types and clipped to their ranges."""
     new = {}
@@ -376,22 +404,9 @@ def fix_schema(df: DataFrame, rules: Mapping[str, Mapping]) -> DataFrame:
     return df.withColumns(new) if new else df
 
 
-# English endings, tried in this order, and what they become.
-ENDINGS = (("sses", "ss"), ("ies", "i"), ("ational", "ate"), ("ization", "ize"), ("fulness", "ful"), ("ousness", "ous"), ("iveness", "ive"), ("ingly", ""), ("edly", ""), ("ing", ""), ("ed", ""), ("ly", ""), ("s", ""))
-
-
-def stemmed(word: Column) -> Column:
-    """A word without the first of ``ENDINGS`` that it has, where three letters or more stay and one is a vowel."""
-    out = word
-    for end, new in reversed(ENDINGS):
-        stem = F.substring(word, F.lit(1), F.length(word) - len(end))
-        out = F.when(word.endswith(end) & (F.length(stem) >= 3) & stem.rlike("[aeiouy]") & (F.lit(end != "s") | ~word.endswith("ss")), F.concat(stem, F.lit(new))).otherwise(out)
-    return out
-
-
 def clean_text(df: DataFrame, column: str, lower: bool = True, letters_only: bool = False, punctuation: bool = True, stopwords: Sequence[str] = (), stem: bool = False) -> DataFrame:
     """Text in lower case, without punctuation or anything but letters, digits and spaces, without stop words, with
-    single spaces, each word without its ending where ``stem``."""
+    single spaces, each word as its stem by Porter's rules where ``stem``."""
     x = F.lower(column) if lower else F.col(column)
     if letters_only:
         x = F.regexp_replace(x, r"[^\p{L}\p{N}\s]", "")
@@ -401,7 +416,7 @@ def clean_text(df: DataFrame, column: str, lower: bool = True, letters_only: boo
     if stopwords:
         x = F.array_join(F.filter(F.split(x, " "), lambda w: ~w.isin(*stopwords)), " ")
     if stem:
-        x = F.array_join(F.transform(F.split(x, " "), stemmed), " ")
+        x = stemmed(x)
     return df.withColumn(column, x)
 
 

@@ -115,9 +115,33 @@ def anderson_normal(df: DataFrame, value: str) -> DataFrame:
 
 
 def _least_hashed(df: DataFrame, value: str, most: int, key: str | None) -> list[float]:
-    """At most ``most`` values, in order: those of least hash of ``key``, as tests of this kind are for small samples."""
+    """At most ``most`` values, in order: those of least hash of ``key`` or else of the whole row, as tests of this kind are
+    for small samples. A hash of the value alone would take all rows of a few values."""
     rows = df.where(F.col(value).isNotNull())
-    return sorted(r[0] for r in rows.select(F.col(value).cast("double")).orderBy(F.xxhash64(key or value), value).limit(most).collect())
+    hashed = F.xxhash64(key) if key else F.xxhash64(*(c for c, k in df.dtypes if "map<" not in k and k != "variant"))
+    return sorted(r[0] for r in rows.select(F.col(value).cast("double").alias("v"), hashed.alias("h")).orderBy("h", "v").limit(most).collect())
+
+
+def shapiro_verdicts(df: DataFrame, columns: list[str], most: int = 5000) -> dict[str, bool | None]:
+    """For each number column whether Shapiro-Wilk takes it for normal over 5 percent; None where it has under three values
+    or does not vary. Two passes serve all columns: counts, and then about ``most`` values of each, those of rows whose hash
+    lies under a share of all hashes. Rows that are equal in the columns have one hash and come as one row with a count."""
+    if not columns:
+        return {}
+    x = [F.col(c).cast("double") for c in columns]
+    n = df.agg(*(F.count(v).alias(str(i)) for i, v in enumerate(x))).first()
+    hashed = F.pmod(F.xxhash64(F.lit(42), *x), F.lit(2**62))
+    share = [min(1.0, (most + 6 * math.sqrt(most)) / max(n[i], 1)) for i in range(len(x))]
+    kept = [F.when(v.isNotNull() & (F.col("_h") < F.lit(int(share[i] * 2**62))), F.struct(F.lit(i).alias("i"), v.alias("v"))) for i, v in enumerate(x)]
+    cells = df.withColumn("_h", hashed).select("_h", F.explode(F.array_compact(F.array(*kept))).alias("c")).select("_h", "c.*")
+    found: dict[int, list[float]] = {i: [] for i in range(len(x))}
+    for r in cells.groupBy("i", "_h", "v").agg(F.count("*").alias("n")).orderBy("i", "_h", "v").collect():
+        found[r["i"]] += [r["v"]] * min(r["n"], most - len(found[r["i"]]))
+    out: dict[str, bool | None] = {}
+    for i, c in enumerate(columns):
+        v = sorted(found[i])
+        out[c] = _shapiro(v)[1] > 0.05 if len(v) >= 3 and v[0] < v[-1] else None
+    return out
 
 
 def _shapiro(x: list[float]) -> tuple[float, float]:

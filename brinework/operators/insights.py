@@ -12,10 +12,10 @@ from brinework.operators.profile import categorical_stats, constant_features, di
 from brinework.operators.quality import eda_score
 
 
-def facts(df: DataFrame, normality: bool = False) -> DataFrame:
+def facts(df: DataFrame, normality: bool = True) -> DataFrame:
     """One row of what the rules look at: overview, counts of strong and perfect pairs, of columns that others explain,
     of columns with over 5 and 10 % outliers, of high-cardinality and constant columns, and the quality score. With
-    ``normality`` each number column is tested too, which takes a pass for each."""
+    ``normality`` each number column is tested too, on a bounded sample, in two passes for all."""
     num, cat = numeric(df), categorical(df)
     o = overview(df).select("rows", "columns", "missing_percent", "duplicate_rows", "duplicate_percent", "numeric_columns")
     names = lambda hit: F.array_sort(F.collect_list(F.when(hit, F.col("column"))))
@@ -29,7 +29,7 @@ def facts(df: DataFrame, normality: bool = False) -> DataFrame:
     out = o.join(pairs).join(explained).join(odd).join(many).join(constant).join(eda_score(df).select("score"))
     tested, other = 0, 0
     if normality:
-        verdicts = [hypothesis_tests.shapiro_wilk(df, c).first()["normal"] for c in num]
+        verdicts = hypothesis_tests.shapiro_verdicts(df, num).values()
         tested, other = len(num), sum(v is False for v in verdicts)
     return out.withColumn("tested", F.lit(tested)).withColumn("non_normal", F.lit(other))
 
@@ -39,7 +39,7 @@ def _rules(found: DataFrame, rules: list[tuple[int, str, Column, Column]]) -> Da
     return found.select(F.explode(F.filter(rows, lambda r: r.isNotNull())).alias("r")).select("r.*")
 
 
-def insights(df: DataFrame, normality: bool = False) -> DataFrame:
+def insights(df: DataFrame, normality: bool = True) -> DataFrame:
     """(rank, kind, text): ten groups of rules over ``facts``, in order."""
     v, say = F.col, F.format_string
     some = lambda c, n=3: F.array_join(F.slice(c, 1, n), ", ")
@@ -85,7 +85,7 @@ def recommendations(df: DataFrame) -> DataFrame:
         (5, "cleaning_required", v("score") < 75, F.lit("improve quality before modeling")),
         (6, "checklist", F.lit(True), F.lit("missing values, duplicates, encoding, scaling, train and test split")),
     ]
-    return _rules(facts(df), rules)
+    return _rules(facts(df, normality=False), rules)
 
 
 # context for a text about a dataset

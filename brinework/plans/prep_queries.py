@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from brinework.functions import scalars
-from brinework.operators import anomaly, charts, cleaning, recipes, relational
+from brinework.operators import anomaly, charts, cleaning, profile, recipes, relational
 from brinework.plans.profile_queries import LI, li, rounded
 from brinework.plans.registry import query
 from brinework.sources import catalog
@@ -230,6 +231,53 @@ def schema_violations(spark, d):
     return cleaning.schema_violations(t(spark, d, "orders"), _RULES)
 
 
+_BROKEN = {("o_orderkey", "min"): "o_orderkey < 10", ("o_totalprice", "max"): "o_totalprice > 400000", ("o_orderstatus", "allowed"): "o_orderstatus NOT IN ('O', 'F')", ("o_orderpriority", "pattern"): "NOT regexp_matches(o_orderpriority, '^[1-3]-')"}
+
+
+@query("SELECT *, rule IN ('min', 'max') AS fixable, CASE WHEN rule IN ('required', 'allowed') THEN 'error' ELSE 'warning' END AS severity, false AS valid FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", '{r}' AS rule, count(*) AS violations, array_to_string(list_sort(list(DISTINCT CAST({c} AS VARCHAR)))[1:5], '|') AS samples FROM orders WHERE {e}" for (c, r), e in _BROKEN.items()) + " UNION ALL SELECT 'o_gone', 'required', 1, NULL) WHERE violations > 0")
+def schema_report(spark, d):
+    return cleaning.schema_report(t(spark, d, "orders"), _RULES).withColumn("samples", F.array_join("samples", "|"))
+
+
+@query("""SELECT "column", type, nulls, round(mean, 6) AS mean, row_number() OVER (ORDER BY mean DESC NULLS LAST, "column") AS place FROM (
+SELECT 'o_orderkey' AS "column", 'bigint' AS type, count(*) - count(o_orderkey) AS nulls, avg(o_orderkey) AS mean FROM orders UNION ALL SELECT 'o_orderstatus', 'string', count(*) - count(o_orderstatus), NULL FROM orders
+UNION ALL SELECT 'o_orderpriority', 'string', count(*) - count(o_orderpriority), NULL FROM orders)""")
+def statistics_table(spark, d):
+    """Columns with "order" in their name, by mean; those without one rank lowest."""
+    o = t(spark, d, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus", "o_orderpriority")
+    got = catalog.statistics_table(profile.column_profile(o).select("column", "type", "nulls", "mean"), "ORDER", order="mean", descending=True)
+    return rounded(got.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc_nulls_last("mean"), "column")).cast("long")))
+
+
+def _priorities(spark, d):
+    """Orders of each priority as datasets of a catalog."""
+    each = t(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("name"))
+    return each.agg(F.max("o_orderkey").alias("created_at"), F.when(F.col("name") != "5-LOW", F.count("*")).alias("file_size"), F.sort_array(F.collect_set("o_orderstatus")).alias("tags"))
+
+
+_SETS = "(SELECT o_orderpriority AS name, max(o_orderkey) AS created_at, CASE WHEN o_orderpriority <> '5-LOW' THEN count(*) END AS file_size FROM orders GROUP BY 1)"
+
+
+@query(f"SELECT name, created_at FROM {_SETS} ORDER BY created_at DESC, name LIMIT 3")
+def recent_datasets(spark, d):
+    return catalog.recent(_priorities(spark, d), 3).select("name", "created_at")
+
+
+@query(f"SELECT name, file_size FROM {_SETS}")
+def datasets_by_size(spark, d):
+    return catalog.by_size(_priorities(spark, d)).select("name", "file_size")
+
+
+@query("SELECT DISTINCT o_orderpriority AS name FROM orders WHERE o_orderstatus = 'P'")
+def tagged_datasets(spark, d):
+    return catalog.tagged(_priorities(spark, d), "P").select("name")
+
+
+@query(f"SELECT name, file_size FROM {_SETS} WHERE file_size >= 100 AND name <> '2-HIGH'")
+def metadata_sql(spark, d):
+    return catalog.ask(spark, "SELECT name, file_size FROM {sets} WHERE file_size >= :least AND name <> :other", {"least": 100, "other": "2-HIGH"}, sets=_priorities(spark, d))
+
+
 @query("SELECT o_orderkey, least(greatest(o_totalprice, 1000.0), 400000.0) AS o_totalprice FROM orders")
 def schema_fix(spark, d):
     return cleaning.fix_schema(t(spark, d, "orders"), {"o_totalprice": {"type": "double", "min": 1000.0, "max": 400000.0}}).select("o_orderkey", "o_totalprice")
@@ -347,10 +395,16 @@ def standardize(spark, d):
     return cleaning.standardize(cleaning.standardize(c, "c_name", "digits"), "c_mktsegment", "upper")
 
 
-@query("SELECT o_orderkey, TRY_CAST(o_orderpriority AS BIGINT) AS o_orderpriority, CAST(o_totalprice AS VARCHAR) IS NOT NULL AS known FROM orders")
+@query("""
+SELECT o_orderkey, TRY_CAST(o_orderpriority AS BIGINT) AS priority, TRY_CAST(o_orderpriority[1:1] AS BIGINT) AS digit, CAST(o_totalprice AS VARCHAR) AS price, CAST(trunc(o_totalprice) AS BIGINT) AS whole,
+  o_custkey % 2 = 1 AS odd, o_orderpriority AS kept FROM orders""")
 def convert_types(spark, d):
-    out = cleaning.convert(cleaning.convert(t(spark, d, "orders"), "o_orderpriority", "int"), "o_totalprice", "str")
-    return out.select("o_orderkey", "o_orderpriority", F.col("o_totalprice").isNotNull().alias("known"))
+    """Texts that are no numbers, and some that are; numbers as texts, whole numbers and truth values; a column that is
+    kept because not all of it can be cast."""
+    out = t(spark, d, "orders").select("o_orderkey", F.col("o_orderpriority").alias("priority"), F.substring("o_orderpriority", 1, 1).alias("digit"), F.col("o_totalprice").alias("price"), F.col("o_totalprice").alias("whole"), (F.col("o_custkey") % 2).alias("odd"), F.col("o_orderpriority").alias("kept"))
+    for c, kind in {"priority": "int", "digit": "int", "price": "str", "whole": "int", "odd": "bool"}.items():
+        out = cleaning.convert(out, c, kind)
+    return cleaning.convert(out, "kept", "int", "ignore")
 
 
 @query("SELECT o_orderkey, round((o_totalprice - m) / s, 6) AS o_totalprice, dense_rank() OVER (ORDER BY o_orderpriority) - 1 AS o_orderpriority FROM orders, (SELECT avg(o_totalprice) AS m, stddev_pop(o_totalprice) AS s FROM orders)")
@@ -387,10 +441,21 @@ def scalar_functions(spark, d):
 
 
 @query("""
-SELECT o_custkey, list_distinct(list(o_orderstatus)).len() AS kinds, sum(o_totalprice)::DOUBLE > 0 AS paid, ceil(count(*) / 3.0)::INT AS chunks, count(DISTINCT o_orderpriority)::INT AS by_priority, round(avg(o_totalprice), 7) AS mean FROM orders GROUP BY 1""")
+WITH c AS (SELECT o_custkey, i // 3 AS chunk, sum(cents) AS s FROM (SELECT o_custkey, CAST(round(o_totalprice * 100) AS BIGINT) AS cents, row_number() OVER (PARTITION BY o_custkey ORDER BY CAST(round(o_totalprice * 100) AS BIGINT)) - 1 AS i FROM orders) GROUP BY ALL),
+p AS (SELECT o_custkey, o_orderpriority, min(o_orderkey) AS k FROM orders GROUP BY ALL)
+SELECT o.o_custkey, string_agg(DISTINCT o_orderstatus, ',' ORDER BY o_orderstatus) AS kinds, round(sum(o_totalprice), 2) AS paid, any_value(chunks) AS chunks, any_value(firsts) AS firsts, round(avg(o_totalprice), 7) AS mean
+FROM orders o JOIN (SELECT o_custkey, string_agg(CAST(s AS VARCHAR), ',' ORDER BY chunk) AS chunks FROM c GROUP BY 1) x ON x.o_custkey = o.o_custkey
+JOIN (SELECT o_custkey, string_agg(o_orderpriority || '=' || k, ',' ORDER BY o_orderpriority) AS firsts FROM p GROUP BY 1) y ON y.o_custkey = o.o_custkey GROUP BY 1""")
 def array_functions(spark, d):
     each = t(spark, d, "orders").groupBy("o_custkey").agg(F.collect_list("o_orderstatus").alias("s"), F.collect_list("o_totalprice").alias("p"), F.collect_list(F.struct("o_orderpriority", "o_orderkey")).alias("r"))
-    return each.select("o_custkey", F.size(F.array_distinct("s")).alias("kinds"), (scalars.array_total("p") > 0).alias("paid"), F.size(scalars.chunked("p", 3)).alias("chunks"), F.size(scalars.unique_by("r", "o_orderpriority")).alias("by_priority"), F.round(scalars.array_mean("p"), 7).alias("mean"))
+    cents = F.array_sort(F.transform("p", lambda v: F.round(v * 100).cast("long")))
+    sums = F.transform(scalars.chunked(cents, 3), lambda part: F.aggregate(part, F.lit(0).cast("long"), lambda a, v: a + v).cast("string"))
+    by_key = F.array_sort("r", lambda a, b: (a["o_orderkey"] - b["o_orderkey"]).cast("int"))
+    firsts = F.array_sort(F.transform(scalars.unique_by(by_key, "o_orderpriority"), lambda r: F.concat_ws("=", r["o_orderpriority"], r["o_orderkey"].cast("string"))))
+    return each.select(
+        "o_custkey", F.array_join(F.array_sort(F.array_distinct("s")), ",").alias("kinds"), F.round(scalars.array_total("p"), 2).alias("paid"),
+        F.array_join(sums, ",").alias("chunks"), F.array_join(firsts, ",").alias("firsts"), F.round(scalars.array_mean("p"), 7).alias("mean"),
+    )
 
 
 @query("SELECT c_custkey, {'a': c_custkey, 'b': c_nationkey}.b AS b, CAST(json_extract_string('{\"x\":{\"y\":' || c_nationkey || '}}', '$.x.y') AS VARCHAR) AS y, 2 AS keys, c_nationkey AS newest FROM customer")

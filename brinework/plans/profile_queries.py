@@ -16,8 +16,8 @@ NUM = ["qty", "price", "disc", "tax"]
 LONG = " UNION ALL ".join(f"SELECT '{c}' AS col, CAST({c} AS DOUBLE) AS v FROM {LI}" for c in NUM)
 
 
-def li(spark, d):
-    x = spark.read.parquet(f"{d}/lineitem.parquet")
+def li(spark, d, x=None):
+    x = spark.read.parquet(f"{d}/lineitem.parquet") if x is None else x
     keep = lambda c, k, m: F.when(F.col(k) % m != 0, F.col(c))
     return x.select(keep("l_quantity", "l_orderkey", 7).alias("qty"), F.col("l_extendedprice").alias("price"), F.col("l_discount").alias("disc"), keep("l_tax", "l_partkey", 11).alias("tax"), keep("l_returnflag", "l_orderkey", 5).alias("flag"), F.col("l_linestatus").alias("status"))
 
@@ -170,9 +170,14 @@ def missing_correlation(spark, d):
     return rounded(profile.missing_correlation(li(spark, d), 0.001))
 
 
-@query(f"SELECT 'status' AS \"column\", count(DISTINCT v) AS \"distinct\", CAST(1.0 AS DOUBLE) AS top_share, 'constant' AS kind FROM (SELECT 'x' AS v FROM {LI})")
+# columns whose most common value has all, over 95 percent, over 90 percent and fewer of the rows that have one
+_TOP = {"one": "CASE WHEN l_orderkey % 3 = 0 THEN 'x' END", "most": "CASE WHEN l_partkey % 40 = 0 THEN CAST(l_linenumber AS VARCHAR) ELSE 'x' END", "many": "CASE WHEN l_partkey % 14 = 0 THEN CAST(l_linenumber AS VARCHAR) ELSE 'x' END", "some": "l_returnflag", "none": "CAST(NULL AS VARCHAR)"}
+
+
+@query("SELECT * FROM (SELECT \"column\", count(*) AS \"distinct\", round(max(n) / sum(n), 6) AS top_share, CASE WHEN count(*) = 1 THEN 'constant' WHEN max(n) / sum(n) > 0.95 THEN 'quasi-constant' WHEN max(n) / sum(n) > 0.9 THEN 'low-variance' END AS kind FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", {e} AS v, count(*) AS n FROM lineitem GROUP BY ALL" for c, e in _TOP.items()) + ") WHERE v IS NOT NULL GROUP BY 1) WHERE kind IS NOT NULL")
 def constant_features(spark, d):
-    return profile.constant_features(li(spark, d).select("qty", F.lit("x").alias("status")))
+    x = spark.read.parquet(f"{d}/lineitem.parquet")
+    return rounded(profile.constant_features(x.selectExpr(*(f"{e.replace('VARCHAR', 'STRING')} AS {c}" for c, e in _TOP.items()))))
 
 
 @query("""
@@ -186,10 +191,18 @@ def column_profile(spark, d):
 _PAIR_SQL = " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, corr({a}, {b}) AS r FROM {LI}" for a, b in _PAIRS)
 
 
+# columns made of one another, so that pairs are on both sides of the threshold
+_MADE = "(SELECT l_quantity AS qty, l_discount AS disc, l_quantity * (1 - l_discount) AS net, -2 * l_quantity + l_linenumber AS less, l_quantity * 3 AS thrice FROM lineitem)"
+_MADE_NAMES = ["qty", "disc", "net", "less", "thrice"]
+_MADE_PAIRS = " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, corr({a}, {b}) AS r FROM {_MADE}" for i, a in enumerate(_MADE_NAMES) for b in _MADE_NAMES[i + 1 :])
+
+
 @query(f"""SELECT a, b, round(r, 6) AS r, CASE WHEN abs(r) > 0.9 THEN 'very_strong' WHEN abs(r) > 0.7 THEN 'strong' WHEN abs(r) > 0.5 THEN 'moderate' WHEN abs(r) > 0.3 THEN 'weak' ELSE 'very_weak' END AS strength,
-  CASE WHEN r > 0 THEN 'positive' ELSE 'negative' END AS direction, abs(r) > 0.99 AS perfect FROM ({_PAIR_SQL}) WHERE abs(r) > 0.001""")
+  CASE WHEN r > 0 THEN 'positive' ELSE 'negative' END AS direction, abs(r) > 0.99 AS perfect FROM ({_MADE_PAIRS}) WHERE abs(r) > 0.3""")
 def strong_pairs(spark, d):
-    return rounded(profile.strong_pairs(profile.pearson(li(spark, d), NUM).drop("n"), 0.001))
+    x = spark.read.parquet(f"{d}/lineitem.parquet")
+    made = x.selectExpr("l_quantity AS qty", "l_discount AS disc", "l_quantity * (1 - l_discount) AS net", "-2 * l_quantity + l_linenumber AS less", "l_quantity * 3 AS thrice")
+    return rounded(profile.strong_pairs(profile.pearson(made, _MADE_NAMES).drop("n")))
 
 
 _DISTRICT = "(SELECT ps.q AS q, ps.p AS p, ps.q * 2 AS twice FROM (SELECT l_quantity AS q, l_linenumber AS p FROM lineitem) ps)"
@@ -308,9 +321,11 @@ _STATE = " UNION ALL ".join(f"SELECT '{k}' AS dimension, {k} AS value, CASE WHEN
 
 @query(f"""SELECT dimension, round(value, 6) AS value, status, advice FROM (
 SELECT 'score' AS dimension, score AS value, CASE WHEN score >= 90 THEN 'excellent' WHEN score >= 80 THEN 'good' WHEN score >= 70 THEN 'acceptable' WHEN score >= 60 THEN 'needs_improvement' ELSE 'poor' END AS status, CASE WHEN score < 70 THEN 'critical: re-run cleaning with more aggressive parameters' END AS advice FROM {_CLEANED}
-UNION ALL {_STATE} UNION ALL SELECT 'rows_lost_percent', 0.0, 'info', NULL)""")
+UNION ALL {_STATE} UNION ALL SELECT 'rows_lost_percent', count(*) FILTER (l_linenumber = 1) * 100.0 / count(*), 'info', NULL FROM lineitem AS every)""".replace("FROM lineitem)", "FROM lineitem WHERE l_linenumber <> 1)"))
 def quality_report(spark, d):
-    return rounded(quality.cleaning_report(li(spark, d), li(spark, d)))
+    """A table that lost the first line of every order."""
+    x = spark.read.parquet(f"{d}/lineitem.parquet")
+    return rounded(quality.cleaning_report(x, li(spark, d, x.where("l_linenumber <> 1"))))
 
 
 @query(f"SELECT rows AS rows_before, unique_rows AS rows_after, u.completeness, 100.0::DOUBLE AS uniqueness, 85.0::DOUBLE AS fixed_score, 'B' AS fixed_grade FROM ({_OVER}), (SELECT round(100 - sum((qty IS NULL)::INT + (tax IS NULL)::INT + (flag IS NULL)::INT) * 100.0 / (count(*) * 6), 6) AS completeness FROM (SELECT DISTINCT * FROM {LI})) u")
@@ -352,6 +367,8 @@ def quality_suggestions(spark, d):
 
 _PAIR_COUNTS = f"(SELECT count(*) FILTER (abs(r) > 0.3) AS strong, count(*) FILTER (abs(r) > 0.99) AS perfect FROM ({_PAIR_SQL}))"
 _ODD_NAMES = lambda t: f"(WITH {_ODD} SELECT coalesce(list(col ORDER BY col) FILTER (iqr_outliers * 100.0 / n > {t}), []) FROM o)"
+# columns that are not normal, told by skewness and kurtosis here: uniform ones, which any test rejects
+_ODD_SHAPES = "(SELECT count(*) AS odd FROM (" + " UNION ALL ".join(f"SELECT count({c}) / 6.0 * (skewness({c}) ** 2 + kurtosis({c}) ** 2 / 4) AS jb FROM {LI}" for c in NUM) + ") WHERE jb > 5.99)"
 # columns that others explain: the variance inflation of each, by the normal equations of the others
 _FACTS = f"(SELECT o.*, p.*, {_EDA_SCORE} AS score, {_ODD_NAMES(5)} AS odd5, {_ODD_NAMES(10)} AS odd10 FROM ({_OVER}) o, {_PAIR_COUNTS} p, ({_EDA}) e)"
 
@@ -363,6 +380,7 @@ UNION ALL SELECT 3, 'duplicates', printf('%d duplicate rows, %.1f%%: remove them
 UNION ALL SELECT 4, 'strong_pairs', strong || ' strong correlations' FROM {_FACTS} WHERE strong > 0
 UNION ALL SELECT 4, 'perfect_pairs', perfect || ' perfect correlations: maybe the same feature twice' FROM {_FACTS} WHERE perfect > 0
 UNION ALL SELECT 6, 'outliers', 'many outliers in ' || len(odd10) || ' columns: ' || array_to_string(odd10[1:3], ', ') FROM {_FACTS} WHERE len(odd10) > 0
+UNION ALL SELECT 7, 'non_normal', odd || ' of 4 number columns are not normal: consider transformations' FROM {_ODD_SHAPES} WHERE odd > 4 * 0.7
 UNION ALL SELECT 8, CASE WHEN score >= 90 THEN 'quality_excellent' WHEN score >= 75 THEN 'quality_good' WHEN score >= 60 THEN 'quality_fair' ELSE 'quality_poor' END,
   CASE WHEN score >= 90 THEN printf('excellent quality, %.1f', score) WHEN score >= 75 THEN printf('good quality, %.1f', score) WHEN score >= 60 THEN printf('fair quality, %.1f: clean before modeling', score) ELSE printf('poor quality, %.1f: thorough cleaning needed', score) END FROM {_FACTS})""")
 def rule_insights(spark, d):
@@ -392,31 +410,35 @@ def interesting_columns(spark, d):
 
 @query("""
 WITH o AS (SELECT o_orderstatus AS a, o_orderpriority AS b, count(*) AS n FROM orders GROUP BY ALL), r AS (SELECT a, sum(n) AS r FROM o GROUP BY a), c AS (SELECT b, sum(n) AS c FROM o GROUP BY b), t AS (SELECT sum(n) AS t FROM o)
-SELECT round(sum((coalesce(n, 0) - r * c / t) ** 2 / (r * c / t)), 6) AS statistic, (count(DISTINCT r.a) - 1) * (count(DISTINCT c.b) - 1) AS dof, CAST(any_value(t) AS BIGINT) AS n FROM r CROSS JOIN c CROSS JOIN t LEFT JOIN o ON o.a = r.a AND o.b = c.b""")
+SELECT round(sum((coalesce(n, 0) - r * c / t) ** 2 / (r * c / t)), 6) AS statistic, (count(DISTINCT r.a) - 1) * (count(DISTINCT c.b) - 1) AS dof, CAST(any_value(t) AS BIGINT) AS n,
+  round(sqrt(statistic_ / (any_value(t) * least(count(DISTINCT r.a) - 1, count(DISTINCT c.b) - 1))), 6) AS cramers_v, round(exp(-statistic_ / 2) * (1 + statistic_ / 2 + statistic_ ** 2 / 8 + statistic_ ** 3 / 48), 6) AS p_value
+FROM r CROSS JOIN c CROSS JOIN t LEFT JOIN o ON o.a = r.a AND o.b = c.b""".replace("statistic_", "sum((coalesce(n, 0) - r * c / t) ** 2 / (r * c / t))"))  # 8 degrees of freedom: a tail in closed form
 def chi_square(spark, d):
-    return rounded(hypothesis_tests.chi_square(spark.read.parquet(f"{d}/orders.parquet"), "o_orderstatus", "o_orderpriority").select("statistic", "dof", "n"))
+    return rounded(hypothesis_tests.chi_square(spark.read.parquet(f"{d}/orders.parquet"), "o_orderstatus", "o_orderpriority"))
 
 
-_ANOVA = "WITH g AS (SELECT g, count(*) AS n, avg(x) AS m, var_samp(x) AS v FROM ({rows}) GROUP BY g), t AS (SELECT sum(n * m) / sum(n) AS mean, sum(n) AS n, count(*) AS k FROM g) SELECT round((sum(g.n * (m - mean) ** 2) / (any_value(k) - 1)) / (sum((g.n - 1) * v) / (any_value(t.n) - any_value(k))), 5) AS statistic, any_value(k) AS groups, CAST(any_value(t.n) AS BIGINT) AS n FROM g, t"
+_ANOVA = """WITH g AS (SELECT g, count(*) AS n, avg(x) AS m, var_samp(x) AS v FROM ({rows}) GROUP BY g), t AS (SELECT sum(n * m) / sum(n) AS mean, sum(n) AS n, count(*) AS k FROM g) SELECT round(f, 5) AS statistic, k AS groups, CAST(n AS BIGINT) AS n, round(pow(x, a) * (1 + a * (1 - x)), 6) AS p_value
+FROM (SELECT *, (n - k) / 2.0 AS a, (n - k) / (n - k + 4 * f) AS x FROM (SELECT (sum(g.n * (m - mean) ** 2) / (any_value(k) - 1)) / (sum((g.n - 1) * v) / (any_value(t.n) - any_value(k))) AS f, any_value(k) AS k, any_value(t.n) AS n FROM g, t))"""  # five groups: the tail of F with 4 and n - 5 degrees
 _OP = "SELECT o_totalprice AS x, o_orderpriority AS g FROM orders"
 
 
 @query(_ANOVA.format(rows=_OP))
 def anova(spark, d):
-    return rounded(hypothesis_tests.anova(spark.read.parquet(f"{d}/orders.parquet"), "o_totalprice", "o_orderpriority").select("statistic", "groups", "n"), 5)
+    return rounded(hypothesis_tests.anova(spark.read.parquet(f"{d}/orders.parquet"), "o_totalprice", "o_orderpriority").withColumn("p_value", F.round("p_value", 6)).withColumn("statistic", F.round("statistic", 5)))
 
 
 @query(_ANOVA.format(rows=f"SELECT abs(x - m) AS x, r.g AS g FROM ({_OP}) r JOIN (SELECT g, quantile_cont(x, 0.5) AS m FROM ({_OP}) GROUP BY g) q ON q.g = r.g"))
 def levene(spark, d):
-    return rounded(hypothesis_tests.levene(spark.read.parquet(f"{d}/orders.parquet"), "o_totalprice", "o_orderpriority").select("statistic", "groups", "n"), 5)
+    return rounded(hypothesis_tests.levene(spark.read.parquet(f"{d}/orders.parquet"), "o_totalprice", "o_orderpriority").withColumn("p_value", F.round("p_value", 6)).withColumn("statistic", F.round("statistic", 5)))
 
 
 @query("""
 WITH r AS (SELECT l_quantity AS x, l_returnflag AS g, rank() OVER (ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_quantity) - 1) / 2.0 AS r FROM lineitem),
 t AS (SELECT 1 - sum(n ** 3 - n) / (sum(n) ** 3 - sum(n)) AS fix, sum(n) AS n FROM (SELECT count(*) AS n FROM r GROUP BY x)), s AS (SELECT g, sum(r) AS s, count(*) AS m FROM r GROUP BY g)
-SELECT round((12 / (any_value(n) * (any_value(n) + 1)) * sum(s * s / m) - 3 * (any_value(n) + 1)) / any_value(fix), 4) AS statistic, count(*) AS groups, CAST(any_value(n) AS BIGINT) AS n FROM s, t""")
+SELECT round((12 / (any_value(n) * (any_value(n) + 1)) * sum(s * s / m) - 3 * (any_value(n) + 1)) / any_value(fix), 4) AS statistic, count(*) AS groups, CAST(any_value(n) AS BIGINT) AS n,
+  round(exp(-(12 / (any_value(n) * (any_value(n) + 1)) * sum(s * s / m) - 3 * (any_value(n) + 1)) / any_value(fix) / 2), 6) AS p_value FROM s, t""")  # three groups: 2 degrees of freedom
 def kruskal(spark, d):
-    return rounded(hypothesis_tests.kruskal(spark.read.parquet(f"{d}/lineitem.parquet"), "l_quantity", "l_returnflag").select("statistic", "groups", "n"), 4)
+    return rounded(hypothesis_tests.kruskal(spark.read.parquet(f"{d}/lineitem.parquet"), "l_quantity", "l_returnflag").withColumn("statistic", F.round("statistic", 4)))
 
 
 _T = "(1 / (1 + 0.3275911 * abs(u)))"
@@ -425,9 +447,9 @@ _NORMAL = f"""WITH m AS (SELECT avg(o_totalprice) AS m, stddev_samp(o_totalprice
 g AS (SELECT o_totalprice AS x, count(*) AS c FROM orders GROUP BY 1), u AS (SELECT *, (x - m) / s / sqrt(2.0) AS u, sum(c) OVER (ORDER BY x) AS j FROM g, m), p AS (SELECT *, 0.5 * (1 + {_ERF}) AS p FROM u)"""
 
 
-@query(f"{_NORMAL} SELECT round(max(greatest(j / n - p, p - (j - c) / n)), 7) AS statistic, any_value(n) AS n FROM p")
+@query(f"{_NORMAL} SELECT round(max(greatest(j / n - p, p - (j - c) / n)), 7) AS statistic, any_value(n) AS n, round(list_sum(list_transform(range(1, 101), lambda k: 2 * (CASE WHEN k % 2 = 1 THEN 1 ELSE -1 END) * exp(-2.0 * k * k * any_value(n) * max(greatest(j / n - p, p - (j - c) / n)) ** 2))), 6) AS p_value FROM p")
 def ks_normal(spark, d):
-    return rounded(hypothesis_tests.ks_normal(spark.read.parquet(f"{d}/orders.parquet"), "o_totalprice").drop("p_value"), 7)
+    return rounded(hypothesis_tests.ks_normal(spark.read.parquet(f"{d}/orders.parquet"), "o_totalprice").withColumn("p_value", F.round("p_value", 6)), 7)
 
 
 @query("""

@@ -6,7 +6,7 @@ from statistics import NormalDist
 
 from pyspark.sql import functions as F
 
-from brinework.operators import charts, neighbours, predict
+from brinework.operators import charts, information, neighbours, predict
 from brinework.plans.registry import query
 from brinework.sources import files
 
@@ -109,3 +109,37 @@ def price_importance(spark, d):
     line = predict.fit(x.where("l_orderkey % 5 <> 0"), "l_extendedprice", ["l_quantity", "l_discount"])
     got = predict.permutation_importance(line, x.where("l_orderkey % 5 = 0"), block=F.col("l_orderkey") % 64, order=[F.col("l_orderkey"), F.col("l_linenumber")])
     return got.select("feature", F.round("importance", 1).alias("importance"), F.round("share", 5).alias("share"), "rank")
+
+
+_SLACK = "8e-15"
+_PSI = "psi AS (SELECT i AS n, -0.5772156649015329 + sum(CASE WHEN i > 1 THEN 1.0 / (i - 1) ELSE 0 END) OVER (ORDER BY i ROWS UNBOUNDED PRECEDING) AS v FROM (SELECT unnest(range(1, (SELECT count(*) + 2 FROM customer))) AS i) WHERE i >= 1)"
+_BANDS = "SELECT feature, round(v, 6) AS information, round(v / max(v) OVER (), 6) AS importance, CASE WHEN v / max(v) OVER () > 0.7 THEN 'high' WHEN v / max(v) OVER () > 0.3 THEN 'medium' ELSE 'low' END AS band"
+
+
+@query(f"""
+WITH c AS (SELECT c_custkey AS i, c_acctbal AS bal, CAST(c_nationkey AS DOUBLE) AS nation, CASE WHEN c_acctbal + c_custkey % 7 * 500 > 5000 THEN 'up' WHEN c_custkey % 3 = 0 THEN 'down' END AS y FROM customer),
+r AS (SELECT 'bal' AS feature, i, bal AS x, coalesce('=' || y, '') AS y FROM c UNION ALL SELECT 'nation', i, nation, coalesce('=' || y, '') FROM c),
+k AS (SELECT a.feature, a.i, any_value(a.x) AS x, list_sort(list(abs(a.x - b.x)))[3] AS d, count(*) + 1 AS n FROM r a JOIN r b ON a.feature = b.feature AND a.y = b.y AND a.i <> b.i GROUP BY ALL),
+m AS (SELECT k.feature, k.i, any_value(k.n) AS n, count(*) AS m FROM k JOIN r b ON k.feature = b.feature AND abs(b.x - k.x) <= greatest(0, d - (d + abs(k.x)) * {_SLACK}) GROUP BY ALL),
+{_PSI}, s AS (SELECT feature, greatest(0, any_value(t.v) + avg(p3.v - pn.v - pm.v)) AS v FROM m JOIN psi pn ON pn.n = m.n JOIN psi pm ON pm.n = m.m JOIN psi p3 ON p3.n = 3 JOIN psi t ON t.n = (SELECT count(*) FROM customer) GROUP BY 1)
+{_BANDS} FROM s""")
+def class_information(spark, d):
+    """What number columns tell about classes, null being one."""
+    y = "CASE WHEN c_acctbal + c_custkey % 7 * 500 > 5000 THEN 'up' WHEN c_custkey % 3 = 0 THEN 'down' END AS y"
+    c = t(spark, d, "customer").selectExpr("c_acctbal AS bal", "CAST(c_nationkey AS DOUBLE) AS nation", y)
+    return information.nearest_information(c, ["bal", "nation"], "y").withColumns({x: F.round(x, 6) for x in ("information", "importance")})
+
+
+@query(f"""
+WITH c AS (SELECT c_custkey AS i, c_acctbal + c_custkey % 5 * 1000 AS y, c_acctbal AS bal, CAST(c_nationkey AS DOUBLE) AS nation FROM customer),
+q AS (SELECT 'bal' AS feature, i, bal AS x, y FROM c UNION ALL SELECT 'nation', i, nation, y FROM c),
+r AS (SELECT feature, i, x / stddev_pop(x) OVER (PARTITION BY feature) AS x, y / stddev_pop(y) OVER (PARTITION BY feature) AS y FROM q),
+k AS (SELECT a.feature, a.i, any_value(a.x) AS x, any_value(a.y) AS y, list_sort(list(greatest(abs(a.x - b.x), abs(a.y - b.y))))[3] AS d FROM r a JOIN r b ON a.feature = b.feature AND a.i <> b.i GROUP BY ALL),
+u AS (SELECT *, greatest(0, d - (d + abs(x) + abs(y)) * {_SLACK}) AS e FROM k),
+m AS (SELECT u.feature, u.i, count(*) FILTER (abs(b.x - u.x) <= e) AS mx, count(*) FILTER (abs(b.y - u.y) <= e) AS my FROM u JOIN r b ON u.feature = b.feature GROUP BY ALL),
+{_PSI}, s AS (SELECT feature, greatest(0, any_value(t.v) + any_value(p3.v) - avg(px.v + py.v)) AS v FROM m JOIN psi px ON px.n = m.mx JOIN psi py ON py.n = m.my JOIN psi p3 ON p3.n = 3 JOIN psi t ON t.n = (SELECT count(*) FROM customer) GROUP BY 1)
+{_BANDS} FROM s""")
+def number_information(spark, d):
+    """What number columns tell about a number."""
+    c = t(spark, d, "customer").selectExpr("c_acctbal AS bal", "CAST(c_nationkey AS DOUBLE) AS nation", "c_acctbal + c_custkey % 5 * 1000 AS y")
+    return information.nearest_information(c, ["bal", "nation"], "y").withColumns({x: F.round(x, 6) for x in ("information", "importance")})

@@ -362,7 +362,7 @@ def schema_violations(df: DataFrame, rules: Mapping[str, Mapping]) -> DataFrame:
         counts += [(c, name, F.count_if(broken)) for name, broken in _broken(c, rule)]
     if not counts:
         return df.sparkSession.createDataFrame([], "column string, rule string, violations long")
-    one = df.agg(F.array(*(F.struct(F.lit(c).alias("column"), F.lit(r).alias("rule"), F.first(n).alias("violations") if r in ("required", "type") else n.alias("violations")) for c, r, n in counts)).alias("_v"))
+    one = df.agg(F.array(*(F.struct(F.lit(c).alias("column"), F.lit(r).alias("rule"), F.coalesce(F.first(n), n).alias("violations") if r in ("required", "type") else n.alias("violations")) for c, r, n in counts)).alias("_v"))
     return one.select(F.explode("_v").alias("v")).select("v.*").where("violations > 0")
 
 

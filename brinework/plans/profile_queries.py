@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 from brinework.functions.columns import long_form
 from brinework.operators import anomaly, impute, models, profile, quality, hypothesis_tests, timeseries
 from brinework.operators import insights as rules
-from brinework.plans.registry import query
+from brinework.plans.registry import ORACLE, query
 
 #: Line items with injected nulls, the same in both engines.
 LI = "(SELECT CASE WHEN l_orderkey % 7 = 0 THEN NULL ELSE l_quantity END AS qty, l_extendedprice AS price, l_discount AS disc, CASE WHEN l_partkey % 11 = 0 THEN NULL ELSE l_tax END AS tax, CASE WHEN l_orderkey % 5 = 0 THEN NULL ELSE l_returnflag END AS flag, l_linestatus AS status FROM lineitem)"
@@ -464,6 +464,16 @@ def vif(spark, d):
     return models.vif(li(spark, d), NUM)
 
 
+@query(f"""
+WITH s AS (SELECT sum(qty * disc) / sqrt(sum(qty * qty) * sum(disc * disc)) AS a, sum(qty * net) / sqrt(sum(qty * qty) * sum(net * net)) AS b, sum(disc * net) / sqrt(sum(disc * disc) * sum(net * net)) AS c FROM {_MADE}),
+v AS (SELECT unnest(['qty', 'disc', 'net']) AS "column", unnest([1 - c * c, 1 - b * b, 1 - a * a]) / (1 + 2 * a * b * c - a * a - b * b - c * c) AS vif FROM s)
+SELECT "column", round(vif, 4) AS vif, CASE WHEN vif > 10 THEN 'high' WHEN vif > 5 THEN 'moderate' ELSE 'low' END AS severity FROM v""")
+def vif_of_three(spark, d):
+    """Three columns have their inflation in closed form."""
+    x = spark.read.parquet(f"{d}/lineitem.parquet").selectExpr("l_quantity AS qty", "l_discount AS disc", "l_quantity * (1 - l_discount) AS net")
+    return rounded(models.vif(x, ["qty", "disc", "net"]), 4)
+
+
 @query()
 def pca(spark, d):
     return models.pca(li(spark, d), NUM).select("component", "variance", "ratio", "cumulative")
@@ -539,14 +549,27 @@ def moving_average(spark, d):
     return rounded(timeseries.moving_average(spark.read.parquet(f"{d}/orders.parquet"), "o_orderdate", "o_totalprice", 7))
 
 
+@query(f"""
+WITH x AS (SELECT row_number() OVER (ORDER BY day) AS i, value - avg(value) OVER () AS v FROM {_DAILY}), n AS (SELECT count(*) AS n, sum(v * v) AS s FROM x)
+SELECT CAST(k AS INTEGER) AS lag, round(sum(a.v * b.v) / any_value(s), 6) AS acf, k > 0 AND abs(sum(a.v * b.v) / any_value(s)) > 2 / sqrt(any_value(n)) AS significant
+FROM (SELECT unnest(range(0, 21)) AS k) JOIN n ON k <= n.n // 2 JOIN x a ON true JOIN x b ON b.i = a.i + k GROUP BY k""")
+def series_acf(spark, d):
+    got = timeseries.correlations(spark.read.parquet(f"{d}/orders.parquet"), "o_orderdate", "o_totalprice")
+    return rounded(got.select("lag", "acf", "significant"))
+
+
 @query()
 def series_correlations(spark, d):
     return timeseries.correlations(spark.read.parquet(f"{d}/orders.parquet"), "o_orderdate", "o_totalprice")
 
 
-@query()
+@query(f"""
+WITH m AS (SELECT a.day, any_value(a.value) AS value, CASE WHEN count(b.value) = 7 THEN sum(b.value) / 7 END AS trend, datediff('day', DATE '1970-01-01', a.day) % 7 AS p
+  FROM {_DAILY} a JOIN {_DAILY} b ON b.day BETWEEN a.day - 3 AND a.day + 3 GROUP BY a.day),
+s AS (SELECT p, avg(value - trend) - avg(avg(value - trend)) OVER () AS seasonal FROM m WHERE trend IS NOT NULL GROUP BY p)
+SELECT day, round(value, 5) AS value, round(trend, 5) AS trend, round(seasonal, 5) AS seasonal, round(value - trend - seasonal, 5) AS residual FROM m LEFT JOIN s ON s.p = m.p""")
 def seasonal_parts(spark, d):
-    return timeseries.decompose(spark.read.parquet(f"{d}/orders.parquet"), "o_orderdate", "o_totalprice")
+    return rounded(timeseries.decompose(spark.read.parquet(f"{d}/orders.parquet"), "o_orderdate", "o_totalprice"), 5)
 
 
 @query()
@@ -569,14 +592,36 @@ def normality(spark, d):
     return hypothesis_tests.normality(li(spark, d), NUM)
 
 
-@query()
+@query(f"SELECT 'o_orderstatus' AS a, 'o_orderpriority' AS b, * FROM ({ORACLE['chi_square']})")
 def chi_square_all(spark, d):
-    return hypothesis_tests.chi_square_all(spark.read.parquet(f"{d}/orders.parquet"))
+    return rounded(hypothesis_tests.chi_square_all(spark.read.parquet(f"{d}/orders.parquet")))
 
 
-@query()
+_KINDS = "SELECT o_totalprice AS x, 'o_orderstatus' AS kind, o_orderstatus AS g FROM orders UNION ALL SELECT o_totalprice, 'o_orderpriority', o_orderpriority FROM orders"
+_FAR = f"SELECT abs(x - m) AS x, r.kind AS kind, r.g AS g FROM ({_KINDS}) r JOIN (SELECT kind, g, quantile_cont(x, 0.5) AS m FROM ({_KINDS}) GROUP BY ALL) q ON q.kind = r.kind AND q.g = r.g"
+
+
+def _variances(name: str, rows: str) -> str:
+    """SQL of one-way tests; three or five groups have their tails in closed form."""
+    return f"""SELECT '{name}' AS test, kind, f AS statistic, k AS "groups", n, CASE k WHEN 3 THEN pow(x, a) WHEN 5 THEN pow(x, a) * (1 + a * (1 - x)) END AS p_value FROM (
+SELECT *, (n - k) / 2.0 AS a, (n - k) / (n - k + (k - 1) * f) AS x FROM (
+SELECT kind, sum(n) AS n, count(*) AS k, (sum(n * m * m) - sum(n * m) ** 2 / sum(n)) / (count(*) - 1) / (sum((n - 1) * v) / (sum(n) - count(*))) AS f FROM (
+SELECT kind, g, count(*) AS n, avg(x) - (SELECT avg(o_totalprice) FROM orders) AS m, var_samp(x) AS v FROM ({rows}) GROUP BY ALL) GROUP BY kind))"""
+
+
+_RANKED = f"""WITH r AS (SELECT kind, g, x, rank() OVER (PARTITION BY kind ORDER BY x) + (count(*) OVER (PARTITION BY kind, x) - 1) / 2.0 AS r FROM ({_KINDS})),
+t AS (SELECT kind, 1 - sum(n ** 3 - n) / (sum(n) ** 3 - sum(n)) AS fix, sum(n) AS n FROM (SELECT kind, count(*) AS n FROM r GROUP BY kind, x) GROUP BY kind),
+s AS (SELECT kind, g, sum(r) AS s, count(*) AS m FROM r GROUP BY ALL),
+h AS (SELECT t.kind AS kind, any_value(n) AS n, count(*) AS k, (12 / (any_value(n) * (any_value(n) + 1)) * sum(s * s / m) - 3 * (any_value(n) + 1)) / any_value(fix) AS h FROM s JOIN t ON t.kind = s.kind GROUP BY ALL)
+SELECT 'kruskal' AS test, kind, h AS statistic, k AS "groups", n, CASE k WHEN 3 THEN exp(-h / 2) WHEN 5 THEN exp(-h / 2) * (1 + h / 2) END AS p_value FROM h"""
+
+
+
+
+@query(f"SELECT test, 'o_totalprice' AS value, kind AS \"by\", round(statistic, 5) AS statistic, \"groups\", CAST(n AS BIGINT) AS n, round(p_value, 6) AS p_value FROM ({_variances('anova', _KINDS)} UNION ALL {_variances('levene', _FAR)} UNION ALL ({_RANKED}))")
 def group_tests(spark, d):
-    return hypothesis_tests.group_tests(spark.read.parquet(f"{d}/orders.parquet"), ["o_totalprice"])
+    got = hypothesis_tests.group_tests(spark.read.parquet(f"{d}/orders.parquet"), ["o_totalprice"])
+    return got.withColumn("statistic", F.round("statistic", 5)).withColumn("p_value", F.round("p_value", 6))
 
 
 @query(f"""{_NORMAL}, a AS (SELECT *, greatest(1e-12, least(1 - 1e-12, p)) AS q, j - c AS i FROM p)

@@ -131,7 +131,7 @@ def dbscan_noise(df: DataFrame, columns: list[str], eps: float = 0.5, min_sample
     Distinct points lie in cells whose diagonal is ``eps``. Where a cell has enough rows all are dense, and nothing is
     compared. The few points of other cells are compared with those of the cells around, in a grid of at most ``GRID``
     columns, those that ``eps`` parts most: what is near is near in any of the columns, and whether it is near is told by
-    all of them."""
+    all of them. Those left open after that, neither dense nor near a point of a dense cell, look for dense points once more."""
     d = len(columns)
     p, q = [f"_p{i}" for i in range(d)], [f"_q{i}" for i in range(d)]
     points = df.groupBy(*(F.col(c).cast("double").alias(x) for c, x in zip(columns, p, strict=True))).agg(F.count("*").alias("_w"))
@@ -141,21 +141,31 @@ def dbscan_noise(df: DataFrame, columns: list[str], eps: float = 0.5, min_sample
     def cell(of: list[str], side: float):
         return F.array(*(F.floor(F.col(x) / side).cast("long") for x in of))
 
-    points = points.withColumn("_small", cell(p, eps / math.sqrt(d) * (1 - 1e-12))).withColumn("_cell", cell(grid, eps / math.sqrt(len(grid)) * (1 - 1e-12)))
+    side = eps / math.sqrt(len(grid)) * (1 - 1e-12)
+    points = points.withColumn("_small", cell(p, eps / math.sqrt(d) * (1 - 1e-12))).withColumn("_cell", cell(grid, side))
     crowded = points.groupBy("_small").agg(F.sum("_w").alias("_m"))
-    points = points.join(crowded, "_small").withColumn("_dense", F.col("_m") >= min_samples)
+    points = points.join(crowded.hint("merge"), "_small").withColumn("_dense", F.col("_m") >= min_samples)
     k = len(grid)
     reach = math.ceil(math.sqrt(k))
     around = [o for o in itertools.product(range(-reach, reach + 1), repeat=k) if sum(max(abs(x) - 1, 0) ** 2 for x in o) < k]
     offsets = F.array(*(F.array(*(F.lit(x).cast("long") for x in o)) for o in around))
-    asked = points.where("not _dense").select(*p, F.col("_cell").alias("_own")).withColumn("_o", F.explode(offsets)).select(*p, F.zip_with("_own", "_o", lambda a, b: a + b).alias("_cell"))
     close = sum(((F.col(a) - F.col(b)) ** 2 for a, b in zip(p, q, strict=True)), F.lit(0.0)) <= eps * eps
-    others = points.select("_cell", "_w", "_dense", *(F.col(a).alias(b) for a, b in zip(p, q, strict=True)))
-    near = asked.join(others, "_cell").where(close)
-    dense = near.groupBy(*p).agg(F.sum("_w").alias("_near"), F.max("_dense").alias("_by_dense")).withColumn("_core", F.col("_near") >= min_samples)
-    cores = dense.where("_core").select(*(F.col(a).alias(b) for a, b in zip(p, q, strict=True)))
-    reached = near.join(cores, q, "left_semi").select(*p).distinct()
-    noise = dense.where("not _core and not _by_dense").select(*p).join(reached, p, "left_anti").withColumn("_noise", F.lit(True))
+
+    # Sizes after an explode or a join are unknown to the planner, which would take some of these sides for small ones and
+    # gather them on the driver: merge joins keep rows in tasks.
+    def looked_at(rows: DataFrame, others: DataFrame) -> DataFrame:
+        """``rows`` (p..., _own) with the ``others`` (q..., _cell, ...) within ``eps``; cells without points are not asked."""
+        there = others.select("_cell").distinct()
+        pairs = rows.select("_own").distinct().withColumn("_o", F.explode(offsets)).select("_own", F.zip_with("_own", "_o", lambda a, b: a + b).alias("_cell"))
+        return rows.join(pairs.join(there.hint("merge"), "_cell", "left_semi").hint("merge"), "_own").join(others.hint("merge"), "_cell").where(close)
+
+    as_q = [F.col(a).alias(b) for a, b in zip(p, q, strict=True)]
+    near = looked_at(points.where("not _dense").select(*p, F.col("_cell").alias("_own")), points.select("_cell", "_w", "_dense", *as_q))
+    state = F.when(F.sum("_w") >= min_samples, 2).when(F.max("_dense"), 1).otherwise(0)
+    told = near.groupBy(*p).agg(state.alias("_state")).withColumn("_cell", cell(grid, side))
+    open_ = told.where("_state = 0").select(*p, F.col("_cell").alias("_own"))
+    reached = looked_at(open_, told.where("_state = 2").select("_cell", *as_q)).select(*p).distinct()
+    noise = told.where("_state = 0").select(*p).join(reached.hint("merge"), p, "left_anti").withColumn("_noise", F.lit(True)).hint("merge")
     same = [F.col(c).cast("double") == F.col(x) for c, x in zip(columns, p, strict=True)]
     return df.join(noise, same, "left").withColumn(name, F.coalesce("_noise", F.lit(False))).drop(*p, "_noise")
 

@@ -96,6 +96,12 @@ def test_density_noise_in_many_columns(spark):
     assert 0 < want.sum() < 100 and all(got[i] == bool(w) for i, w in enumerate(want))
 
 
+def test_density_noise_gathers_nothing_on_the_driver(spark):
+    df = spark.range(300).selectExpr("id as i", "id % 20 * 1.0 as a", "id % 7 / 2.0 as b", "id % 5 / 2.0 as c")
+    plan = anomaly.dbscan_noise(df, ["a", "b", "c"], 0.8, 4)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan
+
+
 def test_outliers_by_all_methods(spark):
     df = spark.range(200).selectExpr("cast(id as double) as a", "cast(if(id = 7, 9000, id % 5) as double) as b")
     found = anomaly.by_all_methods(df)

@@ -3,6 +3,8 @@ meet on the driver; rows never do."""
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import BisectingKMeans, GaussianMixture
@@ -10,7 +12,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from brinework.functions.columns import numeric
+from brinework.functions.columns import free_name, numeric
 
 
 def _moments(df: DataFrame, columns: list[str]) -> tuple[int, np.ndarray, np.ndarray]:
@@ -119,6 +121,36 @@ def _assigned(x: np.ndarray, centres: list[np.ndarray]) -> list[tuple[np.ndarray
     return out
 
 
+#: Rows that meet all centres at once: their distances stay in a core's cache.
+BLOCK = 256
+
+
+def _sums(x: np.ndarray, w: np.ndarray, centres: list[np.ndarray]) -> list[np.ndarray]:
+    """For each set of centres a row for each centre: the weight of the rows nearest to it, their summed squared distance
+    and their sums. A block of rows meets the centres of all sets in one product."""
+    p, ends = x.shape[1], np.cumsum([0, *(len(c) for c in centres)])
+    every, runs, at = np.vstack(centres), [], 0
+    for k, same in itertools.groupby(map(len, centres)):
+        m = len(list(same))
+        runs.append((at, m, k))
+        at += m * k
+    turned, square, acc = np.ascontiguousarray(-2 * every.T), (every * every).sum(axis=1), np.zeros((len(every), p + 2))
+    for at in range(0, len(x), BLOCK):
+        some, weight = x[at : at + BLOCK], w[at : at + BLOCK]
+        d = some @ turned
+        d += square
+        # sets of one size stand together, so one minimum serves all of them
+        own = np.vstack([d[:, a : a + m * k].reshape(-1, m, k).argmin(axis=2).T + np.arange(a, a + m * k, k)[:, None] for a, m, k in runs])
+        row = np.arange(len(some))
+        far = np.maximum(d[row, own] + (some * some).sum(axis=1), 0)
+        chosen = np.zeros((len(some), len(every)))
+        chosen[row, own] = weight
+        acc[:, 0] += chosen.sum(axis=0)
+        acc[:, 1] += np.bincount(own.ravel(), weights=(far * weight).ravel(), minlength=len(every))
+        acc[:, 2:] += chosen.T @ some
+    return [acc[a:b] for a, b in zip(ends, ends[1:])]
+
+
 def kmeans(df: DataFrame, columns: list[str] | None = None, ks: range = range(2, 11), starts: int = 10, seed: int = 42, least: int = 50) -> DataFrame:
     """(k, inertia, silhouette, davies_bouldin, sizes, balance, best, best_davies_bouldin, elbow) for each number of
     clusters of standardized complete rows; no row for under ``least`` of them.
@@ -128,13 +160,15 @@ def kmeans(df: DataFrame, columns: list[str] | None = None, ks: range = range(2,
     Silhouettes are by squared distances, which sums of a cluster give in closed form. Ties go to the smaller k."""
     columns = columns or numeric(df)
     spark, schema = df.sparkSession, "k int, inertia double, silhouette double, davies_bouldin double, sizes array<long>, balance double, best boolean, best_davies_bouldin boolean, elbow boolean"
-    data = _standardized(df, columns).persist()
-    n, p = data.count(), len(columns)
+    data, p, weight = _standardized(df, columns), len(columns), free_name(df, "_weight")
+    data = data.groupBy(*columns).agg(F.count("*").alias(weight)).persist()
+    n = data.agg(F.coalesce(F.sum(weight), F.lit(0))).first()[0]
     ks = [k for k in ks if k < n]
     if n < least or not ks:
         data.unpersist()
         return spark.createDataFrame([], schema)
-    few = data.orderBy(F.xxhash64(*columns), *columns).limit(SEED_ROWS).toPandas().to_numpy()
+    few = data.orderBy(F.xxhash64(*columns), *columns).limit(SEED_ROWS).toPandas()
+    few = np.repeat(few[columns].to_numpy(dtype=np.float64), few[weight].clip(upper=SEED_ROWS), axis=0)[:SEED_ROWS]
     rng = np.random.default_rng(seed)
     owner = [k for k in ks for _ in range(starts)]
     centres = [_seeded(few, k, rng) for k in owner]
@@ -146,12 +180,8 @@ def kmeans(df: DataFrame, columns: list[str] | None = None, ks: range = range(2,
         def run(batches):
             acc = [np.zeros((len(c), p + 2)) for c in shared.value]
             for pdf in batches:
-                x = pdf.to_numpy(dtype=np.float64)
-                for a, (own, far), c in zip(acc, _assigned(x, shared.value), shared.value, strict=True):
-                    a[:, 0] += np.bincount(own, minlength=len(c))
-                    a[:, 1] += np.bincount(own, weights=far, minlength=len(c))
-                    for j in range(p):
-                        a[:, 2 + j] += np.bincount(own, weights=x[:, j], minlength=len(c))
+                for a, more in zip(acc, _sums(pdf[columns].to_numpy(dtype=np.float64), pdf[weight].to_numpy(dtype=np.float64), shared.value), strict=True):
+                    a += more
             rows = [(i, j, *row) for i, a in enumerate(acc) for j, row in enumerate(a) if row[0]]
             yield pd.DataFrame(rows, columns=["i", "j", "n", "cost", *(f"s{q}" for q in range(p))])
 
@@ -178,7 +208,7 @@ def kmeans(df: DataFrame, columns: list[str] | None = None, ks: range = range(2,
     best = {k: min((i for i, o in enumerate(owner) if o == k), key=lambda i: (inertia[i], i)) for k in ks}
     chosen = [centres[best[k]] for k in ks]
     last = total(list(range(len(ks))), chosen)
-    scores = _cluster_scores(data, chosen, last, p)
+    scores = _cluster_scores(data, columns, weight, chosen, last)
     data.unpersist()
     cost = [float(last[i][:, 1].sum()) for i in range(len(ks))]
     sil, db = [float(s) for s, _ in scores], [float(d) for _, d in scores]
@@ -192,8 +222,8 @@ def kmeans(df: DataFrame, columns: list[str] | None = None, ks: range = range(2,
     return spark.createDataFrame(rows, schema)
 
 
-def _cluster_scores(data: DataFrame, centres: list[np.ndarray], sums: dict[int, np.ndarray], p: int) -> list[tuple[float, float]]:
-    """(silhouette, Davies-Bouldin) of each set of centres, in one pass."""
+def _cluster_scores(data: DataFrame, columns: list[str], weight: str, centres: list[np.ndarray], sums: dict[int, np.ndarray]) -> list[tuple[float, float]]:
+    """(silhouette, Davies-Bouldin) of each set of centres over weighted rows, in one pass."""
     stats = []
     for i, c in enumerate(centres):
         n = sums[i][:, 0]
@@ -205,7 +235,7 @@ def _cluster_scores(data: DataFrame, centres: list[np.ndarray], sums: dict[int,
     def run(batches):
         acc = [(np.zeros(1), np.zeros(len(c))) for c, _, _, _ in shared.value]
         for pdf in batches:
-            x = pdf.to_numpy(dtype=np.float64)
+            x, w = pdf[columns].to_numpy(dtype=np.float64), pdf[weight].to_numpy(dtype=np.float64)
             for (total, far), (own, _), (_, n, mean, spread) in zip(acc, _assigned(x, [s[0] for s in shared.value]), shared.value, strict=True):
                 d = (x * x).sum(axis=1)[:, None] - 2 * x @ mean.T + (mean * mean).sum(axis=1)
                 # mean squared distance to all rows of a cluster: to its centre, and theirs to it
@@ -215,8 +245,8 @@ def _cluster_scores(data: DataFrame, centres: list[np.ndarray], sums: dict[int,
                 each[rows, own] = np.inf
                 other = each.min(axis=1)
                 most = np.maximum(mine, other)
-                total += np.where((n[own] > 1) & (most > 0), (other - mine) / np.where(most > 0, most, 1), 0).sum()
-                far += np.bincount(own, weights=np.sqrt(np.maximum(d[rows, own], 0)), minlength=len(far))
+                total += (w * np.where((n[own] > 1) & (most > 0), (other - mine) / np.where(most > 0, most, 1), 0)).sum()
+                far += np.bincount(own, weights=w * np.sqrt(np.maximum(d[rows, own], 0)), minlength=len(far))
         rows = [(i, -1, float(t[0])) for i, (t, _) in enumerate(acc)] + [(i, j, float(v)) for i, (_, f) in enumerate(acc) for j, v in enumerate(f)]
         yield pd.DataFrame(rows, columns=["i", "j", "v"])
 

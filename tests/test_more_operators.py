@@ -141,6 +141,18 @@ def test_shapiro_wilk_against_published_values(spark):
     assert hypothesis_tests.normality(normal).first().consensus == "normal"
 
 
+def test_kmeans_sums_weigh_equal_rows_as_one():
+    rng = np.random.default_rng(8)
+    x, w = rng.normal(size=(700, 3)), rng.integers(1, 5, 700)
+    centres = [rng.normal(size=(k, 3)) for k in (2, 2, 3)]
+    every = np.repeat(x, w, axis=0)
+    for got, c in zip(models._sums(x, w.astype(float), centres), centres, strict=True):
+        d = ((every[:, None] - c[None]) ** 2).sum(axis=2)
+        own = d.argmin(axis=1)
+        want = [[(own == j).sum(), d[own == j, j].sum(), *every[own == j].sum(axis=0)] for j in range(len(c))]
+        assert got == pytest.approx(np.array(want))
+
+
 def test_kmeans_scores(spark):
     rng = np.random.default_rng(3)
     x = np.vstack([rng.normal(c, 0.4, (60, 2)) for c in ((0, 0), (5, 0), (0, 6))])

@@ -2,91 +2,142 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from brinework.operators.models import _moments
+from brinework.operators.ranks import _range_of
+
+
+#: Distinct donors and incomplete rows of a range, about, ranges of a search at most, above which they get larger, and
+#: distances that a task holds at once.
+DONORS_A_TASK, ROWS_A_TASK, RANGES, HELD = 50_000, 20_000, 128, 2_000_000
 
 
-#: Distinct rows of each side that meet in one task of ``knn``, and distances that it holds at once. They bound memory,
-#: not what is compared: each incomplete row meets all donors.
-DONORS_A_TASK, ROWS_A_TASK, HELD = 50_000, 20_000, 2_000_000
+@dataclass(frozen=True)
+class Search:
+    """Incomplete rows that know the columns of one set, and donors that know those of another: the columns both have, the
+    one whose order the donors are dealt by, those that the donors can fill, and the splitters of the ranges."""
 
+    shared: list[int]
+    axis: int
+    fills: list[int]
+    splitters: list[float]
 
-def _nearest(donors: pd.DataFrame, rows: pd.DataFrame, p: int, k: int) -> pd.DataFrame:
-    """For each of ``rows`` and each column it lacks, the k of ``donors`` that have it and come first by distance, hash
-    and value: (column, distance, tie, value, n) beside the row."""
-    names = [f"_c{j}" for j in range(p)]
-    none = pd.DataFrame(columns=[*names, "column", "distance", "tie", "value", "n"])
-    if not len(donors) or not len(rows):
-        return none
+
+def _nearest(donors: pd.DataFrame, rows: pd.DataFrame, one: Search, p: int, k: int) -> pd.DataFrame:
+    """For each of ``rows`` the k of ``donors`` that come first by distance and hash, no farther than the row's ``bound``:
+    (column, distance, tie, value, n) for each column they fill; and the k-th distance as column -1. The k-th of the donors
+    beside a row in the order of the axis bounds how far along it the others need be looked for."""
+    names, out = [f"_c{j}" for j in range(p)], []
+    donors = donors.sort_values(f"_c{one.axis}", kind="stable")
     base, x = donors[names].to_numpy(dtype=np.float64), rows[[f"_q{j}" for j in range(p)]].to_numpy(dtype=np.float64)
-    known, gaps, tie, times = ~np.isnan(base), np.isnan(x), donors["tie"].to_numpy(), donors["n"].to_numpy()
-    out = []
-    for mask in np.unique(gaps, axis=0):
-        own, mine = np.flatnonzero(~mask), np.flatnonzero((gaps == mask).all(axis=1))
-        shared = known[:, own].sum(axis=1)
-        for j in np.flatnonzero(mask):
-            pick = np.flatnonzero(known[:, j] & (shared > 0))
-            if not len(pick):
-                continue
-            have, both, n = np.nan_to_num(base[pick]), known[pick], shared[pick]
-            step = max(1, HELD // len(pick))
-            for at in range(0, len(mine), step):
-                some = mine[at : at + step]
-                far = np.zeros((len(some), len(pick)))
-                for c in own:
-                    d = x[some, c, None] - have[None, :, c]
-                    d *= d
-                    d *= both[None, :, c]
-                    far += d
-                far *= p
-                far /= n
-                # the k-th of some donors is no nearer than the k-th of all
-                few = far[:, : max(2000, k)]
-                least = np.partition(few, k - 1, axis=1)[:, k - 1] if few.shape[1] >= k else np.full(len(some), np.inf)
-                r, d = np.nonzero(far <= least[:, None])
-                distance, value = far[r, d], base[pick[d], j]
-                order = np.lexsort((value, tie[pick[d]], distance, r))
-                r, d = r[order], d[order]
-                first = np.searchsorted(r, np.arange(len(some)))
-                best = np.arange(len(r)) - first[r] < k
-                r, d = r[best], d[best]
-                part = pd.DataFrame(x[some[r]], columns=names)
-                out.append(part.assign(column=j, distance=far[r, d], tie=tie[pick[d]], value=base[pick[d], j], n=times[pick[d]]))
-    return pd.concat(out) if out else none
+    tie, times, at, bound = donors["tie"].to_numpy(), donors["n"].to_numpy(), base[:, one.axis], rows["bound"].to_numpy(dtype=np.float64).copy()
+
+    def far(q: np.ndarray, d: np.ndarray) -> np.ndarray:
+        total = np.zeros(d.shape)
+        for c in one.shared:
+            gap = x[q, c] - base[d, c]
+            total += gap * gap
+        return total * p / len(one.shared)
+
+    width = min(max(4 * k, 32), len(base))
+    if width >= k:
+        for i in range(0, len(x), max(1, HELD // width)):
+            q = np.arange(i, min(len(x), i + max(1, HELD // width)))
+            first = np.clip(np.searchsorted(at, x[q, one.axis]) - width // 2, 0, len(base) - width)
+            beside = far(q[:, None], first[:, None] + np.arange(width))
+            bound[q] = np.minimum(bound[q], np.partition(beside, k - 1, axis=1)[:, k - 1])
+    reach = np.sqrt(bound * len(one.shared) / p) * (1 + 1e-9)
+    lo, hi = np.searchsorted(at, x[:, one.axis] - reach, "left"), np.searchsorted(at, x[:, one.axis] + reach, "right")
+    till, i, kth = np.cumsum(hi - lo), 0, np.full(len(x), np.inf)
+    while i < len(x):
+        j = max(i + 1, int(np.searchsorted(till, (till[i - 1] if i else 0) + HELD, "right")))
+        sizes = (hi - lo)[i:j]
+        q = np.repeat(np.arange(i, j), sizes)
+        d = np.arange(len(q)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + lo[q]
+        distance = far(q, d)
+        keep = distance <= bound[q]
+        q, d, distance = q[keep], d[keep], distance[keep]
+        order = np.lexsort((tie[d], distance, q))
+        q, d, distance = q[order], d[order], distance[order]
+        place = np.arange(len(q)) - np.searchsorted(q, q)
+        kth[q[place == k - 1]] = distance[place == k - 1]
+        q, d, distance = q[place < k], d[place < k], distance[place < k]
+        for c in one.fills:
+            out.append(pd.DataFrame(x[q], columns=names).assign(column=c, distance=distance, tie=tie[d], value=base[d, c], n=times[d]))
+        i = j
+    out.append(pd.DataFrame(x, columns=names).assign(column=-1, distance=kth, tie=0, value=0.0, n=0))
+    return pd.concat(out)
 
 
 def knn(df: DataFrame, columns: list[str], k: int = 5, seed: int = 42) -> DataFrame:
     """Nulls of ``columns`` as the mean of the k nearest donors that have the column, by Euclidean distance over the
-    columns both have, scaled up for those missing; the column's mean over all rows where no donor is comparable. All
-    rows are donors: blocks of distinct incomplete rows meet parts of the distinct donors, and the k nearest of each
-    meeting are merged. Equal distances go by a seeded hash. The work grows with incomplete rows times donors."""
-    names = [f"_c{j}" for j in range(len(columns))]
+    columns both have, scaled up for those missing; the column's mean over all rows where no donor is comparable. Equal
+    distances go by a seeded hash. All rows are donors: distinct incomplete rows that know the same columns search the
+    distinct donors that know the same columns, dealt into ranges of a column with many values that varies most. A row
+    first searches its own range, and then those that its k-th distance there reaches into."""
+    p = len(columns)
+    names, asked = [f"_c{j}" for j in range(p)], [f"_q{j}" for j in range(p)]
     clean = {n: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for n, c in zip(names, columns, strict=True)}
     lacking = F.lit(False)
     for n in names:
         lacking = lacking | F.col(n).isNull()
     work = df.withColumns(clean)
-    rows = work.groupBy(*names).agg(F.count("*").alias("n")).withColumn("tie", F.xxhash64(F.lit(seed), *names))
+    known = F.concat(*(F.when(F.col(n).isNull(), "0").otherwise("1") for n in names))
+    rows = work.groupBy(*names).agg(F.count("*").alias("n")).withColumn("tie", F.xxhash64(F.lit(seed), *names)).withColumn("known", known)
     start = work.agg(*(F.avg(n).alias(n) for n in names)).first()
-    size = rows.agg(F.count("*").alias("all"), F.count_if(lacking).alias("lacking")).first()
-    parts, blocks = 1 + size["all"] // DONORS_A_TASK, 1 + size["lacking"] // ROWS_A_TASK
+    wide = rows.agg(*(F.coalesce(F.stddev_pop(n), F.lit(0.0)).alias(n) for n in names), *(F.approx_count_distinct(n).alias(q) for n, q in zip(names, asked, strict=True))).first()
+    sizes = {r["known"]: r["count"] for r in rows.groupBy("known").count().collect()}
+    pairs = []  # (what the incomplete row knows, what the donor knows, shared, axis)
+    for q in sorted(sizes):
+        for m in sorted(sizes):
+            shared, fills = [j for j in range(p) if q[j] == m[j] == "1"], [j for j in range(p) if q[j] == "0" and m[j] == "1"]
+            if shared and fills:
+                pairs.append((q, m, shared, max(shared, key=lambda j: (min(wide[asked[j]], RANGES), wide[names[j]])), fills))
+    cuts = {(m, axis): 1 for _, m, _, axis, _ in pairs}
+    for q, m, _, axis, _ in pairs:
+        cuts[m, axis] = min(RANGES, max(cuts[m, axis], 1 + sizes[m] // DONORS_A_TASK, 1 + sizes[q] // ROWS_A_TASK))
+    points = [F.percentile_approx(F.when(F.col("known") == m, F.col(names[axis])), F.array(*(F.lit(i / n) for i in range(1, n))), 10_000) for (m, axis), n in cuts.items() if n > 1]
+    found = rows.agg(*points).first() if points else []
+    splitters = {c: sorted(set(v or [])) for c, v in zip([c for c, n in cuts.items() if n > 1], found, strict=True)}
+    searches = [Search(shared, axis, fills, splitters.get((m, axis), [])) for _, m, shared, axis, fills in pairs]
+    place = lambda i, v: F.struct(F.lit(i).alias("search"), _range_of(v, searches[i].splitters).alias("range"))
+    # donors that are alike in the shared columns are equally far, so the first k of them are enough
+    copies = rows.withColumn("at", F.explode(F.array_compact(F.array(*(F.when(F.col("known") == m, place(i, F.col(names[axis]))) for i, (_, m, _, axis, _) in enumerate(pairs)))))).select(*names, "n", "tie", "at.*") if pairs else None
+    if copies is None:
+        return work.withColumns({c: F.coalesce(F.col(n), F.lit(float(start[n] or 0.0))) for n, c in zip(names, columns, strict=True)}).select(*df.columns)
+    alike = [F.when(F.col("search").isin([i for i, one in enumerate(searches) if j in one.shared]), F.col(n)) for j, n in enumerate(names)]
+    donors = copies.withColumn("_place", F.row_number().over(Window.partitionBy("search", "range", *alike).orderBy("tie"))).where(F.col("_place") <= k).drop("_place").groupBy("search", "range")
+    # new names, as a cogroup of two frames with columns of one origin mixes them up
+    known_by = F.array_compact(F.array(*(F.when(F.col("known") == q, place(i, F.col(names[axis]))) for i, (q, _, _, axis, _) in enumerate(pairs))))
+    wanted = rows.where(lacking).withColumn("at", F.explode(known_by)).select(*(F.col(n).alias(q) for n, q in zip(names, asked, strict=True)), F.col("at.search").alias("to_search"), F.col("at.range").alias("to_range"), F.lit(float("inf")).alias("bound"))
+    schema = ", ".join(f"{n} double" for n in names) + ", column int, distance double, tie long, value double, n long, search int, range int"
 
-    def spread(own, other, count, others):
-        return lambda x: x.withColumn(own, F.pmod(F.xxhash64(F.lit(seed + 1), *names), F.lit(count))).withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(others - 1).cast("long"))))
+    def met(x: DataFrame) -> DataFrame:
+        def run(key, a, b):
+            if not len(b):
+                return pd.DataFrame(columns=[*names, "column", "distance", "tie", "value", "n", "search", "range"])
+            return _nearest(a, b, searches[int(key[0])], p, k).assign(search=int(key[0]), range=int(key[1]))
 
-    donors = rows.transform(spread("part", "block", parts, blocks)).groupBy("part", "block")
-    # new names, as a cogroup of two frames with columns of one origin mixes them up
-    asked = [f"_q{j}" for j in range(len(columns))]
-    wanted = rows.where(lacking).transform(spread("block", "part", blocks, parts)).select(*(F.col(n).alias(q) for n, q in zip(names, asked, strict=True)), F.col("part").alias("to_part"), F.col("block").alias("to_block")).groupBy("to_part", "to_block")
-    schema = ", ".join(f"{n} double" for n in names) + ", column int, distance double, tie long, value double, n long"
-    p = len(columns)
-    near = donors.cogroup(wanted).applyInPandas(lambda a, b: _nearest(a, b, p, k), schema)
-    # pandas has no null number, so what comes back as NaN is null again
-    near = near.withColumns({n: F.nanvl(n, F.lit(None).cast("double")) for n in names})
+        got = donors.cogroup(x.groupBy("to_search", "to_range")).applyInPandas(run, schema)
+        # pandas has no null number, so what comes back as NaN is null again
+        return got.withColumns({n: F.nanvl(n, F.lit(None).cast("double")) for n in names})
+
+    own = met(wanted)
+    v = {}
+    for i, one in enumerate(searches):
+        reach = F.sqrt(F.col("distance") * (len(one.shared) / p)) * (1 + 1e-9)
+        span = F.when(F.col("distance") == float("inf"), F.struct(F.lit(0).alias("lo"), F.lit(len(one.splitters)).alias("hi")))
+        v[i] = span.otherwise(F.struct(_range_of(F.col(names[one.axis]) - reach, one.splitters).alias("lo"), _range_of(F.col(names[one.axis]) + reach, one.splitters).alias("hi")))
+    ends = F.coalesce(*(F.when(F.col("search") == i, x) for i, x in v.items()))
+    further = own.where("column = -1").withColumn("_e", ends).withColumn("to_range", F.explode(F.sequence(F.col("_e.lo"), F.col("_e.hi")))).where(F.col("to_range") != F.col("range"))
+    more = met(further.select(*(F.col(n).alias(q) for n, q in zip(names, asked, strict=True)), F.col("search").alias("to_search"), "to_range", F.col("distance").alias("bound")))
+    near = own.where("column >= 0").unionByName(more.where("column >= 0"))
     each = Window.partitionBy(*names, "column").orderBy("distance", "tie", "value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     taken = near.withColumn("before", F.sum("n").over(each) - F.col("n")).where(F.col("before") < k).withColumn("n", F.least("n", k - F.col("before")))
     means = taken.groupBy(*names, "column").agg((F.sum(F.col("value") * F.col("n")) / F.sum("n")).alias("value"))

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from brinework.functions import scalars
-from brinework.operators import anomaly, charts, cleaning, hypothesis_tests, insights, kpi, models, profile, quality, ranks, recipes, relational, timeseries
+from brinework.operators import anomaly, charts, cleaning, hypothesis_tests, impute, insights, kpi, models, profile, quality, ranks, recipes, relational, timeseries
 from brinework.sources import files
 from brinework.sources.star import Star
 
@@ -141,6 +141,19 @@ def test_shapiro_wilk_against_published_values(spark):
     assert hypothesis_tests.normality(normal).first().consensus == "normal"
 
 
+def test_knn_looks_along_one_column_only():
+    rng = np.random.default_rng(11)
+    donors = pd.DataFrame({"_c0": rng.normal(size=5000) * 100, "_c1": rng.integers(0, 9, 5000) / 1.0, "_c2": rng.normal(size=5000), "tie": rng.permutation(5000), "n": 1})
+    rows = pd.DataFrame({"_q0": rng.normal(size=40) * 100, "_q1": rng.integers(0, 9, 40) / 1.0, "_q2": np.nan, "bound": np.inf})
+    got = impute._nearest(donors, rows, impute.Search([0, 1], 0, [2], []), 3, 5)
+    for q in rows.itertuples():
+        far = (((q._1 - donors["_c0"]) ** 2 + (q._2 - donors["_c1"]) ** 2) * 3 / 2).to_numpy()
+        mine = got[(got["_c0"] == q._1) & (got["_c1"] == q._2)]
+        best = np.lexsort((donors["tie"], far))[:5]
+        assert mine[mine["column"] == 2]["value"].tolist() == pytest.approx(donors["_c2"].to_numpy()[best])
+        assert mine[mine["column"] == -1]["distance"].tolist() == pytest.approx([far[best[-1]]])
+
+
 def test_kmeans_sums_weigh_equal_rows_as_one():
     rng = np.random.default_rng(8)
     x, w = rng.normal(size=(700, 3)), rng.integers(1, 5, 700)

@@ -168,8 +168,10 @@ def pearson(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 
 def _pair_cells(df: DataFrame, columns: list[str]) -> DataFrame:
     """(a, b, x, y, w): the distinct value pairs of each pair of columns, over rows that have both, and their counts."""
-    pairs = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y")) for a, b in combinations(columns, 2)]
-    return df.select(F.explode(F.array(*pairs)).alias("p")).select("p.*").where("x is not null and y is not null").groupBy("a", "b", "x", "y").agg(F.count("*").alias("w"))
+    # equal rows are one row before each becomes a row for every pair
+    rows = df.select(*(F.col(c).cast("double").alias(f"_{i}") for i, c in enumerate(columns))).groupBy(*(f"_{i}" for i in range(len(columns)))).agg(F.count("*").alias("w"))
+    pairs = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"_{i}").alias("x"), F.col(f"_{j}").alias("y")) for (i, a), (j, b) in combinations(enumerate(columns), 2)]
+    return rows.select("w", F.explode(F.array(*pairs)).alias("p")).select("p.*", "w").where("x is not null and y is not null").groupBy("a", "b", "x", "y").agg(F.sum("w").alias("w"))
 
 
 def spearman(df: DataFrame, columns: list[str] | None = None) -> DataFrame:

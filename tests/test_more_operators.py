@@ -154,6 +154,17 @@ def test_knn_looks_along_one_column_only():
         assert mine[mine["column"] == -1]["distance"].tolist() == pytest.approx([far[best[-1]]])
 
 
+def test_equal_rows_are_one_before_they_meet_every_pair(spark):
+    df = spark.range(400).selectExpr("id % 3 as a", "id % 2 * 1.0 as b", "if(id % 5 = 0, null, id % 7) as c")
+    cells = profile._pair_cells(df, ["a", "b", "c"])
+    plan = cells._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.rindex("Aggregate")
+    x = df.toPandas()
+    for a, b in (("a", "b"), ("a", "c"), ("b", "c")):
+        want = x[[a, b]].dropna().value_counts()
+        assert {(r.x, r.y): r.w for r in cells.where(f"a = '{a}' and b = '{b}'").collect()} == {(float(i), float(j)): n for (i, j), n in want.items()}
+
+
 def test_kmeans_sums_weigh_equal_rows_as_one():
     rng = np.random.default_rng(8)
     x, w = rng.normal(size=(700, 3)), rng.integers(1, 5, 700)

@@ -6,6 +6,7 @@ from __future__ import annotations
 import itertools
 import math
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -16,6 +17,10 @@ from brinework.functions.columns import long_form, numeric
 from brinework.operators.profile import iqr_outliers, zscore_outliers
 
 
+#: Boxes of a tree that is read off a table, at most; an index of them has two bytes.
+TABLE = 65_536
+
+
 @dataclass(frozen=True)
 class Forest:
     """Trees as arrays: the feature split on (-1 for a leaf), the threshold, the children, and a leaf's path length."""
@@ -23,18 +28,52 @@ class Forest:
     trees: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
     size: int
 
+    @cached_property
+    def tables(self) -> tuple[list[np.ndarray], list[tuple[list[np.ndarray], np.ndarray] | None]]:
+        """All cuts of each feature; and for each tree what each place between them adds to an index, and the path length by
+        that index. None for a tree whose cuts part space into over ``TABLE`` boxes, which is walked."""
+        p = 1 + max((int(f.max()) for f, *_ in self.trees), default=-1)
+        cuts = [np.unique(np.concatenate([c[f == j] for f, c, *_ in self.trees])) for j in range(p)]
+        out: list[tuple[list[np.ndarray], np.ndarray] | None] = []
+        for tree in self.trees:
+            own = [np.unique(tree[1][tree[0] == j]) for j in range(p)]
+            boxes = math.prod(len(u) + 1 for u in own)
+            if boxes > TABLE:
+                out.append(None)
+                continue
+            corner = np.meshgrid(*(np.append(-np.inf, u) for u in own), indexing="ij")
+            path = _walked(tree, np.column_stack([c.ravel() for c in corner])) if p else np.array([tree[4][0]])
+            steps = [math.prod(len(u) + 1 for u in own[j + 1 :]) for j in range(p)]
+            out.append(([(np.append(0, np.cumsum(np.isin(c, u))) * n).astype(np.uint16) for c, u, n in zip(cuts, own, steps, strict=True)], path))
+        return cuts, out
+
     def scores(self, x: np.ndarray) -> np.ndarray:
-        """2 ** (-mean path / expected path): near 1 for what is isolated soon."""
+        """2 ** (-mean path / expected path): near 1 for what is isolated soon. A row's places among the cuts of the features
+        are found once, and a tree reads its path length off them."""
+        cuts, tables = self.tables
+        places = [np.searchsorted(c, x[:, j], "right") for j, c in enumerate(cuts)]
         total = np.zeros(len(x))
-        for feature, cut, left, right, path in self.trees:
-            node = np.zeros(len(x), dtype=np.int64)
-            while (inner := feature[node] >= 0).any():
-                at = node[inner]
-                node[inner] = np.where(x[inner, feature[at]] < cut[at], left[at], right[at])
-            total += path[node]
+        for tree, table in zip(self.trees, tables, strict=True):
+            if table is None:
+                total += _walked(tree, x)
+                continue
+            at = np.zeros(len(x), dtype=np.uint16)
+            for place, adds in zip(places, table[0], strict=True):
+                at += adds[place]
+            total += table[1][at]
         return 2.0 ** (-total / len(self.trees) / max(expected_path(self.size), 1e-9))
 
 
+def _walked(tree: tuple[np.ndarray, ...], x: np.ndarray) -> np.ndarray:
+    """The path length of each row."""
+    feature, cut, left, right, path = tree
+    node = np.zeros(len(x), dtype=np.int64)
+    while (inner := feature[node] >= 0).any():
+        at = node[inner]
+        node[inner] = np.where(x[inner, feature[at]] < cut[at], left[at], right[at])
+    return path[node]
+
+
 def expected_path(n: int) -> float:
     """Mean path length of an unsuccessful search among ``n``."""
     return 0.0 if n < 2 else 1.0 if n == 2 else 2 * (math.log(n - 1) + 0.5772156649015329) - 2 * (n - 1) / n
@@ -77,6 +116,7 @@ def fit(df: DataFrame, columns: list[str] | None = None, trees: int = 100, sampl
 
 def score(df: DataFrame, forest: Forest, columns: list[str], name: str = "anomaly") -> DataFrame:
     """``df`` with the score of each complete row; null for others."""
+    forest.tables  # once, on the driver, and shared with the trees
     shared = df.sparkSession.sparkContext.broadcast(forest)
 
     @F.pandas_udf("double")

@@ -165,6 +165,16 @@ def test_equal_rows_are_one_before_they_meet_every_pair(spark):
         assert {(r.x, r.y): r.w for r in cells.where(f"a = '{a}' and b = '{b}'").collect()} == {(float(i), float(j)): n for (i, j), n in want.items()}
 
 
+def test_forest_reads_paths_off_tables():
+    rng = np.random.default_rng(12)
+    for p in (1, 2, 6):
+        x = np.round(rng.normal(size=(2000, p)), 1)
+        forest = anomaly.Forest([anomaly._tree(x[rng.choice(2000, 256, replace=False)], rng, 8) for _ in range(20)], 256)
+        total = sum(anomaly._walked(tree, x) for tree in forest.trees)
+        assert np.array_equal(forest.scores(x), 2.0 ** (-total / 20 / anomaly.expected_path(256)))
+        assert p == 6 or all(t is not None for t in forest.tables[1])
+
+
 def test_kmeans_sums_weigh_equal_rows_as_one():
     rng = np.random.default_rng(8)
     x, w = rng.normal(size=(700, 3)), rng.integers(1, 5, 700)

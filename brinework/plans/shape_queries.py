@@ -71,8 +71,9 @@ SELECT o_orderkey, o_orderstatus, CASE WHEN o_orderkey % 7 <> 0 THEN o_totalpric
 def json_column_orders(spark, d):
     """All orders as texts of the form {column: {row: value}}, some 500 orders each, read back as one table."""
     o = t(spark, d, "orders").select("o_orderkey", "o_orderstatus", F.when(F.col("o_orderkey") % 7 != 0, F.col("o_totalprice")).alias("o_totalprice"), (F.col("o_orderkey") % 3 == 0).alias("third"))
-    column = lambda c: F.map_from_entries(F.collect_list(F.struct(F.col("o_orderkey").cast("string"), F.col(c)))).alias(c)
-    texts = o.groupBy(F.floor(F.col("o_orderkey") / 2000).alias("file")).agg(F.to_json(F.struct(*map(column, o.columns))).alias("text"))
+    rows = o.groupBy(F.floor(F.col("o_orderkey") / 2000).alias("file")).agg(F.collect_list(F.struct(*o.columns)).alias("r"))
+    column = lambda c: F.map_from_entries(F.transform("r", lambda x: F.struct(x["o_orderkey"].cast("string"), x[c]))).alias(c)
+    texts = rows.select("file", F.to_json(F.struct(*map(column, o.columns))).alias("text"))
     return files.json_columns(texts)
 
 

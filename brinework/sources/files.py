@@ -50,11 +50,21 @@ def json_columns(texts: DataFrame, index: str | None = None) -> DataFrame:
     """A table from (file, text) of the form {column: {row: value}}, one for each file; with ``index`` the row labels are a
     column of that name. A column has the type that holds its values of all files: whole numbers, doubles, booleans or
     texts, and text for anything else, as for values of different types. What a row lacks is null. A text is one value, so
-    a large table is one of many files; their rows are put together by (file, row) and not file by file."""
+    a large table is one of many files. The rows of a file whose columns all have the same rows are put together in place, those of
+    others by (file, row)."""
     parsed = texts.select("file", F.parse_json("text").alias("v"))
-    cells = texts.sparkSession.sql("SELECT file, r.key AS label, c.key AS name, r.value AS value FROM {parsed}, LATERAL variant_explode(v) AS c, LATERAL variant_explode(c.value) AS r", parsed=parsed)
-    found = {r["name"]: r["kind"] for r in cells.groupBy("name").agg(F.schema_of_variant_agg("value").alias("kind")).collect()}
-    rows = cells.groupBy("file", "label").pivot("name", sorted(found)).agg(F.first("value"))
+    cells_of = lambda some: texts.sparkSession.sql("SELECT file, r.key AS label, c.key AS name, r.value AS value FROM {parsed}, LATERAL variant_explode(v) AS c, LATERAL variant_explode(c.value) AS r", parsed=some)
+    found = {r["name"]: r["kind"] for r in cells_of(parsed).groupBy("name").agg(F.schema_of_variant_agg("value").alias("kind")).collect()}
+    # where all columns of a file have the same rows, as they mostly do, its rows are put together where the file is; the keys
+    # of a variant are in order
+    maps = parsed.select("file", "v", F.variant_get("v", "$", "map<string, map<string, variant>>").alias("m"))
+    keys = F.transform(F.map_values("m"), F.map_keys)
+    even = maps.withColumn("k", F.coalesce(F.get(keys, F.lit(0)), F.array().cast("array<string>"))).withColumn("even", F.forall(keys, lambda x: x == F.col("k")))
+    names, none = sorted(found), F.array().cast("array<variant>")
+    place = {c: f"_{i}" for i, c in enumerate(names)}
+    aligned = even.where("even").select(F.explode(F.arrays_zip(F.col("k").alias("label"), *(F.coalesce(F.map_values(F.col("m")[c]), none).alias(p) for c, p in place.items()))).alias("r")).select("r.label", *(F.col(f"r.{p}").alias(c) for c, p in place.items()))
+    ragged = cells_of(even.where(~F.coalesce(F.col("even"), F.lit(False))).select("file", "v")).groupBy("file", "label").pivot("name", names).agg(F.first("value")).drop("file")
+    rows = aligned.unionByName(ragged)
 
     def typed(c: str, kind: str):
         v = F.col("`" + c.replace("`", "``") + "`")

@@ -72,3 +72,11 @@ def test_json_by_columns_as_pandas_writes_it(spark, tmp_path):
                 assert found[c] == want
     mixed = spark.createDataFrame([("f", '{"a": {"0": 1, "1": "x", "2": null}, "b": {"0": null}}'), ("g", "{}")], "file string, text string")
     assert {r["i"]: (r["a"], r["b"]) for r in files.json_columns(mixed, "i").collect()} == {"0": ("1", None), "1": ("x", None), "2": (None, None)}
+
+
+def test_json_columns_of_even_files_stay_where_they_are(spark):
+    even = spark.createDataFrame([("f", '{"a": {"1": 1, "0": 2}, "b": {"0": null, "1": "y"}}'), ("g", '{"a": {"7": 3}}')], "file string, text string")
+    got = files.json_columns(even, "i")
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "inline" in plan.lower() or "explode(arrays_zip" in plan
+    assert {r["i"]: (r["a"], r["b"]) for r in got.collect()} == {"0": (2, None), "1": (1, "y"), "7": (3, None)}

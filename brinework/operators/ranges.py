@@ -4,43 +4,82 @@ row for each range."""
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Sequence
-from math import ceil, isqrt
+from itertools import pairwise
+from math import ceil, inf, nextafter
+from sys import float_info
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.window import WindowSpec
 
 from brinework.functions.columns import free_name
 
 #: Rows of a range, about; sampled rows for each range; ranges at most, above which they get larger.
 RANGE_ROWS, SAMPLED, RANGES = 500_000, 40, 4096
 
+
+def _lead(df: DataFrame, column: str) -> Column | None:
+    """``column`` as doubles in its order, where lesser doubles are of lesser values: nulls first, NaN as infinity; None for
+    columns that are neither numbers nor times."""
+    kind, x = df.schema[column].dataType, F.col(column)
+    if isinstance(kind, (T.DateType, T.TimestampNTZType)):
+        day = F.unix_date(x.cast("date"))
+        x = day if isinstance(kind, T.DateType) else ((day * 24 + F.hour(x)) * 60 + F.minute(x)).cast("long") * 60 + F.second(x)
+    elif not isinstance(kind, (T.NumericType, T.TimestampType)):
+        return None
+    return F.coalesce(F.nanvl(x.cast("double"), F.lit(inf)), F.lit(-inf)) + F.lit(0.0)  # no negative zero
+
+
 def dealt(df: DataFrame, order: Sequence[str], range_rows: int = RANGE_ROWS) -> tuple[DataFrame, str, int]:
     """``df`` with a new column of ranges, its name, and how many there are at most: rows of a lesser range come first in ``order`` (nulls
-    first), and rows that are equal in it are in one range. The splitters come from rows drawn by seed, at most SAMPLED for
-    each range; which rows these are moves the sizes of ranges and nothing else. One row with the splitters is broadcast."""
+    first), and rows that are equal in it are in one range. The splitters come from rows drawn by seed, about SAMPLED for
+    each range; which rows these are moves the sizes of ranges and nothing else. They are one value of the plan, which no row
+    carries along. A row is placed by its first column where that is a number or a time and no splitter has the same, and
+    else by halves of all splitters."""
     at, name = F.struct(*(F.col(c) for c in order)), free_name(df, "_range")
-    n = min(RANGES, ceil(df.count() / range_rows))
+    rows = df.count()
+    n = min(RANGES, ceil(rows / range_rows))
     if n <= 1:
         return df.withColumn(name, F.lit(0)), name, 1
-    few = df.select(at.alias("at")).orderBy(F.rand(7)).limit(n * SAMPLED)
+    lead = _lead(df, order[0])
+    few = df.select(at.alias("at"), (F.lit(0.0) if lead is None else lead).alias("lead")).where(F.rand(7) < n * SAMPLED / rows)
     placed = few.withColumn("i", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("at")))  # the sample only
-    splitters = placed.where((F.col("i") % SAMPLED == 0) & (F.col("i") < n * SAMPLED)).select("at").distinct()
-    all_, heads = free_name(df, "_splitters"), free_name(df, "_heads")
-    # splitters by groups, so that a row meets about two square roots of their number
-    group = max(1, isqrt(n))
-    grouped = splitters.agg(F.sort_array(F.collect_list("at")).alias(all_)).withColumn(heads, F.filter(all_, lambda x, i: i % group == 0))
-    row = F.broadcast(grouped.sparkSession.createDataFrame(grouped.collect(), grouped.schema))
-    under = F.size(F.filter(heads, lambda s: s < at))
-    inner = F.size(F.filter(F.slice(all_, (under - 1) * group + 1, group), lambda s: s < at))
-    return df.join(row).withColumn(name, F.when(under == 0, 0).otherwise((under - 1) * group + inner)).drop(all_, heads), name, n
+    splitters = placed.where((F.col("i") % SAMPLED == 0) & (F.col("i") < n * SAMPLED)).select("at", "lead").distinct()
+    row = splitters.agg(F.sort_array(F.collect_list("at")).alias("all"), F.sort_array(F.collect_list("lead")).alias("leads"))
+    taken = row.sparkSession.createDataFrame(row.toArrow(), row.schema)
+    all_, ends_ = free_name(df, "_splitters"), free_name(df, "_ends")
+    halves = F.array(*(F.lit(1 << k) for k in reversed(range(n.bit_length()))))
+    under = F.aggregate(halves, F.lit(0), lambda i, k: F.when(F.get(F.col(all_), i + k - 1) < at, i + k).otherwise(i))
+    out, values = df, {all_: taken.select("all").scalar()}
+    if lead is not None:
+        leads = taken.first()["leads"]
+        same = {float_info.max, *leads}  # each starts a part that holds nothing else, or what is beyond all numbers
+        edges = sorted({-inf, inf, *same, *(nextafter(e, inf) for e in leads)})
+        ends = [None if a in same else bisect_left(leads, b) for a, b in pairwise(edges)]
+        out = Bucketizer(splits=edges, inputCol=name, outputCol=ends_).transform(df.withColumn(name, lead)).withColumn(name, F.col(ends_).cast("int"))
+        values[ends_] = df.sparkSession.createDataFrame([(ends,)], "ends array<int>").scalar()
+        under = F.coalesce(F.get(ends_, F.col(name)), under)
+    # each of these is used once, so the plan puts the values into ``under`` and not into rows
+    return out.withColumns(values).withColumn(name, under).drop(*values), name, n
+
+
+def both_ways(by: Sequence[str], order: Sequence[str], value: Column) -> tuple[WindowSpec, WindowSpec]:
+    """Windows over the rows up to each row in ``order``, and over those from it on: the latter are the rows up to it in the
+    reverse order, as a frame that reaches to the end is gone through anew for every row. Of rows that are equal in the order,
+    those without a ``value`` are the last."""
+    till = lambda *o: Window.partitionBy(*by).orderBy(*o).rowsBetween(Window.unboundedPreceding, 0)
+    return till(*order, value.isNull()), till(*(F.desc(c) for c in order), value.isNull().desc())
 
 
 def known(df: DataFrame, value: Column, order: Sequence[str], name: str, forward: bool = True, ahead: bool = False, range_rows: int = RANGE_ROWS) -> DataFrame:
     """``df`` with ``name``: the last non-null ``value`` up to each row in ``order``, or the first from it on where not
     ``forward``; with ``ahead`` both, as ``name`` and ``name + "_ahead"``."""
     ranged, part, n = dealt(df.withColumn(name, value), order, range_rows)
-    within = Window.partitionBy(part).orderBy(*order)
+    within, backward = both_ways([part], order, F.col(name))
     at = F.struct(*order)
     sides = [(name, True), (f"{name}_ahead", False)] if ahead else [(name, forward)]
     given = F.when(F.col(name).isNotNull(), at)
@@ -51,7 +90,7 @@ def known(df: DataFrame, value: Column, order: Sequence[str], name: str, forward
     passed = carried.select(F.col(part).alias("_r"), before, after) if n > 1 else None
     here = {}
     for new, back in sides:
-        own = F.last(name, True).over(within.rowsBetween(Window.unboundedPreceding, 0)) if back else F.first(name, True).over(within.rowsBetween(0, Window.unboundedFollowing))
+        own = F.last(name, True).over(within if back else backward)
         here[f"_{new}"] = own
     out = ranged.withColumns(here)
     if passed is not None:

@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from brinework.operators import cleaning, ranges
 
@@ -58,3 +59,46 @@ def test_no_window_over_all_rows(spark):
     df = spark.range(100).selectExpr("id", "if(id % 3 = 0, id, null) as v")
     plan = cleaning.carry(df, "v", ["id"], range_rows=10)._jdf.queryExecution().executedPlan().toString()
     assert "_range" in plan and plan.count("Window") == 2  # one by ranges, one over a row for each range
+
+
+@pytest.mark.parametrize("kind", ["double", "bigint", "date", "timestamp", "timestamp_ntz", "decimal(20,3)", "string"])
+def test_ranges_keep_the_order_and_equal_rows(spark, kind):
+    """Few different first values, nulls, NaN, infinities and zeros of both signs, so splitters have equal ones."""
+    draw = random.Random(kind)
+    odd = [None, float("nan"), float("inf"), float("-inf"), 0.0, -0.0] if kind == "double" else [None]
+    rows = [(draw.choice([*odd, *map(float, range(-3, 4))]), draw.choice([None, *range(30)])) for _ in range(2000)]
+    make = {"date": "date_add(date'2020-01-01', int(a))", "timestamp": "timestamp_micros(bigint(a) * 250000)", "timestamp_ntz": "cast(timestamp_micros(bigint(a) * 250000) as timestamp_ntz)"}.get(kind, f"cast(a as {kind})")
+    if kind == "bigint":  # apart by less than doubles can tell
+        make = "9007199254740993 + cast(a as bigint)"
+    df = spark.createDataFrame(rows, "a double, b int").selectExpr(f"{make} as a", "b").repartition(3)
+    ranged, name, n = ranges.dealt(df, ["a", "b"], 20)
+    got = ranged.groupBy("a", "b").agg(F.min(name).alias("lo"), F.max(name).alias("hi")).orderBy("a", "b").collect()
+    assert n == 100 and all(r.lo == r.hi for r in got)
+    assert [r.lo for r in got] == sorted(r.lo for r in got) and len({r.lo for r in got}) > 20
+
+
+def test_backward_frames_do_not_start_anew_for_every_row(spark):
+    """A frame that ends with its partition costs a partition's square."""
+    df = spark.range(100).selectExpr("id", "id % 3 as k", "if(id % 3 = 0, id, null) as v")
+    for got in (
+        cleaning.carry(df, "v", ["id"], forward=False, range_rows=10), cleaning.carry(df, "v", ["id"], ["k"], forward=False), cleaning.carry_both(df, "v", "w", ["id"], range_rows=10),
+        cleaning.interpolate(df, "v", "id", range_rows=10), cleaning.interpolate(df, "v", "id", ["k"]),
+    ):
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        windows = [line for line in plan.splitlines() if "Window [" in line and "_first" not in line]
+        assert windows and not any("unboundedfollowing" in line.lower() for line in windows)
+
+
+@pytest.mark.parametrize("by", [[], ["k"]])
+def test_interpolate_takes_the_value_of_an_equal_row(spark, by):
+    rows = [(1, x, v) for x, v in [(0, 1.0), (2, None), (2, 5.0), (2, None), (4, 9.0), (9, None)]]
+    got = cleaning.interpolate(spark.createDataFrame(rows, "k int, x int, v double"), "v", "x", by, range_rows=1).orderBy("x", "v").collect()
+    assert [(r.x, r.v) for r in got] == [(0, 1.0), (2, 5.0), (2, 5.0), (2, 5.0), (4, 9.0), (9, None)]
+
+
+def test_carry_both_is_both_carries(spark):
+    draw = random.Random(9)
+    rows = [(draw.choice([None, *range(20)]), i, draw.randrange(100) if draw.random() < 0.05 else None) for i in range(300)]
+    got = cleaning.carry_both(spark.createDataFrame(rows, "a int, b int, v int").repartition(4), "v", "w", ["a", "b"], range_rows=11)
+    assert sorted(map(tuple, got.select("a", "b", "v").collect()), key=str) == brute_carry(rows, True)
+    assert sorted(map(tuple, got.select("a", "b", "w").collect()), key=str) == brute_carry(rows, False)

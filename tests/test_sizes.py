@@ -2,7 +2,9 @@
 
 import re
 
-from brinework.operators import cleaning, profile
+from pyspark.sql import functions as F
+
+from brinework.operators import cleaning, profile, recipes
 
 
 def test_whole_rows_are_grouped_in_partitions_of_bounded_size(spark, monkeypatch):
@@ -20,3 +22,24 @@ def test_whole_rows_are_grouped_in_partitions_of_bounded_size(spark, monkeypatch
 def test_a_small_table_is_left_as_it_is(spark):
     df = spark.range(50).selectExpr("id % 5 as a")
     assert "REPARTITION_BY_NUM" not in cleaning.drop_duplicates(df)._jdf.queryExecution().executedPlan().toString() and cleaning.drop_duplicates(df).count() == 5
+
+
+def test_duplicates_are_dropped_once_for_all_statistics(spark, tmp_path):
+    """The steps after it take some ten statistics each; they read what is kept, and nothing stays kept."""
+    spark.range(2000).selectExpr("id % 700 as a", "if(id % 7 = 0, null, double(id % 700)) as b", "string(id % 2) as c").write.parquet(str(tmp_path / "t"))
+    seen = spark.sparkContext.accumulator(0)
+    df = spark.read.parquet(str(tmp_path / "t"))
+    rows = df.count()
+
+    @F.udf("bigint")
+    def met(a):
+        seen.add(1)
+        return a
+
+    counted = df.withColumn("a", met("a"))
+    out = recipes.clean(counted, "standard")
+    assert rows <= seen.value <= 2 * rows  # one pass for what is kept, besides the count of rows
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == 0
+    assert out.count() == 700 and recipes.live_clean(df).count() == 700
+    plain = recipes.Recipe(tuple((name + "_", change, instead) for name, change, instead in recipes.recipe(recipes.options(preset="standard")).steps))
+    assert sorted(map(str, out.collect())) == sorted(map(str, plain(df).collect()))

@@ -14,12 +14,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from brinework.llm.common import bounded_batches, free_name, pieces, release, trim, word_hashes
+from brinework.llm.common import bounded_batches, collect_garbage, free_name, pieces, release, trim, word_hashes
 from brinework.llm.decontaminate import _NORMAL
 
 BUCKETS, WIDTH, GRAMS, WINDOW = 1 << 16, 8, (3, 4, 5), 8
 #: Bytes of text that are scored at once.
 PIECE_BYTES = 500_000
+#: Distinct words, and words of the texts, that a step of the fit takes at once: they bound its arrays, not what is read.
+WORDS, TOKENS = 4096, 65_536
 #: Labelled rows of class 0 and of class 1 the model is fitted on, at most; chosen by a hash of the id.
 FIT_ROWS = (2400, 800)
 
@@ -87,6 +89,26 @@ def scores(texts: list[bytes], model: Model) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(worst_windows(words, first) + model.bias, -500, 500)))
 
 
+def _word_buckets(hashes: np.ndarray, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The bucket of each word and those of its n-grams, word after word, and how many each word has."""
+    data, s, e, _ = _laid_out([b" ".join(words)])
+    buckets, owner = [(hashes & np.uint64(BUCKETS - 1)).astype(np.int32)], [np.arange(len(words))]
+    for n in GRAMS:
+        have = np.maximum(e - s + 3 - n, 0)
+        at = np.repeat(s - 1, have) + np.arange(have.sum()) - np.repeat(np.cumsum(have) - have, have)
+        buckets.append(_gram_buckets(data, n)[at].astype(np.int32))
+        owner.append(np.repeat(np.arange(len(words)), have))
+    owner = np.concatenate(owner)
+    return np.concatenate(buckets)[np.argsort(owner, kind="stable")], np.bincount(owner, minlength=len(words))
+
+
+def _adam(param: np.ndarray, grad: np.ndarray, m: np.ndarray, v: np.ndarray, rate: float, step: int) -> None:
+    """One step of Adam, in place."""
+    m += 0.1 * (grad - m)
+    v += 0.001 * (grad * grad - v)
+    param -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+
+
 def fit(texts: list[bytes], labels: list[int], steps: int = 120, rate: float = 0.05, decay: float = 1e-7, seed: int = 11) -> Model:
     """Joint training of n-gram vectors and softmax by Adam on the worst window of each text. Without rows of both
     classes, a model that gives every text the one class there is, nearly surely; that of no toxicity for no rows."""
@@ -97,33 +119,33 @@ def fit(texts: list[bytes], labels: list[int], steps: int = 120, rate: float = 0
     # the distinct words, a few texts at a time
     spelled: dict[int, bytes] = {}
     hashes, counts = [], []
-    for at in range(0, len(texts), 256):
-        data, starts, ends, first = _laid_out(texts[at : at + 256])
+    part = np.cumsum([len(t) for t in texts]) // PIECE_BYTES
+    edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(texts)]
+    for at, to in zip(edges[:-1], edges[1:], strict=True):
+        data, starts, ends, first = _laid_out(texts[at:to])
         h = word_hashes(data, starts, ends)
         new, place = np.unique(h, return_index=True)
         raw = data.tobytes()
         spelled.update((k, raw[starts[i] : ends[i]]) for k, i in zip(new.tolist(), place.tolist(), strict=True) if k not in spelled)
         hashes.append(h)
         counts.append(np.diff(first))
-    token = np.concatenate(hashes)
     first = np.concatenate([[0], np.cumsum(np.concatenate(counts))])
     word = np.sort(np.fromiter(spelled, dtype=np.uint64, count=len(spelled)))
-    token = np.searchsorted(word, token).astype(np.int32)
-    data, s, e, _ = _laid_out([b" ".join(spelled[k] for k in word.tolist())])
-    del hashes, spelled
-    # the buckets of each
-    buckets, owner = [(word & np.uint64(BUCKETS - 1)).astype(np.int32)], [np.arange(len(word), dtype=np.int32)]
-    for n in GRAMS:
-        have = np.maximum(e - s + 3 - n, 0)
-        at = np.repeat(s - 1, have) + np.arange(have.sum()) - np.repeat(np.cumsum(have) - have, have)
-        buckets.append(_gram_buckets(data, n)[at].astype(np.int32))
-        owner.append(np.repeat(np.arange(len(word), dtype=np.int32), have))
-    buckets, owner = np.concatenate(buckets), np.concatenate(owner)
-    by_word = np.argsort(owner, kind="stable")
-    buckets, owner = buckets[by_word], owner[by_word]
-    del by_word, data, s, e
-    size = np.bincount(owner, minlength=len(word)).astype(np.float64)
+    token = np.empty(first[-1], dtype=np.int32)
+    done = 0
+    for i, h in enumerate(hashes):
+        token[done : done + len(h)] = np.searchsorted(word, h)
+        done, hashes[i] = done + len(h), None
+    # the buckets of each, word after word
+    buckets, size = [], np.zeros(len(word))
+    blocks = [(at, min(at + WORDS, len(word))) for at in range(0, len(word), WORDS)]
+    for lo, hi in blocks:
+        bucket, own = _word_buckets(word[lo:hi], [spelled[k] for k in word[lo:hi].tolist()])
+        buckets.append(bucket)
+        size[lo:hi] = own
+    buckets = np.concatenate([np.zeros(0, np.int32), *buckets])
     begin = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+    del hashes, spelled
 
     full = np.flatnonzero(np.diff(first))
     y = y[full]
@@ -134,11 +156,16 @@ def fit(texts: list[bytes], labels: list[int], steps: int = 120, rate: float = 0
     emb = rng.normal(0, 0.1, (BUCKETS, WIDTH))
     soft, bias = rng.normal(0, 0.5, (WIDTH, 2)), np.zeros(2)
     state = [[np.zeros_like(p), np.zeros_like(p)] for p in (emb, soft, bias)]
+    score, sums = np.empty(len(word)), np.empty(len(token) + 1)
     for step in range(1, steps + 1):
         u = soft[:, 1] - soft[:, 0]
         t = emb @ u
-        score = np.add.reduceat(t[buckets], begin[:-1]) / size
-        sums = np.concatenate([[0.0], np.cumsum(score[token])])
+        for i, j in blocks:
+            score[i:j] = np.add.reduceat(t[buckets[begin[i] : begin[j]]], begin[i:j] - begin[i]) / size[i:j]
+        sums[0] = 0.0
+        for i in range(0, len(token), TOKENS):
+            sums[i + 1 : i + 1 + TOKENS] = score[token[i : i + TOKENS]]
+        np.cumsum(sums, out=sums)
         chosen = lo.copy()
         if step <= steps // 4:  # the mean over all words finds what sets the classes apart
             till, parts, scale = hi, hi - lo, 8.0
@@ -151,21 +178,26 @@ def fit(texts: list[bytes], labels: list[int], steps: int = 120, rate: float = 0
         p = 1 / (1 + np.exp(-np.clip(logit, -50, 50)))
         g = (p - y) * share
         per = g / parts * scale
-        flow = np.zeros(len(token) + 1)
+        flow = sums  # the sums of this step are done with
+        flow[:] = 0.0
         np.add.at(flow, chosen, per)
         np.add.at(flow, till, -per)
-        g_word = np.bincount(token, weights=np.cumsum(flow)[:-1], minlength=len(word)) / size
-        used = np.flatnonzero(np.abs(g_word) > 1e-15)
-        mask = np.zeros(len(word), dtype=bool)
-        mask[used] = True
-        pick = mask[owner]
-        g_bucket = np.bincount(buckets[pick], weights=g_word[owner[pick]], minlength=BUCKETS)
+        np.cumsum(flow, out=flow)
+        g_word = np.zeros(len(word))
+        for i in range(0, len(token), TOKENS):
+            own = token[i : i + TOKENS]
+            np.add.at(g_word, own, flow[i : i + len(own)])
+        g_word /= size
+        g_word[np.abs(g_word) <= 1e-15] = 0.0
+        g_bucket = np.zeros(BUCKETS)
+        for i, j in blocks:
+            np.add.at(g_bucket, buckets[begin[i] : begin[j]], np.repeat(g_word[i:j], size[i:j].astype(np.int64)))
         g_u = emb.T @ g_bucket
-        grads = (g_bucket[:, None] * u + decay * emb, np.stack([-g_u, g_u], axis=1) + 1e-5 * soft, np.array([-g.sum(), g.sum()]))
-        for param, grad, (m, v) in zip((emb, soft, bias), grads, state, strict=True):
-            m += 0.1 * (grad - m)
-            v += 0.001 * (grad * grad - v)
-            param -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+        for i in range(0, BUCKETS, WORDS):
+            at = slice(i, i + WORDS)
+            _adam(emb[at], g_bucket[at, None] * u + decay * emb[at], state[0][0][at], state[0][1][at], rate, step)
+        _adam(soft, np.stack([-g_u, g_u], axis=1) + 1e-5 * soft, *state[1], rate, step)
+        _adam(bias, np.array([-g.sum(), g.sum()]), *state[2], rate, step)
     table = np.clip(emb @ (soft[:, 1] - soft[:, 0]), -500, 500)
     return Model(np.round(table * 2**20) / 2**20, float(bias[1] - bias[0]))
 
@@ -187,8 +219,11 @@ def fit_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
 
 def fitted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> Model:
-    """The model of ``fit_rows``; what the fit took of the driver's memory is given back."""
+    """The model of ``fit_rows``. The driver collects its garbage before the fit, which is when it needs most memory, and
+    what the fit took is given back."""
     rows = fit_rows(docs, labels, id_col, text_col, **options)
+    collect_garbage(docs.sparkSession)
+    trim()
     model = fit([t for t, _ in rows], [y for _, y in rows])
     del rows
     trim()

@@ -1,7 +1,9 @@
 import random
+import tracemalloc
 
 import numpy as np
 
+from brinework.llm import common
 from brinework.llm import toxicity as x
 
 
@@ -103,3 +105,29 @@ def test_worst_windows_as_a_loop():
     for i, (a, b) in enumerate(zip(first[:-1], first[1:], strict=True)):
         own = list(scores[a:b]) + [0.0] * max(0, x.WINDOW - (b - a))
         assert got[i] == (0.0 if a == b else max(sum(own[k : k + x.WINDOW]) / x.WINDOW for k in range(len(own) - x.WINDOW + 1))) or abs(got[i] - max(sum(own[k : k + x.WINDOW]) / x.WINDOW for k in range(len(own) - x.WINDOW + 1))) < 1e-12
+
+
+def test_fit_in_blocks(monkeypatch):
+    rows = some(6, 120)
+    texts, y = [t.encode() for t, _ in rows], [y for _, y in rows]
+    whole = x.fit(texts, y, steps=8)
+    monkeypatch.setattr(x, "WORDS", 64)
+    monkeypatch.setattr(x, "TOKENS", 1000)
+    parts = x.fit(texts, y, steps=8)
+    assert parts.table.tolist() == whole.table.tolist() and parts.bias == whole.bias
+    assert np.isfinite(x.fit([b"", b" "], [0, 1], steps=2).table).all()
+
+
+def test_memory_of_the_fit():
+    rng = random.Random(7)
+    words = ["".join(rng.choices("abcdefghijklmnop", k=12)) for _ in range(30_000)]
+    texts = [" ".join(rng.choices(words, k=200)).encode() for _ in range(1000)]
+    tracemalloc.start()
+    x.fit(texts, [i % 2 for i in range(1000)], steps=2)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 45e6, most
+
+
+def test_native_memory_of_the_driver(spark):
+    assert "Trim native heap" in common.trim_jvm(spark)

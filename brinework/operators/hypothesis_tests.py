@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from brinework.functions.columns import categorical, numeric
 from brinework.functions.special import chi2_sf, f_sf, kolmogorov_sf, normal_sf
-from brinework.operators.ranks import average_ranks, exact_quantiles, running, sizes_of
+from brinework.operators.ranks import average_ranks, group_medians, running, sizes_of
 
 
 def _row(spark, **values) -> DataFrame:
@@ -75,8 +75,7 @@ def kruskal(df: DataFrame, value: str, by: str) -> DataFrame:
 def levene(df: DataFrame, value: str, by: str) -> DataFrame:
     """ANOVA of the distances from the group medians."""
     rows = df.where(F.col(value).isNotNull() & F.col(by).isNotNull()).select(F.col(value).cast("double").alias("x"), F.col(by).alias("g"))
-    mid = exact_quantiles(rows, "x", (0.5,), ["g"]).select("g", F.col("q")[0].alias("mid"))
-    return anova(rows.join(mid, "g").select("g", F.abs(F.col("x") - F.col("mid")).alias("x")), "x", "g")
+    return anova(rows.join(group_medians(rows, "x", "g"), "g").select("g", F.abs(F.col("x") - F.col("mid")).alias("x")), "x", "g")
 
 
 def ks_normal(df: DataFrame, value: str) -> DataFrame:

@@ -1,9 +1,10 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from brinework.operators import cleaning, ranges
+from brinework.operators import cleaning, hypothesis_tests, ranges, ranks
 
 
 def brute_carry(rows, forward):
@@ -102,3 +103,26 @@ def test_carry_both_is_both_carries(spark):
     got = cleaning.carry_both(spark.createDataFrame(rows, "a int, b int, v int").repartition(4), "v", "w", ["a", "b"], range_rows=11)
     assert sorted(map(tuple, got.select("a", "b", "v").collect()), key=str) == brute_carry(rows, True)
     assert sorted(map(tuple, got.select("a", "b", "w").collect()), key=str) == brute_carry(rows, False)
+
+
+def test_group_medians(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    g = rng.choice(["a", "b", "c", "d"], 3000, p=[0.9, 0.08, 0.019, 0.001])
+    rows = [(str(k), float(v)) for k, v in zip(g, rng.integers(0, 1000, 3000) / 4, strict=True)] + [("e", 2.0), ("e", 5.0), ("f", 1.5), ("g", None), (None, 3.0)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    want = {k: float(np.median([x for h, x in rows if h == k and x is not None])) for k in "abcdef" if any(h == k for h, _ in rows)}
+    for accuracy, few in ((10_000, 10_000), (50, 10_000), (50, 2)):  # all within, brackets, many groups
+        monkeypatch.setattr(ranks, "ACCURACY", accuracy)
+        monkeypatch.setattr(ranks, "FEW_GROUPS", few)
+        assert dict(map(tuple, ranks.group_medians(df, "x", "g").collect())) == want
+    assert ranks.group_medians(df.limit(0), "x", "g").count() == 0
+
+
+def test_levene_ranks_only_brackets(spark, monkeypatch):
+    monkeypatch.setattr(ranks, "exact_quantiles", None)
+    monkeypatch.setattr(hypothesis_tests, "exact_quantiles", None, raising=False)
+    df = spark.createDataFrame([("ab"[i % 2], float(i * (1 + i % 2))) for i in range(40)], "g string, x double")
+    x = [[v for k, v in map(tuple, df.collect()) if k == h] for h in "ab"]
+    d = [np.abs(np.array(v) - np.median(v)) for v in x]
+    between = sum(len(v) * (v.mean() - np.concatenate(d).mean()) ** 2 for v in d)
+    assert abs(hypothesis_tests.levene(df, "x", "g").first().statistic - between / (sum(((v - v.mean()) ** 2).sum() for v in d) / 38)) < 1e-9

@@ -26,7 +26,7 @@ BLOCK_IDS = 1_000_000
 BLOCK = "part int, block int, ids_before long, n_ids long, doc_ids array<long>, doc_sizes array<long>, ranks binary, control binary, data binary"
 
 #: Lengths of the four ids of each control byte.
-LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3) + 1
+LENGTHS = (((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3) + 1).astype(np.uint8)
 
 
 def pack(values: np.ndarray) -> tuple[bytes, bytes]:
@@ -35,18 +35,31 @@ def pack(values: np.ndarray) -> tuple[bytes, bytes]:
     size = 1 + (v > 0xFF).astype(np.uint8) + (v > 0xFFFF) + (v > 0xFFFFFF)
     codes = np.zeros(-(-len(v) // 4) * 4, dtype=np.uint8)
     codes[: len(v)] = size - 1
-    control = (codes.reshape(-1, 4) << np.array([0, 2, 4, 6], dtype=np.uint8)).sum(axis=1, dtype=np.uint8)
+    control = codes[::4] | codes[1::4] << 2 | codes[2::4] << 4 | codes[3::4] << 6
     wide = v.view(np.uint8).reshape(-1, 4)
-    return control.tobytes(), wide[np.arange(4) < size[:, None]].tobytes()
+    data = np.empty(int(size.sum(dtype=np.int64)), dtype=np.uint8)
+    for k, which, at in _places(size):
+        data[at] = wide[which, k]
+    return control.tobytes(), data.tobytes()
 
 
 def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
     size = LENGTHS[np.frombuffer(control, dtype=np.uint8)].reshape(-1)[:n]
-    wide = np.zeros((n, 4), dtype=np.uint8)
-    wide[np.arange(4) < size[:, None]] = np.frombuffer(data, dtype=np.uint8)
+    wide, data = np.zeros((n, 4), dtype=np.uint8), np.frombuffer(data, dtype=np.uint8)
+    for k, which, at in _places(size):
+        wide[which, k] = data[at]
     return wide.reshape(-1).view("<u4")
 
 
+def _places(size: np.ndarray):
+    """For each byte of a value: its number, the values that have it, and where it is in the data."""
+    first = np.cumsum(size, dtype=np.int64) - size
+    yield 0, slice(None), first
+    for k in range(1, 4):
+        which = np.flatnonzero(size > k)
+        yield k, which, first[which] + k
+
+
 def _block(part: int, number: int, before: int, names: list, texts: list[bytes]) -> dict:
     ids = np.frombuffer(b"".join(texts), dtype="<u4")
     counts = np.bincount(ids)

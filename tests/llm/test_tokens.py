@@ -1,5 +1,6 @@
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -7,9 +8,9 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from brinework.llm import token_files
+from brinework.llm import token_files, word_ids
 from brinework.llm.token_counts import MergeCounter, token_counts
-from brinework.llm.word_ids import Cache, WordEncoder
+from brinework.llm.word_ids import Cache, Memo, WordEncoder
 
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 byte_library, word_library = Tokenizer.from_file(BYTE), Tokenizer.from_file(WORD)
@@ -42,6 +43,31 @@ def test_a_cache_keeps_what_is_used_and_stays_small():
         assert c["hot"] == "hot" and len(c) <= 5
 
 
+def test_a_stretch_looks_each_pre_token_up_once():
+    asked = Counter()
+
+    class Asked(Memo):
+        def __getitem__(self, key):
+            asked[key] += 1
+            return super().__getitem__(key)
+
+    fresh = WordEncoder(WORD)
+    fresh.parts, fresh.chunks = Asked(100, fresh._part), Asked(100, fresh._chunk)
+    text = "It's the Straße, THE STRASSE! the, The. x7 " * 500
+    want = np.array(word_library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    assert fresh.encode([text.encode()] * 3) == [want] * 3
+    assert max(asked.values()) == 1 and sum(asked.values()) == 10, asked
+
+
+def test_stretches_of_any_length_as_the_library_has_them(monkeypatch):
+    texts = [*ODD, " ".join(ODD), "ÀÉÞ× 'RE'll''s 's's 'É 5'd " * 3, "x" * 50 + " 日本—x it's", "", "<|ENDOFTEXT|> <|endoftext|>'s"]
+    for n in (1, 2, 7, 40):
+        monkeypatch.setattr(word_ids, "STRETCH", n)
+        check(texts)
+        check(texts[::-1])
+    assert encoder.encode([]) == []
+
+
 def test_coding_round_trip():
     rng = np.random.default_rng(1)
     for n in (0, 1, 3, 4, 5, 1000):

@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import BisectingKMeans, GaussianMixture
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from brinework.functions.columns import free_name, numeric
@@ -96,8 +96,12 @@ def _vectors(df: DataFrame, columns: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=columns, outputCol="features").transform(_standardized(df, columns)).select("features")
 
 
-#: Rows that starts are drawn from, those of least hash, and rounds of a fit at most.
-SEED_ROWS, ROUNDS = 2000, 300
+#: Rows that starts are drawn from, those of least hash; rounds of a fit at most, and the squared way of all its centres
+#: under which it ends.
+SEED_ROWS, ROUNDS, STILL = 2000, 300, 1e-4
+
+#: Cells at most that sum up all rows for the starts; fewer distinct rows stand for themselves.
+CELLS = 1 << 17
 
 
 def _seeded(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
@@ -121,48 +125,117 @@ def _assigned(x: np.ndarray, centres: list[np.ndarray]) -> list[tuple[np.ndarray
     return out
 
 
-#: Rows that meet all centres at once: their distances stay in a core's cache.
-BLOCK = 256
+#: Distances of the rows that meet all centres at once, about: they stay in a core's cache.
+BLOCK = 1 << 17
 
 
 def _sums(x: np.ndarray, w: np.ndarray, centres: list[np.ndarray]) -> list[np.ndarray]:
     """For each set of centres a row for each centre: the weight of the rows nearest to it, their summed squared distance
-    and their sums. A block of rows meets the centres of all sets in one product."""
-    p, ends = x.shape[1], np.cumsum([0, *(len(c) for c in centres)])
-    every, runs, at = np.vstack(centres), [], 0
+    and their sums. A block of rows meets the centres of all sets in one product, and its sums are another."""
+    ends, every, runs, at = np.cumsum([0, *(len(c) for c in centres)]), np.vstack(centres), [], 0
     for k, same in itertools.groupby(map(len, centres)):
         m = len(list(same))
         runs.append((at, m, k))
         at += m * k
-    turned, square, acc = np.ascontiguousarray(-2 * every.T), (every * every).sum(axis=1), np.zeros((len(every), p + 2))
-    for at in range(0, len(x), BLOCK):
-        some, weight = x[at : at + BLOCK], w[at : at + BLOCK]
-        d = some @ turned
-        d += square
-        # sets of one size stand together, so one minimum serves all of them
-        own = np.vstack([d[:, a : a + m * k].reshape(-1, m, k).argmin(axis=2).T + np.arange(a, a + m * k, k)[:, None] for a, m, k in runs])
-        row = np.arange(len(some))
-        far = np.maximum(d[row, own] + (some * some).sum(axis=1), 0)
-        chosen = np.zeros((len(some), len(every)))
-        chosen[row, own] = weight
-        acc[:, 0] += chosen.sum(axis=0)
-        acc[:, 1] += np.bincount(own.ravel(), weights=(far * weight).ravel(), minlength=len(every))
-        acc[:, 2:] += chosen.T @ some
+    square = (every * every).sum(axis=1)
+    turned, acc = np.column_stack([-2 * every, square]), np.zeros((len(every), x.shape[1] + 2))
+    step = max(1, min(BLOCK // len(every), len(x)))
+    held = np.empty((2, len(every), step))  # fresh memory for every block would take longer than the products
+    for at in range(0, len(x), step):
+        some, weight = x[at : at + step], w[at : at + step, None]
+        one = np.ones((len(some), 1))
+        d, chosen = held[:, :, : len(some)]
+        np.matmul(turned, np.hstack([some, one]).T, out=d)
+        # sets of one size stand together; rows stand along the last axis, so a minimum goes over whole lines of them
+        for a, m, k in runs:
+            each = d[a : a + m * k].reshape(m, k, -1)
+            mine = each == each.min(axis=1, keepdims=True)
+            if np.count_nonzero(mine) != m * len(some):  # of equal distances the first counts
+                mine = each.argmin(axis=1)[:, None] == np.arange(k)[None, :, None]
+            chosen[a : a + m * k] = mine.reshape(m * k, -1)
+        acc += chosen @ (np.hstack([one, (some * some).sum(axis=1, keepdims=True), some]) * weight)
+    acc[:, 1] = np.maximum(acc[:, 1] - 2 * (acc[:, 2:] * every).sum(axis=1) + acc[:, 0] * square, 0)
     return [acc[a:b] for a, b in zip(ends, ends[1:])]
 
 
+def _means(sums: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Where the rows of ``_sums`` have their means; a centre without rows stays."""
+    return np.where(sums[:, :1] > 0, sums[:, 2:] / np.maximum(sums[:, :1], 1), centres)
+
+
+def _edges(few: np.ndarray) -> list[np.ndarray]:
+    """Where each column is cut, so that all together make at most ``CELLS`` cells: at its quantiles among ``few`` rows. A
+    column of few values is cut between them and leaves more cuts to the others."""
+    out, left = [np.zeros(0)] * few.shape[1], float(CELLS)
+    values = [np.unique(v) for v in few.T]
+    for done, j in enumerate(sorted(range(few.shape[1]), key=lambda j: len(values[j]))):
+        parts = max(1, min(len(values[j]), int(left ** (1 / (few.shape[1] - done)) + 1e-9)))
+        left /= parts
+        v = values[j] if parts == len(values[j]) else np.unique(np.quantile(few[:, j], np.arange(1, parts) / parts))
+        out[j] = (v[1:] + v[:-1]) / 2 if parts == len(values[j]) else v
+    return out
+
+
+def _cells(data: DataFrame, columns: list[str], weight: str, few: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Means and weights of all rows in at most ``CELLS`` cells; ``few`` of the ``n`` distinct ones tell where they are cut."""
+    p = len(columns)
+    if n <= CELLS:
+        rows = data.orderBy(*columns).toPandas()
+        return rows[columns].to_numpy(dtype=np.float64), rows[weight].to_numpy(dtype=np.float64)
+    edges = _edges(few)
+    shape = [len(e) + 1 for e in edges]
+
+    def run(batches):
+        acc = np.zeros((p + 1, int(np.prod(shape))))
+        for pdf in batches:
+            x, w = pdf[columns].to_numpy(dtype=np.float64), pdf[weight].to_numpy(dtype=np.float64)
+            own = np.ravel_multi_index([np.searchsorted(e, v) for e, v in zip(edges, x.T, strict=True)], shape)
+            for j in range(p + 1):
+                acc[j] += np.bincount(own, weights=w * x[:, j] if j < p else w, minlength=acc.shape[1])
+        full = np.flatnonzero(acc[p])
+        yield pd.DataFrame({"cell": full, **{f"s{j}": acc[j, full] for j in range(p + 1)}})
+
+    sums = [f"s{j}" for j in range(p + 1)]
+    got = data.mapInPandas(run, "cell long, " + ", ".join(f"{s} double" for s in sums)).groupBy("cell").agg(*(F.sum(s).alias(s) for s in sums)).orderBy("cell").toPandas()[sums].to_numpy()
+    return got[:, :p] / got[:, p:], got[:, p]
+
+
+def _settled(spark: SparkSession, cells: tuple[np.ndarray, np.ndarray], centres: list[np.ndarray]) -> list[np.ndarray]:
+    """Each set of centres after a fit to the cells: a task for each set, in one job."""
+    shared = spark.sparkContext.broadcast((*cells, centres))
+
+    def run(batches):
+        x, w, held = shared.value
+        for pdf in batches:
+            for i in pdf["id"]:
+                c = held[i]
+                for _ in range(ROUNDS):
+                    before, c = c, _means(_sums(x, w, [c])[0], c)
+                    if ((c - before) ** 2).sum() <= STILL / 100:
+                        break
+                yield pd.DataFrame({"i": i, "j": range(len(c)), **{f"s{q}": c[:, q] for q in range(c.shape[1])}})
+
+    sums = [f"s{q}" for q in range(centres[0].shape[1])]
+    out = [np.zeros(c.shape) for c in centres]
+    for r in spark.range(0, len(centres), 1, len(centres)).mapInPandas(run, "i long, j long, " + ", ".join(f"{s} double" for s in sums)).collect():
+        out[r["i"]][r["j"]] = r[2:]
+    shared.destroy()
+    return out
+
+
 def kmeans(df: DataFrame, columns: list[str] | None = None, ks: range = range(2, 11), starts: int = 10, seed: int = 42, least: int = 50) -> DataFrame:
     """(k, inertia, silhouette, davies_bouldin, sizes, balance, best, best_davies_bouldin, elbow) for each number of
     clusters of standardized complete rows; no row for under ``least`` of them.
 
-    All starts of all k are fitted together: a pass over the rows assigns them to every set of centres and gives a sum for
-    each centre, so passes are shared and only centres reach the driver. Of each k the start of least inertia counts.
-    Silhouettes are by squared distances, which sums of a cluster give in closed form. Ties go to the smaller k."""
+    Starts are drawn from a few rows and settle among the means of cells that sum up all rows, so that few passes over
+    the rows are left. All starts of all k are then fitted together: a pass over the rows assigns them to every set of
+    centres and gives a sum for each centre, so passes are shared and only centres and cells reach the driver. No start
+    ends before it stands still among the rows themselves. Of each k the start of least inertia counts. Silhouettes are by squared distances, which sums of a cluster give in closed form. Ties go to the smaller k."""
     columns = columns or numeric(df)
     spark, schema = df.sparkSession, "k int, inertia double, silhouette double, davies_bouldin double, sizes array<long>, balance double, best boolean, best_davies_bouldin boolean, elbow boolean"
     data, p, weight = _standardized(df, columns), len(columns), free_name(df, "_weight")
     data = data.groupBy(*columns).agg(F.count("*").alias(weight)).persist()
-    n = data.agg(F.coalesce(F.sum(weight), F.lit(0))).first()[0]
+    n, distinct = data.agg(F.coalesce(F.sum(weight), F.lit(0)), F.count("*")).first()
     ks = [k for k in ks if k < n]
     if n < least or not ks:
         data.unpersist()
@@ -171,7 +244,7 @@ def kmeans(df: DataFrame, columns: list[str] | None = None, ks: range = range(2,
     few = np.repeat(few[columns].to_numpy(dtype=np.float64), few[weight].clip(upper=SEED_ROWS), axis=0)[:SEED_ROWS]
     rng = np.random.default_rng(seed)
     owner = [k for k in ks for _ in range(starts)]
-    centres = [_seeded(few, k, rng) for k in owner]
+    centres = _settled(spark, _cells(data, columns, weight, few, distinct), [_seeded(few, k, rng) for k in owner])
     sums = ", ".join(f"s{i} double" for i in range(p))
 
     def total(live: list[int], held: list[np.ndarray]) -> dict[int, np.ndarray]:
@@ -197,9 +270,9 @@ def kmeans(df: DataFrame, columns: list[str] | None = None, ks: range = range(2,
         found, still = total(live, [centres[i] for i in live]), []
         for i in live:
             a = found[i]
-            new = np.where(a[:, :1] > 0, a[:, 2:] / np.maximum(a[:, :1], 1), centres[i])
+            new = _means(a, centres[i])
             inertia[i] = a[:, 1].sum()
-            if ((new - centres[i]) ** 2).sum() > 1e-4:
+            if ((new - centres[i]) ** 2).sum() > STILL:
                 still.append(i)
             centres[i] = new
         live = still

@@ -2,9 +2,12 @@
 
 import re
 
+import numpy as np
+import pytest
+from pyspark import SparkContext
 from pyspark.sql import functions as F
 
-from brinework.operators import cleaning, profile, recipes
+from brinework.operators import cleaning, models, profile, recipes
 
 
 def test_whole_rows_are_grouped_in_partitions_of_bounded_size(spark, monkeypatch):
@@ -43,3 +46,36 @@ def test_duplicates_are_dropped_once_for_all_statistics(spark, tmp_path):
     assert out.count() == 700 and recipes.live_clean(df).count() == 700
     plain = recipes.Recipe(tuple((name + "_", change, instead) for name, change, instead in recipes.recipe(recipes.options(preset="standard")).steps))
     assert sorted(map(str, out.collect())) == sorted(map(str, plain(df).collect()))
+
+
+@pytest.mark.parametrize("cells", [600, 1 << 17])
+def test_kmeans_goes_over_the_rows_a_few_times(spark, monkeypatch, cells):
+    """Starts settle among cells that sum up all rows; the fits end among the rows."""
+    monkeypatch.setattr(models, "CELLS", cells, raising=False)
+    x = np.random.default_rng(6).uniform(size=(4000, 2)).round(3)
+    df = spark.createDataFrame(x.tolist(), "a double, b double").repartition(3)
+    passes, sent = [], SparkContext.broadcast
+    monkeypatch.setattr(SparkContext, "broadcast", lambda self, value: passes.append(1) or sent(self, value))
+    got = models.kmeans(df, ks=range(3, 8, 2), starts=4).collect()
+    assert len(passes) < 20
+    z = (x - x.mean(axis=0)) / x.std(axis=0)
+    for r in got:
+        least = np.inf
+        for start in range(12):
+            c = z[np.random.default_rng(start).choice(len(z), r.k, replace=False)]
+            for _ in range(300):
+                d = ((z[:, None] - c[None]) ** 2).sum(axis=2)
+                c = np.array([z[d.argmin(axis=1) == j].mean(axis=0) for j in range(r.k)])
+            least = min(least, ((z[:, None] - c[None]) ** 2).sum(axis=2).min(axis=1).sum())
+        assert sum(r.sizes) == 4000 and r.inertia == pytest.approx(least, rel=0.01)
+
+
+def test_kmeans_cells_keep_all_rows(spark, monkeypatch):
+    monkeypatch.setattr(models, "CELLS", 60)
+    x = np.random.default_rng(2).normal(size=(3000, 3))
+    x[:, 2] = x[:, 2] > 0.5
+    df = spark.createDataFrame([(*r, 1 + i % 3) for i, r in enumerate(x.tolist())], "a double, b double, c double, w int")
+    means, w = models._cells(df, ["a", "b", "c"], "w", x[:500], 3000)
+    assert len(w) <= 60 and w.sum() == 6000
+    assert (means * w[:, None]).sum(axis=0) == pytest.approx((x * (1 + np.arange(3000) % 3)[:, None]).sum(axis=0))
+    assert set(means[:, 2]) == {0.0, 1.0}  # a column of few values is cut between them

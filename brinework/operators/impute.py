@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -10,12 +11,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from brinework.operators.models import _moments
-from brinework.operators.ranks import _range_of
 
 
 #: Distinct donors and incomplete rows of a range, about, ranges of a search at most, above which they get larger, and
 #: distances that a task holds at once.
-DONORS_A_TASK, ROWS_A_TASK, RANGES, HELD = 50_000, 20_000, 128, 2_000_000
+DONORS_A_TASK, ROWS_A_TASK, RANGES, HELD = 50_000, 20_000, 1024, 2_000_000
 
 
 @dataclass(frozen=True)
@@ -29,12 +29,28 @@ class Search:
     splitters: list[float]
 
 
-def _nearest(donors: pd.DataFrame, rows: pd.DataFrame, one: Search, p: int, k: int) -> pd.DataFrame:
+def _first_alike(donors: pd.DataFrame, one: Search, k: int) -> pd.DataFrame:
+    """``donors`` in the order of the axis; where many share a value of it only the first ``k`` by hash of those that are
+    alike in the shared columns, as these are equally far from any row."""
+    donors = donors.sort_values(f"_c{one.axis}", kind="stable")
+    at = donors[f"_c{one.axis}"].to_numpy()
+    starts = np.flatnonzero(np.append(True, at[1:] != at[:-1])) if len(at) else np.zeros(0, dtype=np.int64)
+    if not len(at) or np.diff(np.append(starts, len(at))).max() <= 16 * k:
+        return donors
+    shared = [donors[f"_c{j}"].to_numpy() for j in [one.axis, *(j for j in one.shared if j != one.axis)]]
+    order = np.lexsort((donors["tie"].to_numpy(), *shared[::-1]))
+    new = np.append(True, np.any([v[order][1:] != v[order][:-1] for v in shared], axis=0))
+    first = np.flatnonzero(new)
+    return donors.iloc[order[np.arange(len(order)) - first[np.cumsum(new) - 1] < k]]
+
+
+def _nearest(donors: pd.DataFrame, rows: pd.DataFrame, one: Search, p: int, k: int, bounds: bool = False) -> pd.DataFrame:
     """For each of ``rows`` the k of ``donors`` that come first by distance and hash, no farther than the row's ``bound``:
     (column, distance, tie, value, n) for each column they fill; and the k-th distance as column -1. The k-th of the donors
-    beside a row in the order of the axis bounds how far along it the others need be looked for."""
+    beside a row in the order of the axis bounds how far along it the others need be looked for; with ``bounds`` the rows
+    come back with these bounds, and no donors."""
     names, out = [f"_c{j}" for j in range(p)], []
-    donors = donors.sort_values(f"_c{one.axis}", kind="stable")
+    donors = _first_alike(donors, one, k)
     base, x = donors[names].to_numpy(dtype=np.float64), rows[[f"_q{j}" for j in range(p)]].to_numpy(dtype=np.float64)
     tie, times, at, bound = donors["tie"].to_numpy(), donors["n"].to_numpy(), base[:, one.axis], rows["bound"].to_numpy(dtype=np.float64).copy()
 
@@ -45,15 +61,22 @@ def _nearest(donors: pd.DataFrame, rows: pd.DataFrame, one: Search, p: int, k: i
             total += gap * gap
         return total * p / len(one.shared)
 
+    reached = lambda q: (np.searchsorted(at, x[q, one.axis] - reach[q], "left"), np.searchsorted(at, x[q, one.axis] + reach[q], "right"))
+    reach = np.sqrt(bound * len(one.shared) / p) * (1 + 1e-9)
+    lo, hi = reached(slice(None))
     width = min(max(4 * k, 32), len(base))
-    if width >= k:
-        for i in range(0, len(x), max(1, HELD // width)):
-            q = np.arange(i, min(len(x), i + max(1, HELD // width)))
+    todo = np.flatnonzero(hi - lo > 4 * width) if width >= k else []
+    while len(todo):  # more donors beside a row bound it further, as long as many more are within reach
+        for i in range(0, len(todo), max(1, HELD // width)):
+            q = todo[i : i + max(1, HELD // width)]
             first = np.clip(np.searchsorted(at, x[q, one.axis]) - width // 2, 0, len(base) - width)
             beside = far(q[:, None], first[:, None] + np.arange(width))
             bound[q] = np.minimum(bound[q], np.partition(beside, k - 1, axis=1)[:, k - 1])
-    reach = np.sqrt(bound * len(one.shared) / p) * (1 + 1e-9)
-    lo, hi = np.searchsorted(at, x[:, one.axis] - reach, "left"), np.searchsorted(at, x[:, one.axis] + reach, "right")
+        reach[todo] = np.sqrt(bound[todo] * len(one.shared) / p) * (1 + 1e-9)
+        lo[todo], hi[todo] = reached(todo)
+        todo, width = todo[hi[todo] - lo[todo] > 4 * width], min(4 * width, len(base))
+    if bounds:
+        return rows.assign(bound=bound)
     till, i, kth = np.cumsum(hi - lo), 0, np.full(len(x), np.inf)
     while i < len(x):
         j = max(i + 1, int(np.searchsorted(till, (till[i - 1] if i else 0) + HELD, "right")))
@@ -79,8 +102,8 @@ def knn(df: DataFrame, columns: list[str], k: int = 5, seed: int = 42) -> DataFr
     """Nulls of ``columns`` as the mean of the k nearest donors that have the column, by Euclidean distance over the
     columns both have, scaled up for those missing; the column's mean over all rows where no donor is comparable. Equal
     distances go by a seeded hash. All rows are donors: distinct incomplete rows that know the same columns search the
-    distinct donors that know the same columns, dealt into ranges of a column with many values that varies most. A row
-    first searches its own range, and then those that its k-th distance there reaches into."""
+    distinct donors that know the same columns, dealt into ranges of a column with many values that varies most. Donors
+    of a row's own range bound which ranges can hold its nearest ones, and those are searched."""
     p = len(columns)
     names, asked = [f"_c{j}" for j in range(p)], [f"_q{j}" for j in range(p)]
     clean = {n: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for n, c in zip(names, columns, strict=True)}
@@ -89,55 +112,82 @@ def knn(df: DataFrame, columns: list[str], k: int = 5, seed: int = 42) -> DataFr
         lacking = lacking | F.col(n).isNull()
     work = df.withColumns(clean)
     known = F.concat(*(F.when(F.col(n).isNull(), "0").otherwise("1") for n in names))
-    rows = work.groupBy(*names).agg(F.count("*").alias("n")).withColumn("tie", F.xxhash64(F.lit(seed), *names)).withColumn("known", known)
-    start = work.agg(*(F.avg(n).alias(n) for n in names)).first()
-    wide = rows.agg(*(F.coalesce(F.stddev_pop(n), F.lit(0.0)).alias(n) for n in names), *(F.approx_count_distinct(n).alias(q) for n, q in zip(names, asked, strict=True))).first()
-    sizes = {r["known"]: r["count"] for r in rows.groupBy("known").count().collect()}
-    pairs = []  # (what the incomplete row knows, what the donor knows, shared, axis)
-    for q in sorted(sizes):
-        for m in sorted(sizes):
+    rows = work.groupBy(*names).agg(F.count("*").alias("n")).withColumn("tie", F.xxhash64(F.lit(seed), *names))
+    aggs = [x for n in names for x in (F.sum(F.col(n) * F.col("n")).alias(n), F.stddev_pop(n).alias(f"{n}_wide"), F.approx_count_distinct(n).alias(f"{n}_many"))]
+    facts = {r["known"]: r for r in rows.groupBy(known.alias("known")).agg(F.count("*").alias("rows"), F.sum("n").alias("n"), *aggs).collect()}
+    having = [[m for m in facts if m[j] == "1"] for j in range(p)]
+    start = {n: sum(facts[m][n] for m in own) / sum(facts[m]["n"] for m in own) if own else None for n, own in zip(names, having, strict=True)}
+    pairs = []  # (what the incomplete row knows, what the donor knows and is dealt by, shared, those it can fill)
+    for q in sorted(facts):
+        for m in sorted(facts):
             shared, fills = [j for j in range(p) if q[j] == m[j] == "1"], [j for j in range(p) if q[j] == "0" and m[j] == "1"]
             if shared and fills:
-                pairs.append((q, m, shared, max(shared, key=lambda j: (min(wide[asked[j]], RANGES), wide[names[j]])), fills))
-    cuts = {(m, axis): 1 for _, m, _, axis, _ in pairs}
-    for q, m, _, axis, _ in pairs:
-        cuts[m, axis] = min(RANGES, max(cuts[m, axis], 1 + sizes[m] // DONORS_A_TASK, 1 + sizes[q] // ROWS_A_TASK))
-    points = [F.percentile_approx(F.when(F.col("known") == m, F.col(names[axis])), F.array(*(F.lit(i / n) for i in range(1, n))), 10_000) for (m, axis), n in cuts.items() if n > 1]
-    found = rows.agg(*points).first() if points else []
-    splitters = {c: sorted(set(v or [])) for c, v in zip([c for c, n in cuts.items() if n > 1], found, strict=True)}
-    searches = [Search(shared, axis, fills, splitters.get((m, axis), [])) for _, m, shared, axis, fills in pairs]
-    place = lambda i, v: F.struct(F.lit(i).alias("search"), _range_of(v, searches[i].splitters).alias("range"))
-    # donors that are alike in the shared columns are equally far, so the first k of them are enough
-    copies = rows.withColumn("at", F.explode(F.array_compact(F.array(*(F.when(F.col("known") == m, place(i, F.col(names[axis]))) for i, (_, m, _, axis, _) in enumerate(pairs)))))).select(*names, "n", "tie", "at.*") if pairs else None
-    if copies is None:
+                axis = max(shared, key=lambda j: (min(facts[m][f"{names[j]}_many"], RANGES), facts[m][f"{names[j]}_wide"]))
+                pairs.append((q, (m, axis), shared, fills))
+    if not pairs:
         return work.withColumns({c: F.coalesce(F.col(n), F.lit(float(start[n] or 0.0))) for n, c in zip(names, columns, strict=True)}).select(*df.columns)
-    alike = [F.when(F.col("search").isin([i for i, one in enumerate(searches) if j in one.shared]), F.col(n)) for j, n in enumerate(names)]
-    donors = copies.withColumn("_place", F.row_number().over(Window.partitionBy("search", "range", *alike).orderBy("tie"))).where(F.col("_place") <= k).drop("_place").groupBy("search", "range")
+    cuts = {g: 1 for _, g, _, _ in pairs}
+    for q, g, _, _ in pairs:
+        cuts[g] = min(RANGES, max(cuts[g], 1 + facts[g[0]]["rows"] // DONORS_A_TASK, 1 + facts[q]["rows"] // ROWS_A_TASK))
+    points = [F.percentile_approx(F.when(known == m, F.col(names[axis])), F.array(*(F.lit(i / n) for i in range(1, n))), 10_000) for (m, axis), n in cuts.items() if n > 1]
+    found = dict(zip([g for g, n in cuts.items() if n > 1], rows.agg(*points).first() if points else [], strict=True))
+    splitters = {g: sorted(set(found.get(g) or [])) for g in cuts}
+    # values that alone have more donors than a range should hold
+    common = {g: sorted({v for v, n in Counter(found.get(g) or []).items() if n >= 3}) for g in cuts}
+    group = {g: i for i, g in enumerate(cuts)}
+    searches = [Search(shared, g[1], fills, splitters[g]) for _, g, shared, fills in pairs]
+    bits = lambda m: sum(1 << j for j in range(p) if m[j] == "1")
+    donor_groups = [(bits(g[0]), g[1], np.array(splitters[g]), common[g]) for g in cuts]
+    wanted_by = [(bits(q), group[g]) for q, g, _, _ in pairs]
+
+    def dealt(batches):
+        for pdf in batches:
+            code = pdf[names].notna().to_numpy() @ (1 << np.arange(p))
+            for i, (m, axis, ends, heavy) in enumerate(donor_groups):
+                some = pdf[code == m]
+                at = np.searchsorted(ends, some[names[axis]])
+                yield some.assign(group=i, range=at, heavy=np.isin(at, np.searchsorted(ends, heavy)))
+
+    def sought(batches):
+        for pdf in batches:
+            code = pdf[asked].notna().to_numpy() @ (1 << np.arange(p))
+            for i, (q, g) in enumerate(wanted_by):
+                some = pdf[code == q]
+                _, axis, ends, _ = donor_groups[g]
+                yield some.assign(search=i, to_group=g, to_range=np.searchsorted(ends, some[asked[axis]]), bound=np.inf)
+
+    # pandas has no null number, so what comes back as NaN is null again
+    null = lambda x, over: x.withColumns({n: F.nanvl(n, F.lit(None).cast("double")) for n in over})
+    doubles = lambda over: ", ".join(f"{n} double" for n in over)
+    donors = rows.mapInPandas(dealt, f"{doubles(names)}, n long, tie long, group int, range int, heavy boolean")
+    if any(common.values()):
+        # donors that are alike in the shared columns are equally far, so the first k of them are enough
+        by_group = {i: [j for j, (_, g) in enumerate(wanted_by) if g == i] for i in range(len(cuts))}
+        copies = null(donors.where("heavy"), names).withColumn("search", F.explode(F.coalesce(*(F.when(F.col("group") == i, F.array(*map(F.lit, own))) for i, own in by_group.items()))))
+        alike = [F.when(F.col("search").isin([i for i, one in enumerate(searches) if j in one.shared]), F.col(n)) for j, n in enumerate(names)]
+        first = copies.withColumn("_place", F.row_number().over(Window.partitionBy("search", "range", *alike).orderBy("tie"))).where(F.col("_place") <= k).drop("_place", "search").distinct()
+        donors = donors.where("not heavy").unionByName(first)
+    donors = donors.drop("heavy").groupBy("group", "range")
     # new names, as a cogroup of two frames with columns of one origin mixes them up
-    known_by = F.array_compact(F.array(*(F.when(F.col("known") == q, place(i, F.col(names[axis]))) for i, (q, _, _, axis, _) in enumerate(pairs))))
-    wanted = rows.where(lacking).withColumn("at", F.explode(known_by)).select(*(F.col(n).alias(q) for n, q in zip(names, asked, strict=True)), F.col("at.search").alias("to_search"), F.col("at.range").alias("to_range"), F.lit(float("inf")).alias("bound"))
-    schema = ", ".join(f"{n} double" for n in names) + ", column int, distance double, tie long, value double, n long, search int, range int"
-
-    def met(x: DataFrame) -> DataFrame:
-        def run(key, a, b):
-            if not len(b):
-                return pd.DataFrame(columns=[*names, "column", "distance", "tie", "value", "n", "search", "range"])
-            return _nearest(a, b, searches[int(key[0])], p, k).assign(search=int(key[0]), range=int(key[1]))
-
-        got = donors.cogroup(x.groupBy("to_search", "to_range")).applyInPandas(run, schema)
-        # pandas has no null number, so what comes back as NaN is null again
-        return got.withColumns({n: F.nanvl(n, F.lit(None).cast("double")) for n in names})
-
-    own = met(wanted)
-    v = {}
-    for i, one in enumerate(searches):
-        reach = F.sqrt(F.col("distance") * (len(one.shared) / p)) * (1 + 1e-9)
-        span = F.when(F.col("distance") == float("inf"), F.struct(F.lit(0).alias("lo"), F.lit(len(one.splitters)).alias("hi")))
-        v[i] = span.otherwise(F.struct(_range_of(F.col(names[one.axis]) - reach, one.splitters).alias("lo"), _range_of(F.col(names[one.axis]) + reach, one.splitters).alias("hi")))
-    ends = F.coalesce(*(F.when(F.col("search") == i, x) for i, x in v.items()))
-    further = own.where("column = -1").withColumn("_e", ends).withColumn("to_range", F.explode(F.sequence(F.col("_e.lo"), F.col("_e.hi")))).where(F.col("to_range") != F.col("range"))
-    more = met(further.select(*(F.col(n).alias(q) for n, q in zip(names, asked, strict=True)), F.col("search").alias("to_search"), "to_range", F.col("distance").alias("bound")))
-    near = own.where("column >= 0").unionByName(more.where("column >= 0"))
+    wanted = rows.where(lacking).select(*(F.col(n).alias(q) for n, q in zip(names, asked, strict=True))).mapInPandas(sought, f"{doubles(asked)}, search int, to_group int, to_range int, bound double")
+
+    def bounded(key, a, b):
+        out = []
+        for i, some in b.groupby("search"):
+            one = searches[i]
+            got = _nearest(a, some, one, p, k, bounds=True)
+            at, reach, ends = got[asked[one.axis]], np.sqrt(got["bound"] * len(one.shared) / p) * (1 + 1e-9), np.array(one.splitters)
+            out.append(got.assign(lo=np.searchsorted(ends, at - reach), hi=np.searchsorted(ends, at + reach))[[*asked, "search", "to_group", "lo", "hi", "bound"]])
+        return pd.concat(out) if out else pd.DataFrame(columns=[*asked, "search", "to_group", "lo", "hi", "bound"])
+
+    def met(key, a, b):
+        out = [_nearest(a, some, searches[i], p, k) for i, some in b.groupby("search")]
+        out = [x[x["column"] >= 0] for x in out]
+        return pd.concat(out) if out else pd.DataFrame(columns=[*names, "column", "distance", "tie", "value", "n"])
+
+    ends = donors.cogroup(wanted.groupBy("to_group", "to_range")).applyInPandas(bounded, f"{doubles(asked)}, search int, to_group int, lo int, hi int, bound double")
+    further = ends.withColumn("to_range", F.explode(F.sequence("lo", "hi"))).drop("lo", "hi")
+    near = null(donors.cogroup(further.groupBy("to_group", "to_range")).applyInPandas(met, f"{doubles(names)}, column int, distance double, tie long, value double, n long"), names)
     each = Window.partitionBy(*names, "column").orderBy("distance", "tie", "value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     taken = near.withColumn("before", F.sum("n").over(each) - F.col("n")).where(F.col("before") < k).withColumn("n", F.least("n", k - F.col("before")))
     means = taken.groupBy(*names, "column").agg((F.sum(F.col("value") * F.col("n")) / F.sum("n")).alias("value"))

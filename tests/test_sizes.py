@@ -3,11 +3,12 @@
 import re
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark import SparkContext
 from pyspark.sql import functions as F
 
-from brinework.operators import cleaning, models, profile, recipes
+from brinework.operators import cleaning, impute, models, profile, recipes
 
 
 def test_whole_rows_are_grouped_in_partitions_of_bounded_size(spark, monkeypatch):
@@ -79,3 +80,55 @@ def test_kmeans_cells_keep_all_rows(spark, monkeypatch):
     assert len(w) <= 60 and w.sum() == 6000
     assert (means * w[:, None]).sum(axis=0) == pytest.approx((x * (1 + np.arange(3000) % 3)[:, None]).sum(axis=0))
     assert set(means[:, 2]) == {0.0, 1.0}  # a column of few values is cut between them
+
+
+def test_knn_donors_of_common_values(spark, monkeypatch):
+    """Values with more donors than a range should hold keep the first of those that are alike; ties go by hash."""
+    monkeypatch.setattr(impute, "DONORS_A_TASK", 25)
+    rng = np.random.default_rng(9)
+    x = np.column_stack([np.where(rng.random(700) < 0.4, 3.0, rng.integers(0, 60, 700)), rng.integers(0, 4, 700), rng.normal(size=700).round(2)])
+    x[rng.random(x.shape) < 0.12] = np.nan
+    df = spark.createDataFrame([(i, *(None if np.isnan(v) else float(v) for v in r)) for i, r in enumerate(x)], "id long, a double, b double, c double")
+    tie = np.array([r[0] for r in df.orderBy("id").select(F.xxhash64(F.lit(42), "a", "b", "c")).collect()])
+    want = x.copy()
+    for i in np.flatnonzero(np.isnan(x).any(axis=1)):
+        both = ~np.isnan(x) & ~np.isnan(x[i])
+        far = (np.where(both, x - x[i], 0.0) ** 2).sum(axis=1) * 3 / np.maximum(both.sum(axis=1), 1)
+        for j in np.flatnonzero(np.isnan(x[i])):
+            ok = np.flatnonzero(both.any(axis=1) & ~np.isnan(x[:, j]))
+            near = ok[np.lexsort((tie[ok], far[ok]))][:5]
+            want[i, j] = x[near, j].mean() if len(near) else np.nanmean(x[:, j])
+    got = impute.knn(df, ["a", "b", "c"]).orderBy("id").collect()
+    assert np.allclose([[r.a, r.b, r.c] for r in got], want)
+
+
+def test_knn_looks_at_few_donors_where_one_column_says_little():
+    """A column of few values that are far apart hides the nearest donors from those beside a row."""
+    rng = np.random.default_rng(4)
+    donors = pd.DataFrame({"_c0": rng.uniform(0, 1000, 60_000), "_c1": rng.integers(1, 51, 60_000) / 1.0, "_c2": 1.0, "tie": 1, "n": 1})
+    rows = pd.DataFrame({"_q0": rng.uniform(100, 900, 30), "_q1": rng.integers(1, 51, 30) / 1.0, "_q2": np.nan, "bound": np.inf})
+    got = impute._nearest(donors, rows, impute.Search([0, 1], 0, [2], []), 3, 5, bounds=True)
+    for q in got.itertuples():
+        far = ((q._1 - donors["_c0"]) ** 2 + (q._2 - donors["_c1"]) ** 2) * 3 / 2
+        assert q.bound >= far.nsmallest(5).iloc[-1]
+        assert (((q._1 - donors["_c0"]) ** 2 * 3 / 2) <= q.bound).sum() < 1100
+
+
+def test_knn_keeps_the_first_alike_of_a_common_value():
+    donors = pd.DataFrame({"_c0": 7.0, "_c1": np.arange(600) % 2 * 1.0, "_c2": np.arange(600) * 1.0, "tie": np.arange(600)[::-1], "n": 1})
+    left = impute._first_alike(donors, impute.Search([0, 1], 0, [2], []), 5)
+    assert sorted(left["_c2"]) == [float(i) for i in range(590, 600)]
+
+
+def test_knn_goes_over_the_rows_a_few_times(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def met(a):
+        seen.add(1)
+        return a
+
+    df = spark.range(3000).selectExpr("double(id) as a", "if(id % 5 = 0, null, double(id % 50)) as b").repartition(2)
+    df = df.withColumn("a", met("a"))
+    assert impute.knn(df, ["a", "b"]).agg(F.count("b")).first()[0] == 3000
+    assert seen.value <= 6 * 3000

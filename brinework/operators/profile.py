@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brinework.functions.columns import categorical, labelled, long_form, numeric, temporal
-from brinework.operators.ranks import RANGES, order_statistics, quantile_table, running, sizes_of
+from brinework.operators.ranks import order_statistics, quantile_table, running, sizes_of
 
 QUANTILES = (0.05, 0.10, 0.25, 0.50, 0.75, 0.90, 0.95, 0.99)
 
@@ -215,44 +215,96 @@ def _balance(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> float:
     return of(0, len(x)) if len(x) else 0.0
 
 
+#: Ranges of a column for Kendall's tau, and rows whose ranges a task counts at once.
+PARTS, COUNTED = 256, 1_000_000
+
+
 def kendall(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """(a, b, tau): tau-b of each pair over rows that have both, from the counts of distinct value pairs.
+    """(a, b, tau): tau-b of each pair over rows that have both, NaN being none; no row for a pair without such rows.
 
-    Both columns are dealt into ranges, a value that bounds one being a range of its own. Pairs of points in different
-    ranges of both are settled by the counts of the grid of ranges; those in one range of x, or of y, are counted within
-    it, a task for each range; those in one range of both would be counted twice and are taken off once."""
+    Each column is dealt into ranges (even numbers), a value that bounds one being a range of its own (odd ones). Points in
+    different ranges of both columns are settled by the counts of the grid of ranges; those in one range of either column
+    are counted within it, a task for each range and all its pairs of columns; those in one range of both would be counted
+    twice and are taken off once. A range of one value has ties only and is counted by the grid."""
     columns = columns or numeric(df)
-    schema = "a string, b string, tau double"
     if len(columns) < 2:
-        return df.sparkSession.createDataFrame([], schema)
-    cells, pair = _pair_cells(df, columns), ["a", "b"]
-    points = F.array(*(F.lit(i / RANGES) for i in range(1, RANGES)))
-    bounds = cells.groupBy(*pair).agg(*(F.percentile_approx(c, points, 2000).alias(f"_{c}") for c in ("x", "y")))
-    bucket = lambda c: 2 * F.size(F.filter(f"_{c}", lambda b: b < F.col(c))) + F.array_contains(f"_{c}", F.col(c)).cast("int")
-    placed = cells.join(F.broadcast(bounds), pair).withColumns({"i": bucket("x"), "j": bucket("y")}).drop("_x", "_y").withColumn("w", F.col("w").cast("double"))
-    grid = placed.groupBy(*pair, "i", "j").agg(F.sum("w").alias("w"))
+        return df.sparkSession.createDataFrame([], "a string, b string, tau double")
+    names, pairs = [f"_{i}" for i in range(len(columns))], list(combinations(range(len(columns)), 2))
+    values = df.select(*(F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(n) for n, c in zip(names, columns, strict=True)))
+    points = F.array(*(F.lit(i / PARTS) for i in range(1, PARTS)))
+    found = values.agg(*(F.percentile_approx(n, points, 10_000).alias(n) for n in names)).first()
+    bounds = [np.unique(np.array(found[n] or [], dtype=np.float64)) for n in names]
+    # equal rows are one row before they meet any pair
+    rows = values.groupBy(*names).agg(F.count("*").cast("double").alias("w"))
+
+    def ranges(j: int, v: np.ndarray) -> np.ndarray:
+        """Twice the bounds below each value, one more for a bound, -1 for none."""
+        at = np.searchsorted(bounds[j], v)
+        same = np.append(bounds[j], np.nan)[np.minimum(at, len(bounds[j]))] == v
+        return np.where(np.isnan(v), -1, 2 * at + same)
+
+    def cells(batches):
+        """(p, i, j, w) of some rows at a time: the weight of each cell of a pair's grid."""
+
+        def counted(held):
+            code, w = [np.concatenate(c) for c in zip(*(c for c, _ in held))], np.concatenate([w for _, w in held])
+            for p, (a, b) in enumerate(pairs):
+                wide, both = 2 * len(bounds[b]) + 1, (code[a] >= 0) & (code[b] >= 0)
+                sums = np.bincount(code[a][both] * wide + code[b][both], weights=w[both])
+                full = np.flatnonzero(sums)
+                yield pd.DataFrame({"p": p, "i": full // wide, "j": full % wide, "w": sums[full]})
+
+        held, size = [], 0
+        for pdf in batches:
+            held.append(([ranges(j, pdf[n].to_numpy(np.float64)) for j, n in enumerate(names)], pdf["w"].to_numpy(np.float64)))
+            size += len(pdf)
+            if size >= COUNTED:
+                yield from counted(held)
+                held, size = [], 0
+        if held:
+            yield from counted(held)
+
+    tied = lambda t: float((t * (t - 1) / 2).sum())
+    form = "p int, s double, n double, tx double, ty double"
 
     def of_grid(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"a": [key[0]], "b": [key[1]], "s": [_balance(pdf["i"].to_numpy(float), pdf["j"].to_numpy(float), pdf["w"].to_numpy(float))]})
-
-    def of_range(other: bool):
-        def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-            s = _balance(pdf["x"].to_numpy(float), pdf["y"].to_numpy(float), pdf["w"].to_numpy(float))
-            if other:  # those in one cell of the grid are counted by the other axis
-                s -= sum(_balance(c["x"].to_numpy(float), c["y"].to_numpy(float), c["w"].to_numpy(float)) for _, c in pdf.groupby("j"))
-            return pd.DataFrame({"a": [key[0]], "b": [key[1]], "s": [s]})
-
-        return run
-
-    form = "a string, b string, s double"
-    # a range of one value has ties only
-    several = lambda c, k: placed.join(F.broadcast(placed.groupBy(*pair, k).agg(F.min(c).alias("_lo"), F.max(c).alias("_hi")).where("_lo < _hi").select(*pair, k)), [*pair, k], "left_semi")
-    s = grid.groupBy(*pair).applyInPandas(of_grid, form)
-    s = s.union(several("x", "i").groupBy(*pair, "i").applyInPandas(of_range(True), form)).union(several("y", "j").groupBy(*pair, "j").applyInPandas(of_range(False), form))
-    tied = lambda c: cells.groupBy(*pair, c).agg(F.sum("w").cast("double").alias("t")).groupBy(*pair).agg(F.sum(F.col("t") * (F.col("t") - 1) / 2).alias(f"t{c}"))
-    n = cells.groupBy(*pair).agg(F.sum("w").cast("double").alias("n")).select(*pair, (F.col("n") * (F.col("n") - 1) / 2).alias("n"))
-    one = s.groupBy(*pair).agg(F.sum("s").alias("s")).join(n, pair).join(tied("x"), pair).join(tied("y"), pair)
-    return one.select(*pair, F.try_divide("s", F.nullif(F.sqrt(F.col("n") - F.col("tx")) * F.sqrt(F.col("n") - F.col("ty")), F.lit(0.0))).alias("tau"))
+        i, j, w = (pdf[c].to_numpy(float) for c in ("i", "j", "w"))
+        one_value = lambda at: np.bincount(at.astype(int), weights=w)[1::2]
+        return pd.DataFrame({"p": [key[0]], "s": [_balance(i, j, w)], "n": [w.sum()], "tx": [tied(one_value(i))], "ty": [tied(one_value(j))]})
+
+    def dealt(batches):
+        for pdf in batches:
+            for j, n in enumerate(names):
+                at = ranges(j, pdf[n].to_numpy(np.float64))
+                some = (at >= 0) & (at % 2 == 0)
+                if some.any():
+                    yield pdf[some].assign(c=j, r=at[some])
+
+    def of_range(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        out, c = [], int(key[0])
+        for p, pair in enumerate(pairs):
+            if c not in pair:
+                continue
+            d = pair[0] + pair[1] - c
+            some = pdf[pdf[names[d]].notna()]
+            x, y, w = (some[k].to_numpy(float) for k in (names[c], names[d], "w"))
+            s = _balance(x, y, w)
+            if c == pair[0]:  # those in one cell of the grid are counted by the other column
+                at = ranges(d, y)
+                order = np.argsort(at, kind="stable")
+                for cell in np.split(order, np.flatnonzero(np.diff(at[order])) + 1):
+                    if len(cell) > 1 and at[cell[0]] % 2 == 0:
+                        s -= _balance(x[cell], y[cell], w[cell])
+            t = tied(np.bincount(np.unique(x, return_inverse=True)[1], weights=w))
+            out.append((p, s, 0.0, t if c == pair[0] else 0.0, t if c == pair[1] else 0.0))
+        return pd.DataFrame(out, columns=["p", "s", "n", "tx", "ty"])
+
+    grid = rows.mapInPandas(cells, "p int, i long, j long, w double").groupBy("p", "i", "j").agg(F.sum("w").alias("w")).groupBy("p").applyInPandas(of_grid, form)
+    within = rows.mapInPandas(dealt, ", ".join(f"{n} double" for n in names) + ", w double, c int, r int").groupBy("c", "r").applyInPandas(of_range, form)
+    one = grid.union(within).groupBy("p").agg(*(F.sum(c).alias(c) for c in ("s", "n", "tx", "ty"))).where("n > 0").withColumn("n", F.col("n") * (F.col("n") - 1) / 2)
+    known = F.array(*(F.struct(F.lit(columns[a]).alias("a"), F.lit(columns[b]).alias("b")) for a, b in pairs))
+    tau = F.try_divide("s", F.nullif(F.sqrt(F.col("n") - F.col("tx")) * F.sqrt(F.col("n") - F.col("ty")), F.lit(0.0)))
+    return one.select(known[F.col("p")].alias("k"), tau.alias("tau")).select("k.*", "tau")
 
 
 def correlations(df: DataFrame, method: str = "all", columns: list[str] | None = None) -> DataFrame:

@@ -1,5 +1,6 @@
 """What a task holds, and how often a table is gone through, must not depend on the size of the table."""
 
+import itertools
 import re
 
 import numpy as np
@@ -132,3 +133,20 @@ def test_knn_goes_over_the_rows_a_few_times(spark):
     df = df.withColumn("a", met("a"))
     assert impute.knn(df, ["a", "b"]).agg(F.count("b")).first()[0] == 3000
     assert seen.value <= 6 * 3000
+
+
+def test_kendall_makes_no_row_for_every_pair(spark, monkeypatch):
+    """Rows are counted on the grids of all pairs where they are, and dealt once for each column of many values."""
+    rng = np.random.default_rng(13)
+    x = np.column_stack([rng.integers(0, 3, 500) / 1.0, rng.normal(size=500).round(1), rng.normal(size=500), rng.integers(0, 90, 500) / 1.0])
+    x[rng.random(x.shape) < 0.1] = np.nan
+    df = spark.createDataFrame([tuple(None if np.isnan(v) else float(v) for v in r) for r in x], "a double, b double, c double, d double")
+    assert "Generate" not in profile.kendall(df)._jdf.queryExecution().optimizedPlan().toString()
+    for parts, counted in ((256, 1_000_000), (4, 100)):
+        monkeypatch.setattr(profile, "PARTS", parts)
+        monkeypatch.setattr(profile, "COUNTED", counted)
+        got = {(r.a, r.b): r.tau for r in profile.kendall(df).collect()}
+        for (i, a), (j, b) in itertools.combinations(enumerate("abcd"), 2):
+            u, v = x[~np.isnan(x[:, [i, j]]).any(axis=1)][:, [i, j]].T
+            s, t = np.sign(u[:, None] - u), np.sign(v[:, None] - v)
+            assert got[a, b] == pytest.approx((s * t).sum() / np.sqrt((s * s).sum() * (t * t).sum()))
